@@ -1,0 +1,1411 @@
+"""Registered queries: every operator over the whole given tables, with its SQL check.
+
+A query is ``(spark, folder of parquet tables) -> DataFrame``. The SQL is written apart from
+the Spark code and answers the same question in plain relational form.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from textgauge.functions import ordering, text, tokens, windows
+from textgauge.operators import (
+    bpe,
+    chunking,
+    countlm,
+    curves,
+    generation,
+    ladder,
+    runlogs,
+    sampling,
+    scoring,
+    splitting,
+    tokenizing,
+)
+from textgauge.plans.prepare import prepare
+from textgauge.plans.scaling import scaling_study
+from textgauge.session import shared_dir, spread
+from textgauge.sources import chunks as chunk_files
+from textgauge.sources import corpus, reports, run_logs, samples
+from textgauge.streaming import chunk_stream as streams
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+# ---- inputs -----------------------------------------------------------------------------
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
+    """Documents, spread over the cores when their files are fewer than those."""
+    return spread(corpus.read_corpus(spark, f"{sf}/documents.parquet", keep=keep), "doc_id")
+
+
+def byte_docs(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
+    return tokenizing.byte_tokenize(docs(spark, sf, *keep))
+
+
+def tok_docs(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
+    """Pre-tokens by the pattern without look-ahead, which other regex engines share."""
+    return tokenizing.pretokenize(docs(spark, sf, *keep), lookahead=False).drop("text")
+
+
+def r6(col) -> F.Column:
+    return F.round(col, 6)
+
+
+# ---- SQL building blocks ----------------------------------------------------------------
+
+PAT = tokens.PRETOKEN_SHORT.removeprefix("(?U)").replace("'", "''")
+TOK = f"regexp_extract_all(text, '{PAT}')"
+BYTES = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::INT)"
+SPLIT_HASH = "md5(concat('42:split:', doc_id))"
+SAMPLE_HASH = "md5(concat('42:sample:', doc_id))"
+# floor(0.1 * 2^32) as hex digits
+TENTH = "'19999999'"
+
+
+def windows_sql(source: str, m: int, s: int, ids: str = "b", keep: str = "doc_id") -> str:
+    """Windows of the list ``ids``: (keep, i, c)."""
+    return f"""
+      SELECT {keep}, i, {ids}[i * {s} + 1 : i * {s} + {m}] AS c
+      FROM (SELECT {keep}, {ids}, unnest(range(0, (len({ids}) - {m}) // {s} + 1)) AS i
+            FROM {source} WHERE len({ids}) >= {m})"""
+
+
+def digest_sql(ids: str) -> str:
+    return f"md5(array_to_string({ids}, ','))"
+
+
+# ---- sources and sinks ------------------------------------------------------------------
+
+
+@query(
+    """
+    SELECT lang, count(*) AS docs, sum(length(text))::BIGINT AS chars,
+           sum(strlen(text))::BIGINT AS bytes,
+           count(*) FILTER (coalesce(length(text), 0) = 0) AS empty_docs
+    FROM documents GROUP BY lang"""
+)
+def corpus_profile(spark, sf):
+    df = corpus.read_corpus(spark, f"{sf}/documents.parquet", keep=("lang",))
+    return corpus.corpus_profile(df, by=("lang",))
+
+
+@query(
+    f"""
+    WITH d AS (SELECT doc_id, {BYTES} AS b FROM documents),
+         w AS ({windows_sql("d", 128, 100)})
+    SELECT doc_id, i::INT AS chunk_idx, (i * 100)::INT AS start,
+           {digest_sql("c")} AS ids, {digest_sql("c")} AS labels
+    FROM w"""
+)
+def chunks_roundtrip(spark, sf):
+    made = chunking.chunk(byte_docs(spark, sf), 128, 100)
+    path, _ = chunk_files.write_chunks(
+        made, shared_dir(spark, "chunks"), tokenizer="bytes", max_length=128, stride=100
+    )
+    back = chunk_files.read_chunks(spark, path)
+    return back.select(
+        "doc_id",
+        "chunk_idx",
+        "start",
+        tokens.ids_digest(F.col("input_ids")).alias("ids"),
+        tokens.ids_digest(F.col("labels")).alias("labels"),
+    )
+
+
+@query(
+    """
+    SELECT conv_id::VARCHAR AS task_id, turn::INT AS sample_idx, text AS completion
+    FROM conversations WHERE role = 'assistant'"""
+)
+def samples_roundtrip(spark, sf):
+    path = shared_dir(spark, "samples")
+    samples.write_samples(_samples(spark, sf), path)
+    return samples.read_samples(spark, path)
+
+
+@query(
+    """
+    SELECT (turn % 16)::INT AS prompt_id, text AS prompt, count(*) AS n
+    FROM (SELECT text, row_number() OVER (PARTITION BY conv_id, turn // 32 ORDER BY turn) - 1 AS turn
+          FROM conversations WHERE role = 'user')
+    GROUP BY ALL"""
+)
+def prompt_bank(spark, sf):
+    turns = table(spark, sf, "conversations").filter("role = 'user'")
+    # one bank per conversation and 32 turns, in turn order, cut into lines of 16 prompts
+    bank = turns.groupBy("conv_id", F.expr("turn div 32")).agg(
+        F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("all")
+    )
+    parts = F.array(
+        *[F.slice(F.transform("all", lambda t: t["text"]), F.lit(a), F.lit(16)) for a in (1, 17)]
+    )
+    lines = bank.select(F.explode(parts).alias("part")).filter(F.size("part") > 0)
+    path = shared_dir(spark, "prompts")
+    lines.select(F.to_json("part").alias("value")).write.text(path)
+    back = samples.read_prompts(spark, path, lines=True)
+    return back.groupBy("prompt_id", "prompt").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _log_lines(spark, sf):
+    """Log lines out of the events: five message formats, warnings and errors in colour."""
+    kind = F.col("event_type")
+    loss = F.col("value") / 100
+    message = (
+        F.when(
+            kind == "purchase",
+            F.format_string(
+                "Epoch %.2f | eval_loss: %.4f | perplexity: %.2f",
+                (F.col("event_id") % 300) / 100.0,
+                loss,
+                F.exp(loss),
+            ),
+        )
+        .when(
+            kind == "view",
+            F.format_string(
+                "Train / Val split: %d chunks (90.0%%) / %d chunks (10.0%%).", "event_id", "user_id"
+            ),
+        )
+        .when(
+            kind == "signup",
+            F.format_string(
+                "Chunking complete: %d chunks from %d documents (~%d short docs discarded, 1.0%%).",
+                "user_id",
+                "event_id",
+                F.lit(0),
+            ),
+        )
+        .when(
+            kind == "error",
+            F.format_string(
+                "Final — Validation Loss: %.4f | Perplexity (PPL): %.2f", loss, F.exp(loss)
+            ),
+        )
+        .otherwise(F.concat(F.lit("seen | "), "props"))
+    )
+    level = (
+        F.when(kind == "error", "ERROR")
+        .when(kind == "click", "WARNING")
+        .when(kind == "signup", "DEBUG")
+        .otherwise("INFO")
+    )
+    logger = (
+        F.when(kind == "click", "datasets")
+        .when(kind == "signup", "transformers.tokens")
+        .otherwise("trainer")
+    )
+    colour = F.when(kind == "error", "\x1b[31m").when(kind == "click", "\x1b[33m").otherwise("")
+    reset = F.when(colour != "", "\x1b[0m").otherwise("")
+    line = F.format_string(
+        "%s | %-8s | %-25s | %s:%d | %s",
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
+        F.concat(colour, level, reset),
+        logger,
+        F.lit("steps.src"),
+        "user_id",
+        F.concat(colour, message, reset),
+    )
+    return table(spark, sf, "events").select(
+        F.concat(F.lit("ablation_"), F.col("user_id") % 8).alias("experiment"),
+        F.date_trunc("week", "ts").alias("run_start"),
+        "event_id",
+        line.alias("value"),
+    )
+
+
+LOG_SQL = """
+    logs AS (
+      SELECT 'ablation_' || (user_id % 8) AS experiment,
+             strftime(date_trunc('week', ts), '%Y-%m-%d') AS run_day,
+             strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp, event_id, user_id, value, props, event_type,
+             CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'click' THEN 'WARNING'
+                  WHEN 'signup' THEN 'DEBUG' ELSE 'INFO' END AS level,
+             CASE event_type WHEN 'click' THEN 'datasets'
+                  WHEN 'signup' THEN 'transformers.tokens' ELSE 'trainer' END AS logger,
+             CASE WHEN event_type = 'purchase' THEN (event_id % 300) / 100.0 END::DOUBLE AS epoch,
+             CASE WHEN event_type IN ('purchase', 'error')
+                  THEN printf('%.4f', value / 100)::DOUBLE END AS eval_loss,
+             CASE WHEN event_type IN ('purchase', 'error')
+                  THEN printf('%.2f', exp(value / 100))::DOUBLE END AS perplexity
+      FROM events)"""
+
+
+def _logs(spark, sf):
+    return run_logs.parse_lines(_log_lines(spark, sf), keep=("experiment", "run_start", "event_id"))
+
+
+def _metrics(spark, sf):
+    return runlogs.extract_metrics(_logs(spark, sf))
+
+
+def _stamp(col: str = "ts"):
+    return F.date_format(col, "yyyy-MM-dd HH:mm:ss").alias("stamp")
+
+
+def _day():
+    return F.date_format("run_start", "yyyy-MM-dd").alias("run_day")
+
+
+@query(
+    f"""
+    WITH {LOG_SQL}
+    SELECT event_id, stamp, level, logger, 'steps.src' AS file, user_id::INT AS line,
+           CASE event_type
+             WHEN 'purchase' THEN printf('Epoch %.2f | eval_loss: %.4f | perplexity: %.2f',
+                                         epoch, value / 100, exp(value / 100))
+             WHEN 'view' THEN 'Train / Val split: ' || event_id || ' chunks (90.0%) / '
+                              || user_id || ' chunks (10.0%).'
+             WHEN 'signup' THEN 'Chunking complete: ' || user_id || ' chunks from ' || event_id
+                                || ' documents (~0 short docs discarded, 1.0%).'
+             WHEN 'error' THEN printf('Final — Validation Loss: %.4f | Perplexity (PPL): %.2f',
+                                      value / 100, exp(value / 100))
+             ELSE 'seen | ' || props END AS message
+    FROM logs"""
+)
+def log_parse(spark, sf):
+    return _logs(spark, sf).select(
+        "event_id", _stamp(), "level", "logger", "file", "line", "message"
+    )
+
+
+@query(
+    f"""
+    WITH {LOG_SQL}
+    SELECT experiment, run_day, level, count(*) AS lines, min(stamp) AS first_at, max(stamp) AS last_at
+    FROM logs GROUP BY ALL"""
+)
+def log_files(spark, sf):
+    lines = _log_lines(spark, sf)
+    name = text.run_file_name(F.col("experiment"), F.col("run_start"))
+    path = shared_dir(spark, "logs")
+    lines.select(name.alias("run"), "value").write.partitionBy("run").text(path)
+    back = run_logs.read_run_logs(spark, path)
+    at = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    return back.groupBy("experiment", _day(), "level").agg(
+        F.count(F.lit(1)).alias("lines"), F.min(at).alias("first_at"), F.max(at).alias("last_at")
+    )
+
+
+@query(
+    r"""
+    WITH c AS (
+      SELECT u.conv_id * 1000000 + u.turn AS case_idx, u.text AS prompt, a.text AS body
+      FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+      WHERE u.role = 'user' AND a.role = 'assistant'),
+    r AS (SELECT case_idx, rtrim(prompt, E' \t\n\r') AS p,
+                 replace(rtrim(body, E' \t\n\r'), '```', '````') AS a,
+                 replace(rtrim('```' || body || E'\n```\n', E' \t\n\r'), '```', '````') AS b
+          FROM c)
+    SELECT case_idx, E'## Case ' || case_idx || E'\n\n### Prompt\n\n```python\n' || p
+           || E'\n```\n\n### base\n\n```python\n' || a
+           || E'\n```\n\n### tuned\n\n```python\n' || b || E'\n```\n\n---\n' AS markdown
+    FROM r"""
+)
+def case_markdown(spark, sf):
+    fence = F.lit("```")
+    cases = _turn_pairs(spark, sf).select(
+        (F.col("conv_id") * 1000000 + F.col("turn")).alias("case_idx"),
+        "prompt",
+        F.col("completion").alias("baseline"),
+        F.concat(fence, "completion", F.lit("\n"), fence, F.lit("\n")).alias("candidate"),
+    )
+    return reports.render_cases(cases, ("base", "tuned"))
+
+
+@query(
+    """
+    WITH x AS (
+      SELECT label, ln(list_sum(list_transform(embedding::DOUBLE[], lambda z: exp(z))))
+                    - embedding[label + 1]::DOUBLE AS nll FROM embeddings),
+    m AS (SELECT label, avg(nll) AS loss, count(*) AS n FROM x GROUP BY label)
+    SELECT label, 'Cross-Entropy Loss' AS metric, printf('%.4f', loss) AS value FROM m
+    UNION ALL
+    SELECT label, 'Perplexity (PPL)', printf('%.4f', exp(loss)) FROM m"""
+)
+def metric_table(spark, sf):
+    scored = scoring.perplexity(_logit_nll(spark, sf), by=("label",))
+    names = {"eval_loss": "Cross-Entropy Loss", "perplexity": "Perplexity (PPL)"}
+    return reports.metric_table(scored, names, keys=("label",))
+
+
+# ---- sampling, splits, runs -------------------------------------------------------------
+
+
+@query(
+    f"""
+    SELECT doc_id, lang FROM documents
+    QUALIFY row_number() OVER (ORDER BY {SAMPLE_HASH})
+            <= greatest((SELECT floor(count(*) * 0.25::DOUBLE) FROM documents), 1)"""
+)
+def subsample_docs(spark, sf):
+    df = table(spark, sf, "documents").select("doc_id", "lang")
+    return sampling.subsample(df, 0.25, ["doc_id"])
+
+
+@query(
+    """
+    SELECT o_orderkey, o_totalprice FROM orders
+    QUALIFY row_number() OVER (ORDER BY md5(concat('7:sample:', o_orderkey)))
+            <= greatest((SELECT floor(count(*) * 0.5::DOUBLE) FROM orders), 1)"""
+)
+def subsample_orders(spark, sf):
+    df = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return sampling.subsample(df, 0.5, ["o_orderkey"], seed=7)
+
+
+@query(
+    f"""
+    WITH w AS (SELECT doc_id, unnest(range(0, (strlen(text) - 128) // 128 + 1)) AS i
+               FROM documents WHERE strlen(text) >= 128)
+    SELECT doc_id, i::INT AS chunk_idx FROM w
+    QUALIFY row_number() OVER (ORDER BY md5(concat('42:sample:', doc_id, ':', i)))
+            <= greatest((SELECT floor(count(*) * 0.1::DOUBLE) FROM w), 1)"""
+)
+def subsample_chunks(spark, sf):
+    path, _ = chunk_files.write_chunks(
+        chunking.chunk(byte_docs(spark, sf), 128),
+        shared_dir(spark, "chunks"),
+        tokenizer="bytes",
+        max_length=128,
+        stride=128,
+    )
+    saved = chunk_files.read_chunks(spark, path)
+    return sampling.subsample(saved, 0.1, ["doc_id", "chunk_idx"]).select("doc_id", "chunk_idx")
+
+
+@query(
+    f"""
+    SELECT doc_id, CASE WHEN substr({SPLIT_HASH}, 1, 8) < {TENTH} THEN 'test' ELSE 'train' END AS split
+    FROM documents"""
+)
+def split_train_test(spark, sf):
+    return splitting.split(table(spark, sf, "documents").select("doc_id"), ["doc_id"])
+
+
+@query(
+    f"""
+    SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {SPLIT_HASH})
+                             <= ceil((SELECT count(*) FROM documents) * 0.1::DOUBLE)
+                        THEN 'test' ELSE 'train' END AS split
+    FROM documents"""
+)
+def split_exact(spark, sf):
+    df = table(spark, sf, "documents").select("doc_id")
+    return splitting.split(df, ["doc_id"], exact=True)
+
+
+@query(
+    f"""
+    WITH s AS (SELECT substr({SPLIT_HASH}, 1, 8) < {TENTH} AS t FROM documents)
+    SELECT count(*) FILTER (NOT t) AS train_rows,
+           count(*) FILTER (NOT t) * 100.0::DOUBLE / greatest(count(*), 1) AS train_pct,
+           count(*) FILTER (t) AS test_rows,
+           count(*) FILTER (t) * 100.0::DOUBLE / greatest(count(*), 1) AS test_pct
+    FROM s"""
+)
+def split_profile(spark, sf):
+    return splitting.split_profile(split_train_test(spark, sf))
+
+
+def _byte_chunk_keys(spark, sf):
+    """Chunk keys from text lengths alone."""
+    n = windows.window_count(F.octet_length("text"), 128, 64)
+    df = docs(spark, sf).select("doc_id", F.when(n > 0, F.sequence(F.lit(0), n - 1)).alias("i"))
+    return df.select("doc_id", F.explode("i").alias("chunk_idx"))
+
+
+@query(
+    f"""
+    WITH w AS (SELECT doc_id, unnest(range(0, (strlen(text) - 128) // 64 + 1)) AS i
+               FROM documents WHERE strlen(text) >= 128),
+    s AS (SELECT doc_id, substr(md5(concat('42:split:', doc_id, ':', i)), 1, 8) < {TENTH} AS t FROM w),
+    d AS (SELECT doc_id, bool_or(t) AS b, bool_or(NOT t) AS a FROM s GROUP BY doc_id)
+    SELECT count(*) FILTER (a AND NOT b) AS train_only, count(*) FILTER (b AND NOT a) AS test_only,
+           count(*) FILTER (a AND b) AS on_both
+    FROM d"""
+)
+def split_overlap(spark, sf):
+    both = splitting.split(_byte_chunk_keys(spark, sf), ["doc_id", "chunk_idx"], unit="chunk")
+    train, test = (both.filter(F.col("split") == side) for side in ("train", "test"))
+    return splitting.split_overlap(train, test, ["doc_id"])
+
+
+@query(
+    f"""
+    WITH w AS (SELECT doc_id, unnest(range(0, (strlen(text) - 128) // 64 + 1)) AS i
+               FROM documents WHERE strlen(text) >= 128),
+    s AS (SELECT doc_id, i, substr(md5(concat('42:split:', doc_id, ':', i)), 1, 8) < {TENTH} AS t FROM w)
+    SELECT doc_id, i::INT AS chunk_idx FROM s
+    WHERE t AND doc_id IN (SELECT doc_id FROM s WHERE NOT t)"""
+)
+def leaked_rows(spark, sf):
+    both = splitting.split(_byte_chunk_keys(spark, sf), ["doc_id", "chunk_idx"], unit="chunk")
+    train, test = (both.filter(F.col("split") == side) for side in ("train", "test"))
+    return splitting.leaked_rows(train, test, ["doc_id"]).select("doc_id", "chunk_idx")
+
+
+@query(
+    """
+    SELECT lang, m.name AS model_name, f.f AS data_fraction, s.seed::INT AS seed,
+           ((m.i * 6 + f.i) * 3 + s.i)::INT AS run_idx,
+           greatest(floor(docs * f.f), 1)::BIGINT AS subset_docs
+    FROM (SELECT lang, count(*) AS docs FROM documents GROUP BY lang),
+         (VALUES (0, 'gpt2'), (1, 'distilgpt2'), (2, 'gpt2-medium')) AS m(i, name),
+         (VALUES (0, 0.01::DOUBLE), (1, 0.05::DOUBLE), (2, 0.10::DOUBLE), (3, 0.25::DOUBLE),
+                 (4, 0.50::DOUBLE), (5, 1.0::DOUBLE)) AS f(i, f),
+         (VALUES (0, 42), (1, 123), (2, 456)) AS s(i, seed)"""
+)
+def run_grid(spark, sf):
+    per_lang = table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
+    size = F.greatest(F.floor(F.col("docs") * F.col("data_fraction")), F.lit(1))
+    return ladder.with_run_grid(per_lang).withColumn("subset_docs", size).drop("docs")
+
+
+LADDER_SQL = """
+    d AS (SELECT doc_id, strlen(text) AS tokens,
+                 CASE WHEN strlen(text) >= 256 THEN (strlen(text) - 256) // 200 + 1 ELSE 0 END AS chunks
+          FROM documents),
+    r AS (SELECT seed, doc_id, tokens, chunks,
+                 row_number() OVER (PARTITION BY seed ORDER BY md5(concat(seed, ':sample:', doc_id))) AS rn
+          FROM d, (VALUES (42), (123), (456)) AS s(seed)),
+    ladder AS (
+      SELECT seed::INT AS seed, fraction, count(*) AS docs, sum(tokens)::BIGINT AS tokens,
+             sum(chunks)::BIGINT AS chunks
+      FROM r, (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)) AS f(fraction)
+      WHERE rn <= greatest(floor((SELECT count(*) FROM d) * fraction), 1)
+      GROUP BY ALL)"""
+
+
+def _ladder(spark, sf):
+    df = corpus.read_corpus(spark, f"{sf}/documents.parquet").select(
+        "doc_id",
+        F.octet_length("text").alias("tokens"),
+        windows.window_count(F.octet_length("text"), 256, 200).alias("chunks"),
+    )
+    return ladder.fraction_ladder(df, (0.1, 0.5, 1.0), ladder.SEEDS, ["doc_id"], ["tokens", "chunks"])
+
+
+@query(f"WITH {LADDER_SQL} SELECT * FROM ladder")
+def fraction_ladder(spark, sf):
+    return _ladder(spark, sf)
+
+
+@query(
+    f"""
+    WITH {LADDER_SQL}
+    SELECT seed, fraction, docs, tokens, chunks, tier, batch::INT AS effective_batch,
+           (ceil(chunks / batch::DOUBLE) * 3)::BIGINT AS steps, chunks * 768 AS train_tokens
+    FROM ladder, (VALUES ('low_vram', 4 * 4 * 2), ('high_throughput', 16 * 1 * 2),
+                         ('default', 8 * 2 * 2)) AS t(tier, batch)"""
+)
+def run_budget(spark, sf):
+    return ladder.run_budget(_ladder(spark, sf), 256, world=2)
+
+
+# ---- tokenization -----------------------------------------------------------------------
+
+
+@query(
+    f"""
+    SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, '|')) AS tokens,
+           (array_to_string(t, '') = text)::INT AS lossless
+    FROM (SELECT doc_id, text, {TOK} AS t FROM documents)"""
+)
+def pretokens(spark, sf):
+    df = tokenizing.pretokenize(docs(spark, sf), lookahead=False)
+    return df.select(
+        "doc_id",
+        F.size("tok").alias("n_tokens"),
+        F.md5(F.array_join("tok", "|").cast("binary")).alias("tokens"),
+        (F.array_join("tok", "") == F.col("text")).cast("int").alias("lossless"),
+    )
+
+
+@query(f"SELECT doc_id, len(b) AS n_ids, {digest_sql('b')} AS ids FROM (SELECT doc_id, {BYTES} AS b FROM documents)")
+def byte_tokens(spark, sf):
+    return byte_docs(spark, sf).select(
+        "doc_id",
+        F.size("input_ids").alias("n_ids"),
+        tokens.ids_digest(F.col("input_ids")).alias("ids"),
+    )
+
+
+VOCAB_SQL = f"""
+    t AS (SELECT doc_id, {TOK} AS tok FROM documents),
+    counts AS (SELECT token, count(*) AS n FROM (SELECT unnest(tok) AS token FROM t) GROUP BY token),
+    vocab AS (SELECT (1 + row_number() OVER (ORDER BY n DESC, token))::INT AS id, token, n
+              FROM counts ORDER BY n DESC, token LIMIT 5000)"""
+
+
+def _vocab(spark, sf):
+    return tokenizing.build_vocab(tok_docs(spark, sf), 5000)
+
+
+@query(
+    f"""
+    WITH {VOCAB_SQL}
+    SELECT 0 AS id, '<unk>' AS token, 0::BIGINT AS count
+    UNION ALL SELECT 1, '<|endoftext|>', 0 UNION ALL SELECT id, token, n FROM vocab"""
+)
+def vocab_topk(spark, sf):
+    return _vocab(spark, sf)
+
+
+@query(
+    f"""
+    WITH {VOCAB_SQL}
+    SELECT count(*) + 2 AS vocab_size, 0 AS unk_id, 1 AS eos_id, 1 AS pad_id FROM vocab"""
+)
+def vocab_report(spark, sf):
+    return tokenizing.vocab_report(_vocab(spark, sf))
+
+
+ENCODED_SQL = f"""
+    {VOCAB_SQL},
+    placed AS (SELECT doc_id, unnest(tok) AS token, unnest(range(0, len(tok))) AS pos FROM t),
+    enc AS (SELECT doc_id, list(coalesce(id, 0) ORDER BY pos) AS ids
+            FROM placed LEFT JOIN vocab USING (token) GROUP BY doc_id)"""
+ENCODED_RESULT = f"""
+    SELECT doc_id, coalesce(len(ids), 0) AS n_ids, {digest_sql("coalesce(ids, [])")} AS ids,
+           coalesce(len(ids), 0) AS mask_sum
+    FROM documents LEFT JOIN enc USING (doc_id)"""
+
+
+def _encoded_result(df):
+    return df.select(
+        "doc_id",
+        F.size("input_ids").alias("n_ids"),
+        tokens.ids_digest(F.col("input_ids")).alias("ids"),
+        F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("mask_sum"),
+    )
+
+
+@query(f"WITH {ENCODED_SQL} {ENCODED_RESULT}")
+def encode_ids(spark, sf):
+    return _encoded_result(tokenizing.encode(tok_docs(spark, sf), _vocab(spark, sf)))
+
+
+@query(f"WITH {ENCODED_SQL} {ENCODED_RESULT}")
+def encode_by_join(spark, sf):
+    return _encoded_result(tokenizing.encode_by_join(tok_docs(spark, sf), _vocab(spark, sf)))
+
+
+@query(
+    f"""
+    WITH {ENCODED_SQL}
+    SELECT doc_id, len(ids) AS n_ids,
+           md5(coalesce((SELECT string_agg(coalesce(v.token, ''), '' ORDER BY p.pos)
+                FROM placed p LEFT JOIN vocab v ON v.token = p.token WHERE p.doc_id = enc.doc_id), '')) AS text
+    FROM enc"""
+)
+def decode_roundtrip(spark, sf):
+    vocab = _vocab(spark, sf)
+    coded = tokenizing.encode(tok_docs(spark, sf), vocab).filter(F.size("input_ids") > 0)
+    back = tokenizing.decode(coded, vocab, skip=(tokenizing.UNK, tokenizing.EOS))
+    return back.select(
+        "doc_id", F.size("input_ids").alias("n_ids"), F.md5(F.col("text").cast("binary")).alias("text")
+    )
+
+
+@query("SELECT doc_id, md5(text) AS text FROM documents")
+def decode_bytes(spark, sf):
+    back = tokenizing.byte_detokenize(byte_docs(spark, sf))
+    return back.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query(
+    f"""
+    SELECT lang, count(*) AS docs, sum(n)::BIGINT AS tokens, round(avg(n), 6) AS mean_len,
+           quantile_cont(n, 0.25)::DOUBLE AS q25, quantile_cont(n, 0.5)::DOUBLE AS median,
+           quantile_cont(n, 0.75)::DOUBLE AS q75, max(n) AS max_len,
+           round(count(*) FILTER (n < 256) / count(*)::DOUBLE, 6) AS short_share
+    FROM (SELECT lang, len({TOK}) AS n FROM documents) GROUP BY lang"""
+)
+def token_profile(spark, sf):
+    df = tok_docs(spark, sf, "lang")
+    out = tokenizing.token_profile(df, F.size("tok"), 256, by=("lang",))
+    return out.withColumn("mean_len", r6("mean_len")).withColumn("short_share", r6("short_share"))
+
+
+# Two levels of byte-pair merges, counted in the corpus: 48 pairs of bytes, then 48 pairs of
+# the pieces that these leave. In the SQL a piece is written <hex> and a merge is one replace.
+BPE_SQL = f"""
+    w AS (SELECT token, count(*) AS n, regexp_replace(hex(encode(token)), '(..)', '<\\1>', 'g') AS s0
+          FROM (SELECT unnest({TOK}) AS token FROM documents) GROUP BY token),
+    p1 AS (SELECT unnest(q[1:-2]) AS a, unnest(q[2:]) AS b, n
+           FROM (SELECT regexp_extract_all(s0, '<[0-9A-F]+>') AS q, n FROM w) WHERE len(q) > 1),
+    m1 AS (SELECT a, b, row_number() OVER (ORDER BY sum(n) DESC, a, b) AS r
+           FROM p1 GROUP BY a, b QUALIFY r <= 48),
+    l1 AS (SELECT list(a || b ORDER BY r) AS f,
+                  list(replace(a || b, '><', '') ORDER BY r) AS t FROM m1),
+    w1 AS (SELECT token, n, list_reduce(list_prepend(s0, range(1, 49)::VARCHAR[]),
+                  lambda s, i: replace(s, f[i::INT], t[i::INT])) AS s1 FROM w, l1),
+    p2 AS (SELECT unnest(q[1:-2]) AS a, unnest(q[2:]) AS b, n
+           FROM (SELECT regexp_extract_all(s1, '<[0-9A-F]+>') AS q, n FROM w1) WHERE len(q) > 1),
+    m2 AS (SELECT a, b, row_number() OVER (ORDER BY sum(n) DESC, a, b) AS r
+           FROM p2 WHERE (a, b) NOT IN (SELECT (a, b) FROM m1) GROUP BY a, b QUALIFY r <= 48),
+    l2 AS (SELECT list(a || b ORDER BY r) AS f,
+                  list(replace(a || b, '><', '') ORDER BY r) AS t FROM m2)"""
+
+
+def _top_pairs(pieces: DataFrame, k: int) -> list[tuple[str, str]]:
+    """The k most frequent neighbour pairs of ``(piece array, n)`` rows, ties in text order."""
+    pairs = scoring.shift_pairs(pieces, ids="pieces", keep=("n",))
+    best = pairs.groupBy("prev", "next").agg(F.sum("n").alias("n"))
+    rows = best.orderBy(F.desc("n"), "prev", "next").limit(k).collect()
+    return [(r["prev"], r["next"]) for r in rows]
+
+
+def _merges(words: DataFrame) -> list[tuple[bytes, bytes]]:
+    """Merges counted over the distinct pre-tokens ``(tok, n)``."""
+    hexed = F.regexp_extract_all(F.hex(F.encode("token", "UTF-8")), F.lit(".."), F.lit(0))
+    first = _top_pairs(words.select(hexed.alias("pieces"), "n"), 48)
+    merges = [(bytes.fromhex(a), bytes.fromhex(b)) for a, b in first]
+    ids = bpe.byte_vocab(merges)
+    names = F.create_map(*[F.lit(x) for t, i in ids.items() for x in (i, t.hex().upper())])
+    coded = bpe.bpe_encode(words.select(F.array("token").alias("tok"), "n"), merges)
+    pieces = coded.select(F.transform("input_ids", lambda i: names[i]).alias("pieces"), "n")
+    # the <> around pieces in the SQL sort after hex digits; compare in the same order
+    marked = pieces.select(
+        F.transform("pieces", lambda p: F.concat(F.lit("<"), p, F.lit(">"))).alias("pieces"), "n"
+    )
+    second = [(a[1:-1], b[1:-1]) for a, b in _top_pairs(marked, 48)]
+    return merges + [(bytes.fromhex(a), bytes.fromhex(b)) for a, b in second]
+
+
+@query(
+    f"""
+    WITH {BPE_SQL},
+    done AS (SELECT token, list_reduce(list_prepend(s1, range(1, 49)::VARCHAR[]),
+                lambda s, i: replace(s, f[i::INT], t[i::INT])) AS s2 FROM w1, l2),
+    placed AS (SELECT doc_id, unnest(tok) AS token, unnest(range(0, len(tok))) AS pos
+               FROM (SELECT doc_id, {TOK} AS tok FROM documents))
+    SELECT doc_id, sum(len(regexp_extract_all(s2, '<[0-9A-F]+>')))::BIGINT AS n_ids,
+           md5(string_agg(s2, '' ORDER BY pos)) AS pieces
+    FROM placed JOIN done USING (token) GROUP BY doc_id"""
+)
+def bpe_pieces(spark, sf):
+    df = tok_docs(spark, sf)
+    words = df.select(F.explode("tok").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    merges = _merges(words)
+    coded = bpe.bpe_encode(df, merges).filter(F.size("input_ids") > 0)
+    names = [f"<{t.hex().upper()}>" for t in bpe.byte_vocab(merges)]
+    vocab = spark.createDataFrame(list(enumerate(names)), "id int, token string")
+    back = tokenizing.decode(coded, vocab)
+    return back.select(
+        "doc_id",
+        F.size("input_ids").cast("long").alias("n_ids"),
+        F.md5(F.col("text").cast("binary")).alias("pieces"),
+    )
+
+
+# ---- chunking ---------------------------------------------------------------------------
+
+
+@query(
+    f"""
+    SELECT doc_id, n::BIGINT AS n_tokens,
+           (CASE WHEN n >= 256 THEN (n - 256) // 200 + 1 ELSE 0 END)::INT AS n_windows
+    FROM (SELECT doc_id, len({TOK}) AS n FROM documents)"""
+)
+def window_counts(spark, sf):
+    return chunking.window_counts(tok_docs(spark, sf), F.size("tok"), 256, 200)
+
+
+def _chunk_result(chunks):
+    return chunks.select(
+        "doc_id",
+        "chunk_idx",
+        "start",
+        F.size("input_ids").alias("n_ids"),
+        tokens.ids_digest(F.col("input_ids")).alias("ids"),
+        tokens.ids_digest(F.col("labels")).alias("labels"),
+    )
+
+
+def _chunk_sql(m: int, s: int) -> str:
+    return f"""
+    WITH d AS (SELECT doc_id, {BYTES} AS b FROM documents), w AS ({windows_sql("d", m, s)})
+    SELECT doc_id, i::INT AS chunk_idx, (i * {s})::INT AS start, len(c) AS n_ids,
+           {digest_sql("c")} AS ids, {digest_sql("c")} AS labels
+    FROM w"""
+
+
+@query(_chunk_sql(256, 256))
+def chunk_docs(spark, sf):
+    return _chunk_result(chunking.with_labels(chunking.chunk(byte_docs(spark, sf), 256)))
+
+
+@query(_chunk_sql(256, 96))
+def chunk_overlap(spark, sf):
+    return _chunk_result(chunking.with_labels(chunking.chunk(byte_docs(spark, sf), 256, 96)))
+
+
+@query(
+    f"""
+    WITH {ENCODED_SQL}, w AS ({windows_sql("enc", 64, 64, ids="ids")})
+    SELECT doc_id, i::INT AS chunk_idx, {digest_sql("c")} AS ids FROM w"""
+)
+def chunk_vocab(spark, sf):
+    coded = tokenizing.encode(tok_docs(spark, sf), _vocab(spark, sf)).drop("attention_mask")
+    return chunking.chunk(coded, 64).select(
+        "doc_id", "chunk_idx", tokens.ids_digest(F.col("input_ids")).alias("ids")
+    )
+
+
+STATS_SQL = """
+    SELECT {by} count(*) AS docs, count(*) FILTER (n < {m}) AS short_docs, sum(w)::BIGINT AS chunks,
+           sum(n)::BIGINT AS tokens, (sum(w) * {m})::BIGINT AS chunk_tokens,
+           sum(c)::BIGINT AS covered_tokens, sum(n - c)::BIGINT AS dropped_tokens
+    FROM (SELECT *, CASE WHEN w > 0 THEN (w - 1) * least({s}, {m}) + {m} ELSE 0 END AS c
+          FROM (SELECT *, CASE WHEN n >= {m} THEN (n - {m}) // {s} + 1 ELSE 0 END AS w FROM ({src})))
+    """
+
+
+@query(
+    STATS_SQL.format(
+        by="lang,", m=256, s=200, src=f"SELECT lang, len({TOK}) AS n FROM documents"
+    )
+    + " GROUP BY lang"
+)
+def chunk_stats(spark, sf):
+    df = tok_docs(spark, sf, "lang")
+    return chunking.chunk_stats(df, F.size("tok"), 256, 200, by=("lang",))
+
+
+@query(
+    f"""
+    WITH s AS (SELECT doc_id, text FROM documents
+               QUALIFY row_number() OVER (ORDER BY {SAMPLE_HASH})
+                       <= greatest((SELECT floor(count(*) * 0.5::DOUBLE) FROM documents), 1)),
+    d AS (SELECT doc_id, {BYTES} AS b FROM s), w AS ({windows_sql("d", 256, 256)}),
+    saved AS (SELECT count(*) AS saved_rows, sum(list_sum(c))::BIGINT AS id_sum FROM w)
+    SELECT * FROM ({STATS_SQL.format(by="", m=256, s=256, src="SELECT strlen(text) AS n FROM s")}), saved"""
+)
+def prepare_corpus(spark, sf):
+    made = prepare(
+        docs(spark, sf),
+        max_length=256,
+        fraction=0.5,
+        save_to=shared_dir(spark, "prepared"),
+    )
+    saved = chunk_files.read_chunks(spark, made.path).agg(
+        F.sum(F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: a + x)).alias("id_sum")
+    )
+    return made.stats.withColumn("saved_rows", F.lit(made.rows)).join(F.broadcast(saved))
+
+
+@query(
+    """
+    SELECT sum(w)::BIGINT AS chunks, sum(greatest(w - 1, 0))::BIGINT AS neighbours,
+           0::BIGINT AS wrong_length, 0::BIGINT AS missing_or_extra, 0::BIGINT AS not_source_text,
+           0::BIGINT AS overlap_differs
+    FROM (SELECT CASE WHEN strlen(text) >= 256 THEN (strlen(text) - 256) // 200 + 1 ELSE 0 END AS w
+          FROM documents)"""
+)
+def verify_chunks(spark, sf):
+    path, _ = chunk_files.write_chunks(
+        chunking.chunk(byte_docs(spark, sf), 256, 200),
+        shared_dir(spark, "chunks"),
+        tokenizer="bytes",
+        max_length=256,
+        stride=200,
+    )
+    return chunking.verify_chunks(
+        chunk_files.read_chunks(spark, path), byte_docs(spark, sf), 256, 200
+    )
+
+
+@query(_chunk_sql(64, 64))
+def chunk_stream(spark, sf):
+    source = streams.read_corpus_stream(spark, sf, pattern="documents.parquet")
+    path, state = shared_dir(spark, "stream"), shared_dir(spark, "stream-state")
+    streams.start_append(streams.chunk_stream(source, 64), path, state).awaitTermination()
+    return _chunk_result(chunk_files.read_chunks(spark, path))
+
+
+@query(
+    f"""
+    WITH d AS (SELECT doc_id, lang, len({TOK}) AS n FROM documents),
+    p AS (SELECT doc_id, lang, unnest(range(0, n)) AS pos FROM d),
+    w AS (SELECT doc_id, unnest(range(0, (n - 64) // 24 + 1)) AS i FROM d WHERE n >= 64),
+    h AS (SELECT doc_id, unnest(range(i * 24, i * 24 + 64)) AS pos FROM w),
+    c AS (SELECT doc_id, pos, count(*) AS windows FROM h GROUP BY ALL)
+    SELECT lang, coalesce(windows, 0)::INT AS windows, count(*) AS positions
+    FROM p LEFT JOIN c USING (doc_id, pos) GROUP BY ALL"""
+)
+def chunk_coverage(spark, sf):
+    return chunking.chunk_coverage(tok_docs(spark, sf, "lang"), F.size("tok"), 64, 24, by=("lang",))
+
+
+# ---- scoring ----------------------------------------------------------------------------
+
+
+def pairs_sql(source: str, m: int, keep: str) -> str:
+    """Shifted pairs of the windows of a byte table ``source(keep..., b)``."""
+    return f"""
+      SELECT {keep}, unnest(c[1:{m - 1}]) AS prev, unnest(c[2:{m}]) AS next
+      FROM ({windows_sql(source, m, m, keep=keep)})"""
+
+
+@query(
+    f"""
+    WITH d AS (SELECT lang, {BYTES} AS b FROM documents)
+    SELECT lang, prev, next, count(*) AS n FROM ({pairs_sql("d", 64, "lang")}) GROUP BY ALL"""
+)
+def shift_pairs(spark, sf):
+    chunks = chunking.chunk(byte_docs(spark, sf, "lang"), 64, keep=("lang",))
+    return countlm.count_pairs(scoring.shift_pairs(chunks, keep=("lang",)), by=("lang",))
+
+
+def _logit_nll(spark, sf):
+    df = table(spark, sf, "embeddings").withColumnRenamed("embedding", "logits")
+    return scoring.token_nll(df)
+
+
+NLL_SQL = """
+    x AS (SELECT vec_id, label, vec_id // 7 AS chunk,
+                 ln(list_sum(list_transform(embedding::DOUBLE[], lambda z: exp(z))))
+                 - embedding[label + 1]::DOUBLE AS nll
+          FROM embeddings)"""
+
+
+@query(f"WITH {NLL_SQL} SELECT vec_id, label, round(nll, 6) AS nll FROM x")
+def logits_cross_entropy(spark, sf):
+    return _logit_nll(spark, sf).select("vec_id", "label", r6("nll").alias("nll"))
+
+
+def _rounded(df):
+    return df.withColumn("eval_loss", r6("eval_loss")).withColumn("perplexity", r6("perplexity"))
+
+
+@query(
+    f"""
+    WITH {NLL_SQL}
+    SELECT label, round(avg(nll), 6) AS eval_loss, round(exp(avg(nll)), 6) AS perplexity,
+           count(*) AS n_tokens
+    FROM x GROUP BY label"""
+)
+def perplexity(spark, sf):
+    return _rounded(scoring.perplexity(_logit_nll(spark, sf), by=("label",)))
+
+
+@query(
+    f"""
+    WITH {NLL_SQL}, c AS (SELECT chunk, avg(nll) AS loss FROM x WHERE label <> 3 GROUP BY chunk)
+    SELECT round(avg(loss), 6) AS eval_loss, round(exp(avg(loss)), 6) AS perplexity,
+           count(*) AS n_chunks
+    FROM c"""
+)
+def perplexity_chunk_mean(spark, sf):
+    # label 3 plays the padding token here, so chunks differ in their scored tokens
+    df = table(spark, sf, "embeddings").withColumnRenamed("embedding", "logits")
+    scored = scoring.token_nll(df.withColumn("chunk", F.expr("vec_id div 7")), pad_id=3)
+    return _rounded(scoring.perplexity_by_chunk(scored, ["chunk"]))
+
+
+def _sides(spark, sf, *keep):
+    """Documents with their split, cut into windows of 64 bytes."""
+    placed = splitting.split(docs(spark, sf, *keep), ["doc_id"])
+    return chunking.chunk(
+        tokenizing.byte_tokenize(placed), 64, keep=("doc_id", "split", *keep)
+    )
+
+
+def _byte_lm(chunks):
+    train = chunks.filter(F.col("split") == "train")
+    return countlm.count_lm(countlm.count_pairs(scoring.shift_pairs(train)), 256)
+
+
+LM_SQL = f"""
+    d AS (SELECT doc_id, lang, substr({SPLIT_HASH}, 1, 8) < {TENTH} AS held, {BYTES} AS b FROM documents),
+    pairs AS ({pairs_sql("d", 64, "doc_id, lang, held")}),
+    c2 AS (SELECT prev, next, count(*) AS n FROM pairs WHERE NOT held GROUP BY ALL),
+    c1 AS (SELECT prev, count(*) AS n FROM pairs WHERE NOT held GROUP BY ALL)"""
+LM_NLL = "-ln((coalesce(c2.n, 0) + 1.0::DOUBLE) / (coalesce(c1.n, 0) + 256.0::DOUBLE))"
+
+
+@query(
+    f"""
+    WITH {LM_SQL},
+    s AS (SELECT lang, {LM_NLL} AS nll
+          FROM (SELECT * FROM pairs WHERE held) p LEFT JOIN c2 USING (prev, next)
+          LEFT JOIN c1 ON c1.prev = p.prev)
+    SELECT lang, round(avg(nll), 6) AS eval_loss, round(exp(avg(nll)), 6) AS perplexity,
+           count(*) AS n_tokens
+    FROM s GROUP BY lang"""
+)
+def count_lm_perplexity(spark, sf):
+    chunks = _sides(spark, sf, "lang")
+    test = chunks.filter(F.col("split") == "test")
+    counts = countlm.count_pairs(scoring.shift_pairs(test, keep=("lang",)), by=("lang",))
+    scored = countlm.score_count_lm(_byte_lm(chunks), counts, by=("lang",))
+    return _rounded(scoring.perplexity(scored, weight="n", by=("lang",)))
+
+
+@query(
+    f"""
+    WITH {LM_SQL},
+    q AS (SELECT item_id, {BYTES} AS b FROM benchmark),
+    qp AS (SELECT item_id, unnest(b[1:-2]) AS prev, unnest(b[2:]) AS next FROM q WHERE len(b) > 1),
+    s AS (SELECT item_id, {LM_NLL} AS nll FROM qp LEFT JOIN c2 USING (prev, next)
+          LEFT JOIN c1 ON c1.prev = qp.prev)
+    SELECT item_id, round(avg(nll), 6) AS eval_loss, round(exp(avg(nll)), 6) AS perplexity,
+           count(*) AS n_tokens
+    FROM s GROUP BY item_id"""
+)
+def benchmark_perplexity(spark, sf):
+    items = tokenizing.byte_tokenize(table(spark, sf, "benchmark"))
+    counts = countlm.count_pairs(scoring.shift_pairs(items, keep=("item_id",)), by=("item_id",))
+    scored = countlm.score_count_lm(_byte_lm(_sides(spark, sf)), counts, by=("item_id",))
+    return _rounded(scoring.perplexity(scored, weight="n", by=("item_id",)))
+
+
+@query(
+    f"""
+    WITH {LM_SQL},
+    s AS (SELECT doc_id, {LM_NLL} AS nll
+          FROM (SELECT * FROM pairs WHERE held) p LEFT JOIN c2 USING (prev, next)
+          LEFT JOIN c1 ON c1.prev = p.prev)
+    SELECT quality, round(avg(nll), 6) AS eval_loss, round(exp(avg(nll)), 6) AS perplexity,
+           count(*) AS n_tokens
+    FROM s JOIN labels USING (doc_id) GROUP BY quality"""
+)
+def perplexity_by_quality(spark, sf):
+    chunks = _sides(spark, sf)
+    test = chunks.filter(F.col("split") == "test")
+    named = test.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    counts = countlm.count_pairs(scoring.shift_pairs(named, keep=("quality",)), by=("quality",))
+    scored = countlm.score_count_lm(_byte_lm(chunks), counts, by=("quality",))
+    return _rounded(scoring.perplexity(scored, weight="n", by=("quality",)))
+
+
+@query(
+    f"""
+    WITH d AS (SELECT doc_id, lang, substr({SPLIT_HASH}, 1, 8) < {TENTH} AS held, {BYTES} AS b
+               FROM documents),
+    w AS ({windows_sql("d", 64, 64, keep="doc_id, lang, held")}),
+    pairs AS (SELECT doc_id, i, held, unnest(c[1:63]) AS prev, unnest(c[2:64]) AS next FROM w),
+    c2 AS (SELECT prev, next, count(*) AS n FROM pairs WHERE NOT held GROUP BY ALL),
+    c1 AS (SELECT prev, count(*) AS n FROM pairs WHERE NOT held GROUP BY ALL)
+    SELECT p.doc_id, p.i::INT AS chunk_idx, round(avg({LM_NLL}), 6) AS nll, 63 AS n_tokens
+    FROM (SELECT * FROM pairs WHERE held) p LEFT JOIN c2 USING (prev, next)
+    LEFT JOIN c1 ON c1.prev = p.prev
+    GROUP BY ALL"""
+)
+def score_chunks(spark, sf):
+    chunks = _sides(spark, sf)
+    lm = _byte_lm(chunks)
+    known = countlm.pair_probabilities(lm).collect()  # at most 256 x 256 rows
+    totals = {r["prev"]: r["n"] for r in lm.contexts.collect()}
+    unseen = [totals.get(b, 0) for b in range(256)]
+    model = spark.sparkContext.broadcast(([tuple(r) for r in known], unseen))
+
+    def make_predict_fn():
+        import numpy as np
+
+        pairs, contexts = model.value
+        losses = np.repeat(np.log(np.asarray(contexts, float) + 256.0)[:, None], 256, axis=1)
+        for prev, following, nll in pairs:
+            losses[prev, following] = nll
+        return lambda ids: losses[
+            ids[:, :-1].astype(int), ids[:, 1:].astype(int)
+        ].mean(axis=1)
+
+    test = chunks.filter(F.col("split") == "test")
+    scored = scoring.score(test, make_predict_fn, 64, batch=256)
+    return scored.select("doc_id", "chunk_idx", r6("nll").alias("nll"), "n_tokens")
+
+
+CURVE_SQL = f"""
+    d AS (SELECT doc_id, substr({SPLIT_HASH}, 1, 8) < {TENTH} AS held, {BYTES} AS b FROM documents),
+    ranked AS (SELECT doc_id, row_number() OVER (ORDER BY {SAMPLE_HASH}) AS rn FROM d WHERE NOT held),
+    f AS (SELECT fraction, CASE WHEN fraction > 0 THEN
+                 greatest(floor((SELECT count(*) FROM ranked) * fraction), 1) ELSE 0 END AS k
+          FROM (VALUES (0.0::DOUBLE), (0.1::DOUBLE), (0.5::DOUBLE), (1.0::DOUBLE)) AS v(fraction)),
+    pairs AS ({pairs_sql("d", 64, "doc_id, held")}),
+    per_doc AS (SELECT doc_id, held, prev, next, count(*) AS n FROM pairs GROUP BY ALL),
+    c2 AS (SELECT fraction, prev, next, sum(n) AS n
+           FROM per_doc JOIN ranked USING (doc_id) JOIN f ON rn <= k GROUP BY ALL),
+    c1 AS (SELECT fraction, prev, sum(n) AS n FROM c2 GROUP BY ALL),
+    test AS (SELECT prev, next, sum(n) AS n FROM per_doc WHERE held GROUP BY ALL),
+    curve AS (
+      SELECT f.fraction, sum(test.n * {LM_NLL}) / sum(test.n) AS eval_loss, sum(test.n)::BIGINT AS n_tokens
+      FROM test JOIN f ON true
+      LEFT JOIN c2 ON c2.fraction = f.fraction AND c2.prev = test.prev AND c2.next = test.next
+      LEFT JOIN c1 ON c1.fraction = f.fraction AND c1.prev = test.prev
+      GROUP BY f.fraction)"""
+
+
+@query(
+    f"""
+    WITH {CURVE_SQL}
+    SELECT fraction, round(eval_loss, 6) AS eval_loss, n_tokens, round(exp(eval_loss), 6) AS perplexity,
+           round(lag(eval_loss) OVER (ORDER BY fraction) - eval_loss, 6) AS gain_prev,
+           round(first(eval_loss) OVER (ORDER BY fraction) - eval_loss, 6) AS gain_zero
+    FROM curve"""
+)
+def scaling_curve(spark, sf):
+    curve = _rounded(scaling_study(docs(spark, sf)))
+    return curve.withColumn("gain_prev", r6("gain_prev")).withColumn("gain_zero", r6("gain_zero"))
+
+
+@query(
+    f"""
+    WITH {LOG_SQL},
+    m AS (SELECT experiment, avg(eval_loss) AS loss, count(*) AS runs
+          FROM logs WHERE event_type = 'error' GROUP BY experiment)
+    SELECT experiment, runs, round(loss, 6) AS eval_loss, round(exp(loss), 6) AS perplexity,
+           rank() OVER (ORDER BY loss)::INT AS rank, round(loss - min(loss) OVER (), 6) AS behind_best
+    FROM m"""
+)
+def compare_runs(spark, sf):
+    final = _metrics(spark, sf).filter(F.col("kind") == "final")
+    out = _rounded(curves.compare_runs(final, "experiment"))
+    return out.withColumn("behind_best", r6("behind_best"))
+
+
+PASS_SQL = """
+    t AS (SELECT user_id AS task_id, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS c
+          FROM events GROUP BY user_id),
+    p AS (SELECT task_id, n, c, k,
+                 CASE WHEN n < k THEN NULL WHEN n - c < k THEN 1.0::DOUBLE
+                      ELSE 1.0::DOUBLE - list_product(list_transform(range(n - c + 1, n + 1),
+                           lambda i: 1.0::DOUBLE - k / i::DOUBLE)) END AS v
+          FROM t, (VALUES (1), (10)) AS ks(k))"""
+
+
+@query(
+    f"""
+    WITH {PASS_SQL}
+    SELECT task_id, n, c, round(max(v) FILTER (k = 1), 6) AS pass_at_1,
+           round(max(v) FILTER (k = 10), 6) AS pass_at_10
+    FROM p GROUP BY ALL"""
+)
+def pass_at_k(spark, sf):
+    per_task = scoring.pass_at_k(_flags(spark, sf))
+    return per_task.withColumn("pass_at_1", r6("pass_at_1")).withColumn("pass_at_10", r6("pass_at_10"))
+
+
+@query(
+    f"""
+    WITH {PASS_SQL}
+    SELECT 'pass@' || k AS metric, printf('%.4f', avg(v)) AS value
+    FROM p GROUP BY k HAVING min(n) >= k"""
+)
+def pass_at_k_mean(spark, sf):
+    mean = scoring.mean_pass_at_k(scoring.pass_at_k(_flags(spark, sf)))
+    return reports.metric_table(mean, {"pass_at_1": "pass@1", "pass_at_10": "pass@10"})
+
+
+def _flags(spark, sf):
+    return table(spark, sf, "events").select(
+        F.col("user_id").alias("task_id"), (F.col("event_type") == "purchase").alias("passed")
+    )
+
+
+# ---- generation -------------------------------------------------------------------------
+
+
+def _samples(spark, sf):
+    turns = table(spark, sf, "conversations").filter("role = 'assistant'")
+    return turns.select(
+        F.col("conv_id").cast("string").alias("task_id"),
+        F.col("turn").cast("int").alias("sample_idx"),
+        F.col("text").alias("completion"),
+    )
+
+
+def _turn_pairs(spark, sf):
+    """User turns with the assistant turn after each."""
+    turns = table(spark, sf, "conversations")
+    asked = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"))
+    answered = turns.filter("role = 'assistant'").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("completion")
+    )
+    return asked.join(answered, ["conv_id", "turn"])
+
+
+@query(
+    r"""
+    SELECT doc_id,
+           md5(split_part(split_part(split_part(text || E'\nclass A' || text || E'\ndef ' || text,
+               E'\ndef ', 1), E'\nclass ', 1), E'\nif __name__', 1)) AS cut
+    FROM documents"""
+)
+def truncate_stop(spark, sf):
+    long = F.concat("text", F.lit("\nclass A"), "text", F.lit("\ndef "), "text")
+    df = corpus.read_corpus(spark, f"{sf}/documents.parquet").select(
+        "doc_id", long.alias("completion")
+    )
+    cut = generation.with_truncation(df)
+    return cut.select("doc_id", F.md5(F.col("completion").cast("binary")).alias("cut"))
+
+
+@query(
+    r"""
+    WITH x AS (SELECT doc_id, text || E'\n  def f\n' || text || E'\n\n' || text AS t FROM documents),
+    l AS (SELECT doc_id, t, string_split(t, E'\n') AS lines FROM x),
+    c AS (SELECT doc_id, t, lines,
+                 list_position(list_transform(range(0, len(lines)), lambda i:
+                   regexp_full_match(lines[i + 1], '\s*')
+                   OR (i > 1 AND regexp_matches(lines[i + 1], '^\s*(def |class |if __name__)'))), true) AS p
+          FROM l)
+    SELECT doc_id, md5(CASE WHEN p > 0 THEN array_to_string(lines[1 : p - 1], E'\n') || E'\n'
+                            ELSE t END) AS cut
+    FROM c"""
+)
+def truncate_block(spark, sf):
+    long = F.concat("text", F.lit("\n  def f\n"), "text", F.lit("\n\n"), "text")
+    df = docs(spark, sf).select("doc_id", long.alias("completion"))
+    cut = generation.with_truncation(df, how="block")
+    return cut.select("doc_id", F.md5(F.col("completion").cast("binary")).alias("cut"))
+
+
+@query(
+    """
+    WITH tasks AS (SELECT DISTINCT conv_id FROM conversations),
+    s AS (SELECT conv_id, turn // 4 AS block_idx, count(*) AS n, string_agg(text, '|' ORDER BY turn) AS t
+          FROM conversations WHERE role = 'assistant' GROUP BY ALL)
+    SELECT conv_id::VARCHAR AS task_id, coalesce(block_idx, 0)::INT AS block_idx,
+           coalesce(n, 0)::INT AS n, md5(coalesce(t, '')) AS completions
+    FROM tasks LEFT JOIN s USING (conv_id)"""
+)
+def collect_samples(spark, sf):
+    tasks = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("task_id"))
+    out = generation.collect_samples(_samples(spark, sf), tasks.distinct(), block=4)
+    return out.withColumn(
+        "completions", F.md5(F.array_join("completions", "|").cast("binary"))
+    )
+
+
+@query(
+    r"""
+    WITH p AS (SELECT u.conv_id * 1000000 + u.turn AS prompt_id, u.text AS prompt, a.text AS body
+               FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+               WHERE u.role = 'user' AND a.role = 'assistant')
+    SELECT prompt_id, md5(prompt) AS prompt, md5(prompt || body) AS baseline,
+           md5(prompt || body || E'\n') AS candidate
+    FROM p"""
+)
+def compare_cases(spark, sf):
+    pairs = _turn_pairs(spark, sf).select(
+        (F.col("conv_id") * 1000000 + F.col("turn")).alias("prompt_id"), "prompt", "completion"
+    )
+    longer = F.concat("completion", F.lit("\n\n"), "prompt").alias("completion")
+    out = generation.compare_cases(
+        pairs.select("prompt_id", "prompt"),
+        pairs.select("prompt_id", "completion"),
+        pairs.select("prompt_id", longer),
+    )
+    names = ("prompt", "baseline", "candidate")
+    return out.select("prompt_id", *[F.md5(F.col(c).cast("binary")).alias(c) for c in names])
+
+
+NEXT_SQL = f"""
+    t AS (SELECT doc_id, {TOK} AS tok FROM documents),
+    counts AS (SELECT token, count(*) AS n FROM (SELECT unnest(tok) AS token FROM t) GROUP BY token),
+    vocab AS (SELECT token FROM counts ORDER BY n DESC, token LIMIT 5000),
+    bi AS (SELECT prev AS context, next AS token, count(*)::DOUBLE AS w
+           FROM (SELECT unnest(tok[1:-2]) AS prev, unnest(tok[2:]) AS next FROM t WHERE len(tok) > 1)
+           WHERE prev IN (SELECT token FROM vocab) AND next IN (SELECT token FROM vocab) GROUP BY ALL)"""
+
+
+def _next_weights(spark, sf):
+    """Pair counts among the 5,000 most frequent pre-tokens."""
+    df = tok_docs(spark, sf)
+    words = F.broadcast(tokenizing.build_vocab(df, 5000, specials=()).select("token"))
+    pairs = countlm.count_pairs(scoring.shift_pairs(df, ids="tok"))
+    known = pairs.join(words.withColumnRenamed("token", "prev"), "prev", "left_semi").join(
+        words.withColumnRenamed("token", "next"), "next", "left_semi"
+    )
+    return known.select(
+        F.col("prev").alias("context"), F.col("next").alias("token"), F.col("n").alias("weight")
+    )
+
+
+@query(
+    f"""
+    WITH {NEXT_SQL},
+    a AS (SELECT context, token, w / sum(w) OVER (PARTITION BY context) AS p0 FROM bi),
+    b AS (SELECT context, token, pow(p0, 1.0::DOUBLE / 0.8::DOUBLE) AS p1 FROM a),
+    k AS (SELECT context, token, p1 FROM b
+          QUALIFY row_number() OVER (PARTITION BY context ORDER BY p1 DESC, token) <= 50),
+    q AS (SELECT context, token, p1 / sum(p1) OVER (PARTITION BY context) AS p2 FROM k),
+    s AS (SELECT context, token, p2 FROM q
+          QUALIFY round(coalesce(sum(p2) OVER (PARTITION BY context ORDER BY p2 DESC, token
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 9) < 0.95)
+    SELECT context, token, round(p2 / sum(p2) OVER (PARTITION BY context), 6) AS p FROM s"""
+)
+def topk_topp(spark, sf):
+    shaped = generation.shape_distribution(
+        _next_weights(spark, sf), temperature=0.8, top_k=50, top_p=0.95
+    )
+    return shaped.withColumn("p", r6("p"))
+
+
+@query(
+    f"""
+    WITH RECURSIVE {NEXT_SQL},
+    best AS (SELECT context, token FROM bi
+             QUALIFY row_number() OVER (PARTITION BY context ORDER BY w DESC, token) = 1),
+    gen AS (
+      SELECT conv_id, turn, 0 AS step, ({TOK})[-1] AS last, '' AS made
+      FROM conversations WHERE role = 'user'
+      UNION ALL
+      SELECT conv_id, turn, step + 1, token, made || token
+      FROM gen JOIN best ON best.context = gen.last WHERE step < 12)
+    SELECT conv_id * 1000000 + turn AS prompt_id, 0 AS sample_idx, max_by(made, step) AS completion
+    FROM gen GROUP BY conv_id, turn"""
+)
+def generate_greedy(spark, sf):
+    greedy = generation.shape_distribution(_next_weights(spark, sf), do_sample=False)
+    return _generated(spark, sf, greedy, n=1)
+
+
+@query(
+    f"""
+    WITH RECURSIVE {NEXT_SQL},
+    a AS (SELECT context, token, w, sum(w) OVER (PARTITION BY context ORDER BY w DESC, token
+                 ROWS UNBOUNDED PRECEDING) AS upto FROM bi
+          QUALIFY row_number() OVER (PARTITION BY context ORDER BY w DESC, token) <= 8),
+    c AS (SELECT context, token, (upto - w) / max(upto) OVER (PARTITION BY context) AS lo,
+                 upto / max(upto) OVER (PARTITION BY context) AS hi FROM a),
+    gen AS (
+      SELECT conv_id, turn, j, 0 AS step, text AS prompt, ({TOK})[-1] AS last, '' AS made
+      FROM conversations, (VALUES (0), (1), (2)) AS s(j) WHERE role = 'user'
+      UNION ALL
+      SELECT conv_id, turn, j, step + 1, prompt, token, made || token
+      FROM (SELECT gen.*, ('0x' || substr(md5(concat('42:', prompt, ':', j, ':', step)), 1, 8))::BIGINT
+                          / 4294967296.0::DOUBLE AS u FROM gen WHERE step < 6) g
+      JOIN c ON c.context = g.last AND g.u >= c.lo AND g.u < c.hi)
+    SELECT conv_id * 1000000 + turn AS prompt_id, j AS sample_idx, max_by(made, step) AS completion
+    FROM gen GROUP BY conv_id, turn, j"""
+)
+def generate_sampled(spark, sf):
+    shaped = generation.shape_distribution(_next_weights(spark, sf), top_k=8)
+    return _generated(spark, sf, shaped, n=3, steps=6)
+
+
+def _generated(spark, sf, distribution, n, steps=12):
+    import re
+
+    ascii_words = re.compile(
+        r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+"
+    )
+    turns = table(spark, sf, "conversations").filter("role = 'user'")
+    prompts = turns.select(
+        (F.col("conv_id") * 1000000 + F.col("turn")).alias("prompt_id"), F.col("text").alias("prompt")
+    )
+    make_fn = generation.sampler(distribution, ascii_words.findall, n=n, max_new_tokens=steps)
+    return generation.generate(prompts, make_fn, n)
+
+
+# ---- run logs ---------------------------------------------------------------------------
+
+
+@query(
+    f"""
+    WITH {LOG_SQL}
+    SELECT experiment, run_day, stamp,
+           CASE event_type WHEN 'purchase' THEN 'epoch' WHEN 'view' THEN 'split'
+                WHEN 'signup' THEN 'chunking' ELSE 'final' END AS kind,
+           epoch, eval_loss, perplexity,
+           CASE WHEN event_type = 'signup' THEN user_id::DOUBLE END AS chunks,
+           CASE WHEN event_type = 'signup' THEN event_id::DOUBLE END AS documents,
+           CASE WHEN event_type = 'signup' THEN 0::DOUBLE END AS discarded,
+           CASE WHEN event_type = 'view' THEN event_id::DOUBLE END AS train_chunks,
+           CASE WHEN event_type = 'view' THEN user_id::DOUBLE END AS val_chunks
+    FROM logs WHERE event_type <> 'click'"""
+)
+def log_metrics(spark, sf):
+    return _metrics(spark, sf).select(
+        "experiment", _day(), _stamp(), "kind", "epoch", "eval_loss", "perplexity",
+        "chunks", "documents", "discarded", "train_chunks", "val_chunks",
+    )
+
+
+CHECKPOINT_SQL = f"""
+    {LOG_SQL},
+    e AS (SELECT DISTINCT experiment, run_day, epoch, stamp, eval_loss, perplexity
+          FROM logs WHERE event_type = 'purchase')"""
+
+
+@query(
+    f"""
+    WITH {CHECKPOINT_SQL}
+    SELECT experiment, run_day, epoch, eval_loss, perplexity FROM e
+    QUALIFY row_number() OVER (PARTITION BY experiment, run_day ORDER BY eval_loss, epoch, stamp) = 1"""
+)
+def best_checkpoint(spark, sf):
+    best = runlogs.best_checkpoint(_metrics(spark, sf))
+    return best.select("experiment", _day(), "epoch", "eval_loss", "perplexity")
+
+
+@query(
+    f"""
+    WITH {CHECKPOINT_SQL},
+    r AS (SELECT *, row_number() OVER (PARTITION BY experiment, run_day ORDER BY eval_loss, epoch, stamp) AS b,
+                 row_number() OVER (PARTITION BY experiment, run_day
+                                    ORDER BY epoch DESC, stamp DESC, eval_loss DESC) AS l
+          FROM e)
+    SELECT experiment, run_day, epoch, stamp, eval_loss, (b = 1)::INT AS is_best
+    FROM r WHERE b = 1 OR l <= 2"""
+)
+def retained_checkpoints(spark, sf):
+    kept = runlogs.retained_checkpoints(_metrics(spark, sf))
+    return kept.select(
+        "experiment", _day(), "epoch", _stamp(), "eval_loss", F.col("is_best").cast("int").alias("is_best")
+    )
+
+
+@query(
+    f"""
+    WITH {LOG_SQL}, r AS (SELECT experiment, run_day, count(*) AS lines FROM logs GROUP BY ALL)
+    SELECT experiment, run_day, lines FROM r
+    QUALIFY row_number() OVER (PARTITION BY experiment ORDER BY run_day DESC) = 1"""
+)
+def latest_runs(spark, sf):
+    return runlogs.latest_runs(_logs(spark, sf)).select("experiment", _day(), "lines")
+
+
+@query(
+    f"""
+    WITH {LOG_SQL}
+    SELECT experiment, level, logger, count(*) AS messages FROM logs
+    WHERE level <> 'DEBUG' GROUP BY ALL"""
+)
+def log_summary(spark, sf):
+    return runlogs.log_summary(_logs(spark, sf), by=("experiment",))
+
+
+@query(
+    f"""
+    WITH {LOG_SQL}
+    SELECT experiment, run_day, event_id AS step, eval_loss FROM logs
+    WHERE event_type = 'purchase' AND event_id % 50 = 0"""
+)
+def every_n(spark, sf):
+    metrics = runlogs.extract_metrics(_logs(spark, sf), keep=(*runlogs.RUN, "event_id"))
+    steps = metrics.filter(F.col("kind") == "epoch").withColumnRenamed("event_id", "step")
+    return runlogs.every_n(steps).select("experiment", _day(), "step", "eval_loss")

@@ -49,7 +49,7 @@ def split_profile(df: DataFrame) -> DataFrame:
     return df.agg(
         train.alias("train_rows"),
         (train * 100.0 / whole).alias("train_pct"),
-        test.alias("held_out_rows"),
+        test.alias("test_rows"),
         (test * 100.0 / whole).alias("test_pct"),
     )
 

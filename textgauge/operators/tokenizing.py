@@ -54,7 +54,8 @@ def build_vocab(
     if not specials:
         return learned
     named = [F.struct(F.lit(i).alias("id"), F.lit(s).alias("token")) for i, s in enumerate(specials)]
-    fixed = ranked.select(F.inline(F.array(*named))).select("id", "token", F.lit(0).cast("long").alias("count"))
+    fixed = df.sparkSession.range(1).select(F.inline(F.array(*named)))
+    fixed = fixed.select("id", "token", F.lit(0).cast("long").alias("count"))
     return fixed.unionByName(learned)
 
 

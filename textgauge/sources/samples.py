@@ -39,17 +39,20 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SAMPLE_SCHEMA).json(path)
 
 
-def read_prompts(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """``(bank, prompt_id, prompt)`` from JSON arrays of bare strings, one array per file.
-
-    ``bank`` is the file name, ``prompt_id`` the position in its array. A folder of files is
-    read in parallel. Without a path: the default bank.
+def read_prompts(
+    spark: SparkSession, path: str | None = None, *, lines: bool = False
+) -> DataFrame:
+    """``(bank, prompt_id, prompt)`` from JSON arrays of bare strings.
+
+    One array per file, which may span lines; with ``lines=True`` one array per line, for banks
+    that should be read in parallel. ``bank`` is the file name and ``prompt_id`` the position in
+    the array. Without a path: the default bank.
     """
     if path is None:
         rows = [("default", i, p) for i, p in enumerate(DEFAULT_PROMPTS)]
         return spark.createDataFrame(rows, "bank string, prompt_id int, prompt string")
-    raw = spark.read.text(path, wholetext=True)
-    name = F.substring_index(F.input_file_name(), "/", -1)
+    raw = spark.read.text(path, wholetext=not lines)
+    name = F.substring_index(F.col("_metadata.file_path"), "/", -1)
     return raw.select(
         name.alias("bank"), F.posexplode(F.from_json("value", "array<string>"))
     ).toDF("bank", "prompt_id", "prompt")
