@@ -225,7 +225,7 @@ def _log_lines(spark, sf):
         "user_id",
         F.concat(colour, message, reset),
     )
-    return table(spark, sf, "events").select(
+    return spread(table(spark, sf, "events"), "event_id").select(
         F.concat(F.lit("ablation_"), F.col("user_id") % 8).alias("experiment"),
         F.date_trunc("week", "ts").alias("run_start"),
         "event_id",
@@ -557,8 +557,15 @@ VOCAB_SQL = f"""
               FROM counts ORDER BY n DESC, token LIMIT 5000)"""
 
 
+def _saved(df: DataFrame, name: str) -> DataFrame:
+    """A fitted table, written once because several steps read it."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _vocab(spark, sf):
-    return tokenizing.build_vocab(tok_docs(spark, sf), 5000)
+    return _saved(tokenizing.build_vocab(tok_docs(spark, sf), 5000), "vocab")
 
 
 @query(
@@ -682,14 +689,11 @@ def _merges(words: DataFrame) -> list[tuple[bytes, bytes]]:
     first = _top_pairs(words.select(hexed.alias("pieces"), "n"), 48)
     merges = [(bytes.fromhex(a), bytes.fromhex(b)) for a, b in first]
     ids = bpe.byte_vocab(merges)
-    names = F.create_map(*[F.lit(x) for t, i in ids.items() for x in (i, t.hex().upper())])
+    # written <hex> as in the SQL, so that ties sort the same way
+    names = F.array(*[F.lit(f"<{t.hex().upper()}>") for t in ids])
     coded = bpe.bpe_encode(words.select(F.array("token").alias("tok"), "n"), merges)
-    pieces = coded.select(F.transform("input_ids", lambda i: names[i]).alias("pieces"), "n")
-    # the <> around pieces in the SQL sort after hex digits; compare in the same order
-    marked = pieces.select(
-        F.transform("pieces", lambda p: F.concat(F.lit("<"), p, F.lit(">"))).alias("pieces"), "n"
-    )
-    second = [(a[1:-1], b[1:-1]) for a, b in _top_pairs(marked, 48)]
+    pieces = coded.select(F.transform("input_ids", lambda i: F.get(names, i)).alias("pieces"), "n")
+    second = [(a[1:-1], b[1:-1]) for a, b in _top_pairs(pieces, 48)]
     return merges + [(bytes.fromhex(a), bytes.fromhex(b)) for a, b in second]
 
 
@@ -707,7 +711,7 @@ def _merges(words: DataFrame) -> list[tuple[bytes, bytes]]:
 def bpe_pieces(spark, sf):
     df = tok_docs(spark, sf)
     words = df.select(F.explode("tok").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    merges = _merges(words)
+    merges = _merges(_saved(words, "words"))
     coded = bpe.bpe_encode(df, merges).filter(F.size("input_ids") > 0)
     names = [f"<{t.hex().upper()}>" for t in bpe.byte_vocab(merges)]
     vocab = spark.createDataFrame(list(enumerate(names)), "id int, token string")
@@ -838,7 +842,11 @@ def verify_chunks(spark, sf):
 
 @query(_chunk_sql(64, 64))
 def chunk_stream(spark, sf):
-    source = streams.read_corpus_stream(spark, sf, pattern="documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    few = table(spark, sf, "documents").rdd.getNumPartitions() < cores
+    source = streams.read_corpus_stream(
+        spark, sf, pattern="documents.parquet", partitions=cores if few else None
+    )
     path, state = shared_dir(spark, "stream"), shared_dir(spark, "stream-state")
     streams.start_append(streams.chunk_stream(source, 64), path, state).awaitTermination()
     return _chunk_result(chunk_files.read_chunks(spark, path))
@@ -1234,7 +1242,8 @@ NEXT_SQL = f"""
 def _next_weights(spark, sf):
     """Pair counts among the 5,000 most frequent pre-tokens."""
     df = tok_docs(spark, sf)
-    words = F.broadcast(tokenizing.build_vocab(df, 5000, specials=()).select("token"))
+    vocab = _saved(tokenizing.build_vocab(df, 5000, specials=()), "vocab")
+    words = F.broadcast(vocab.select("token"))
     pairs = countlm.count_pairs(scoring.shift_pairs(df, ids="tok"))
     known = pairs.join(words.withColumnRenamed("token", "prev"), "prev", "left_semi").join(
         words.withColumnRenamed("token", "next"), "next", "left_semi"
@@ -1308,16 +1317,14 @@ def generate_sampled(spark, sf):
 
 
 def _generated(spark, sf, distribution, n, steps=12):
-    import re
+    import regex  # the standard library has no \p classes
 
-    ascii_words = re.compile(
-        r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+"
-    )
+    words = regex.compile(tokens.PRETOKEN_SHORT.removeprefix("(?U)"))
     turns = table(spark, sf, "conversations").filter("role = 'user'")
     prompts = turns.select(
         (F.col("conv_id") * 1000000 + F.col("turn")).alias("prompt_id"), F.col("text").alias("prompt")
     )
-    make_fn = generation.sampler(distribution, ascii_words.findall, n=n, max_new_tokens=steps)
+    make_fn = generation.sampler(distribution, words.findall, n=n, max_new_tokens=steps)
     return generation.generate(prompts, make_fn, n)
 
 

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textgauge.functions.tokens import ids_digest
 from textgauge.functions.windows import (
     check_window,
     covered_tokens,
@@ -99,18 +98,18 @@ def verify_chunks(
 ) -> DataFrame:
     """One row of counts; a sound chunk table has zero in the last four columns.
 
-    ``docs`` holds the source ids under ``ids``. Chunks and source windows meet as digests
+    ``docs`` holds the source ids under ``ids``. Chunks and source windows meet as hashes
     under ``(doc_id, chunk_idx)``, neighbours under the boundary between them, so the chunks of
     a huge document are spread over tasks and no token array is shuffled.
     """
     made = chunks.select(
         "doc_id",
         "chunk_idx",
-        ids_digest(F.col("input_ids")).alias("digest"),
+        F.xxhash64(F.col("input_ids")).alias("hash"),
         (F.size("input_ids") != max_length).cast("int").alias("wrong"),
     )
     source = chunk(docs, max_length, stride, ids=ids).select(
-        "doc_id", "chunk_idx", ids_digest(F.col("input_ids")).alias("digest"), F.lit(0).alias("wrong")
+        "doc_id", "chunk_idx", F.xxhash64(F.col("input_ids")).alias("hash"), F.lit(0).alias("wrong")
     )
     side = F.col("side")
     matched = (
@@ -120,8 +119,8 @@ def verify_chunks(
         .agg(
             F.count_if(side == 1).alias("made"),
             F.count_if(side == 2).alias("due"),
-            F.max(F.when(side == 1, F.col("digest"))).alias("a"),
-            F.max(F.when(side == 2, F.col("digest"))).alias("b"),
+            F.max(F.when(side == 1, F.col("hash"))).alias("a"),
+            F.max(F.when(side == 2, F.col("hash"))).alias("b"),
             F.sum("wrong").alias("wrong"),
         )
         .agg(
@@ -142,12 +141,12 @@ def verify_chunks(
                 F.struct(
                     F.col("chunk_idx").alias("edge"),
                     F.lit("tail").alias("part"),
-                    ids_digest(F.slice(ids_col, F.lit(stride + 1), F.lit(shared))).alias("digest"),
+                    F.xxhash64(F.slice(ids_col, F.lit(stride + 1), F.lit(shared))).alias("hash"),
                 ),
                 F.struct(
                     (F.col("chunk_idx") - 1).alias("edge"),
                     F.lit("head").alias("part"),
-                    ids_digest(F.slice(ids_col, F.lit(1), F.lit(shared))).alias("digest"),
+                    F.xxhash64(F.slice(ids_col, F.lit(1), F.lit(shared))).alias("hash"),
                 ),
             )
         ),
@@ -155,8 +154,8 @@ def verify_chunks(
     neighbours = (
         edges.groupBy("doc_id", "edge")
         .agg(
-            F.max(F.when(F.col("part") == "tail", F.col("digest"))).alias("tail"),
-            F.max(F.when(F.col("part") == "head", F.col("digest"))).alias("head"),
+            F.max(F.when(F.col("part") == "tail", F.col("hash"))).alias("tail"),
+            F.max(F.when(F.col("part") == "head", F.col("hash"))).alias("head"),
         )
         .agg(
             F.count_if(F.col("tail").isNotNull() & F.col("head").isNotNull()).alias("neighbours"),

@@ -8,33 +8,38 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 RUN = ("experiment", "run_start")
 
-# Formats of the metric messages, as patterns.
-_NUM = r"(-?\d+(?:\.\d+)?|inf|-inf|nan)"
+# Formats of the metric messages, as patterns, and the metric that each number of
+# a message gives (None: a percentage that follows from the others).
+_NUM = r"(?:-?\d+(?:\.\d+)?|-?\binf\b|\bnan\b)"
 MESSAGES = {
-    "epoch": rf"^Epoch {_NUM} \| eval_loss: {_NUM} \| perplexity: {_NUM}$",
-    "final": rf"^Final — Validation Loss: {_NUM} \| Perplexity \(PPL\): {_NUM}$",
+    "epoch": (
+        rf"^Epoch {_NUM} \| eval_loss: {_NUM} \| perplexity: {_NUM}$",
+        ("epoch", "eval_loss", "perplexity"),
+    ),
+    "final": (
+        rf"^Final — Validation Loss: {_NUM} \| Perplexity \(PPL\): {_NUM}$",
+        ("eval_loss", "perplexity"),
+    ),
     "chunking": (
-        r"^Chunking complete: (\d+) chunks from (\d+) documents "
-        r"\(~(\d+) short docs discarded, \d+\.\d%\)\.$"
+        r"^Chunking complete: \d+ chunks from \d+ documents "
+        r"\(~\d+ short docs discarded, \d+\.\d%\)\.$",
+        ("chunks", "documents", "discarded", None),
     ),
-    "split": r"^Train / Val split: (\d+) chunks \(\d+\.\d%\) / (\d+) chunks \(\d+\.\d%\)\.$",
-    "subsample": r"^Subsampled (\d+) / (\d+) (?:chunks|documents) \(\d+\.\d%\) for ablation(?: study)?\.$",
-    "loaded": r"^Dataset loaded: (\d+) total chunks\.$",
-    "saved": r"^Dataset saved \((\d+) chunks, (\d+\.\d) MB on disk\)\.$",
-}
-FIELDS = {
-    "epoch": ("epoch", "eval_loss", "perplexity"),
-    "final": ("eval_loss", "perplexity"),
-    "chunking": ("chunks", "documents", "discarded"),
-    "split": ("train_chunks", "val_chunks"),
-    "subsample": ("kept", "total"),
-    "loaded": ("chunks",),
-    "saved": ("chunks", "megabytes"),
+    "split": (
+        r"^Train / Val split: \d+ chunks \(\d+\.\d%\) / \d+ chunks \(\d+\.\d%\)\.$",
+        ("train_chunks", None, "val_chunks", None),
+    ),
+    "subsample": (
+        r"^Subsampled \d+ / \d+ (?:chunks|documents) \(\d+\.\d%\) for ablation(?: study)?\.$",
+        ("kept", "total", None),
+    ),
+    "loaded": (r"^Dataset loaded: \d+ total chunks\.$", ("chunks",)),
+    "saved": (r"^Dataset saved \(\d+ chunks, \d+\.\d MB on disk\)\.$", ("chunks", "megabytes")),
 }
 METRICS = (
     "epoch", "eval_loss", "perplexity", "chunks", "documents", "discarded",
     "train_chunks", "val_chunks", "kept", "total", "megabytes",
-)
+)
 
 # Log levels in order, and loggers that only report from WARNING on.
 LEVELS = {"DEBUG": 10, "INFO": 20, "WARNING": 30, "ERROR": 40, "CRITICAL": 50}
@@ -42,22 +47,33 @@ RAISED = {"transformers": "WARNING", "datasets": "WARNING", "accelerate": "INFO"
 
 
 def extract_metrics(logs: DataFrame, keep: Sequence[str] = RUN) -> DataFrame:
-    """``(*keep, ts, kind, <METRICS>)`` for messages of a known format, NULL where not given."""
+    """``(*keep, ts, kind, <METRICS>)`` for messages of a known format, NULL where not given.
+
+    A message is matched and its numbers are taken out once, inside a generator that also drops
+    all other messages; the metric columns only index the numbers.
+    """
     message = F.col("message")
     kind = F.lit(None).cast("string")
-    for name, pattern in MESSAGES.items():
-        kind = F.when(message.rlike(pattern), name).otherwise(kind)
-    known = logs.select(*keep, "ts", "message", kind.alias("kind")).filter("kind is not null")
+    for name, (pattern, _) in MESSAGES.items():
+        # the fixed first word is compared before the pattern is tried
+        known = message.startswith(pattern[1:].split(" ")[0]) & message.rlike(pattern)
+        kind = F.when(known, name).otherwise(kind)
+    numbers = F.regexp_extract_all(message, F.lit(_NUM), F.lit(0))
+    found = F.transform(
+        F.array(kind),
+        lambda k: F.when(k.isNotNull(), F.struct(k.alias("kind"), numbers.alias("numbers"))),
+    )
+    known = logs.select(*keep, "ts", F.explode(found).alias("_m")).filter(F.col("_m").isNotNull())
 
     def value(metric: str) -> Column:
         out = F.lit(None).cast("double")
-        for name, fields in FIELDS.items():
+        for name, (_, fields) in MESSAGES.items():
             if metric in fields:
-                text = F.regexp_extract("message", MESSAGES[name], fields.index(metric) + 1)
-                out = F.when(F.col("kind") == name, text.try_cast("double")).otherwise(out)
+                number = F.get("_m.numbers", F.lit(fields.index(metric))).try_cast("double")
+                out = F.when(F.col("_m.kind") == name, number).otherwise(out)
         return out.alias(metric)
 
-    return known.select(*keep, "ts", "kind", *[value(m) for m in METRICS])
+    return known.select(*keep, "ts", F.col("_m.kind").alias("kind"), *[value(m) for m in METRICS])
 
 
 def _checkpoints(metrics: DataFrame) -> DataFrame:
@@ -77,21 +93,29 @@ def retained_checkpoints(
 ) -> DataFrame:
     """The last ``n`` checkpoints of every run, and the best one.
 
-    Two ranks with a constant bound over one partitioning: Spark keeps the first rows of a
-    group already before the shuffle (``WindowGroupLimit``) for each of the two unions.
+    Each checkpoint competes once for the newest and once for the best, under one rank with a
+    constant bound: Spark then keeps only the first rows of a group already before the shuffle
+    (``WindowGroupLimit``), however many checkpoints a run has.
     """
     if n < 1:
         raise ValueError(f"n must be at least 1, got {n}")
-    rows = _checkpoints(metrics).select(*by, "epoch", "ts", "eval_loss", "perplexity")
-    run = W.partitionBy(*by)
-    last = run.orderBy(F.desc("epoch"), F.desc("ts"), F.desc("eval_loss"))
-    best = run.orderBy("eval_loss", "epoch", "ts")
-    recent = rows.withColumn("_r", F.row_number().over(last)).filter(F.col("_r") <= n)
-    top = rows.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= 1)
-    both = recent.withColumn("is_best", F.lit(0)).unionByName(top.withColumn("is_best", F.lit(1)))
-    return both.groupBy(*by, "epoch", "ts", "eval_loss", "perplexity").agg(
-        F.max("is_best").cast("boolean").alias("is_best")
+    shown = ("epoch", "ts", "eval_loss", "perplexity")
+    at = F.unix_micros("ts").cast("double")
+
+    def entry(is_best: int, *order: Column) -> Column:
+        names = ("first", "second", "third")
+        parts = [col.alias(name) for col, name in zip(order, names)]
+        return F.struct(F.lit(is_best).alias("is_best"), F.struct(*parts).alias("order"))
+
+    entries = F.array(
+        entry(0, -F.col("epoch"), -at, -F.col("eval_loss")),
+        entry(1, F.col("eval_loss"), F.col("epoch"), at),
     )
+    rows = _checkpoints(metrics).select(*by, *shown, F.inline(entries))
+    place = F.row_number().over(W.partitionBy(*by, "is_best").orderBy("order"))
+    kept = rows.withColumn("_r", place).filter(F.col("_r") <= n)
+    kept = kept.filter((F.col("is_best") == 0) | (F.col("_r") == 1))
+    return kept.groupBy(*by, *shown).agg(F.max("is_best").cast("boolean").alias("is_best"))
 
 
 def latest_runs(logs: DataFrame) -> DataFrame:

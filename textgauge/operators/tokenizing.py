@@ -146,31 +146,20 @@ def encode_by_join(
 ) -> DataFrame:
     """The same for a vocabulary of any size, as a salted join.
 
-    A document sends each distinct token once, with its positions. The vocabulary is repeated
-    per salt, so the documents holding a frequent token are spread over ``salts`` tasks.
+    The vocabulary is repeated per salt and a token occurrence picks its salt by document and
+    position, so neither a frequent token nor a huge document makes a hot task.
     """
     unknown = vocab.filter(F.col("token") == unk).select("id").first()
     if unknown is None:
         raise ValueError(f"the vocabulary has no entry {unk!r}")
-    placed = df.select(
-        key,
-        F.explode(F.array_distinct(tok)).alias("token"),
-        F.col(tok).alias("_all"),
-    ).select(
-        key,
-        "token",
-        F.filter(
-            F.transform("_all", lambda t, i: F.when(t == F.col("token"), i)), lambda p: p.isNotNull()
-        ).alias("at"),
-        F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("salt"),
+    placed = df.select(key, F.posexplode(tok).alias("pos", "token")).withColumn(
+        "salt", F.pmod(F.xxhash64(key, "pos"), F.lit(salts)).cast("int")
     )
     copies = vocab.select(
         "token", "id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
     )
     hits = placed.join(copies, ["token", "salt"], "left").select(
-        key,
-        F.explode("at").alias("pos"),
-        F.coalesce("id", F.lit(unknown["id"])).alias("id"),
+        key, "pos", F.coalesce("id", F.lit(unknown["id"])).alias("id")
     )
     regrouped = hits.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_pairs")

@@ -18,14 +18,19 @@ def read_corpus_stream(
     *,
     pattern: str | None = None,
     max_files: int | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """New Parquet files of a folder as a stream of documents."""
+    """New Parquet files of a folder as a stream of documents.
+
+    ``partitions`` rehashes each batch, for sources that bring few large files at a time.
+    """
     reader = spark.readStream.schema(schema)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(folder)
+    docs = reader.parquet(folder)
+    return docs.repartition(partitions, "doc_id") if partitions else docs
 
 
 def chunk_stream(
