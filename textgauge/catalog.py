@@ -575,7 +575,7 @@ def _vocab(spark, sf):
     UNION ALL SELECT 1, '<|endoftext|>', 0 UNION ALL SELECT id, token, n FROM vocab"""
 )
 def vocab_topk(spark, sf):
-    return _vocab(spark, sf)
+    return tokenizing.build_vocab(tok_docs(spark, sf), 5000)
 
 
 @query(
@@ -710,7 +710,7 @@ def _merges(words: DataFrame) -> list[tuple[bytes, bytes]]:
 )
 def bpe_pieces(spark, sf):
     df = tok_docs(spark, sf)
-    words = df.select(F.explode("tok").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    words = tokenizing.token_counts(df).withColumnRenamed("count", "n")
     merges = _merges(_saved(words, "words"))
     coded = bpe.bpe_encode(df, merges).filter(F.size("input_ids") > 0)
     names = [f"<{t.hex().upper()}>" for t in bpe.byte_vocab(merges)]

@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from textgauge.operators.tokenizing import once
+
 MAX_MERGES = 1_000_000
 
 
@@ -63,31 +65,41 @@ def bpe_encode(
     """``tok`` (pre-tokens) becomes ``input_ids``."""
     if len(merges) > MAX_MERGES:
         raise ValueError(f"more than {MAX_MERGES} merges")
-    ranks: dict[tuple[bytes, bytes], int] = {}
-    for rank, pair in enumerate(merges):
-        ranks.setdefault(pair, rank)
-    table = df.sparkSession.sparkContext.broadcast((ranks, dict(ids or byte_vocab(merges))))
-    known: dict[str, tuple[int, ...]] = {}
-
-    def merged(word: str) -> tuple[int, ...]:
-        """Merge the best-ranked neighbour pair, everywhere in the word, until none is left."""
-        ranks, numbers = table.value
-        parts = [bytes([b]) for b in word.encode("utf-8")]
-        while len(parts) > 1:
-            best = min(zip(parts, parts[1:]), key=lambda p: ranks.get(p, len(ranks)))
-            if best not in ranks:
-                break
-            joined: list[bytes] = []
-            i = 0
-            while i < len(parts):
-                if tuple(parts[i : i + 2]) == best:
-                    joined.append(parts[i] + parts[i + 1])
+    # Pieces are numbered (bytes first) and a pair leads to (rank, left, right, joined piece).
+    pieces = {bytes([b]): b for b in range(256)}
+    pairs: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+    for rank, (a, b) in enumerate(merges):
+        if a not in pieces or b not in pieces:
+            raise ValueError(f"merge {rank} joins {a!r} and {b!r}, one of which is never made")
+        left, right = pieces[a], pieces[b]
+        joined = pieces.setdefault(a + b, len(pieces))
+        pairs.setdefault((left, right), (rank, left, right, joined))
+    wanted = dict(ids) if ids is not None else byte_vocab(merges)
+    missing = [p for p in pieces if p not in wanted]
+    if missing:
+        raise ValueError(f"the vocabulary lacks {len(missing)} pieces, such as {missing[0]!r}")
+    table = df.sparkSession.sparkContext.broadcast((pairs, [wanted[p] for p in pieces]))
+    known: dict[str, list[int]] = {}
+
+    def merged(word: str) -> list[int]:
+        """Join the best-ranked pair of neighbours wherever it occurs, until no pair is known."""
+        pairs, numbers = table.value
+        parts = list(word.encode("utf-8"))
+        while True:
+            best = min((pairs[p] for p in zip(parts, parts[1:]) if p in pairs), default=None)
+            if best is None:
+                return [numbers[p] for p in parts]
+            _, left, right, joined = best
+            out: list[int] = []
+            i, last = 0, len(parts) - 1
+            while i <= last:
+                if i < last and parts[i] == left and parts[i + 1] == right:
+                    out.append(joined)
                     i += 2
                 else:
-                    joined.append(parts[i])
+                    out.append(parts[i])
                     i += 1
-            parts = joined
-        return tuple(numbers[p] for p in parts)
+            parts = out
 
     @F.arrow_udf("array<int>")
     def to_ids(col):
@@ -101,9 +113,9 @@ def bpe_encode(
                 if len(known) >= 1_000_000:  # bounds the memory of a worker, not the result
                     known.clear()
                 known[word] = merged(word)
-        pieces = [known[w] if w in known else merged(w) for w in words]
-        sizes = np.fromiter((len(p) for p in pieces), np.int64, len(pieces))
-        flat = np.fromiter((i for p in pieces for i in p), np.int32, int(sizes.sum()))
+        coded_words = [known[w] if w in known else merged(w) for w in words]
+        sizes = np.fromiter((len(c) for c in coded_words), np.int64, len(coded_words))
+        flat = np.fromiter((i for c in coded_words for i in c), np.int32, int(sizes.sum()))
         begins = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         at = np.asarray(coded.indices, dtype=np.int64)
         counts = sizes[at] if len(at) else np.zeros(0, np.int64)
@@ -115,4 +127,4 @@ def bpe_encode(
             pa.array(ends[offsets - offsets[0]], pa.int32()), pa.array(flat[walk])
         )
 
-    return df.withColumn("input_ids", to_ids(tok)).drop(tok)
+    return df.withColumn("input_ids", once(to_ids)(tok)).drop(tok)

@@ -81,16 +81,21 @@ def chunk_stats(
 def chunk_coverage(
     df: DataFrame, length: Column, max_length: int, stride: int, by: Sequence[str] = ()
 ) -> DataFrame:
-    """``(windows, positions)``: how many token positions lie in 0, 1, 2, ... windows."""
+    """``(*by, windows, positions)``: how many token positions lie in 0, 1, 2, ... windows.
+
+    Coverage follows from the length alone, so documents are first counted per length and
+    positions are listed once per distinct length, not once per document.
+    """
     check_window(max_length, stride)
-    sizes = df.select(*by, length.cast("int").alias("len"))
+    sizes = df.groupBy(*by, length.cast("int").alias("len")).agg(F.count(F.lit(1)).alias("docs"))
     at = sizes.select(
         *by,
         "len",
+        "docs",
         F.explode(F.when(F.col("len") > 0, F.sequence(F.lit(0), F.col("len") - 1))).alias("pos"),
     )
     hits = windows_at(F.col("pos"), F.col("len"), max_length, stride)
-    return at.groupBy(*by, hits.alias("windows")).agg(F.count(F.lit(1)).alias("positions"))
+    return at.groupBy(*by, hits.alias("windows")).agg(F.sum("docs").alias("positions"))
 
 
 def verify_chunks(

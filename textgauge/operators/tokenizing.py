@@ -32,6 +32,16 @@ def byte_detokenize(df: DataFrame, ids: str = "input_ids") -> DataFrame:
     return df.withColumn("text", byte_text(F.col(ids)))
 
 
+def token_counts(df: DataFrame, tok: str = "tok") -> DataFrame:
+    """``(token, count)``.
+
+    The outer generator keeps the optimizer from testing the array for emptiness in a filter of
+    its own, which would tokenize every text a second time.
+    """
+    words = df.select(F.explode_outer(tok).alias("token")).filter(F.col("token").isNotNull())
+    return words.groupBy("token").count()
+
+
 def build_vocab(
     df: DataFrame, size: int, specials: Sequence[str] = (UNK, EOS), tok: str = "tok"
 ) -> DataFrame:
@@ -43,7 +53,7 @@ def build_vocab(
     """
     if size < 1:
         raise ValueError(f"size must be at least 1, got {size}")
-    counts = df.select(F.explode(tok).alias("token")).groupBy("token").count()
+    counts = token_counts(df, tok)
     top = counts.orderBy(F.desc("count"), "token").limit(size)
     ranked = top.groupBy().agg(
         F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("c"), "token"))).alias("all")
@@ -86,6 +96,15 @@ def vocab_report(vocab: DataFrame, special: Special = Special()) -> DataFrame:
     )
 
 
+def once(udf):
+    """Keeps the optimizer from repeating a costly UDF in every filter and use of its result.
+
+    It copies deterministic expressions into filters it pushes down, Python calls included.
+    Filter on other columns before encoding, as filters do not pass such a UDF.
+    """
+    return udf.asNondeterministic()
+
+
 def _fetch_vocab(vocab: DataFrame, limit: int) -> list | None:
     """Rows of a vocabulary within the limit, else None."""
     rows = vocab.select("id", "token").limit(limit + 1).collect()
@@ -128,7 +147,7 @@ def encode(
         offsets = np.asarray(col.offsets)
         return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), found)
 
-    return _with_mask(df.withColumn("input_ids", look_up(tok)).drop(tok))
+    return _with_mask(df.withColumn("input_ids", once(look_up)(tok)).drop(tok))
 
 
 def _with_mask(df: DataFrame) -> DataFrame:
@@ -152,7 +171,8 @@ def encode_by_join(
     unknown = vocab.filter(F.col("token") == unk).select("id").first()
     if unknown is None:
         raise ValueError(f"the vocabulary has no entry {unk!r}")
-    placed = df.select(key, F.posexplode(tok).alias("pos", "token")).withColumn(
+    words = df.select(key, F.posexplode_outer(tok).alias("pos", "token"))
+    placed = words.filter(F.col("token").isNotNull()).withColumn(
         "salt", F.pmod(F.xxhash64(key, "pos"), F.lit(salts)).cast("int")
     )
     copies = vocab.select(
@@ -196,7 +216,7 @@ def decode(
         offsets = np.asarray(col.offsets)
         return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), found)
 
-    return df.withColumn("text", F.array_join(look_up(ids), ""))
+    return df.withColumn("text", F.array_join(once(look_up)(ids), ""))
 
 
 def token_profile(df: DataFrame, length: Column, short: int, by: Sequence[str] = ()) -> DataFrame:
