@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -25,6 +26,11 @@ def local_session(cpus: int | str = "*", app: str = "textgauge", memory: str = "
     )
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="textgauge-")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that the cluster names in spark.checkpoint.dir.
 
@@ -35,8 +41,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        base = tempfile.mkdtemp(prefix="textgauge-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_folder()
     return f"{base.rstrip('/')}/textgauge/{name}-{uuid.uuid4().hex}"
 
 
