@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from textgauge.functions import text
 from textgauge.operators import generation
+from textgauge.plans import evaluate
+from textgauge.sources import reports
 
 
 def column(spark, values, expr):
@@ -157,3 +159,30 @@ def test_sampler_is_independent_of_partitioning(spark, weights):
     )
     assert one == many and {len(r[2]) for r in one} == {5}
     assert len({r[2] for r in one}) > 2
+
+
+def test_case_study_and_report(spark, tmp_path):
+    prompts = spark.createDataFrame([(i, f"p{i}\n") for i in range(12)], "prompt_id int, prompt string")
+
+    def model(mark):
+        return lambda: lambda batch: [[f"{mark}{p.strip()}\n\nrest"] for p in batch]
+
+    cases = evaluate.case_study(prompts, model("a"), model("b"))
+    got = {r["prompt_id"]: tuple(r)[1:] for r in cases.collect()}
+    assert got == {i: (f"p{i}\n", f"p{i}\nap{i}\n", f"p{i}\nbp{i}\n") for i in range(12)}
+    numbered = cases.withColumn("case_idx", F.col("prompt_id") + 1)
+    reports.write_report(numbered, str(tmp_path / "r"), ("old", "new"), title="T")
+    parts = sorted((tmp_path / "r").glob("part-*"))
+    text = "".join(p.read_text(encoding="utf-8") for p in parts)
+    assert text.startswith("# T\n") and text.index("## Case 2\n") < text.index("## Case 11\n")
+    assert text.count("### new") == 12
+
+
+def test_sample_tasks(spark):
+    tasks = spark.createDataFrame([("t1", "p"), ("t2", "q")], "task_id string, prompt string")
+
+    def make():
+        return lambda batch: [[f"{p}{j}\ndef x" for j in range(3)] for p in batch]
+
+    got = sorted(tuple(r) for r in evaluate.sample_tasks(tasks, make, 3).collect())
+    assert got == [(t, j, f"{p}{j}") for t, p in (("t1", "p"), ("t2", "q")) for j in range(3)]

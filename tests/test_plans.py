@@ -10,7 +10,7 @@ NO_PYTHON = [
     if n
     not in {
         # user models and vocabulary look-ups run in Python workers
-        "encode_ids", "decode_roundtrip", "bpe_pieces", "chunk_vocab", "score_chunks",
+        "encode_ids", "decode_roundtrip", "bpe_pieces", "chunk_vocab", "score_chunks", "evaluate_model",
         "generate_greedy", "generate_sampled",
     }
 ]
@@ -39,13 +39,21 @@ def test_texts_are_tokenized_once(spark, small, plan, name):
     assert "Exchange" not in text.replace("REPARTITION_BY_NUM", "").replace("Exchange hashpartitioning(doc_id", "")
 
 
-@pytest.mark.parametrize("name", ["vocab_topk", "chunk_stats", "token_profile", "shift_pairs"])
+@pytest.mark.parametrize("name", ["chunk_stats", "token_profile", "shift_pairs"])
 def test_counts_combine_before_the_shuffle(spark, small, plan, name):
     text = plan(catalog.QUERIES[name](spark, small))
     assert "partial_" in text
     assert text.count("regexp_extract_all") + text.count("StringDecode") == 1
 
 
+def test_vocabulary_needs_one_pass(spark, small, plan):
+    """The counts of counts and the ranking share the shuffled token counts."""
+    df = catalog.QUERIES["vocab_topk"](spark, small)
+    df.collect()
+    text = plan(df)
+    assert "partial_count" in text and "ReusedExchange" in text
+
+
 def test_ranks_are_limited_before_the_shuffle(spark, small, plan):
     text = plan(catalog.QUERIES["retained_checkpoints"](spark, small))
     assert "WindowGroupLimit" in text and "Partial" in text

@@ -24,6 +24,7 @@ from textgauge.operators import (
     splitting,
     tokenizing,
 )
+from textgauge.plans import evaluate
 from textgauge.plans.prepare import prepare
 from textgauge.plans.scaling import scaling_study
 from textgauge.session import shared_dir, spread
@@ -522,6 +523,30 @@ def run_budget(spark, sf):
     return ladder.run_budget(_ladder(spark, sf), 256, world=2)
 
 
+@query(
+    """
+    WITH w AS (SELECT doc_id, unnest(range(0, (strlen(text) - 128) // 128 + 1)) AS i
+               FROM documents WHERE strlen(text) >= 128),
+    s AS (SELECT doc_id, i FROM w
+          QUALIFY row_number() OVER (ORDER BY md5(concat('42:sample:', doc_id, ':', i)))
+                  <= greatest((SELECT floor(count(*) * 0.5::DOUBLE) FROM w), 1))
+    SELECT doc_id, i::INT AS chunk_idx,
+           CASE WHEN row_number() OVER (ORDER BY md5(concat('42:split:', doc_id, ':', i)))
+                     <= ceil((SELECT count(*) FROM s) * 0.1::DOUBLE) THEN 'test' ELSE 'train' END AS split
+    FROM s"""
+)
+def load_and_split(spark, sf):
+    path, _ = chunk_files.write_chunks(
+        chunking.chunk(byte_docs(spark, sf), 128),
+        shared_dir(spark, "chunks"),
+        tokenizer="bytes",
+        max_length=128,
+        stride=128,
+    )
+    sides, _ = evaluate.load_and_split(spark, path, 0.5)
+    return sides.select("doc_id", "chunk_idx", "split")
+
+
 # ---- tokenization -----------------------------------------------------------------------
 
 
@@ -932,9 +957,9 @@ def perplexity_chunk_mean(spark, sf):
     return _rounded(scoring.perplexity_by_chunk(scored, ["chunk"]))
 
 
-def _sides(spark, sf, *keep):
+def _sides(df: DataFrame, *keep: str) -> DataFrame:
     """Documents with their split, cut into windows of 64 bytes."""
-    placed = splitting.split(docs(spark, sf, *keep), ["doc_id"])
+    placed = splitting.split(df, ["doc_id"])
     return chunking.chunk(
         tokenizing.byte_tokenize(placed), 64, keep=("doc_id", "split", *keep)
     )
@@ -964,7 +989,7 @@ LM_NLL = "-ln((coalesce(c2.n, 0) + 1.0::DOUBLE) / (coalesce(c1.n, 0) + 256.0::DO
     FROM s GROUP BY lang"""
 )
 def count_lm_perplexity(spark, sf):
-    chunks = _sides(spark, sf, "lang")
+    chunks = _sides(docs(spark, sf, "lang"), "lang")
     test = chunks.filter(F.col("split") == "test")
     counts = countlm.count_pairs(scoring.shift_pairs(test, keep=("lang",)), by=("lang",))
     scored = countlm.score_count_lm(_byte_lm(chunks), counts, by=("lang",))
@@ -985,7 +1010,7 @@ def count_lm_perplexity(spark, sf):
 def benchmark_perplexity(spark, sf):
     items = tokenizing.byte_tokenize(table(spark, sf, "benchmark"))
     counts = countlm.count_pairs(scoring.shift_pairs(items, keep=("item_id",)), by=("item_id",))
-    scored = countlm.score_count_lm(_byte_lm(_sides(spark, sf)), counts, by=("item_id",))
+    scored = countlm.score_count_lm(_byte_lm(_sides(docs(spark, sf))), counts, by=("item_id",))
     return _rounded(scoring.perplexity(scored, weight="n", by=("item_id",)))
 
 
@@ -1000,10 +1025,11 @@ def benchmark_perplexity(spark, sf):
     FROM s JOIN labels USING (doc_id) GROUP BY quality"""
 )
 def perplexity_by_quality(spark, sf):
-    chunks = _sides(spark, sf)
-    test = chunks.filter(F.col("split") == "test")
-    named = test.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
-    counts = countlm.count_pairs(scoring.shift_pairs(named, keep=("quality",)), by=("quality",))
+    # labels meet documents, one row each, before those become many windows
+    labels = table(spark, sf, "labels").select("doc_id", "quality")
+    chunks = _sides(docs(spark, sf).join(labels, "doc_id", "left"), "quality")
+    test = chunks.filter((F.col("split") == "test") & F.col("quality").isNotNull())
+    counts = countlm.count_pairs(scoring.shift_pairs(test, keep=("quality",)), by=("quality",))
     scored = countlm.score_count_lm(_byte_lm(chunks), counts, by=("quality",))
     return _rounded(scoring.perplexity(scored, weight="n", by=("quality",)))
 
@@ -1022,27 +1048,47 @@ def perplexity_by_quality(spark, sf):
     GROUP BY ALL"""
 )
 def score_chunks(spark, sf):
-    chunks = _sides(spark, sf)
+    chunks = _sides(docs(spark, sf))
+    test = chunks.filter(F.col("split") == "test")
+    scored = scoring.score(test, _byte_model(chunks), 64, batch=256)
+    return scored.select("doc_id", "chunk_idx", r6("nll").alias("nll"), "n_tokens")
+
+
+def _byte_model(chunks):
+    """The counted byte model as a user model: a table of 256 x 256 losses per worker."""
     lm = _byte_lm(chunks)
-    known = countlm.pair_probabilities(lm).collect()  # at most 256 x 256 rows
+    known = countlm.pair_probabilities(lm).collect()
     totals = {r["prev"]: r["n"] for r in lm.contexts.collect()}
     unseen = [totals.get(b, 0) for b in range(256)]
-    model = spark.sparkContext.broadcast(([tuple(r) for r in known], unseen))
+    shared = chunks.sparkSession.sparkContext.broadcast(([tuple(r) for r in known], unseen))
 
     def make_predict_fn():
         import numpy as np
 
-        pairs, contexts = model.value
+        pairs, contexts = shared.value
         losses = np.repeat(np.log(np.asarray(contexts, float) + 256.0)[:, None], 256, axis=1)
         for prev, following, nll in pairs:
             losses[prev, following] = nll
-        return lambda ids: losses[
-            ids[:, :-1].astype(int), ids[:, 1:].astype(int)
-        ].mean(axis=1)
+        return lambda ids: losses[ids[:, :-1].astype(int), ids[:, 1:].astype(int)].mean(axis=1)
+
+    return make_predict_fn
+
 
+@query(
+    f"""
+    WITH {LM_SQL},
+    s AS (SELECT lang, {LM_NLL} AS nll
+          FROM (SELECT * FROM pairs WHERE held) p LEFT JOIN c2 USING (prev, next)
+          LEFT JOIN c1 ON c1.prev = p.prev),
+    m AS (SELECT lang, avg(nll) AS loss FROM s GROUP BY lang)
+    SELECT lang, 'Cross-Entropy Loss' AS metric, printf('%.4f', loss) AS value FROM m
+    UNION ALL SELECT lang, 'Perplexity (PPL)', printf('%.4f', exp(loss)) FROM m"""
+)
+def evaluate_model(spark, sf):
+    chunks = _sides(docs(spark, sf, "lang"), "lang")
     test = chunks.filter(F.col("split") == "test")
-    scored = scoring.score(test, make_predict_fn, 64, batch=256)
-    return scored.select("doc_id", "chunk_idx", r6("nll").alias("nll"), "n_tokens")
+    metrics = evaluate.evaluate_model(test, _byte_model(chunks), 64, batch=256, by=("lang",))
+    return evaluate.model_report(metrics, by=("lang",))
 
 
 CURVE_SQL = f"""

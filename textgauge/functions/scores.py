@@ -11,20 +11,15 @@ IGNORE_LABEL = -100
 def cross_entropy(logits: Column, label: Column) -> Column:
     """``-log softmax(logits)[label]`` by a stable log-sum-exp; ``label`` counts from 0.
 
-    The maximum travels in the accumulator: named inside the lambda it would be searched
-    again for every element.
+    The maximum is the variable of an outer lambda: named directly inside the inner one it would
+    be searched again for every element.
     """
-    z = logits.cast("array<double>")
-    start = F.struct(F.array_max(z).alias("top"), F.lit(0.0).alias("sum"))
-    lse = F.aggregate(
-        z,
-        start,
-        lambda acc, x: F.struct(
-            acc["top"].alias("top"), (acc["sum"] + F.exp(x - acc["top"])).alias("sum")
-        ),
-        lambda acc: acc["top"] + F.log(acc["sum"]),
-    )
-    return lse - F.get(z, label)
+
+    def log_sum_exp(top: Column) -> Column:
+        return top + F.log(F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top)))
+
+    lse = F.transform(F.array(F.array_max(logits).cast("double")), log_sum_exp)
+    return F.get(lse, F.lit(0)) - F.get(logits, label).cast("double")
 
 
 def mean_loss(total: Column, count: Column) -> Column:

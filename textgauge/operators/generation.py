@@ -108,18 +108,21 @@ def collect_samples(
     """
     if block < 1:
         raise ValueError(f"block must be at least 1, got {block}")
-    packed = samples.groupBy(
-        task, F.call_function("div", F.col("sample_idx"), F.lit(block)).cast("int").alias("block_idx")
-    ).agg(F.array_sort(F.collect_list(F.struct("sample_idx", "completion"))).alias("_s"))
-    joined = tasks.select(task).join(packed, task, "left")
-    done = F.coalesce(
-        F.transform("_s", lambda s: s["completion"]), F.array().cast("array<string>")
+    named = tasks.select(task).distinct()
+    block_idx = F.call_function("div", F.col("sample_idx"), F.lit(block)).cast("int")
+    packed = samples.groupBy(task, block_idx.alias("block_idx")).agg(
+        F.array_sort(F.collect_list(F.struct("sample_idx", "completion"))).alias("_s")
     )
-    return joined.select(
-        task,
-        F.coalesce("block_idx", F.lit(0)).alias("block_idx"),
-        F.size(done).alias("n"),
-        done.alias("completions"),
+    # A semi and an anti join instead of one outer join: a task with very many blocks is then on
+    # the side that a skewed join may split.
+    found = packed.join(named, task, "left_semi").select(
+        task, "block_idx", F.transform("_s", lambda s: s["completion"]).alias("completions")
+    )
+    none = named.join(samples.select(task).distinct(), task, "left_anti").select(
+        task, F.lit(0).alias("block_idx"), F.array().cast("array<string>").alias("completions")
+    )
+    return found.unionByName(none).select(
+        task, "block_idx", F.size("completions").alias("n"), "completions"
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from textgauge.functions.tokens import byte_ids, byte_text, pretokens
 
@@ -48,13 +48,19 @@ def build_vocab(
     """``(id, token, count)``: special tokens first, then the ``size`` most frequent tokens.
 
     Equal counts go in token order. Counting combines inside each task before the shuffle, so
-    a token that makes up a third of the corpus is one row per task; the top list is merged
-    from one list per partition. Ids are given to at most ``size`` rows.
+    a token that makes up a third of the corpus is one row per task. How often a token must
+    occur at least is read off the counts of counts; only tokens above that enter the ranking,
+    which at most ``size`` rows leave. Distinct counts are few (below the square root of twice
+    the corpus length), so ranking them in one task is safe.
     """
     if size < 1:
         raise ValueError(f"size must be at least 1, got {size}")
     counts = token_counts(df, tok)
-    top = counts.orderBy(F.desc("count"), "token").limit(size)
+    tiers = counts.groupBy("count").agg(F.count(F.lit(1)).alias("tokens"))
+    above = F.sum("tokens").over(W.orderBy(F.desc("count"))) - F.col("tokens")
+    needed = tiers.select("count", above.alias("above")).filter(F.col("above") < size)
+    floor = needed.agg(F.min("count")).scalar()
+    top = counts.filter(F.col("count") >= floor).orderBy(F.desc("count"), "token").limit(size)
     ranked = top.groupBy().agg(
         F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("c"), "token"))).alias("all")
     )

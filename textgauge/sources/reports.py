@@ -52,6 +52,31 @@ def render_cases(
     return df.select(F.col(idx).alias("case_idx"), section.alias("markdown"))
 
 
+def write_report(
+    cases: DataFrame,
+    path: str,
+    labels: Sequence[str] = CASE_LABELS,
+    *,
+    idx: str = "case_idx",
+    title: str = CASE_TITLE,
+    generated: str | None = None,
+) -> None:
+    """Head and sections as text files; joined in name order they are the whole report.
+
+    The sections are range-partitioned and sorted by case, so writing is spread over tasks.
+    """
+    sections = render_cases(cases, labels, idx).select(
+        F.lit(1).alias("part"), "case_idx", "markdown"
+    )
+    head = cases.sparkSession.range(1).select(
+        F.lit(0).alias("part"),
+        F.lit(None).cast(cases.schema[idx].dataType).alias("case_idx"),
+        F.lit(report_head(title, generated)).alias("markdown"),
+    )
+    ordered = head.unionByName(sections).orderBy("part", "case_idx")
+    ordered.select(F.col("markdown").alias("value")).write.text(path)
+
+
 def metric_table(
     df: DataFrame, metrics: dict[str, str], keys: Sequence[str] = ()
 ) -> DataFrame:
