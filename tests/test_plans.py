@@ -11,6 +11,8 @@ NO_PYTHON = [
     not in {
         # user models and vocabulary look-ups run in Python workers
         "encode_ids", "decode_roundtrip", "bpe_pieces", "chunk_vocab", "score_chunks", "evaluate_model",
+        # pairs of bytes are counted by position in Arrow batches
+        "scaling_curve", "count_lm_perplexity", "benchmark_perplexity", "perplexity_by_quality",
         "generate_greedy", "generate_sampled",
     }
 ]

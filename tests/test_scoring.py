@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from textgauge.functions.scores import perplexity_of
-from textgauge.operators import countlm, curves, scoring
+from textgauge.operators import chunking, countlm, curves, scoring
+from textgauge.operators.tokenizing import byte_tokenize
 
 # Published results: (variant, loss, perplexity).
 CAPACITY = [("82M", 1.4860, 4.42), ("117M", 1.3365, 3.81), ("345M", 1.2051, 3.34)]
@@ -165,3 +166,21 @@ def test_k_is_reported_only_when_all_tasks_have_enough_samples(spark):
     )
     row = scoring.mean_pass_at_k(scoring.pass_at_k(df)).first()
     assert row["pass_at_1"] == pytest.approx((4 / 12 + 0) / 2) and row["pass_at_10"] is None
+
+
+@pytest.mark.parametrize("m, s", [(64, 64), (8, 3), (4, 9), (1, 1), (2, 1)])
+def test_byte_pairs_equal_the_windowed_route(spark, small, m, s):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "lang", "text")
+    extra = [(-1, "x", None), (-2, "x", ""), (-3, "x", "a"), (-4, "x", "ab"), (-5, None, "aé" * 9)]
+    docs = docs.unionByName(spark.createDataFrame(extra, "doc_id long, lang string, text string"))
+    chunks = chunking.chunk(byte_tokenize(docs), m, s, keep=("lang",))
+    want = countlm.count_pairs(scoring.shift_pairs(chunks, keep=("lang",)), by=("lang",))
+    got = countlm.count_byte_pairs(docs, m, s, by=("lang",))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_byte_pairs_across_blocks(spark):
+    """A text longer than a block of positions, and no grouping columns."""
+    df = spark.createDataFrame([("abc" * 500_000,), ("ab",)], "text string")
+    got = {(r["prev"], r["next"]): r["n"] for r in countlm.count_byte_pairs(df, 2, 1).collect()}
+    assert got == {(97, 98): 500_001, (98, 99): 500_000, (99, 97): 499_999}

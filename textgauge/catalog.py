@@ -957,17 +957,24 @@ def perplexity_chunk_mean(spark, sf):
     return _rounded(scoring.perplexity_by_chunk(scored, ["chunk"]))
 
 
-def _sides(df: DataFrame, *keep: str) -> DataFrame:
-    """Documents with their split, cut into windows of 64 bytes."""
+def _sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Train and test documents."""
     placed = splitting.split(df, ["doc_id"])
-    return chunking.chunk(
-        tokenizing.byte_tokenize(placed), 64, keep=("doc_id", "split", *keep)
-    )
+    train, test = (placed.filter(F.col("split") == side) for side in ("train", "test"))
+    return train, test
+
+
+def _byte_lm(train: DataFrame) -> countlm.CountLm:
+    """A byte model counted over windows of 64 bytes."""
+    return countlm.count_lm(countlm.count_byte_pairs(train, 64), 256)
 
 
-def _byte_lm(chunks):
-    train = chunks.filter(F.col("split") == "train")
-    return countlm.count_lm(countlm.count_pairs(scoring.shift_pairs(train)), 256)
+def _held_out_loss(df: DataFrame, by: str) -> DataFrame:
+    """Loss of the byte model on the held-out documents, per value of a column."""
+    train, test = _sides(df)
+    counts = countlm.count_byte_pairs(test.filter(F.col(by).isNotNull()), 64, by=(by,))
+    scored = countlm.score_count_lm(_byte_lm(train), counts, by=(by,))
+    return _rounded(scoring.perplexity(scored, weight="n", by=(by,)))
 
 
 LM_SQL = f"""
@@ -989,11 +996,7 @@ LM_NLL = "-ln((coalesce(c2.n, 0) + 1.0::DOUBLE) / (coalesce(c1.n, 0) + 256.0::DO
     FROM s GROUP BY lang"""
 )
 def count_lm_perplexity(spark, sf):
-    chunks = _sides(docs(spark, sf, "lang"), "lang")
-    test = chunks.filter(F.col("split") == "test")
-    counts = countlm.count_pairs(scoring.shift_pairs(test, keep=("lang",)), by=("lang",))
-    scored = countlm.score_count_lm(_byte_lm(chunks), counts, by=("lang",))
-    return _rounded(scoring.perplexity(scored, weight="n", by=("lang",)))
+    return _held_out_loss(docs(spark, sf, "lang"), "lang")
 
 
 @query(
@@ -1010,7 +1013,7 @@ def count_lm_perplexity(spark, sf):
 def benchmark_perplexity(spark, sf):
     items = tokenizing.byte_tokenize(table(spark, sf, "benchmark"))
     counts = countlm.count_pairs(scoring.shift_pairs(items, keep=("item_id",)), by=("item_id",))
-    scored = countlm.score_count_lm(_byte_lm(_sides(docs(spark, sf))), counts, by=("item_id",))
+    scored = countlm.score_count_lm(_byte_lm(_sides(docs(spark, sf))[0]), counts, by=("item_id",))
     return _rounded(scoring.perplexity(scored, weight="n", by=("item_id",)))
 
 
@@ -1025,13 +1028,9 @@ def benchmark_perplexity(spark, sf):
     FROM s JOIN labels USING (doc_id) GROUP BY quality"""
 )
 def perplexity_by_quality(spark, sf):
-    # labels meet documents, one row each, before those become many windows
+    # labels meet documents while those are one row each
     labels = table(spark, sf, "labels").select("doc_id", "quality")
-    chunks = _sides(docs(spark, sf).join(labels, "doc_id", "left"), "quality")
-    test = chunks.filter((F.col("split") == "test") & F.col("quality").isNotNull())
-    counts = countlm.count_pairs(scoring.shift_pairs(test, keep=("quality",)), by=("quality",))
-    scored = countlm.score_count_lm(_byte_lm(chunks), counts, by=("quality",))
-    return _rounded(scoring.perplexity(scored, weight="n", by=("quality",)))
+    return _held_out_loss(docs(spark, sf).join(labels, "doc_id", "left"), "quality")
 
 
 @query(
@@ -1048,19 +1047,19 @@ def perplexity_by_quality(spark, sf):
     GROUP BY ALL"""
 )
 def score_chunks(spark, sf):
-    chunks = _sides(docs(spark, sf))
-    test = chunks.filter(F.col("split") == "test")
-    scored = scoring.score(test, _byte_model(chunks), 64, batch=256)
+    train, test = _sides(docs(spark, sf))
+    chunks = chunking.chunk(tokenizing.byte_tokenize(test), 64)
+    scored = scoring.score(chunks, _byte_model(train), 64, batch=256)
     return scored.select("doc_id", "chunk_idx", r6("nll").alias("nll"), "n_tokens")
 
 
-def _byte_model(chunks):
+def _byte_model(train: DataFrame):
     """The counted byte model as a user model: a table of 256 x 256 losses per worker."""
-    lm = _byte_lm(chunks)
+    lm = _byte_lm(train)
     known = countlm.pair_probabilities(lm).collect()
     totals = {r["prev"]: r["n"] for r in lm.contexts.collect()}
     unseen = [totals.get(b, 0) for b in range(256)]
-    shared = chunks.sparkSession.sparkContext.broadcast(([tuple(r) for r in known], unseen))
+    shared = train.sparkSession.sparkContext.broadcast(([tuple(r) for r in known], unseen))
 
     def make_predict_fn():
         import numpy as np
@@ -1085,9 +1084,9 @@ def _byte_model(chunks):
     UNION ALL SELECT lang, 'Perplexity (PPL)', printf('%.4f', exp(loss)) FROM m"""
 )
 def evaluate_model(spark, sf):
-    chunks = _sides(docs(spark, sf, "lang"), "lang")
-    test = chunks.filter(F.col("split") == "test")
-    metrics = evaluate.evaluate_model(test, _byte_model(chunks), 64, batch=256, by=("lang",))
+    train, test = _sides(docs(spark, sf, "lang"))
+    chunks = chunking.chunk(tokenizing.byte_tokenize(test), 64, keep=("lang",))
+    metrics = evaluate.evaluate_model(chunks, _byte_model(train), 64, batch=256, by=("lang",))
     return evaluate.model_report(metrics, by=("lang",))
 
 

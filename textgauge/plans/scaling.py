@@ -7,13 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from textgauge.functions.ordering import SPLIT_SALT, below_share, order_hash
-from textgauge.functions.tokens import byte_ids
-from textgauge.operators.chunking import chunk
-from textgauge.operators.countlm import count_pairs, nested_losses
+from textgauge.operators.countlm import count_byte_pairs, nested_losses
 from textgauge.operators.curves import scaling_curve
 from textgauge.operators.ladder import rung_of
 from textgauge.operators.sampling import check_fraction, find_cuts, subset_size
-from textgauge.operators.scoring import shift_pairs
 
 
 def scaling_study(
@@ -39,14 +36,10 @@ def scaling_study(
     train = docs.filter(~held_out)
     _, cuts = find_cuts(train, keys, [seed], lambda n: [subset_size(n, f) for f in steps])
     rung = F.when(held_out, -1).otherwise(rung_of(cuts[seed], keys))
-    placed = docs.select(rung.alias("rung"), byte_ids(F.col("text")).alias("input_ids")).filter(
-        F.col("rung").isNotNull()
-    )
-    chunks = chunk(placed, max_length, keep=("rung",))
-    counts = count_pairs(shift_pairs(chunks, keep=("rung",)), by=("rung",))
+    placed = docs.select(rung.alias("rung"), "text").filter(F.col("rung").isNotNull())
+    counts = count_byte_pairs(placed, max_length, by=("rung",))
     losses = nested_losses(counts, len(steps), 256, alpha)
     fraction = F.when(F.col("step") < 0, 0.0).otherwise(
         F.element_at(F.array(*[F.lit(float(f)) for f in steps]), F.greatest(F.col("step") + 1, F.lit(1)))
     )
-    curve = scaling_curve(losses.select(fraction.alias("fraction"), "eval_loss", "n_tokens"))
-    return curve
+    return scaling_curve(losses.select(fraction.alias("fraction"), "eval_loss", "n_tokens"))
