@@ -841,7 +841,7 @@ def prepare_corpus(spark, sf):
     saved = chunk_files.read_chunks(spark, made.path).agg(
         F.sum(F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: a + x)).alias("id_sum")
     )
-    return made.stats.withColumn("saved_rows", F.lit(made.rows)).join(F.broadcast(saved))
+    return made.stats.withColumns({"saved_rows": F.lit(made.rows), "id_sum": saved.scalar()})
 
 
 @query(

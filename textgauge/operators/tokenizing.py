@@ -50,7 +50,7 @@ def build_vocab(
     Equal counts go in token order. Counting combines inside each task before the shuffle, so
     a token that makes up a third of the corpus is one row per task. How often a token must
     occur at least is read off the counts of counts; only tokens above that enter the ranking,
-    which at most ``size`` rows leave. Distinct counts are few (below the square root of twice
+    which at most ``size`` rows leave; one task gives those their ids. Distinct counts are few (below the square root of twice
     the corpus length), so ranking them in one task is safe.
     """
     if size < 1:
