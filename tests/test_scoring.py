@@ -184,3 +184,11 @@ def test_byte_pairs_across_blocks(spark):
     df = spark.createDataFrame([("abc" * 500_000,), ("ab",)], "text string")
     got = {(r["prev"], r["next"]): r["n"] for r in countlm.count_byte_pairs(df, 2, 1).collect()}
     assert got == {(97, 98): 500_001, (98, 99): 500_000, (99, 97): 499_999}
+
+
+def test_byte_pairs_with_many_groups(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    chunks = chunking.chunk(byte_tokenize(docs), 32, 20)
+    want = countlm.count_pairs(scoring.shift_pairs(chunks, keep=("doc_id",)), by=("doc_id",))
+    got = countlm.count_byte_pairs(docs.coalesce(1), 32, 20, by=("doc_id",))
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()

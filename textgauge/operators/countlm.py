@@ -41,37 +41,47 @@ def count_byte_pairs(
     """
     stride = max_length if stride is None else stride
     check_window(max_length, stride)
-    fields = [df.schema[c] for c in by]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "prev int, next int, n long"])
+    types = (f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    schema = ", ".join([*types, "prev int, next int, n long"])
     names = list(by)
     block = 1 << 16  # positions per step; the work arrays then stay in the processor's cache
+    dense = 64  # up to this many groups in a batch get a table of 65,536 counts each
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            groups, codes = [{}], np.zeros(batch.num_rows, np.int64)
+            firsts: dict = {}  # group values -> number of the group
+            codes = np.zeros(batch.num_rows, np.int64)
             if names:
-                table = pa.table({c: batch.column(c) for c in names})
-                distinct: dict = {}
-                rows = zip(*(table.column(c).to_pylist() for c in names))
+                rows = zip(*(batch.column(c).to_pylist() for c in names))
                 codes = np.fromiter(
-                    (distinct.setdefault(r, len(distinct)) for r in rows), np.int64, batch.num_rows
+                    (firsts.setdefault(r, len(firsts)) for r in rows), np.int64, batch.num_rows
                 )
-                groups = [dict(zip(names, r)) for r in distinct]
+            _, heads = np.unique(codes, return_index=True)
+
+            def counted(group, pair, n):
+                row = pa.array(heads[group])
+                columns = [batch.column(c).take(row) for c in names]
+                columns.append(pa.array(pair >> 8, pa.int32()))
+                columns.append(pa.array(pair & 255, pa.int32()))
+                columns.append(pa.array(n, pa.int64()))
+                return pa.RecordBatch.from_arrays(columns, names=[*names, "prev", "next", "n"])
+
             raw = batch.column(text).cast(pa.large_binary())
             _, ends, values = raw.buffers()
             offsets = np.frombuffer(ends, np.int64)[raw.offset : raw.offset + len(raw) + 1]
-            data = np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8)
+            if len(raw) == 0 or offsets[-1] - offsets[0] < 2:
+                continue
+            data = np.frombuffer(values, np.uint8)
             sizes = np.diff(offsets)
             windows = np.where(sizes >= max_length, (sizes - max_length) // stride + 1, 0)
             last_window = (windows - 1).astype(np.int32)
-            counts: dict[int, np.ndarray] = {}
-            for begin in range(int(offsets[0]), int(offsets[-1]) - 1, block):
-                end = min(begin + block, int(offsets[-1]) - 1)
+            tables = np.zeros((len(heads), 65536)) if len(heads) <= dense else None
+            stop = int(offsets[-1]) - 1
+            for begin in range(int(offsets[0]), stop, block):
+                end = min(begin + block, stop)
                 first, last = np.searchsorted(offsets, [begin, end - 1], side="right") - 1
                 docs = np.arange(first, last + 1)
                 spans = np.minimum(offsets[docs + 1], end) - np.maximum(offsets[docs], begin)
@@ -84,26 +94,20 @@ def count_byte_pairs(
                 pair = data[begin:end][at].astype(np.int32) * 256 + data[begin + 1 : end + 1][at]
                 weight = weight[at]
                 present = np.unique(codes[docs])
-                group = codes[doc[at]] if len(present) > 1 else None
-                for g in present:
-                    own = slice(None) if group is None else group == g
-                    found = np.bincount(pair[own], weight[own], minlength=65536)
-                    if g in counts:
-                        counts[g] += found
-                    else:
-                        counts[g] = found
-            for g, found in counts.items():
-                pairs = np.flatnonzero(found)
-                columns = [
-                    pa.array([groups[g][f.name]] * len(pairs), batch.schema.field(f.name).type)
-                    for f in fields
-                ]
-                columns += [
-                    pa.array(pairs >> 8, pa.int32()),
-                    pa.array(pairs & 255, pa.int32()),
-                    pa.array(found[pairs], pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "prev", "next", "n"])
+                if tables is None:
+                    keys, where = np.unique(codes[doc[at]] * 65536 + pair, return_inverse=True)
+                    n = np.bincount(where, weight, minlength=len(keys))
+                    yield counted(keys >> 16, keys & 65535, n.astype(np.int64))
+                elif len(present) == 1:
+                    tables[present[0]] += np.bincount(pair, weight, minlength=65536)
+                else:
+                    group = codes[doc[at]]
+                    for g in present:
+                        own = group == g
+                        tables[g] += np.bincount(pair[own], weight[own], minlength=65536)
+            if tables is not None:
+                group, pair = np.nonzero(tables)
+                yield counted(group, pair, tables[group, pair].astype(np.int64))
 
     part = df.select(*by, F.coalesce(text, F.lit("")).alias(text)).mapInArrow(run, schema)
     return part.groupBy(*by, "prev", "next").agg(F.sum("n").alias("n"))
