@@ -118,6 +118,12 @@ def test_saved_chunks(spark, tmp_path):
     assert files.stored_bytes(spark, made.path) > 0
     with pytest.raises(Exception, match="(?i)exist"):
         prepare(docs, max_length=8, stride=4, save_to=str(tmp_path))
+    masked = back.withColumn("labels", F.transform("input_ids", lambda x: F.lit(-100)))
+    path, rows = files.write_chunks(
+        masked, str(tmp_path), fraction=0.5, tokenizer="masked", max_length=8, stride=4
+    )
+    assert path.endswith("masked_m8_s4_50pct") and rows == 8
+    assert files.read_chunks(spark, path).filter("labels[0] = -100").count() == 8
     # another stride has another name
     assert prepare(docs, max_length=8, save_to=str(tmp_path)).rows == 4
 

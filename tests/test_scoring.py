@@ -77,6 +77,8 @@ def test_score_with_a_user_model(spark):
 
     got = {r["doc_id"]: (r["nll"], r["n_tokens"]) for r in scoring.score(df, make, 3, batch=5).collect()}
     assert got == {i: (pytest.approx((3 * i + 3) / 10), 2) for i in range(37)}
+    with pytest.raises(Exception, match="must have 4 tokens"):
+        scoring.score(df, make, 4).collect()
 
 
 def pairs_of(rows, names="prev int, next int"):

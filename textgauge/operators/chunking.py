@@ -33,7 +33,9 @@ def chunk(
     """``(*keep, chunk_idx, start, input_ids)``; windows never cross documents.
 
     Window numbers are generated first and each window is cut on its own row afterwards, so a
-    small stride never holds all windows of a document at once. Stride defaults to the length.
+    small stride never holds all windows of a document at once. The cut is a generator, too: as a
+    plain expression the optimizer could move it behind a shuffle or a UDF, which would then
+    carry the whole document with each of its windows. Stride defaults to the length.
     """
     stride = max_length if stride is None else stride
     check_window(max_length, stride)
@@ -42,16 +44,14 @@ def chunk(
     numbers = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))))
     numbered = df.select(*keep, F.col(ids).alias("_ids"), F.explode(numbers).alias("chunk_idx"))
     start = F.col("chunk_idx") * stride
+    window = F.slice("_ids", start + 1, F.lit(max_length))
     return numbered.select(
-        *keep,
-        "chunk_idx",
-        start.alias("start"),
-        F.slice("_ids", start + 1, F.lit(max_length)).alias("input_ids"),
+        *keep, "chunk_idx", start.alias("start"), F.explode(F.array(window)).alias("input_ids")
     )
 
 
 def with_labels(df: DataFrame) -> DataFrame:
-    """Labels equal the inputs (the shift happens in scoring); add them after any shuffle."""
+    """Labels equal the inputs (the shift happens in scoring); add them after shuffles and writes."""
     return df.withColumn("labels", F.col("input_ids"))
 
 

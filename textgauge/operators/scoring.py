@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import DoubleType
 
 from textgauge.functions.scores import IGNORE_LABEL, cross_entropy, mean_loss, pass_at, perplexity_of
+from textgauge.operators.tokenizing import once
 
 
 def shift_pairs(
@@ -80,18 +81,28 @@ def score(
 ) -> DataFrame:
     """Adds ``nll`` (mean over the chunk, by the user's model) and ``n_tokens``.
 
-    ``make_predict_fn`` runs once per Python worker and returns a function from an
-    ``[n, max_length]`` array to ``n`` losses. All chunks must be ``max_length`` long.
+    ``make_predict_fn`` runs once per task (load the model there) and returns a function from an
+    ``[n, max_length]`` array of ids to ``n`` losses; it is called with at most ``batch`` chunks
+    at a time. As all chunks are ``max_length`` long, an Arrow batch is such an array already,
+    without a copy per chunk.
     """
-    from pyspark.ml.functions import predict_batch_udf
 
-    loss = predict_batch_udf(
-        make_predict_fn,
-        return_type=DoubleType(),
-        batch_size=batch,
-        input_tensor_shapes=[[max_length]],
-    )
-    return chunks.withColumn("nll", loss(ids)).withColumn("n_tokens", F.lit(max_length - 1))
+    @F.arrow_udf("double")
+    def loss(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import numpy as np
+
+        predict = make_predict_fn()
+        for column in columns:
+            rows = len(column)
+            flat = np.asarray(column.flatten())
+            if len(flat) != rows * max_length or (np.diff(np.asarray(column.offsets)) != max_length).any():
+                raise ValueError(f"all chunks must have {max_length} tokens")
+            chunks = flat.reshape(rows, max_length)
+            parts = [np.asarray(predict(chunks[i : i + batch]), float) for i in range(0, rows, batch)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
+
+    scored = chunks.withColumn("nll", once(loss)(ids))
+    return scored.withColumn("n_tokens", F.lit(max_length - 1))
 
 
 def pass_at_k(

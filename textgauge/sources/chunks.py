@@ -4,11 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-CHUNK_SCHEMA = (
-    "doc_id long, chunk_idx int, start int, input_ids array<int>, labels array<int>"
-)
-
-
 def fraction_label(fraction: float | None) -> str:
     """``full``, or the truncated percentage: 0.29 * 100 is 28.999... and becomes 28pct."""
     if fraction is None or fraction >= 1.0:
@@ -35,13 +30,12 @@ def write_chunks(
 ) -> tuple[str, int]:
     """Write once, fail if the folder exists; returns the path and the rows written.
 
-    The rows are counted while they are written. Labels equal the inputs and are made here,
-    after every shuffle.
+    The rows are counted while they are written. A ``labels`` column is stored if ``df`` has one;
+    labels that just repeat the inputs need not be, :func:`read_chunks` adds them.
     """
     path = chunk_path(base, fraction, tokenizer, max_length, stride)
     seen = Observation()
-    out = df if "labels" in df.columns else df.withColumn("labels", F.col("input_ids"))
-    out = out.observe(seen, F.count(F.lit(1)).alias("rows"))
+    out = df.observe(seen, F.count(F.lit(1)).alias("rows"))
     out.write.mode("errorifexists").parquet(path)
     return path, seen.get["rows"]
 
@@ -53,4 +47,10 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CHUNK_SCHEMA).parquet(path)
+    """``(doc_id, chunk_idx, start, input_ids, labels)``.
+
+    Labels are a copy of the inputs unless others were stored: keeping the copy on disk would
+    double the size of the table and the time to write it.
+    """
+    df = spark.read.parquet(path)
+    return df if "labels" in df.columns else df.withColumn("labels", F.col("input_ids"))

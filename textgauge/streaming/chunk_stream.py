@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from textgauge.operators.chunking import chunk, with_labels
+from textgauge.operators.chunking import chunk
 from textgauge.operators.tokenizing import byte_tokenize
 
 
@@ -39,7 +39,8 @@ def chunk_stream(
     stride: int | None = None,
     tokenize: Callable[[DataFrame], DataFrame] = byte_tokenize,
 ) -> DataFrame:
-    return with_labels(chunk(tokenize(docs), max_length, stride))
+    """Windows of each arriving document; labels are added when the chunks are read."""
+    return chunk(tokenize(docs), max_length, stride)
 
 
 def start_append(
