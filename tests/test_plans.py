@@ -69,3 +69,20 @@ def test_scans_read_only_what_they_need(spark, small, plan):
 def test_encoding_is_not_repeated(spark, small, plan):
     text = plan(catalog.QUERIES["decode_roundtrip"](spark, small))
     assert text.count("ArrowEvalPython") == 2 and text.count("regexp_extract_all") == 1
+
+
+def test_models_get_windows_not_documents(spark, small, plan):
+    """The window is cut before the UDF; otherwise each of its rows would carry its document."""
+    text = plan(catalog.QUERIES["score_chunks"](spark, small))
+    assert "loss(input_ids#" in text and "loss(slice" not in text
+    assert text.index("ArrowEvalPython") < text.index("Generate explode(array(slice")
+
+
+def test_evaluated_once_across_a_shuffle(spark, plan):
+    """A shuffle behind chunking moves windows only."""
+    from textgauge.operators import chunking, tokenizing
+
+    docs = spark.createDataFrame([(1, "abc" * 50)], "doc_id long, text string")
+    chunks = chunking.chunk(tokenizing.byte_tokenize(docs), 8, 2).repartition(3, "chunk_idx")
+    text = plan(chunks.selectExpr("chunk_idx", "size(input_ids) AS n", "hash(input_ids) AS h"))
+    assert text.index("Exchange") < text.index("slice(")

@@ -60,7 +60,8 @@ def find_cuts(
 
     All seeds and sizes share each pass over the key columns. The first pass counts all rows
     by their first hash digits; later passes look only at the buckets a bound falls into,
-    1/4096 of the rows each time. ``keys`` must identify a row.
+    1/4096 of the rows each time. ``keys`` must identify a row. As ``df`` is read once per pass,
+    sample stored tables rather than the result of long computations.
     """
     hashes = F.array(
         *[F.struct(F.lit(s).alias("seed"), order_hash(s, salt, keys).alias("h")) for s in seeds]
