@@ -3,9 +3,8 @@
 import pytest
 from compare import compare, duck
 
-from __spark_entry__ import entry, oracle_sql, queries
-
-SQL = oracle_sql()
+from __spark_entry__ import entry
+from textgauge.catalog import QUERIES, SQL
 
 
 @pytest.fixture(scope="module")
@@ -14,12 +13,12 @@ def con(small):
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(queries())
+    assert set(SQL) == set(QUERIES)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_matches_sql(spark, con, small, name):
-    assert compare(spark, con, name, queries()[name], SQL[name], small) == ""
+    assert compare(spark, con, name, QUERIES[name], SQL[name], small) == ""
 
 
 def test_entry(spark):
