@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from textgauge.session import shared_dir
 
 #: Rows of two numbers that may be broadcast: below 64 MB in memory.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of text that a Python worker takes at once from an Arrow batch.
+SLICE_BYTES = 4_000_000
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -45,3 +51,22 @@ def checked(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """With a row number that is unique, but neither dense nor stable until the rows are written."""
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def cut_batches(batch: pa.RecordBatch, at: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in consecutive parts of about ``size`` bytes of its text column ``at``.
+
+    Bounds memory for any batch size; a longer text is a part of its own.
+    """
+    ends = np.cumsum(_lengths(batch.column(at)))
+    start, before = 0, 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield batch.slice(start, stop - start)
+        start, before = stop, int(ends[stop - 1])
+
+
+def _lengths(texts: pa.Array) -> np.ndarray:
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
