@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textgauge.llm import bpe, exact
+from textgauge.llm import bpe, exact, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,3 +52,12 @@ def op8_exact_dedup(spark, sf):
     return placed.select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256")
     )
+
+
+@query()
+def op10_token_files(spark, sf):
+    docs = documents(spark, sf).select("doc_id", "text")
+    folder = tokenfile.token_folder(spark)
+    tokenfile.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), folder)
+    read = tokenfile.read_tokens(spark, folder, docs.select("doc_id").distinct())
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
