@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textgauge.llm import bpe, exact, tokenfile
+from textgauge.llm import bpe, exact, langid, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,6 +54,15 @@ def op8_exact_dedup(spark, sf):
     )
 
 
+@query()
+def op9_language(spark, sf):
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    docs = documents(spark, sf).select("doc_id", "text", "lang", held_out.alias("held_out"))
+    model = langid.fit(docs.filter("not held_out"))
+    said = langid.identify(docs.drop("lang"), model)
+    return said.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 @query()
 def op10_token_files(spark, sf):
     docs = documents(spark, sf).select("doc_id", "text")
