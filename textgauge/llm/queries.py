@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textgauge.llm import bpe, exact, langid, tokenfile
+from textgauge.llm import bpe, exact, langid, near, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,6 +41,17 @@ def op1_bpe(spark, sf):
     )
 
 
+@query()
+def op6_near_dedup(spark, sf):
+    _, placed, _ = near.near_groups(documents(spark, sf), k=4)
+    return placed.select(
+        F.col("id").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.col("component").alias("component_id"),
+        (F.col("id") == F.col("component")).alias("kept"),
+    )
+
+
 @query(r"""
     WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS n
                FROM documents)
