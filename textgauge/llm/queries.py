@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textgauge.llm import bpe, exact, langid, near, tokenfile
+from textgauge.llm import bpe, exact, langid, near, suffix, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,6 +41,12 @@ def op1_bpe(spark, sf):
     )
 
 
+@query()
+def op3_repeats(spark, sf):
+    made = suffix.remove_repeats(documents(spark, sf).select("doc_id", "text"), length=400)
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query()
 def op6_near_dedup(spark, sf):
     _, placed, _ = near.near_groups(documents(spark, sf), k=4)
