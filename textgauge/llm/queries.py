@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textgauge.llm import bpe, exact, langid, near, suffix, tokenfile
+from textgauge.llm import bpe, exact, fingerprint, langid, near, suffix, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,6 +41,51 @@ def op1_bpe(spark, sf):
     )
 
 
+def _sketch_sql(source: str, text: str, name: str) -> str:
+    return f"""
+    {name} AS (
+      SELECT doc_id, CASE WHEN j = '' THEN 0 ELSE greatest(len(w) - 5, 0) + 1 END AS n, md5(j)[:12] AS words,
+             CASE WHEN j = '' THEN [] ELSE list_sort(list_distinct(list_transform(list_filter(list_transform(
+               range(greatest(len(w) - 5, 0) + 1), lambda i: md5(array_to_string(w[i + 1 : i + 5], ' '))),
+               lambda h: h < '40000000'), lambda h: h[:12]))) END AS hashes
+      FROM (SELECT doc_id, j, string_split(j, ' ') AS w
+            FROM (SELECT doc_id, trim(regexp_replace({text}, '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS j FROM {source})))"""
+
+
+@query(rf"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    ring AS (SELECT doc_id, text, length(text) AS n_chars, length(text) // 4 AS cut,
+                    coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id,
+                    coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text
+             FROM t WINDOW w AS (ORDER BY doc_id)),
+    e AS (SELECT *, left(text, n_chars - cut) || left(next_text, cut) AS edited FROM ring),
+    {_sketch_sql("t", "text", "a")},
+    {_sketch_sql("e", "edited", "b")},
+    f AS (SELECT e.doc_id, e.n_chars, sha256(e.edited) AS edited_sha256, a, b, c
+          FROM e JOIN a USING (doc_id) JOIN b USING (doc_id) JOIN a AS c ON c.doc_id = e.next_id)
+    SELECT doc_id, n_chars, edited_sha256,
+           concat_ws(':', a.n, a.words, array_to_string(a.hashes, '')) AS fingerprint,
+           concat_ws(':', b.n, b.words, array_to_string(b.hashes, '')) AS edited_fingerprint,
+           CASE WHEN a.words = b.words THEN 1.0
+                WHEN least(len(a.hashes), len(b.hashes)) = 0 THEN 0.0
+                ELSE len(list_intersect(a.hashes, b.hashes)) / least(len(a.hashes), len(b.hashes)) END::DOUBLE AS near_edited,
+           CASE WHEN a.words = c.words THEN 1.0
+                WHEN least(len(a.hashes), len(c.hashes)) = 0 THEN 0.0
+                ELSE len(list_intersect(a.hashes, c.hashes)) / least(len(a.hashes), len(c.hashes)) END::DOUBLE AS near_next
+    FROM f""")
+def op2_fingerprint(spark, sf):
+    made = fingerprint.edited_fingerprints(documents(spark, sf))
+    return made.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.fingerprint("sketch").alias("fingerprint"),
+        fingerprint.fingerprint("edited_sketch").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 @query()
 def op3_repeats(spark, sf):
     made = suffix.remove_repeats(documents(spark, sf).select("doc_id", "text"), length=400)
