@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textgauge.llm import bpe, exact, fingerprint, langid, near, suffix, tokenfile
+from textgauge.llm import bpe, chat, exact, fingerprint, langid, near, suffix, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,6 +92,22 @@ def op3_repeats(spark, sf):
     return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("""
+    WITH t AS (SELECT conv_id, list({'turn': turn, 'role': coalesce(role, 'unknown'), 'text': coalesce(text, '')}
+                                    ORDER BY turn NULLS FIRST, role, text) AS turns
+               FROM conversations GROUP BY conv_id),
+    p AS (SELECT conv_id, turns[1 : i] AS head, i < len(turns) AS inside
+          FROM (SELECT conv_id, turns, unnest(range(1, len(turns) + 1)) AS i FROM t)),
+    said AS (SELECT head, list_transform(head, lambda x: {'role': x.role, 'text': x.text}) AS words, conv_id, inside FROM p),
+    top AS (SELECT min(conv_id) AS conv_id, any_value(len(words)) AS n_turns, count(*) AS copies, words
+            FROM said WHERE NOT inside AND words NOT IN (SELECT words FROM said WHERE inside) GROUP BY words)
+    SELECT conv_id, n_turns, copies,
+           array_to_string(list_transform(words, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), '') AS chat
+    FROM top""")
+def op4_chat(spark, sf):
+    return chat.format_chats(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
 @query()
 def op6_near_dedup(spark, sf):
     _, placed, _ = near.near_groups(documents(spark, sf), k=4)
