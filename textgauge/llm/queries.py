@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textgauge.llm import bpe, chat, exact, fingerprint, langid, near, suffix, tokenfile
+from textgauge.llm import bpe, chat, exact, fingerprint, langid, near, packing, suffix, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -119,6 +119,14 @@ def op6_near_dedup(spark, sf):
     )
 
 
+@query()
+def op7_packing(spark, sf):
+    docs = documents(spark, sf)
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + 1  # bytes and an end mark
+    same = F.trim(F.regexp_replace(F.lower("text"), "[\\x20\\x09-\\x0D]+", " "))
+    return packing.pack(docs, size, same, capacity=8192)
+
+
 @query(r"""
     WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS n
                FROM documents)
