@@ -28,6 +28,12 @@ def test_words_alone_and_in_texts(tok):
         assert np.frombuffer(made, encode.kind).tolist() == tok.encode(text, add_special_tokens=False).ids + [1]
 
 
+def test_tokenizer_without_special_tokens(tok):
+    encode = tf.WordEncoder(PATH)
+    encode.mark = None
+    assert np.frombuffer(encode(["a b c, d"], 1)[0], encode.kind).tolist() == tok.encode("a b c, d", add_special_tokens=False).ids + [1]
+
+
 def test_word_memory_is_bounded(tok, monkeypatch):
     monkeypatch.setattr(tf, "WORDS", 3)
     encode = tf.WordEncoder(PATH)

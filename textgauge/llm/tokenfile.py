@@ -14,7 +14,7 @@ A lookup hashes the key to its part, walks the levels of bits (constant on avera
 the fingerprint, and reads one range of a payload.
 
 Defined results: a null text counts as empty, so its document holds the end id only. Documents with
-equal keys stand next to each other, ordered by their ids, and a lookup returns all of them; a null
+equal keys stand next to each other, ordered by a hash of their texts, and a lookup returns all of them; a null
 key is a key of its own and stands first. A key that is not stored gives no row. An empty table gives
 a folder with empty lists.
 """
@@ -31,11 +31,11 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from textgauge.llm.common import column, cut_batches, saved
+from textgauge.llm.common import column, cut_batches, saved, text_of
 from textgauge.session import shared_dir
 
 #: Distinct words whose ids a Python worker remembers between batches.
-WORDS = 500_000
+WORDS = 1_500_000
 #: Keys of one index part.
 PART_KEYS = 1 << 18
 #: Bits per key in each level of the hash.
@@ -62,6 +62,18 @@ class WordEncoder:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.words: dict[bytes, bytes] = {}
+        special = (t for t in self.tokenizer.get_added_tokens_decoder().values() if t.special and not t.normalized)
+        self.mark = next((t.content for t in special if t.content[0] == "<" and not (t.lstrip or t.rstrip)), None)
+
+    def _remember(self, words: list[bytes]) -> None:
+        """Encode words in one text with a special token between them, at which the ids are cut."""
+        text = self.mark.join(w.decode("utf-8") for w in words)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        cuts = np.flatnonzero(ids == self.tokenizer.token_to_id(self.mark))
+        data, size = ids.tobytes(), self.kind.itemsize
+        starts = (np.concatenate([[0], cuts + 1]) * size).tolist()
+        stops = (np.concatenate([cuts, [len(ids)]]) * size).tolist()
+        self.words.update(zip(words, (data[a:b] for a, b in zip(starts, stops, strict=True)), strict=True))
 
     def __call__(self, texts: list[str], end: int) -> list[bytes]:
         """The ids of each text and the end id, as bytes."""
@@ -70,11 +82,12 @@ class WordEncoder:
         if len(self.words) + len(new) > WORDS:
             self.words = {}
             new = list({w for words in split for w in words})
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)
-            for word, c in zip(part, coded):
-                self.words[word] = np.array(c.ids, self.kind).tobytes()
+        plain = [w for w in new if b"<" not in w] if self.mark else []
+        for k in range(0, len(plain), 4096):
+            self._remember(plain[k : k + 4096])
+        alone = [w for w in new if w not in self.words]
+        coded = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in alone], add_special_tokens=False)
+        self.words.update((w, np.array(c.ids, self.kind).tobytes()) for w, c in zip(alone, coded))
         last = np.array([end], self.kind).tobytes()
         return [b"".join([*map(self.words.__getitem__, words), last]) for words in split]
 
@@ -84,22 +97,6 @@ def _encoder(name: str) -> WordEncoder:
     return WordEncoder(SparkFiles.get(name))
 
 
-def encode_words(docs: DataFrame, path: str, end: int, key: str, text: str) -> DataFrame:
-    """(key, ids): the ids of every text with the end id, as bytes of the file's kind."""
-    docs.sparkSession.sparkContext.addFile(path)
-    name = path.rsplit("/", 1)[-1]
-
-    def run(batches):
-        encode = _encoder(name)
-        for whole in batches:
-            for batch in cut_batches(whole, 1):
-                made = encode([t or "" for t in batch.column(1).to_pylist()], end)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["key", "ids"])
-
-    schema = StructType([StructField("key", docs.schema[key].dataType), StructField("ids", BinaryType())])
-    return docs.select(column(docs, key), column(docs, text)).mapInArrow(run, schema)
-
-
 # --- minimal perfect hash ---------------------------------------------------------------------
 
 
@@ -198,24 +195,26 @@ def write_tokens(
 ) -> None:
     """Encode every text with the tokenizer file ``path`` and write shards and index to ``folder``."""
     spark = docs.sparkSession
-    encoded = saved(encode_words(docs, path, end, key, text), "encoded")
+    spark.sparkContext.addFile(path)
+    tokenizer = path.rsplit("/", 1)[-1]
     width = WordEncoder(path).kind.itemsize
-    order = (F.col("key"), F.xxhash64("ids"))
+    order = (F.col("key"), F.xxhash64("text"))
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ids = encoded.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    texts = docs.select(column(docs, key).alias("key"), text_of(docs, text).alias("text"))
+    texts = texts.repartitionByRange(shards, *order).sortWithinPartitions(*order)
 
     def write(batches):
         name = f"ids/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         store, root = _open_store(folder)
         store.create_dir(f"{root}/ids", recursive=True)
-        sizes, row = [], 0
+        encode, sizes, row = _encoder(tokenizer), [], 0
         with store.open_output_stream(f"{root}/{name}.bin") as out:
-            for batch in batches:
+            for batch in (part for whole in batches for part in cut_batches(whole, 1)):
                 n = batch.num_rows
-                ids = batch.column(1)
-                each = np.fromiter((len(x.as_buffer()) for x in ids), np.int64, n)
+                ids = encode(batch.column(1).to_pylist(), end)
+                each = np.fromiter(map(len, ids), np.int64, n)
                 for x in ids:
-                    out.write(x.as_buffer())
+                    out.write(x)
                 sizes.append(each // width)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([name] * n), pa.array(np.arange(row, row + n)), pa.array(each // width)],
@@ -227,7 +226,7 @@ def write_tokens(
 
     kinds = [("file", StringType()), ("row", LongType()), ("n", LongType())]
     schema = StructType([StructField("key", docs.schema[key].dataType)] + [StructField(*k) for k in kinds])
-    entries = saved(sorted_ids.mapInArrow(write, schema), "entries")
+    entries = saved(texts.mapInArrow(write, schema), "entries")
 
     each = entries.groupBy("file").agg(F.count("*").alias("docs"), F.sum("n").alias("ids"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
