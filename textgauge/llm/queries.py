@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textgauge.llm import bpe, chat, exact, fingerprint, langid, near, packing, suffix, tokenfile
+from textgauge.llm import bpe, chat, exact, fingerprint, langid, near, packing, secrets, suffix, tokenfile
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,6 +108,23 @@ def op4_chat(spark, sf):
     return chat.format_chats(spark.read.parquet(f"{sf}/conversations.parquet"))
 
 
+@query()
+def op5_secrets(spark, sf):
+    docs = documents(spark, sf).select("doc_id", "text")
+    model = secrets.train(secrets.labelled_findings(docs))
+    found = secrets.scan_secrets(docs, model)
+    return found.select(
+        "doc_id",
+        "place",
+        "start",
+        F.length("value").cast("long").alias("length"),
+        "kind",
+        F.sha2("value", 256).alias("value_sha256"),
+        "score",
+        "is_secret",
+    )
+
+
 @query()
 def op6_near_dedup(spark, sf):
     _, placed, _ = near.near_groups(documents(spark, sf), k=4)
