@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -173,3 +174,8 @@ def op10_token_files(spark, sf):
     tokenfile.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), folder)
     read = tokenfile.read_tokens(spark, folder, docs.select("doc_id").distinct())
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
