@@ -122,7 +122,7 @@ def test_saved_chunks(spark, tmp_path):
     path, rows = files.write_chunks(
         masked, str(tmp_path), fraction=0.5, tokenizer="masked", max_length=8, stride=4
     )
-    assert path.endswith("masked_m8_s4_50pct") and rows == 8
+    assert path.endswith("masked_m8_s4_50pct_f0.5") and rows == 8
     assert files.read_chunks(spark, path).filter("labels[0] = -100").count() == 8
     # another stride has another name
     assert prepare(docs, max_length=8, save_to=str(tmp_path)).rows == 4
@@ -149,3 +149,24 @@ def test_stream_equals_batch_and_goes_on_after_a_restart(spark, tmp_path):
     batch = chunking.with_labels(chunking.chunk(byte_tokenize(spark.read.parquet(source)), 16, 8))
     assert stream.count() == batch.count() > 0
     assert stream.exceptAll(batch.select(stream.columns)).count() == 0
+
+
+@pytest.mark.parametrize("m,s", [(4, 1), (4, 2), (5, 3), (4, 4), (3, 7), (1, 1)])
+def test_coverage_of_any_length(spark, m, s):
+    lengths = [*range(0, 40), 200]
+    df = spark.createDataFrame([(n,) for n in lengths], "n int")
+    got = {(r["n"], r["windows"]): r["positions"] for r in chunking.chunk_coverage(df, F.col("n"), m, s, by=("n",)).collect()}
+    want = {}
+    for n in lengths:
+        held = [0] * n
+        for start in range(0, n - m + 1, s):
+            for p in range(start, start + m):
+                held[p] += 1
+        for h in held:
+            want[n, h] = want.get((n, h), 0) + 1
+    assert got == want
+
+
+def test_configurations_do_not_share_a_path():
+    made = {files.chunk_path("x", f, "bytes", 8, 8, seed) for f in (None, 0.291, 0.299, 0.001, 0.002) for seed in (42, 123)}
+    assert len(made) == 9

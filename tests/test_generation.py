@@ -95,6 +95,11 @@ def test_compare_cases(spark):
     cand = spark.createDataFrame([(1, "d\ne\ndef f"), (0, "g")], "prompt_id int, completion string")
     got = generation.compare_cases(prompts, base, cand).orderBy("prompt_id").collect()
     assert [tuple(r) for r in got] == [(0, "p\n", "p\na\n", "p\ng"), (1, "q\n", "q\nc", "q\nd\ne\n")]
+    # a prompt keeps its row without a completion; two completions on a side are refused
+    got = generation.compare_cases(prompts, base.filter("prompt_id = 0"), cand).orderBy("prompt_id").collect()
+    assert [tuple(r)[2:] for r in got] == [("p\na\n", "p\ng"), (None, "q\nd\ne\n")]
+    with pytest.raises(Exception, match="several completions"):
+        generation.compare_cases(prompts, base.union(base), cand).collect()
 
 
 def shaped(df, **settings):
@@ -152,11 +157,17 @@ def test_sampler_is_independent_of_partitioning(spark, weights):
             "context string, token string, weight double",
         )
     )
-    prompts = spark.createDataFrame([(i, f"{i}x") for i in range(20)], "prompt_id long, prompt string")
-    make = generation.sampler(dist, list, n=2, max_new_tokens=5)
+    rows = [(i, f"{i}x", "x") for i in range(20)] + [(20, "", None), (21, "?", "?")]
+    prompts = spark.createDataFrame(rows, "prompt_id long, prompt string, last string")
+    make = generation.sampler(dist, n=2, max_new_tokens=5)
     one, many = (
-        sorted(map(tuple, generation.generate(prompts.repartition(k), make, 2).collect())) for k in (1, 7)
+        sorted(map(tuple, generation.generate(prompts.repartition(k), make, 2, inputs=("prompt", "last")).collect()))
+        for k in (1, 7)
     )
+    joined = generation.sample_by_join(prompts, dist, n=2, max_new_tokens=5)
+    assert sorted(map(tuple, joined.collect())) == one
+    assert [r[2] for r in one if r[0] >= 20] == [""] * 4
+    one, many = ([r for r in x if r[0] < 20] for x in (one, many))
     assert one == many and {len(r[2]) for r in one} == {5}
     assert len({r[2] for r in one}) > 2
 

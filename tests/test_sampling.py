@@ -6,6 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from textgauge.functions.ordering import order_hash
 from textgauge.operators import ladder, sampling, splitting
 
 
@@ -140,3 +141,12 @@ def test_ladder_against_separate_subsamples(spark):
             part = sampling.subsample(df, f, ["id"], seed)
             want = part.agg(F.count("*"), F.sum("tokens")).first()
             assert got[seed, f] == tuple(want)
+
+
+def test_composite_keys_do_not_collide(spark):
+    rows = [(None, "c"), ("c", None), ("a:b", "c"), ("a", "b:c"), ("\\N", "c"), ("", "c"), ("a\\", ":c")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert df.select(order_hash(42, "sample", ["a", "b"]).alias("h")).distinct().count() == len(rows)
+    assert sampling.subsample(df, 1.0, ["a", "b"]).count() == len(rows)
+    numbers = spark.createDataFrame([(5, 17)], "a int, b long").select(order_hash(42, "sample", ["a", "b"])).first()[0]
+    assert numbers == hashlib.md5(b"42:sample:5:17").hexdigest()

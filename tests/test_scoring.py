@@ -194,3 +194,16 @@ def test_byte_pairs_with_many_groups(spark, small):
     want = countlm.count_pairs(scoring.shift_pairs(chunks, keep=("doc_id",)), by=("doc_id",))
     got = countlm.count_byte_pairs(docs.coalesce(1), 32, 20, by=("doc_id",))
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_rows_without_a_loss_do_not_count(spark):
+    df = spark.createDataFrame([(math.log(2), 1), (None, 3)], "nll double, n int")
+    row = scoring.perplexity(df).first()
+    assert (row["eval_loss"], row["n_tokens"]) == (pytest.approx(math.log(2)), 1)
+    assert scoring.perplexity(df, weight="n").first()["n_tokens"] == 1
+
+
+def test_label_outside_the_logits(spark):
+    df = spark.createDataFrame([([0.0, 0.0], 0), ([0.0, 0.0], 2)], "logits array<double>, label int")
+    with pytest.raises(Exception, match="outside its logits"):
+        scoring.token_nll(df).collect()

@@ -185,7 +185,24 @@ def test_shared_dir_follows_the_session():
         session.shared_dir(FakeSession("spark://host"), "t")
 
 
-def test_spread_leaves_wide_scans_alone(spark):
+def test_spread_is_off_unless_asked_for(spark):
     wide = spark.range(100, numPartitions=50)
-    assert session.spread(wide, "id") is wide
-    assert session.spread(spark.range(100, numPartitions=1), "id").rdd.getNumPartitions() == 8
+    asked = spark.conf.get("textgauge.spread")
+    assert session.spread(wide, "id").rdd.getNumPartitions() == int(asked)
+    spark.conf.unset("textgauge.spread")
+    try:
+        assert session.spread(wide, "id") is wide
+    finally:
+        spark.conf.set("textgauge.spread", asked)
+
+
+def test_lines_with_other_line_separators(spark):
+    from pyspark.sql import Observation
+
+    head = "2025-01-02 03:04:05 | INFO     | train | a.py:7 | "
+    messages = ["plain", "with separator", "next\u0085line", "para graph"]
+    df = spark.createDataFrame([(head + m,) for m in messages] + [("Traceback (most recent call last):",)], "value string")
+    seen = Observation()
+    got = run_logs.parse_lines(df, seen=seen).collect()
+    assert sorted(r["message"] for r in got) == sorted(messages)
+    assert seen.get == {"lines": 5, "other_lines": 1}

@@ -163,3 +163,16 @@ def test_bpe_refuses_unreachable_merges(spark):
     df = spark.createDataFrame([(0, ["x"])], "doc_id long, tok array<string>")
     with pytest.raises(ValueError, match="never made"):
         bpe.bpe_encode(df, [(b"ab", b"c")])
+
+
+def test_both_routes_give_the_same_rows(spark):
+    """Also with repeated keys, repeated rows, rows without a key and rows without tokens."""
+    rows = [(1, ["a", "b"]), (1, ["b"]), (1, ["b"]), (2, []), (3, ["z", "a", "a"]), (None, ["b", "z"]), (None, ["b", "z"])]
+    df = spark.createDataFrame(rows, "doc_id int, tok array<string>")
+    vocab = spark.createDataFrame([(0, "<unk>"), (1, "a"), (2, "b")], "id int, token string")
+    key = lambda r: str(tuple(r))
+    sent, joined = (sorted(map(tuple, tokenizing.encode(df, vocab, limit=k).select("doc_id", "input_ids", "attention_mask").collect()), key=str) for k in (10, 2))
+    assert sent == joined and len(sent) == len(rows)
+    coded = tokenizing.encode(df, vocab)
+    shown, joined = (sorted(map(key, tokenizing.decode(coded, vocab, skip=("<unk>",), limit=k).select("doc_id", "text").collect())) for k in (10, 2))
+    assert shown == joined and len(shown) == len(rows)

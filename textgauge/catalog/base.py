@@ -218,10 +218,10 @@ def assistant_samples(spark, sf):
 
 
 def turn_pairs(spark, sf):
-    """User turns with the assistant turn after each."""
+    """All user turns, with the assistant turn after each where there is one."""
     turns = table(spark, sf, "conversations")
     asked = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"))
     answered = turns.filter("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("completion")
     )
-    return asked.join(answered, ["conv_id", "turn"])
+    return asked.join(answered, ["conv_id", "turn"], "left")

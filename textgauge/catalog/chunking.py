@@ -143,9 +143,8 @@ def verify_chunks(spark, sf):
 
 @query(_chunk_sql(64, 64))
 def chunk_stream(spark, sf):
-    cores = spark.sparkContext.defaultParallelism
     batch = table(spark, sf, "documents")
-    few = batch.rdd.getNumPartitions() < cores
+    parts = spark.conf.get("textgauge.spread", None)
     # a stream reads folders: the table's own, or the one around a table of a single file
     some_file = batch.select("_metadata.file_path").first()
     single = some_file is not None and some_file[0].endswith("/documents.parquet")
@@ -153,7 +152,7 @@ def chunk_stream(spark, sf):
         spark,
         sf if single else f"{sf}/documents.parquet",
         pattern="documents.parquet" if single else None,
-        partitions=cores if few else None,
+        partitions=int(parts) if parts else None,
     )
     path, state = shared_dir(spark, "stream"), shared_dir(spark, "stream-state")
     streams.start_append(streams.chunk_stream(source, 64), path, state).awaitTermination()

@@ -16,7 +16,7 @@ from textgauge.catalog.base import (
     turn_pairs,
 )
 from textgauge.functions import tokens
-from textgauge.operators import countlm, generation, scoring, tokenizing
+from textgauge.operators import countlm, generation, scoring
 from textgauge.sources import corpus
 
 
@@ -76,8 +76,9 @@ def collect_samples(spark, sf):
 @query(
     r"""
     WITH p AS (SELECT u.conv_id * 1000000 + u.turn AS prompt_id, u.text AS prompt, a.text AS body
-               FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-               WHERE u.role = 'user' AND a.role = 'assistant')
+               FROM conversations u LEFT JOIN conversations a
+                 ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+               WHERE u.role = 'user')
     SELECT prompt_id, md5(prompt) AS prompt, md5(prompt || body) AS baseline,
            md5(prompt || body || E'\n') AS candidate
     FROM p"""
@@ -86,11 +87,13 @@ def compare_cases(spark, sf):
     pairs = turn_pairs(spark, sf).select(
         (F.col("conv_id") * 1000000 + F.col("turn")).alias("prompt_id"), "prompt", "completion"
     )
+    pairs = saved(pairs, "turn-pairs")
+    answered = pairs.filter(F.col("completion").isNotNull())
     longer = F.concat("completion", F.lit("\n\n"), "prompt").alias("completion")
     out = generation.compare_cases(
         pairs.select("prompt_id", "prompt"),
-        pairs.select("prompt_id", "completion"),
-        pairs.select("prompt_id", longer),
+        answered.select("prompt_id", "completion"),
+        answered.select("prompt_id", longer),
     )
     names = ("prompt", "baseline", "candidate")
     return out.select("prompt_id", *[F.md5(F.col(c).cast("binary")).alias(c) for c in names])
@@ -98,23 +101,15 @@ def compare_cases(spark, sf):
 
 NEXT_SQL = f"""
     t AS (SELECT doc_id, {TOK} AS tok FROM documents),
-    counts AS (SELECT token, count(*) AS n FROM (SELECT unnest(tok) AS token FROM t) GROUP BY token),
-    vocab AS (SELECT token FROM counts ORDER BY n DESC, token LIMIT 5000),
     bi AS (SELECT prev AS context, next AS token, count(*)::DOUBLE AS w
            FROM (SELECT unnest(tok[1:-2]) AS prev, unnest(tok[2:]) AS next FROM t WHERE len(tok) > 1)
-           WHERE prev IN (SELECT token FROM vocab) AND next IN (SELECT token FROM vocab) GROUP BY ALL)"""
+           GROUP BY ALL)"""
 
 
 def _next_weights(spark, sf):
-    """Pair counts among the 5,000 most frequent pre-tokens."""
-    df = tok_docs(spark, sf)
-    vocab = saved(tokenizing.build_vocab(df, 5000, specials=()), "vocab")
-    words = F.broadcast(vocab.select("token"))
-    pairs = countlm.count_pairs(scoring.shift_pairs(df, ids="tok"))
-    known = pairs.join(words.withColumnRenamed("token", "prev"), "prev", "left_semi").join(
-        words.withColumnRenamed("token", "next"), "next", "left_semi"
-    )
-    return known.select(
+    """Counts of all pairs of neighbouring pre-tokens."""
+    pairs = countlm.count_pairs(scoring.shift_pairs(tok_docs(spark, sf), ids="tok"))
+    return pairs.select(
         F.col("prev").alias("context"), F.col("next").alias("token"), F.col("n").alias("weight")
     )
 
@@ -139,6 +134,23 @@ def topk_topp(spark, sf):
     return shaped.withColumn("p", r6("p"))
 
 
+@query(
+    f"""
+    WITH {NEXT_SQL},
+    a AS (SELECT context, token, w / sum(w) OVER (PARTITION BY context) AS p0 FROM bi),
+    b AS (SELECT context, token, CASE WHEN token = context THEN pow(p0, 1.3::DOUBLE) ELSE p0 END AS p1 FROM a),
+    k AS (SELECT context, token, p1 FROM b
+          QUALIFY row_number() OVER (PARTITION BY context ORDER BY round(p1, 12) DESC, token) <= 20)
+    SELECT context, token, round(p1 / sum(p1) OVER (PARTITION BY context), 6) AS p FROM k"""
+)
+def topk_penalty(spark, sf):
+    """A token that repeats the one before it is penalized."""
+    weights = _next_weights(spark, sf)
+    repeats = weights.filter("context = token")
+    shaped = generation.shape_distribution(weights, top_k=20, repetition_penalty=1.3, seen=repeats)
+    return shaped.withColumn("p", r6("p"))
+
+
 @query(
     f"""
     WITH RECURSIVE {NEXT_SQL},
@@ -155,7 +167,8 @@ def topk_topp(spark, sf):
 )
 def generate_greedy(spark, sf):
     greedy = generation.shape_distribution(_next_weights(spark, sf), do_sample=False)
-    return _generated(spark, sf, greedy, n=1)
+    make_fn = generation.sampler(greedy, max_new_tokens=12)
+    return generation.generate(_prompts(spark, sf), make_fn, inputs=("prompt", "last"))
 
 
 @query(
@@ -179,16 +192,14 @@ def generate_greedy(spark, sf):
 )
 def generate_sampled(spark, sf):
     shaped = generation.shape_distribution(_next_weights(spark, sf), top_k=8)
-    return _generated(spark, sf, shaped, n=3, steps=6)
-
+    return generation.sample_by_join(_prompts(spark, sf), shaped, n=3, max_new_tokens=6)
 
-def _generated(spark, sf, distribution, n, steps=12):
-    import regex  # the standard library has no \p classes
 
-    words = regex.compile(tokens.PRETOKEN_SHORT.removeprefix("(?U)"))
+def _prompts(spark, sf):
+    """User turns with their last pre-token."""
     turns = table(spark, sf, "conversations").filter("role = 'user'")
-    prompts = turns.select(
-        (F.col("conv_id") * 1000000 + F.col("turn")).alias("prompt_id"), F.col("text").alias("prompt")
+    return turns.select(
+        (F.col("conv_id") * 1000000 + F.col("turn")).alias("prompt_id"),
+        F.col("text").alias("prompt"),
+        F.element_at(tokens.pretokens(F.col("text"), lookahead=False), -1).alias("last"),
     )
-    make_fn = generation.sampler(distribution, words.findall, n=n, max_new_tokens=steps)
-    return generation.generate(prompts, make_fn, n)

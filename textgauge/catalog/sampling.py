@@ -9,7 +9,6 @@ from textgauge.catalog.base import (
     SPLIT_HASH,
     TENTH,
     byte_docs,
-    docs,
     query,
     saved,
     table,
@@ -101,7 +100,7 @@ def split_profile(spark, sf):
 def _byte_chunk_keys(spark, sf):
     """Chunk keys from text lengths alone."""
     n = windows.window_count(F.octet_length("text"), 128, 64)
-    df = docs(spark, sf).select("doc_id", F.when(n > 0, F.sequence(F.lit(0), n - 1)).alias("i"))
+    df = table(spark, sf, "documents").select("doc_id", F.when(n > 0, F.sequence(F.lit(0), n - 1)).alias("i"))
     return df.select("doc_id", F.explode("i").alias("chunk_idx"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from textgauge.catalog.base import (
     BYTES,
@@ -76,20 +76,17 @@ def samples_roundtrip(spark, sf):
 @query(
     """
     SELECT (turn % 16)::INT AS prompt_id, text AS prompt, count(*) AS n
-    FROM (SELECT text, row_number() OVER (PARTITION BY conv_id, turn // 32 ORDER BY turn) - 1 AS turn
+    FROM (SELECT text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn
           FROM conversations WHERE role = 'user')
     GROUP BY ALL"""
 )
 def prompt_bank(spark, sf):
     turns = table(spark, sf, "conversations").filter("role = 'user'")
-    # one bank per conversation and 32 turns, in turn order, cut into lines of 16 prompts
-    bank = turns.groupBy("conv_id", F.expr("turn div 32")).agg(
-        F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("all")
+    # a bank per conversation, in turn order, cut into lines of 16 prompts; none is left out
+    place = F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1
+    lines = turns.withColumn("i", place).groupBy("conv_id", F.expr("i div 16")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda t: t["text"]).alias("part")
     )
-    parts = F.array(
-        *[F.slice(F.transform("all", lambda t: t["text"]), F.lit(a), F.lit(16)) for a in (1, 17)]
-    )
-    lines = bank.select(F.explode(parts).alias("part")).filter(F.size("part") > 0)
     path = shared_dir(spark, "prompts")
     lines.select(F.to_json("part").alias("value")).write.text(path)
     back = samples.read_prompts(spark, path, lines=True)
@@ -140,11 +137,12 @@ def log_files(spark, sf):
     r"""
     WITH c AS (
       SELECT u.conv_id * 1000000 + u.turn AS case_idx, u.text AS prompt, a.text AS body
-      FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-      WHERE u.role = 'user' AND a.role = 'assistant'),
+      FROM conversations u LEFT JOIN conversations a
+        ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+      WHERE u.role = 'user'),
     r AS (SELECT case_idx, rtrim(prompt, E' \t\n\r') AS p,
-                 replace(rtrim(body, E' \t\n\r'), '```', '````') AS a,
-                 replace(rtrim('```' || body || E'\n```\n', E' \t\n\r'), '```', '````') AS b
+                 replace(rtrim(coalesce(body, ''), E' \t\n\r'), '```', '````') AS a,
+                 replace(rtrim(coalesce('```' || body || E'\n```\n', ''), E' \t\n\r'), '```', '````') AS b
           FROM c)
     SELECT case_idx, E'## Case ' || case_idx || E'\n\n### Prompt\n\n```python\n' || p
            || E'\n```\n\n### base\n\n```python\n' || a

@@ -38,6 +38,31 @@ def pretokens(spark, sf):
     )
 
 
+# The look-ahead of the full pattern for an engine that has none: a mark before the last blank of every
+# run of several that precedes other text, then the short pattern between the marks.
+FULL_TOK = (
+    r"flatten(list_transform(string_split(regexp_replace(text, '(\s)(\s\S)', '\1' || chr(1) || '\2', 'g'), "
+    rf"chr(1)), lambda part: {TOK.replace('(text,', '(part,')}))"
+)
+
+
+@query(
+    f"""
+    SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, '|')) AS tokens
+    FROM (SELECT doc_id, {FULL_TOK} AS t
+          FROM (SELECT doc_id, replace(text, ' ', '  ') || E'\n \t' || text AS text FROM documents))"""
+)
+def pretokens_full(spark, sf):
+    """The published pattern, over texts with runs of blanks."""
+    wide = F.concat(F.replace("text", F.lit(" "), F.lit("  ")), F.lit("\n \t"), "text")
+    df = tokenizing.pretokenize(docs(spark, sf).withColumn("text", wide))
+    return df.select(
+        "doc_id",
+        F.size("tok").alias("n_tokens"),
+        F.md5(F.array_join("tok", "|").cast("binary")).alias("tokens"),
+    )
+
+
 @query(f"SELECT doc_id, len(b) AS n_ids, {digest_sql('b')} AS ids FROM (SELECT doc_id, {BYTES} AS b FROM documents)")
 def byte_tokens(spark, sf):
     return byte_docs(spark, sf).select(
@@ -94,20 +119,37 @@ def encode_by_join(spark, sf):
 @query(
     f"""
     WITH {ENCODED_SQL}
-    SELECT doc_id, len(ids) AS n_ids,
+    SELECT doc_id, coalesce(len(ids), 0) AS n_ids,
            md5(coalesce((SELECT string_agg(coalesce(v.token, ''), '' ORDER BY p.pos)
-                FROM placed p LEFT JOIN vocab v ON v.token = p.token WHERE p.doc_id = enc.doc_id), '')) AS text
-    FROM enc"""
+                FROM placed p LEFT JOIN vocab v ON v.token = p.token WHERE p.doc_id = d.doc_id), '')) AS text
+    FROM documents d LEFT JOIN enc USING (doc_id)"""
 )
 def decode_roundtrip(spark, sf):
     vocab = saved_vocab(spark, sf)
-    coded = tokenizing.encode(tok_docs(spark, sf), vocab).filter(F.size("input_ids") > 0)
+    coded = tokenizing.encode(tok_docs(spark, sf), vocab)
     back = tokenizing.decode(coded, vocab, skip=(tokenizing.UNK, tokenizing.EOS))
     return back.select(
         "doc_id", F.size("input_ids").alias("n_ids"), F.md5(F.col("text").cast("binary")).alias("text")
     )
 
 
+@query(
+    f"""
+    WITH {ENCODED_SQL}
+    SELECT doc_id, coalesce(len(ids), 0) AS n_ids,
+           md5(coalesce((SELECT string_agg(coalesce(v.token, ''), '' ORDER BY p.pos)
+                FROM placed p LEFT JOIN vocab v ON v.token = p.token WHERE p.doc_id = d.doc_id), '')) AS text
+    FROM documents d LEFT JOIN enc USING (doc_id)"""
+)
+def decode_by_join(spark, sf):
+    vocab = saved_vocab(spark, sf)
+    coded = tokenizing.encode(tok_docs(spark, sf), vocab)
+    back = tokenizing.decode_by_join(coded, vocab, skip=(tokenizing.UNK, tokenizing.EOS))
+    return back.select(
+        "doc_id", F.size("input_ids").alias("n_ids"), F.md5(F.col("text").cast("binary")).alias("text")
+    )
+
+
 @query("SELECT doc_id, md5(text) AS text FROM documents")
 def decode_bytes(spark, sf):
     back = tokenizing.byte_detokenize(byte_docs(spark, sf))
@@ -178,15 +220,15 @@ def _merges(words: DataFrame) -> list[tuple[bytes, bytes]]:
                 lambda s, i: replace(s, f[i::INT], t[i::INT])) AS s2 FROM w1, l2),
     placed AS (SELECT doc_id, unnest(tok) AS token, unnest(range(0, len(tok))) AS pos
                FROM (SELECT doc_id, {TOK} AS tok FROM documents))
-    SELECT doc_id, sum(len(regexp_extract_all(s2, '<[0-9A-F]+>')))::BIGINT AS n_ids,
-           md5(string_agg(s2, '' ORDER BY pos)) AS pieces
-    FROM placed JOIN done USING (token) GROUP BY doc_id"""
+    SELECT doc_id, coalesce(sum(len(regexp_extract_all(s2, '<[0-9A-F]+>'))), 0)::BIGINT AS n_ids,
+           md5(coalesce(string_agg(s2, '' ORDER BY pos), '')) AS pieces
+    FROM documents LEFT JOIN placed USING (doc_id) LEFT JOIN done USING (token) GROUP BY doc_id"""
 )
 def bpe_pieces(spark, sf):
     df = tok_docs(spark, sf)
     words = tokenizing.token_counts(df).withColumnRenamed("count", "n")
     merges = _merges(saved(words, "words"))
-    coded = bpe.bpe_encode(df, merges).filter(F.size("input_ids") > 0)
+    coded = bpe.bpe_encode(df, merges)
     names = [f"<{t.hex().upper()}>" for t in bpe.byte_vocab(merges)]
     vocab = spark.createDataFrame(list(enumerate(names)), "id int, token string")
     back = tokenizing.decode(coded, vocab)

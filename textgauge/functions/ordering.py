@@ -16,8 +16,19 @@ SPLIT_SALT = "split"
 
 
 def order_hash(seed: int, salt: str, keys: Sequence[str]) -> Column:
-    """32 hex digits; rows sorted by it are in the shuffled order of ``(seed, salt)``."""
-    parts = [F.col(k).cast("string") for k in keys]
+    """32 hex digits; rows sorted by it are in the shuffled order of ``(seed, salt)``.
+
+    Different keys give different texts: separators inside a key part are escaped, and a missing
+    part reads ``\\N``, which no escaped part does. Numbers stay as they are.
+    """
+
+    def part(key: str) -> Column:
+        text = F.col(key).cast("string")
+        for mark in ("\\", ":"):
+            text = F.replace(text, F.lit(mark), F.lit("\\" + mark))
+        return F.coalesce(text, F.lit("\\N"))
+
+    parts = [part(k) for k in keys]
     return F.md5(F.concat_ws(":", F.lit(f"{seed}:{salt}"), *parts).cast("binary"))
 
 

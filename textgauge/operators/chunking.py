@@ -83,19 +83,38 @@ def chunk_coverage(
 ) -> DataFrame:
     """``(*by, windows, positions)``: how many token positions lie in 0, 1, 2, ... windows.
 
-    Coverage follows from the length alone, so documents are first counted per length and
-    positions are listed once per distinct length, not once per document.
+    Coverage follows from the length alone, so documents are first counted per length. It changes
+    only where a window starts or ends, and between the first and the last windows it repeats with
+    every stride. So a length gives the stretches of at most ``2 * (max_length // stride + 2)`` windows
+    and two rows for the repeating part, however long it is.
     """
     check_window(max_length, stride)
-    sizes = df.groupBy(*by, length.cast("int").alias("len")).agg(F.count(F.lit(1)).alias("docs"))
-    at = sizes.select(
-        *by,
-        "len",
-        "docs",
-        F.explode(F.when(F.col("len") > 0, F.sequence(F.lit(0), F.col("len") - 1))).alias("pos"),
+    sizes = df.groupBy(*by, length.cast("long").alias("len")).agg(F.count(F.lit(1)).alias("docs"))
+    n = window_count(F.col("len"), max_length, stride)
+    few = 2 * (max_length // stride + 2)
+    sizes = sizes.select(*by, "len", "docs", n.alias("n"), F.least(n, F.lit(few)).alias("_few"))
+    starts = F.transform(F.sequence(F.lit(0), F.greatest(F.col("_few") - 1, F.lit(0))), lambda i: i * stride)
+    edges = F.array_sort(F.array_distinct(F.concat(starts, F.transform(starts, lambda s: s + max_length))))
+    edges = F.when(F.col("_few") > 0, edges).otherwise(F.array(F.lit(0)))
+    covered = (F.col("_few") - 1) * stride + max_length
+    stretches = F.transform(
+        F.slice(edges, F.lit(2), F.size(edges)),
+        lambda to, i: F.struct(
+            windows_at(F.get(edges, i), covered, max_length, stride).cast("int").alias("windows"),
+            (to - F.get(edges, i)).cast("long").alias("positions"),
+        ),
+    )
+    level, more = divmod(max_length, stride)
+    again = (F.col("n") - F.col("_few")).cast("long")
+    whole = F.when(F.col("n") > 0, (F.col("n") - 1).cast("long") * stride + max_length).otherwise(0)
+    rest = F.array(
+        *(
+            F.struct(F.lit(w).alias("windows"), p.cast("long").alias("positions"))
+            for w, p in ((level + 1, again * more), (level, again * (stride - more)), (0, F.col("len") - whole))
+        )
     )
-    hits = windows_at(F.col("pos"), F.col("len"), max_length, stride)
-    return at.groupBy(*by, hits.alias("windows")).agg(F.sum("docs").alias("positions"))
+    rows = sizes.select(*by, "docs", F.inline(F.concat(stretches, rest))).filter("positions > 0")
+    return rows.groupBy(*by, "windows").agg(F.sum(F.col("docs") * F.col("positions")).alias("positions"))
 
 
 def verify_chunks(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from textgauge.functions.scores import IGNORE_LABEL, cross_entropy, mean_loss, pass_at, perplexity_of
 from textgauge.operators.tokenizing import once
+from textgauge.operators.workers import once_per_worker
 
 
 def shift_pairs(
@@ -35,11 +36,16 @@ def token_nll(
     ignore: int = IGNORE_LABEL,
     pad_id: int | None = None,
 ) -> DataFrame:
-    """Adds ``nll`` and drops ignored labels, also those equal to ``pad_id`` if given."""
+    """Adds ``nll`` and drops ignored labels, also those equal to ``pad_id`` if given.
+
+    A label outside its logits raises.
+    """
     wanted = F.col(label) != ignore
     if pad_id is not None:
         wanted &= F.col(label) != pad_id
-    return df.filter(wanted).withColumn("nll", cross_entropy(F.col(logits), F.col(label))).drop(logits)
+    outside = (F.col(label) < 0) | (F.col(label) >= F.size(logits))
+    checked = F.when(outside, F.raise_error(F.lit("a label lies outside its logits"))).otherwise(F.col(label))
+    return df.filter(wanted).withColumn("nll", cross_entropy(F.col(logits), checked)).drop(logits)
 
 
 def perplexity(
@@ -47,9 +53,10 @@ def perplexity(
 ) -> DataFrame:
     """``(*by, eval_loss, perplexity, n_tokens)``; NULL without tokens, infinity on overflow.
 
-    ``weight`` says for how many tokens a row stands, when rows carry a mean loss.
+    ``weight`` says for how many tokens a row stands, when rows carry a mean loss. Rows without a
+    loss count neither in the sum nor in ``n_tokens``.
     """
-    w = F.lit(1) if weight is None else F.col(weight)
+    w = F.when(F.col(nll).isNotNull(), F.lit(1) if weight is None else F.col(weight))
     sums = df.groupBy(*by).agg(
         F.sum(F.col(nll) * w).alias("_total"), F.coalesce(F.sum(w), F.lit(0)).alias("n_tokens")
     )
@@ -81,17 +88,19 @@ def score(
 ) -> DataFrame:
     """Adds ``nll`` (mean over the chunk, by the user's model) and ``n_tokens``.
 
-    ``make_predict_fn`` runs once per task (load the model there) and returns a function from an
+    ``make_predict_fn`` runs once per Python worker (load the model there) and returns a function from an
     ``[n, max_length]`` array of ids to ``n`` losses; it is called with at most ``batch`` chunks
     at a time. As all chunks are ``max_length`` long, an Arrow batch is such an array already,
     without a copy per chunk.
     """
 
+    load = once_per_worker(make_predict_fn)
+
     @F.arrow_udf("double")
     def loss(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import numpy as np
 
-        predict = make_predict_fn()
+        predict = load()
         for column in columns:
             rows = len(column)
             flat = np.asarray(column.flatten())

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from textgauge.functions.tokens import byte_ids, byte_text, pretokens
@@ -138,20 +139,21 @@ def encode(
     ids = {r["token"]: r["id"] for r in rows}
     if unk not in ids:
         raise ValueError(f"the vocabulary has no entry {unk!r}")
-    table = df.sparkSession.sparkContext.broadcast((list(ids), list(ids.values()), ids[unk]))
+    table = df.sparkSession.sparkContext.broadcast(ids)
 
     @F.arrow_udf("array<int>")
-    def look_up(col):
+    def look_up(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import numpy as np
-        import pyarrow as pa
-        import pyarrow.compute as pc
 
-        tokens, numbers, unknown = table.value
-        words = col.flatten()
-        at = pc.index_in(words, value_set=pa.array(tokens, words.type))
-        found = pa.array(np.asarray(numbers, np.int32)).take(at).fill_null(unknown)
-        offsets = np.asarray(col.offsets)
-        return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), found)
+        ids = table.value
+        unknown = ids[unk]
+        for col in columns:
+            # each distinct token of a batch is looked up once
+            words = col.flatten().dictionary_encode()
+            found = np.array([ids.get(t, unknown) for t in words.dictionary.to_pylist()], np.int32)
+            made = pa.array(found).take(words.indices).fill_null(unknown)
+            offsets = np.asarray(col.offsets)
+            yield pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), made)
 
     return _with_mask(df.withColumn("input_ids", once(look_up)(tok)).drop(tok))
 
@@ -177,22 +179,38 @@ def encode_by_join(
     unknown = vocab.filter(F.col("token") == unk).select("id").first()
     if unknown is None:
         raise ValueError(f"the vocabulary has no entry {unk!r}")
-    words = df.select(key, F.posexplode_outer(tok).alias("pos", "token"))
-    placed = words.filter(F.col("token").isNotNull()).withColumn(
-        "salt", F.pmod(F.xxhash64(key, "pos"), F.lit(salts)).cast("int")
-    )
     copies = vocab.select(
         "token", "id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
     )
-    hits = placed.join(copies, ["token", "salt"], "left").select(
-        key, "pos", F.coalesce("id", F.lit(unknown["id"])).alias("id")
+    known = F.coalesce("id", F.lit(unknown["id"]))
+    pairs = _by_position(df, tok, key, "token", copies, known, salts)
+    return _with_mask(pairs.withColumn("input_ids", F.col("_made").cast("array<int>")).drop("_made", tok))
+
+
+def _by_position(
+    df: DataFrame, items: str, key: str, name: str, copies: DataFrame, value: Column, salts: int
+) -> DataFrame:
+    """Adds ``_made``: for each item of an array column its joined ``value``, in place.
+
+    Items meet ``copies`` under (item, salt), then go back under the row's key and the hash of its
+    array. Rows that agree in both have equal results, and positions are gathered as a set, so
+    repeated keys and repeated rows come out as they went in.
+    """
+    marked = df.withColumn("_h", F.struct(F.xxhash64(items), F.xxhash64(F.lit("second"), items)))
+    each = marked.select(key, "_h", F.posexplode_outer(items).alias("pos", name))
+    placed = each.filter(F.col("pos").isNotNull()).withColumn(
+        "salt", F.pmod(F.xxhash64(key, "pos"), F.lit(salts)).cast("int")
+    )
+    hits = placed.join(copies, [name, "salt"], "left").select(
+        F.col(key).alias("_key"), F.col("_h").alias("_hash"), "pos", value.alias("value")
     )
-    regrouped = hits.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_pairs")
+    regrouped = hits.groupBy("_key", "_hash").agg(
+        F.array_sort(F.collect_set(F.struct("pos", "value"))).alias("_pairs")
     )
-    rest = df.drop(tok).join(regrouped, key, "left")
-    ids = F.transform(F.coalesce("_pairs", F.array().cast("array<struct<pos:int,id:int>>")), lambda p: p["id"])
-    return _with_mask(rest.withColumn("input_ids", ids).drop("_pairs"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_h") == F.col("_hash"))
+    rest = marked.join(regrouped, same, "left").drop("_key", "_hash", "_h")
+    made = F.coalesce(F.transform("_pairs", lambda p: p["value"]), F.array())
+    return rest.withColumn("_made", made).drop("_pairs")
 
 
 def decode(
@@ -200,31 +218,54 @@ def decode(
     vocab: DataFrame,
     *,
     ids: str = "input_ids",
+    key: str = "doc_id",
     skip: Sequence[str] = (),
     limit: int = BROADCAST_ENTRIES,
 ) -> DataFrame:
-    """Adds ``text``: the tokens of ``ids`` joined; tokens named in ``skip`` are left out."""
+    """Adds ``text``: the tokens of ``ids`` joined; tokens named in ``skip`` are left out.
+
+    Ids without an entry give nothing. A vocabulary beyond ``limit`` entries is joined, see
+    :func:`decode_by_join`; the rows are the same.
+    """
     rows = _fetch_vocab(vocab, limit)
     if rows is None:
-        raise ValueError(f"decoding needs a vocabulary of at most {limit} entries")
-    width = max((r["id"] for r in rows), default=-1) + 1
-    names: list[str | None] = [None] * width
-    for r in rows:
-        names[r["id"]] = "" if r["token"] in skip else r["token"]
-    table = df.sparkSession.sparkContext.broadcast(names)
+        return decode_by_join(df, vocab, ids=ids, key=key, skip=skip)
+    table = df.sparkSession.sparkContext.broadcast(
+        {r["id"]: "" if r["token"] in skip else r["token"] for r in rows}
+    )
 
     @F.arrow_udf("array<string>")
-    def look_up(col):
+    def look_up(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import numpy as np
-        import pyarrow as pa
 
-        found = pa.array(table.value, pa.string()).take(col.flatten())
-        offsets = np.asarray(col.offsets)
-        return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), found)
+        names = table.value
+        for col in columns:
+            numbers = col.flatten().dictionary_encode()
+            found = pa.array([names.get(i) for i in numbers.dictionary.to_pylist()], pa.string())
+            offsets = np.asarray(col.offsets)
+            yield pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), found.take(numbers.indices))
 
     return df.withColumn("text", F.array_join(once(look_up)(ids), ""))
 
 
+def decode_by_join(
+    df: DataFrame,
+    vocab: DataFrame,
+    *,
+    ids: str = "input_ids",
+    key: str = "doc_id",
+    skip: Sequence[str] = (),
+    salts: int = 16,
+) -> DataFrame:
+    """The same for a vocabulary of any size, as a salted join."""
+    shown = vocab.filter(~F.col("token").isin(*skip)) if skip else vocab
+    copies = shown.select(
+        "id", "token", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+    )
+    made = _by_position(df, ids, key, "id", copies, F.coalesce("token", F.lit("")), salts)
+    return made.withColumn("text", F.array_join(F.col("_made").cast("array<string>"), "")).drop("_made")
+
+
 def token_profile(df: DataFrame, length: Column, short: int, by: Sequence[str] = ()) -> DataFrame:
     """Documents, tokens, mean and exact quartiles of the length, share of short documents.
 

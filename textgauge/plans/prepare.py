@@ -50,10 +50,10 @@ def prepare(
         stats = chunk_stats(tokens, F.size("input_ids"), max_length, stride)
     else:
         stats = chunk_stats(kept, length(), max_length, stride)
-    # Every token has at least one byte: shorter texts cannot fill a window, and are gone before
-    # they are tokenized.
-    long_enough = tokenize(kept.filter(F.octet_length("text") >= max_length))
-    chunks = chunk(long_enough, max_length, stride)
+    if tokenize is byte_tokenize:
+        # a token is a byte: shorter texts cannot fill a window, and go before they are tokenized
+        tokens = tokenize(kept.filter(F.octet_length("text") >= max_length))
+    chunks = chunk(tokens, max_length, stride)
     if save_to is None:
         return Prepared(chunks, stats)
     path, rows = write_chunks(
@@ -63,5 +63,6 @@ def prepare(
         tokenizer=tokenizer,
         max_length=max_length,
         stride=stride,
+        seed=seed,
     )
     return Prepared(chunks, stats, path, rows)

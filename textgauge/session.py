@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 
@@ -17,6 +19,7 @@ def local_session(cpus: int | str = "*", app: str = "textgauge", memory: str = "
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", width)
+        .config("textgauge.spread", width)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -28,7 +31,9 @@ def local_session(cpus: int | str = "*", app: str = "textgauge", memory: str = "
 
 @functools.cache
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="textgauge-")
+    folder = tempfile.mkdtemp(prefix="textgauge-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -46,12 +51,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rehash a *scan* over the cluster when its few files would leave cores idle.
+    """Rehash a scan of one small file over the cores of a local session.
 
-    A scan that already has a partition per core is returned as it is, so large inputs
-    are never shuffled for this.
+    Off unless ``textgauge.spread`` holds a number of partitions, as local sessions of tests and
+    measurements set it. On a cluster a scan is left as it is.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= wanted:
-        return df
-    return df.repartition(wanted, *keys)
+    parts = df.sparkSession.conf.get("textgauge.spread", None)
+    return df.repartition(int(parts), *keys) if parts else df

@@ -12,10 +12,20 @@ def fraction_label(fraction: float | None) -> str:
 
 
 def chunk_path(
-    base: str, fraction: float | None, tokenizer: str, max_length: int, stride: int
+    base: str,
+    fraction: float | None,
+    tokenizer: str,
+    max_length: int,
+    stride: int,
+    seed: int | None = None,
 ) -> str:
-    """Tokenizer, length and stride are part of the name, so configurations never collide."""
+    """Tokenizer, length, stride, fraction and seed are part of the name: no two runs share one.
+
+    The short label is followed by the exact fraction and the seed of a subsample.
+    """
     name = f"{tokenizer}_m{max_length}_s{stride}_{fraction_label(fraction)}"
+    if fraction is not None and fraction < 1.0:
+        name += f"_f{fraction!r}" + ("" if seed is None else f"_seed{seed}")
     return f"{base.rstrip('/')}/{name}"
 
 
@@ -27,13 +37,14 @@ def write_chunks(
     tokenizer: str,
     max_length: int,
     stride: int,
+    seed: int | None = None,
 ) -> tuple[str, int]:
     """Write once, fail if the folder exists; returns the path and the rows written.
 
     The rows are counted while they are written. A ``labels`` column is stored if ``df`` has one;
     labels that just repeat the inputs need not be, :func:`read_chunks` adds them.
     """
-    path = chunk_path(base, fraction, tokenizer, max_length, stride)
+    path = chunk_path(base, fraction, tokenizer, max_length, stride, seed)
     seen = Observation()
     out = df.observe(seen, F.count(F.lit(1)).alias("rows"))
     out.write.mode("errorifexists").parquet(path)

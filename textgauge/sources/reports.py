@@ -29,14 +29,14 @@ def render_cases(
     """``(case_idx, markdown)``: one numbered section per case, rendered row by row.
 
     Sections of a report are the rows in ``case_idx`` order, joined by line breaks.
-    Back-ticks are widened in the two completions only.
+    Back-ticks are widened in the two completions only; a missing completion is an empty block.
     """
 
     def block(text: Column) -> Column:
         return F.concat(F.lit("```python\n"), text, F.lit("\n```\n"))
 
     def completion(name: str) -> Column:
-        return block(widen_fences(right_strip(F.col(name))))
+        return block(widen_fences(right_strip(F.coalesce(F.col(name), F.lit("")))))
 
     section = F.concat_ws(
         "\n",

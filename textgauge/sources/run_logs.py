@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from textgauge.functions.text import strip_ansi
 
 # The shape of a line and of a file name. A rotated part ends with .1, .2, ...
-LINE = r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d \| \w+ *\| \S+ *\| [^:|]+:\d+ \| .*$"
+LINE = r"(?s)\A\d{4}-\d\d-\d\d \d\d:\d\d:\d\d \| \w+ *\| \S+ *\| [^:|]+:\d+ \| .*\z"
 SEPARATOR = r" \| "
 FILE_NAME = r"([^/=]+)_(\d{4}-\d\d-\d\d_\d{6})(?:\.log(?:\.\d+)?)?$"
 LINE_TIME = "yyyy-MM-dd HH:mm:ss"
 FILE_TIME = "yyyy-MM-dd_HHmmss"
 
 
-def parse_lines(df: DataFrame, line: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+def parse_lines(
+    df: DataFrame,
+    line: str = "value",
+    keep: tuple[str, ...] = (),
+    seen: Observation | None = None,
+) -> DataFrame:
     """Six typed fields per line; lines of another shape (a traceback, say) are left out.
 
+    ``seen`` gets ``lines`` and ``other_lines``, the number of all lines and of those left out.
+
     Colour codes are taken out first: levels and messages of warnings carry them. The message
     may itself hold the separator, so a line is split into five parts at most. Cleaning, check
     and split sit in one generator, which Spark runs once per line instead of once per field.
     """
     clean = F.array(strip_ansi(F.col(line)))
     parts = F.transform(clean, lambda text: F.when(text.rlike(LINE), F.split(text, SEPARATOR, 5)))
-    cut = df.select(*keep, F.explode(parts).alias("_p")).filter(F.col("_p").isNotNull())
+    cut = df.select(*keep, F.explode(parts).alias("_p"))
+    if seen is not None:
+        other = F.count_if(F.col("_p").isNull())
+        cut = cut.observe(seen, F.count(F.lit(1)).alias("lines"), other.alias("other_lines"))
+    cut = cut.filter(F.col("_p").isNotNull())
 
     def part(i: int) -> Column:
         return F.get("_p", F.lit(i))
