@@ -176,3 +176,37 @@ def test_both_routes_give_the_same_rows(spark):
     coded = tokenizing.encode(df, vocab)
     shown, joined = (sorted(map(key, tokenizing.decode(coded, vocab, skip=("<unk>",), limit=k).select("doc_id", "text").collect())) for k in (10, 2))
     assert shown == joined and len(shown) == len(rows)
+
+
+def test_queue_of_pairs_joins_like_whole_passes():
+    rng = random.Random(11)
+
+    def passes(parts, pairs):
+        while True:
+            best = min((pairs[p] for p in zip(parts, parts[1:]) if p in pairs), default=None)
+            if best is None:
+                return parts
+            out, i = [], 0
+            while i < len(parts):
+                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == best[1:3]:
+                    out.append(best[3])
+                    i += 2
+                else:
+                    out.append(parts[i])
+                    i += 1
+            parts = out
+
+    for _ in range(300):
+        made, pairs = 4, {}
+        for rank in range(rng.randrange(1, 14)):
+            a, b = rng.randrange(made), rng.randrange(made)
+            joined = made if rng.random() < 0.7 else rng.randrange(4, made + 1)  # a piece may be made in two ways
+            if (a, b) not in pairs and joined not in (a, b):
+                pairs[a, b] = (rank, a, b, joined)
+                made = max(made, joined + 1)
+        word = [rng.randrange(4) for _ in range(rng.randrange(0, 60))]
+        try:
+            want = passes(list(word), pairs)
+        except MemoryError:
+            continue
+        assert bpe.join_pairs(list(word), pairs) == want

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textgauge.functions import tokens
 from textgauge.operators import runlogs, scoring, tokenizing
-from textgauge.session import shared_dir, spread
+from textgauge.session import spread, written as saved
 from textgauge.sources import corpus, run_logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -181,13 +181,6 @@ VOCAB_SQL = f"""
               FROM counts ORDER BY n DESC, token LIMIT 5000)"""
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """A fitted table, written once because several steps read it."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def saved_vocab(spark, sf):
     return saved(tokenizing.build_vocab(tok_docs(spark, sf), 5000), "vocab")
 

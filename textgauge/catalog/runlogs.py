@@ -11,6 +11,7 @@ from textgauge.catalog.base import (
     run_day,
     run_metrics,
     stamp,
+    table,
 )
 from textgauge.operators import runlogs
 
@@ -36,6 +37,47 @@ def log_metrics(spark, sf):
     )
 
 
+# Message formats with the metric that the first number of each gives.
+FORMATS = (
+    ("raw", "Raw dataset loaded: %d documents.", "documents"),
+    ("tokenizer", "Tokenizer loaded: vocab_size=%d, pad_token='<p1>', eos_token='</s>'.", "vocab_size"),
+    ("total_chunks", "  • Total chunks:     %d", "chunks"),
+    ("total_tokens", "  • Total tokens:     %d", "tokens"),
+    ("chunk_length", "  • Tokens per chunk: %d", "chunk_length"),
+    ("chunk_stride", "  • Chunk stride:     %d", "stride"),
+    ("loaded", "Dataset loaded: %d total chunks.", "chunks"),
+    ("saved", "Dataset saved (%d chunks, 2.5 MB on disk).", "chunks"),
+    ("subsample", "Subsampled %d / 7 chunks (50.0%%) for ablation study.", "kept"),
+    (None, "Raw dataset loaded: %d documents. Done", None),
+)
+FORMAT_COLUMNS = ("documents", "vocab_size", "chunks", "tokens", "chunk_length", "stride", "kept", "total", "megabytes")
+
+
+def _format_sql(metric: str) -> str:
+    own = [i for i, f in enumerate(FORMATS) if f[2] == metric]
+    whens = [f"WHEN event_id % {len(FORMATS)} = {i} THEN user_id::DOUBLE" for i in own]
+    if metric in ("total", "megabytes"):
+        kind, value = ("subsample", 7.0) if metric == "total" else ("saved", 2.5)
+        whens = [f"WHEN event_id % {len(FORMATS)} = {[f[0] for f in FORMATS].index(kind)} THEN {value}::DOUBLE"]
+    return f"CASE {' '.join(whens)} END AS {metric}"
+
+
+@query(
+    f"""
+    SELECT event_id, ['{"', '".join(str(f[0]) for f in FORMATS)}'][event_id % {len(FORMATS)} + 1] AS kind,
+           {", ".join(map(_format_sql, FORMAT_COLUMNS))}
+    FROM events WHERE event_id % {len(FORMATS)} <> {len(FORMATS) - 1}"""
+)
+def log_formats(spark, sf):
+    """Messages of the other formats, one for each event, and one that only starts like them."""
+    which = F.pmod("event_id", F.lit(len(FORMATS)))
+    message = F.lit(None)
+    for i, (_, text, _) in enumerate(FORMATS):
+        message = F.when(which == i, F.format_string(text, "user_id")).otherwise(message)
+    lines = table(spark, sf, "events").select("event_id", "ts", message.alias("message"))
+    return runlogs.extract_metrics(lines, keep=("event_id",)).select("event_id", "kind", *FORMAT_COLUMNS)
+
+
 CHECKPOINT_SQL = f"""
     {LOG_SQL},
     e AS (SELECT DISTINCT experiment, run_day, epoch, stamp, eval_loss, perplexity

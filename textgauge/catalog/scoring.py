@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from textgauge.catalog.base import (
     BYTES,
+    ENCODED_SQL,
     LOG_SQL,
     SAMPLE_HASH,
     SPLIT_HASH,
@@ -17,7 +18,10 @@ from textgauge.catalog.base import (
     r6,
     rounded,
     run_metrics,
+    saved,
+    saved_vocab,
     table,
+    tok_docs,
     windows_sql,
 )
 from textgauge.operators import chunking, countlm, curves, scoring, splitting, tokenizing
@@ -157,6 +161,31 @@ def perplexity_by_quality(spark, sf):
     return _held_out_loss(docs(spark, sf).join(labels, "doc_id", "left"), "quality")
 
 
+@query(
+    f"""
+    WITH {ENCODED_SQL},
+    d AS (SELECT doc_id, substr({SPLIT_HASH}, 1, 8) < {TENTH} AS held, ids FROM enc),
+    w AS ({windows_sql("d", 64, 64, ids="ids", keep="doc_id, held")}),
+    pairs AS (SELECT held, unnest(c[1:63]) AS prev, unnest(c[2:64]) AS next FROM w),
+    c2 AS (SELECT prev, next, count(*) AS n FROM pairs WHERE NOT held GROUP BY ALL),
+    c1 AS (SELECT prev, count(*) AS n FROM pairs WHERE NOT held GROUP BY ALL),
+    s AS (SELECT -ln((coalesce(c2.n, 0) + 1) / (coalesce(c1.n, 0) + 5002)::DOUBLE) AS nll
+          FROM (SELECT * FROM pairs WHERE held) p LEFT JOIN c2 USING (prev, next)
+          LEFT JOIN c1 ON c1.prev = p.prev)
+    SELECT round(avg(nll), 6) AS eval_loss, round(exp(avg(nll)), 6) AS perplexity, count(*) AS n_tokens FROM s"""
+)
+def count_lm_vocab(spark, sf):
+    """The counted model over ids of a vocabulary, too many pairs to be sent to executors."""
+    vocab = saved_vocab(spark, sf)
+    coded = tokenizing.encode(tok_docs(spark, sf), vocab)
+    both = splitting.split(coded, ["doc_id"]).select("doc_id", "split", "input_ids")
+    pairs = scoring.shift_pairs(chunking.chunk(both, 64, keep=("doc_id", "split")), keep=("split",))
+    counts = saved(countlm.count_pairs(pairs, by=("split",)), "pairs")
+    train, test = (counts.filter(F.col("split") == side).drop("split") for side in ("train", "test"))
+    lm = countlm.count_lm(train, 5002)
+    return rounded(scoring.perplexity(countlm.score_count_lm(lm, test), weight="n"))
+
+
 @query(
     f"""
     WITH d AS (SELECT doc_id, lang, substr({SPLIT_HASH}, 1, 8) < {TENTH} AS held, {BYTES} AS b

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, functions as F
 
 from textgauge.catalog.base import (
@@ -20,6 +22,7 @@ from textgauge.catalog.base import (
 )
 from textgauge.functions import tokens
 from textgauge.operators import bpe, scoring, tokenizing
+from textgauge.session import shared_dir
 
 
 @query(
@@ -199,6 +202,19 @@ def _top_pairs(pieces: DataFrame, k: int) -> list[tuple[str, str]]:
     return [(r["prev"], r["next"]) for r in rows]
 
 
+def _through_files(spark, merges: list[tuple[bytes, bytes]]):
+    """Merges and ids written as the usual two files and read back."""
+    shown = bpe.printable_bytes()
+    name = lambda token: "".join(shown[b] for b in token)
+    lines = "\n".join(["#version: 0.2", *(f"{name(a)} {name(b)}" for a, b in merges)])
+    entries = json.dumps({name(t): i for t, i in bpe.byte_vocab(merges).items()})
+    paths = []
+    for text in (lines, entries):
+        paths.append(shared_dir(spark, "bpe"))
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(paths[-1])
+    return bpe.read_bpe(spark, *paths)
+
+
 def _merges(words: DataFrame) -> list[tuple[bytes, bytes]]:
     """Merges counted over the distinct pre-tokens ``(tok, n)``."""
     hexed = F.regexp_extract_all(F.hex(F.encode("token", "UTF-8")), F.lit(".."), F.lit(0))
@@ -227,8 +243,8 @@ def _merges(words: DataFrame) -> list[tuple[bytes, bytes]]:
 def bpe_pieces(spark, sf):
     df = tok_docs(spark, sf)
     words = tokenizing.token_counts(df).withColumnRenamed("count", "n")
-    merges = _merges(saved(words, "words"))
-    coded = bpe.bpe_encode(df, merges)
+    merges, ids = _through_files(spark, _merges(saved(words, "words")))
+    coded = bpe.bpe_encode(df, merges, ids)
     names = [f"<{t.hex().upper()}>" for t in bpe.byte_vocab(merges)]
     vocab = spark.createDataFrame(list(enumerate(names)), "id int, token string")
     back = tokenizing.decode(coded, vocab)

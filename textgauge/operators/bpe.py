@@ -7,6 +7,7 @@ There is no shuffle and no join back.
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Mapping, Sequence
 
@@ -55,6 +56,38 @@ def byte_vocab(merges: Sequence[tuple[bytes, bytes]]) -> dict[bytes, int]:
     return ids
 
 
+def join_pairs(parts: list[int], pairs: Mapping[tuple[int, int], tuple[int, int, int, int]]) -> list[int]:
+    """Join the best-ranked pair of neighbours wherever it occurs, until no pair is known.
+
+    Places of pairs wait in a queue by rank and place, and pieces are linked to their neighbours, so
+    a long word takes little more than linear time. All places of a rank are joined before the
+    pairs that this makes are looked at.
+    """
+    after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+    queue = [(pairs[p][0], i) for i, p in enumerate(zip(parts, parts[1:])) if p in pairs]
+    heapq.heapify(queue)
+    end = len(parts)
+    while queue:
+        rank, made = queue[0][0], []
+        while queue and queue[0][0] == rank:
+            i = heapq.heappop(queue)[1]
+            j = after[i] if parts[i] >= 0 else end
+            found = pairs.get((parts[i], parts[j])) if j < end else None
+            if found is None or found[0] != rank:
+                continue  # one of the two was joined meanwhile
+            parts[i], parts[j] = found[3], -1
+            after[i] = after[j]
+            if after[j] < end:
+                before[after[j]] = i
+            made.append(i)
+        for i in made:
+            for a in {i, before[i]}:
+                b = after[a] if a >= 0 and parts[a] >= 0 else end
+                if b < end and (parts[a], parts[b]) in pairs:
+                    heapq.heappush(queue, (pairs[parts[a], parts[b]][0], a))
+    return [p for p in parts if p >= 0]
+
+
 def bpe_encode(
     df: DataFrame,
     merges: Sequence[tuple[bytes, bytes]],
@@ -82,24 +115,8 @@ def bpe_encode(
     known: dict[str, list[int]] = {}
 
     def merged(word: str) -> list[int]:
-        """Join the best-ranked pair of neighbours wherever it occurs, until no pair is known."""
         pairs, numbers = table.value
-        parts = list(word.encode("utf-8"))
-        while True:
-            best = min((pairs[p] for p in zip(parts, parts[1:]) if p in pairs), default=None)
-            if best is None:
-                return [numbers[p] for p in parts]
-            _, left, right, joined = best
-            out: list[int] = []
-            i, last = 0, len(parts) - 1
-            while i <= last:
-                if i < last and parts[i] == left and parts[i + 1] == right:
-                    out.append(joined)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+        return [numbers[p] for p in join_pairs(list(word.encode("utf-8")), pairs)]
 
     @F.arrow_udf("array<int>")
     def to_ids(col):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from textgauge.functions.text import STOPS, truncate_block, truncate_stop
 from textgauge.operators.workers import once_per_worker
-from textgauge.session import shared_dir
+from textgauge.session import shared_dir, written
 
 
 
@@ -128,7 +128,7 @@ def sample_by_join(
         x = acc["x"] - c["q"]
         return F.struct(x.alias("x"), F.concat(acc["xs"], F.array(x)).alias("xs"))
 
-    choices = _written(
+    choices = written(
         choices.select(
             F.col("context").alias("_last"),
             F.transform("c", lambda c: c["token"]).alias("_tokens"),
@@ -151,18 +151,12 @@ def sample_by_join(
             F.concat("completion", F.coalesce(drawn, F.lit(""))).alias("completion"),
         )
         if step % 4 == 3:
-            rows = _written(rows, "sampled")
+            rows = written(rows, "sampled")
             if rows.filter(F.col("_last").isNotNull()).isEmpty():
                 break
     return rows.select(key, "sample_idx", "completion")
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def with_truncation(
     df: DataFrame, col: str = "completion", how: str = "stop", stops: Sequence[str] = STOPS
 ) -> DataFrame:

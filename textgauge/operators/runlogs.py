@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -35,10 +36,20 @@ MESSAGES = {
     ),
     "loaded": (r"^Dataset loaded: \d+ total chunks\.$", ("chunks",)),
     "saved": (r"^Dataset saved \(\d+ chunks, \d+\.\d MB on disk\)\.$", ("chunks", "megabytes")),
+    "raw": (r"^Raw dataset loaded: \d+ documents\.$", ("documents",)),
+    "tokenizer": (
+        r"^Tokenizer loaded: vocab_size=\d+, pad_token='.*', eos_token='.*'\.$",
+        ("vocab_size",),
+    ),
+    "total_chunks": (r"^  • Total chunks: +\d+$", ("chunks",)),
+    "total_tokens": (r"^  • Total tokens: +\d+$", ("tokens",)),
+    "chunk_length": (r"^  • Tokens per chunk: +\d+$", ("chunk_length",)),
+    "chunk_stride": (r"^  • Chunk stride: +\d+$", ("stride",)),
 }
 METRICS = (
     "epoch", "eval_loss", "perplexity", "chunks", "documents", "discarded",
     "train_chunks", "val_chunks", "kept", "total", "megabytes",
+    "vocab_size", "tokens", "chunk_length", "stride",
 )
 
 # Log levels in order, and loggers that only report from WARNING on.
@@ -46,6 +57,10 @@ LEVELS = {"DEBUG": 10, "INFO": 20, "WARNING": 30, "ERROR": 40, "CRITICAL": 50}
 RAISED = {"transformers": "WARNING", "datasets": "WARNING", "accelerate": "INFO"}
 
 
+# the part of a pattern before its first special character, and before a blank that may repeat
+_FIXED_START = re.compile(r"(?:[^\\(\[.*+?{| ]| (?![+*?{]))*")
+
+
 def extract_metrics(logs: DataFrame, keep: Sequence[str] = RUN) -> DataFrame:
     """``(*keep, ts, kind, <METRICS>)`` for messages of a known format, NULL where not given.
 
@@ -55,8 +70,8 @@ def extract_metrics(logs: DataFrame, keep: Sequence[str] = RUN) -> DataFrame:
     message = F.col("message")
     kind = F.lit(None).cast("string")
     for name, (pattern, _) in MESSAGES.items():
-        # the fixed first word is compared before the pattern is tried
-        known = message.startswith(pattern[1:].split(" ")[0]) & message.rlike(pattern)
+        # the fixed first words are compared before the pattern is tried
+        known = message.startswith(_FIXED_START.match(pattern[1:])[0]) & message.rlike(pattern)
         kind = F.when(known, name).otherwise(kind)
     numbers = F.regexp_extract_all(message, F.lit(_NUM), F.lit(0))
     found = F.transform(

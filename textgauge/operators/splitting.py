@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from textgauge.functions.ordering import SPLIT_SALT, below_share, order_hash
 from textgauge.operators.sampling import find_cuts, held_out_rows
+from textgauge.session import written
 
 
 def split(
@@ -33,7 +34,7 @@ def split(
     if exact:
         units = df.select(*used)
         if len(used) < len(keys):
-            units = units.distinct()
+            units = written(units.distinct(), "units")  # counting takes several passes
         _, cuts = find_cuts(units, used, [seed], lambda n: [held_out_rows(n, test_size)], SPLIT_SALT)
         held = cuts[seed][0].keeps(used)
     else:
