@@ -11,6 +11,7 @@ NO_PYTHON = [
     not in {
         # user models and vocabulary look-ups run in Python workers
         "encode_ids", "decode_roundtrip", "bpe_pieces", "chunk_vocab", "score_chunks", "evaluate_model",
+        "decode_by_join", "count_lm_vocab",
         # pairs of bytes are counted by position in Arrow batches
         "scaling_curve", "count_lm_perplexity", "benchmark_perplexity", "perplexity_by_quality",
         "generate_greedy", "generate_sampled",
@@ -86,3 +87,14 @@ def test_evaluated_once_across_a_shuffle(spark, plan):
     chunks = chunking.chunk(tokenizing.byte_tokenize(docs), 8, 2).repartition(3, "chunk_idx")
     text = plan(chunks.selectExpr("chunk_idx", "size(input_ids) AS n", "hash(input_ids) AS h"))
     assert text.index("Exchange") < text.index("slice(")
+
+
+@pytest.mark.parametrize("name", ["leaked_rows", "split_overlap"])
+def test_keys_move_without_texts(spark, small, plan, name):
+    shuffled = [line for line in plan(catalog.QUERIES[name](spark, small)).splitlines() if "Exchange" in line]
+    assert shuffled and not any("text#" in line for line in shuffled)
+
+
+def test_ranking_is_cut_before_the_shuffle(spark, small, plan):
+    text = plan(catalog.QUERIES["topk_topp"](spark, small))
+    assert "WindowGroupLimit" in text and "Partial" in text.split("WindowGroupLimit")[-1]
