@@ -170,3 +170,21 @@ def test_coverage_of_any_length(spark, m, s):
 def test_configurations_do_not_share_a_path():
     made = {files.chunk_path("x", f, "bytes", 8, 8, seed) for f in (None, 0.291, 0.299, 0.001, 0.002) for seed in (42, 123)}
     assert len(made) == 9
+
+
+def test_long_documents_take_linear_time_without_compiled_code(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(0, "x" * n)], "doc_id int, text string").select("doc_id", F.split("text", "").alias("input_ids"))
+        start = time.perf_counter()
+        assert chunking.chunk(df, 256, 200).count() == (n - 256) // 200 + 1
+        return time.perf_counter() - start
+
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    try:
+        seconds(100_000)
+        short, long = seconds(1_000_000), seconds(4_000_000)
+    finally:
+        spark.conf.unset("spark.sql.codegen.wholeStage")
+    assert long < 6 * max(short, 0.5)

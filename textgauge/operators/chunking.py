@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from textgauge.functions.windows import (
     check_window,
     covered_tokens,
+    div,
     window_count,
     windows_at,
 )
@@ -32,21 +33,35 @@ def chunk(
 ) -> DataFrame:
     """``(*keep, chunk_idx, start, input_ids)``; windows never cross documents.
 
-    Window numbers are generated first and each window is cut on its own row afterwards, so a
-    small stride never holds all windows of a document at once. The cut is a generator, too: as a
-    plain expression the optimizer could move it behind a shuffle or a UDF, which would then
-    carry the whole document with each of its windows. Stride defaults to the length.
+    A document is cut into overlapping blocks of a few windows first, and the windows of a block are
+    numbered and cut on rows of their own afterwards. So a small stride never holds all windows of a
+    document at once, and a window row carries its block, not the document: the time stays linear in
+    the length also where Spark compiles no code. The last cut is a generator, too: as a plain
+    expression the optimizer could move it behind a shuffle or a UDF, which would then carry the
+    block with each of its windows. Stride defaults to the length.
     """
     stride = max_length if stride is None else stride
     check_window(max_length, stride)
+    # blocks of at least a window's reach overlap by half at most
+    several = max(16, -(-max_length // stride))
     n = window_count(F.size(ids), max_length, stride)
+    last = F.greatest(div(n + (several - 1), several) - 1, F.lit(0))
+    reach = (several - 1) * stride + max_length
     # Guarded twice: sequence(0, -1) would run backwards.
-    numbers = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))))
-    numbered = df.select(*keep, F.col(ids).alias("_ids"), F.explode(numbers).alias("chunk_idx"))
-    start = F.col("chunk_idx") * stride
-    window = F.slice("_ids", start + 1, F.lit(max_length))
+    blocks = F.transform(
+        F.sequence(F.lit(0), last), lambda b: F.slice(F.col(ids), b * (several * stride) + 1, F.lit(reach))
+    )
+    cut = df.select(*keep, F.posexplode(F.when(n > 0, blocks)).alias("_block", "_ids"))
+    inside = window_count(F.size("_ids"), max_length, stride)
+    numbers = F.when(inside > 0, F.sequence(F.lit(0), F.greatest(inside - 1, F.lit(0))))
+    numbered = cut.select(*keep, "_block", "_ids", F.explode(numbers).alias("_w"))
+    idx = F.col("_block") * several + F.col("_w")
+    window = F.slice("_ids", F.col("_w") * stride + 1, F.lit(max_length))
     return numbered.select(
-        *keep, "chunk_idx", start.alias("start"), F.explode(F.array(window)).alias("input_ids")
+        *keep,
+        idx.alias("chunk_idx"),
+        (idx * stride).alias("start"),
+        F.explode(F.array(window)).alias("input_ids"),
     )
 
 
@@ -89,10 +104,10 @@ def chunk_coverage(
     and two rows for the repeating part, however long it is.
     """
     check_window(max_length, stride)
-    sizes = df.groupBy(*by, length.cast("long").alias("len")).agg(F.count(F.lit(1)).alias("docs"))
-    n = window_count(F.col("len"), max_length, stride)
+    sizes = df.groupBy(*by, length.cast("long").alias("_len")).agg(F.count(F.lit(1)).alias("_docs"))
+    n = window_count(F.col("_len"), max_length, stride)
     few = 2 * (max_length // stride + 2)
-    sizes = sizes.select(*by, "len", "docs", n.alias("n"), F.least(n, F.lit(few)).alias("_few"))
+    sizes = sizes.select(*by, "_len", "_docs", n.alias("_n"), F.least(n, F.lit(few)).alias("_few"))
     starts = F.transform(F.sequence(F.lit(0), F.greatest(F.col("_few") - 1, F.lit(0))), lambda i: i * stride)
     edges = F.array_sort(F.array_distinct(F.concat(starts, F.transform(starts, lambda s: s + max_length))))
     edges = F.when(F.col("_few") > 0, edges).otherwise(F.array(F.lit(0)))
@@ -105,16 +120,16 @@ def chunk_coverage(
         ),
     )
     level, more = divmod(max_length, stride)
-    again = (F.col("n") - F.col("_few")).cast("long")
-    whole = F.when(F.col("n") > 0, (F.col("n") - 1).cast("long") * stride + max_length).otherwise(0)
+    again = (F.col("_n") - F.col("_few")).cast("long")
+    whole = F.when(F.col("_n") > 0, (F.col("_n") - 1).cast("long") * stride + max_length).otherwise(0)
     rest = F.array(
         *(
             F.struct(F.lit(w).alias("windows"), p.cast("long").alias("positions"))
-            for w, p in ((level + 1, again * more), (level, again * (stride - more)), (0, F.col("len") - whole))
+            for w, p in ((level + 1, again * more), (level, again * (stride - more)), (0, F.col("_len") - whole))
         )
     )
-    rows = sizes.select(*by, "docs", F.inline(F.concat(stretches, rest))).filter("positions > 0")
-    return rows.groupBy(*by, "windows").agg(F.sum(F.col("docs") * F.col("positions")).alias("positions"))
+    rows = sizes.select(*by, "_docs", F.inline(F.concat(stretches, rest))).filter("positions > 0")
+    return rows.groupBy(*by, "windows").agg(F.sum(F.col("_docs") * F.col("positions")).alias("positions"))
 
 
 def verify_chunks(
