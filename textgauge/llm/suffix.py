@@ -5,7 +5,7 @@ suffix array that fits one machine, so strings are first dealt out by content:
 
 1. Every window of ``length`` bytes has an anchor, the least hash among the grams that it holds. Equal
    windows have equal anchors at equal places. Neighbouring windows with one anchor form a run, kept as
-   (document, start, windows, anchor, digest of its bytes): one row for about 170 bytes.
+   (hash of its text, place, anchor, digest of its bytes): one row for about 170 bytes.
 2. Runs with equal anchor and digest are equal as a whole; if there are several, all their windows
    repeat. A run that is alone with its anchor repeats nowhere.
 3. Different runs with one anchor, mostly the edges of shared passages, are fetched once each and sorted:
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from textgauge.llm.common import checked, column, fresh, saved, text_of
 from textgauge.llm.shingles import _BASE, _INVERSE, _VALUES, _powers, mix
@@ -197,28 +197,30 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
 
 # --- the job ----------------------------------------------------------------------------------
 
-_RUN = ("start", "windows", "anchor", "digest")
+#: A run's start and number of windows (below ``length``) in one number.
+SHIFT = 12
 
 
-def _scan(length: int, gram: int, at: int, names: list[str]):
+def _scan(length: int, gram: int):
+    """(h1, h2, bytes) to one row for each run: h1, h2, loc, anchor, digest."""
+
     def run(batches):
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 batch = whole.slice(k, 512)
-                cols: list[list] = [[], [], [], []]
-                counts = []
-                for value in batch.column(at):
-                    data = memoryview(value.as_buffer()) if value.is_valid else b""
+                found: list[tuple[np.ndarray, ...]] = []
+                digests: list[int] = []
+                for value in batch.column(2):
+                    data = memoryview(value.as_buffer())
                     start, windows, anchor = runs(np.frombuffer(data, np.uint8), length, gram)
-                    for col, made in zip(cols, (start, windows, anchor)):
-                        col.append(made)
+                    found.append(((start << SHIFT) + windows, anchor))
                     stops = (start + windows + length - 1).tolist()
-                    cols[3].append([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(start.tolist(), stops)])
-                    counts.append(len(start))
-                flat = [np.concatenate([np.asarray(x, np.int64 if i < 3 else U) for x in c]).astype(U).view(np.int64) for i, c in enumerate(cols)]
-                fields = pa.StructArray.from_arrays([pa.array(f) for f in flat], names=list(_RUN))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, fields)], names=names)
+                    digests += [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(start.tolist(), stops)]
+                counts = [len(loc) for loc, _ in found]
+                owner = [np.repeat(batch.column(i).to_numpy(), counts) for i in (0, 1)]
+                loc, anchor = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+                cols = [*owner, loc, anchor, np.array(digests, U).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["h1", "h2", "loc", "anchor", "digest"])
 
     return run
 
@@ -229,11 +231,11 @@ def _cut_pieces(length: int):
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
-            for value, wanted in zip(batch.column(1), batch.column(2).to_pylist()):
+            for value, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
                 data = memoryview(value.as_buffer())
                 for w in wanted:
-                    a = w["start"]
-                    out.append((w["anchor"], w["digest"], w["n"], bytes(data[a : a + w["windows"] + length - 1])))
+                    a, windows = w["loc"] >> SHIFT, w["loc"] & (1 << SHIFT) - 1
+                    out.append((w["anchor"], w["digest"], w["n"], bytes(data[a : a + windows + length - 1])))
             cols = list(zip(*out)) or [(), (), (), ()]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["anchor", "digest", "n", "piece"])
@@ -328,18 +330,19 @@ def remove_repeats(
 
     New columns replace those of the same names.
     """
+    if not gram <= length < 1 << SHIFT:
+        raise ValueError(f"length must be below {1 << SHIFT} and not below gram")
     held = [c for c in docs.columns if c not in new]
     base = docs.select(*(column(docs, c) for c in held))
-    data, found, rid, wanted = (fresh(base, f"_{c}") for c in ("data", "runs", "rid", "ranges"))
+    data, h1, h2, wanted = (fresh(base, f"_{c}") for c in ("data", "h1", "h2", "ranges"))
     base = base.withColumn(data, text_of(docs, text).cast("binary"))
-    kind = ArrayType(StructType([StructField(c, LongType()) for c in _RUN]))
-    schema = StructType([*base.schema, StructField(found, kind)])
-    table = base.mapInArrow(_scan(length, gram, len(held), schema.names), schema)
-    table = saved(table.withColumn(rid, F.monotonically_increasing_id()), "runs")
+    base = base.withColumns({h1: F.xxhash64(data), h2: F.xxhash64(F.lit("second"), data)})
+    texts = base.select(F.col(h1).alias("h1"), F.col(h2).alias("h2"), F.col(data).alias("data"))
+    each = texts.mapInArrow(_scan(length, gram), "h1 long, h2 long, loc long, anchor long, digest long")
+    each = saved(each, "runs")
 
-    each = table.select(F.col(rid).alias("rid"), F.explode(found).alias("r")).select("rid", "r.*")
     kinds = each.groupBy("anchor", "digest").agg(
-        F.count("*").alias("copies"), F.first("rid").alias("rid"), F.first("start").alias("start"), F.first("windows").alias("windows")
+        F.count("*").alias("copies"), F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("loc").alias("loc")
     )
     kinds = saved(kinds, "run-kinds")
     several = kinds.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("copies").alias("all")).filter("all > 1")
@@ -347,15 +350,16 @@ def remove_repeats(
 
     # runs that occur as a whole elsewhere
     copied = each.join(kinds.filter("copies > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi")
-    copied = copied.selectExpr("rid", "start AS low", "start + windows AS high")
+    copied = copied.select("h1", "h2", "loc").distinct()
+    copied = copied.selectExpr("h1", "h2", f"loc >> {SHIFT} AS low", f"(loc >> {SHIFT}) + (loc & {(1 << SHIFT) - 1}) AS high")
 
     # different runs with one anchor
     mixed = kinds.filter("n > 1")
-    cuts = mixed.groupBy("rid").agg(F.collect_list(F.struct("anchor", "digest", "n", "start", "windows")).alias("cuts"))
+    cuts = mixed.groupBy("h1", "h2").agg(F.collect_list(F.struct("anchor", "digest", "n", "loc")).alias("cuts"))
     cuts = saved(cuts, "cuts")
-    texts = table.select(F.col(rid).alias("rid"), F.col(data).alias("data"))
-    texts = texts.join(checked(cuts.select("rid")), "rid", "left_semi").join(cuts, "rid")
-    pieces = texts.mapInArrow(_cut_pieces(length), "anchor long, digest long, n long, piece binary")
+    held_by = texts.join(checked(cuts.select("h1", "h2")), ["h1", "h2"], "left_semi")
+    held_by = held_by.groupBy("h1", "h2").agg(F.first("data").alias("data")).join(cuts, ["h1", "h2"]).select("data", "cuts")
+    pieces = held_by.mapInArrow(_cut_pieces(length), "anchor long, digest long, n long, piece binary")
     pieces = saved(pieces, "pieces")
     cold = pieces.filter(F.col("n") <= hot).select("anchor", "digest", "piece")
     cold = cold.repartition("anchor").sortWithinPartitions("anchor")
@@ -366,12 +370,12 @@ def remove_repeats(
         again = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
         again = windows.join(again, "window", "left_semi")
         ranges = ranges.union(again.selectExpr("anchor", "digest", "low", "low + 1"))
-    single = mixed.filter("copies = 1").select("anchor", "digest", "rid", "start")
-    edges = ranges.join(single, ["anchor", "digest"]).selectExpr("rid", "start + low AS low", "start + high AS high")
+    single = mixed.filter("copies = 1").select("anchor", "digest", "h1", "h2", F.expr(f"loc >> {SHIFT}").alias("start"))
+    edges = ranges.join(single, ["anchor", "digest"]).selectExpr("h1", "h2", "start + low AS low", "start + high AS high")
 
-    spans = copied.union(edges).groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    spans = spans.select(F.col("rid").alias(rid), F.col("ranges").alias(wanted))
-    joined = table.drop(found).join(spans, rid, "left").select(*(column(table, c) for c in held), data, wanted)
+    spans = copied.union(edges).groupBy("h1", "h2").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    spans = spans.select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.col("ranges").alias(wanted))
+    joined = base.join(spans, [h1, h2], "left").select(*(column(base, c) for c in held), data, wanted)
     out = StructType([docs.schema[c] for c in held])
     for name in new[:3]:
         out.add(StructField(name, LongType()))
