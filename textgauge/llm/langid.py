@@ -12,7 +12,7 @@ the tasks get holds ``languages * clusters * BUCKETS`` numbers and does not grow
 
 Defined results: ``und``, score 0 and rejected for a null text, a text without a letter, and any text
 if there was nothing to learn from. Null labels and null texts are not learned from. Copies of a text
-count once each in the sample. Other columns pass through untouched.
+count once in the sample. Other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from textgauge.llm.common import column, cut_batches, fresh, saved
+from textgauge.llm.common import checked, column, cut_batches, fresh, saved
 
 BUCKETS = 1 << 13
 #: Characters whose n-grams are counted together.
@@ -151,8 +151,15 @@ def fit(
     """Learn from at most ``per_language`` labelled texts of each language."""
     rows = docs.select(column(docs, lang).cast("string").alias("lang"), column(docs, text).alias("text"))
     rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"))  # cut in each task before the shuffle
-    chosen = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    # a cut on the hash leaves a few times as many texts as wanted, so that no task ranks a whole language
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("texts"))
+    share = F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("texts"))
+    cut = saved(sizes.select("lang", (share * (1 << 31)).alias("cut")), "language-sizes")
+    near = rows.join(checked(cut), "lang").filter(F.pmod("h", F.lit(1 << 31)) <= F.col("cut"))
+    near = near.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 31)), "h")
+    chosen = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
