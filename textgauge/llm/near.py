@@ -5,8 +5,8 @@
 2. Classes whose signatures agree on a band of four values meet in a bucket. With 32 bands, a pair at
    the threshold of 0.8 misses all buckets once in twenty million times.
 3. In each bucket all members are compared with the first one only, which is linear in the bucket. Pairs
-   whose signatures agree on less than ``threshold - SLACK`` of the values (over four standard
-   deviations) are left out, the rest is confirmed on the full shingle sets. Union-find groups the links.
+   whose signatures agree on less than ``threshold - SLACK`` of the values (over three and a half
+   standard deviations) are left out, the rest is confirmed on the full shingle sets. Union-find groups the links.
 4. What is left are buckets that still hold several groups. Their members meet in blocks of bounded size
    and every pair from different groups is tried, again on the full sets; only links leave the task.
 
@@ -33,7 +33,7 @@ from textgauge.llm.shingles import SLICE, shingle_sets, superminhash
 
 SLOTS, ROWS = 128, 4
 #: Signatures estimate a similarity of 0.8 with a standard deviation below 0.036.
-SLACK = 0.15
+SLACK = 0.13
 #: Members and shingles of a block; a task holds two blocks.
 BLOCK, BLOCK_SHINGLES = 512, 400_000
 
@@ -107,54 +107,62 @@ def _promising(threshold: int):
 def _blocks(threshold: int, k: int):
     """Links between different groups inside each (bucket, i, j), whose rows come one after another."""
 
-    def links(group: list[tuple]) -> list[tuple[int, int]]:
-        ids = np.array([g[0] for g in group])
-        own, same = np.array([g[2] for g in group]), group[0][4] == group[0][5]
+    def links(group: list[tuple], band: int) -> list[tuple[int, int]]:
+        ids, first, own = (np.array([g[c] for g in group]) for c in (0, 1, 2))
+        two = group[0][4] != group[0][5]
         sets = shingle_sets([g[3] for g in group], k)
         sigs, sizes = superminhash(sets, SLOTS), np.array([len(s) for s in sets])
-        parent = {int(c): int(c) for c in set(own.tolist())}
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                x = parent[x]
-            return x
-
-        first = np.array([g[1] for g in group])
         found = []
         for a in range(len(group)):
             others = np.arange(a + 1, len(group))
-            if not same:
-                others = others[first[others] != first[a]]
-            others = others[own[others] != own[a]]
             few, many = np.minimum(sizes[others], sizes[a]), np.maximum(sizes[others], sizes[a])
-            others = others[100 * few >= threshold * many]
-            if not len(others):
-                continue
-            alike = (sigs[others] == sigs[a]).mean(axis=1)
-            for b in others[alike >= threshold / 100 - SLACK][np.argsort(-alike[alike >= threshold / 100 - SLACK], kind="stable")]:
-                x, y = root(int(own[a])), root(int(own[b]))
-                if x != y and linked(sets[a], sets[b], threshold):
-                    parent[max(x, y)] = min(x, y)
-                    found.append((int(ids[a]), int(ids[b])))
+            yes = (own[others] != own[a]) & (100 * few >= threshold * many)
+            if two:
+                yes &= first[others] != first[a]
+            others = others[yes]
+            equal = sigs[others] == sigs[a]
+            alike = equal.mean(axis=1)
+            # a pair that shares several buckets is tried in that of its first band
+            yes = equal.reshape(len(others), SLOTS // ROWS, ROWS).all(axis=2).argmax(axis=1) == band
+            yes &= alike >= threshold / 100 - SLACK
+            others = others[yes][np.argsort(-alike[yes], kind="stable")]
+            while len(others):
+                now, others = others[:32], others[32:]
+                common = _common(sets[a], [sets[b] for b in now])
+                yes = 100 * common >= threshold * (sizes[a] + sizes[now] - common)
+                for b in now[yes]:
+                    x, y = own[a], own[b]
+                    if x != y:
+                        own[own == max(x, y)] = min(x, y)
+                        found.append((int(ids[a]), int(ids[b])))
+                others = others[own[others] != own[a]]
         return found
 
     def run(batches):
         held, group = None, []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in range(7)]
+            cols = [batch.column(c).to_pylist() for c in range(8)]
             out = []
-            for bucket, i, j, cid, blk, comp, text in zip(*cols):
-                if (bucket, i, j) != held:
-                    out += links(group) if len(group) > 1 else []
-                    held, group = (bucket, i, j), []
+            for bucket, i, j, cid, blk, comp, text, band in zip(*cols):
+                if (bucket, i, j, band) != held:
+                    out += links(group, held[3]) if len(group) > 1 else []
+                    held, group = (bucket, i, j, band), []
                 group.append((cid, blk, comp, text, i, j))
             yield _pairs(out)
         if len(group) > 1:
-            yield _pairs(links(group))
+            yield _pairs(links(group, held[3]))
 
     return run
 
 
+def _common(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of a sorted set with others, none of them empty."""
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    starts = np.cumsum([0, *map(len, others[:-1])])
+    return np.add.reduceat((one[at] == flat).astype(np.int64), starts)
+
+
 def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     a, b = zip(*rows) if rows else ((), ())
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -181,13 +189,9 @@ def near_groups(
     classes = saved(classes, "classes")
     texts = table.select(F.col(names["rid"]).alias("cid"), column(table, text).alias("text"))
     width = 2 * ROWS
-    bands = classes.select(
-        "cid",
-        "n",
-        F.explode(
-            F.transform(F.sequence(F.lit(0), F.lit(SLOTS // ROWS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))))
-        ).alias("bucket"),
-    )
+    places = F.sequence(F.lit(0), F.lit(SLOTS // ROWS - 1))
+    slots = F.transform(places, lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * width + 1, F.lit(width))))
+    bands = classes.select("cid", "n", F.posexplode(slots).alias("band", "bucket"))
 
     # every member against the first of its bucket
     heads = bands.groupBy("bucket").agg(F.min("cid").alias("head"), F.count("*").alias("size")).filter("size > 1")
@@ -207,21 +211,21 @@ def near_groups(
     grouped = bands.join(group, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     open_ = (
         grouped.groupBy("bucket")
-        .agg(F.count("*").alias("size"), F.sum("n").alias("all"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        .agg(F.count("*").alias("size"), F.sum("n").alias("all"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("band").alias("band"))
         .filter("size > 2 AND low < high")
-        .selectExpr("bucket", f"int(greatest(ceil(size / {BLOCK}), ceil(all / {BLOCK_SHINGLES}))) AS blocks")
+        .selectExpr("bucket", "band", f"int(greatest(ceil(size / {BLOCK}), ceil(all / {BLOCK_SHINGLES}))) AS blocks")
     )
     open_ = saved(open_, "open-buckets")
-    members = grouped.join(checked(open_), "bucket").selectExpr(
-        "bucket", "cid", "comp", "pmod(xxhash64(cid), blocks) AS blk", "explode(sequence(0, blocks - 1)) AS other"
+    members = grouped.drop("band").join(checked(open_), "bucket").selectExpr(
+        "bucket", "band", "cid", "comp", "pmod(xxhash64(cid), blocks) AS blk", "explode(sequence(0, blocks - 1)) AS other"
     )
     members = saved(
-        members.selectExpr("bucket", "least(blk, other) AS i", "greatest(blk, other) AS j", "cid", "blk", "comp"), "members"
+        members.selectExpr("bucket", "least(blk, other) AS i", "greatest(blk, other) AS j", "cid", "blk", "comp", "band"), "members"
     )
     left = saved(members.select("cid").distinct(), "left")
     said = texts.join(checked(left), "cid", "left_semi")
-    placed = members.join(said, "cid").select("bucket", "i", "j", "cid", "blk", "comp", "text")
-    placed = placed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "cid")
+    placed = members.join(said, "cid").select("bucket", "i", "j", "cid", "blk", "comp", "text", "band")
+    placed = placed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "band", "cid")
     more = placed.mapInArrow(_blocks(threshold, k), "a long, b long")
     group = components(links.union(more)).withColumnRenamed("node", "cid")
 
