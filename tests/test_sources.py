@@ -187,13 +187,13 @@ def test_shared_dir_follows_the_session():
 
 def test_spread_is_off_unless_asked_for(spark):
     wide = spark.range(100, numPartitions=50)
-    asked = spark.conf.get("textgauge.spread")
+    asked = spark.conf.get("spark.textgauge.spread")
     assert session.spread(wide, "id").rdd.getNumPartitions() == int(asked)
-    spark.conf.unset("textgauge.spread")
+    spark.conf.unset("spark.textgauge.spread")
     try:
         assert session.spread(wide, "id") is wide
     finally:
-        spark.conf.set("textgauge.spread", asked)
+        spark.conf.set("spark.textgauge.spread", asked)
 
 
 def test_lines_with_other_line_separators(spark):

@@ -144,7 +144,7 @@ def verify_chunks(spark, sf):
 @query(_chunk_sql(64, 64))
 def chunk_stream(spark, sf):
     batch = table(spark, sf, "documents")
-    parts = spark.conf.get("textgauge.spread", None)
+    parts = spark.conf.get("spark.textgauge.spread", None)
     # a stream reads folders: the table's own, or the one around a table of a single file
     some_file = batch.select("_metadata.file_path").first()
     single = some_file is not None and some_file[0].endswith("/documents.parquet")

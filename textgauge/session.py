@@ -19,7 +19,7 @@ def local_session(cpus: int | str = "*", app: str = "textgauge", memory: str = "
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", width)
-        .config("textgauge.spread", width)
+        .config("spark.textgauge.spread", width)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -60,8 +60,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rehash a scan of one small file over the cores of a local session.
 
-    Off unless ``textgauge.spread`` holds a number of partitions, as local sessions of tests and
+    Off unless ``spark.textgauge.spread`` holds a number of partitions, as local sessions of tests and
     measurements set it. On a cluster a scan is left as it is.
     """
-    parts = df.sparkSession.conf.get("textgauge.spread", None)
+    parts = df.sparkSession.conf.get("spark.textgauge.spread", None)
     return df.repartition(int(parts), *keys) if parts else df
