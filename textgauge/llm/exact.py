@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from textgauge.llm.common import checked, column, fresh, saved, text_of
 
@@ -35,6 +35,13 @@ def chunks_of(words: F.Column, mean_words: int) -> F.Column:
     )
 
 
+def chunked(df: DataFrame, text: F.Column, name: str, mean_words: int) -> DataFrame:
+    """``df`` with the chunks of a text, white space runs made one blank, in the column ``name``."""
+    words = fresh(df, "_words")
+    df = df.withColumn(words, F.split(F.regexp_replace(text, SPACES, " "), " "))
+    return df.withColumn(name, chunks_of(F.col(words), mean_words)).drop(words)
+
+
 def recipes(
     docs: DataFrame,
     key: str = "doc_id",
@@ -43,48 +50,39 @@ def recipes(
     mean_words: int = 128,
     identify: Callable[[F.Column], F.Column] = F.xxhash64,
 ) -> tuple[DataFrame, dict[str, str]]:
-    """A written table of ``keep``, a row number, the text's SHA-256, its chunks and their names.
+    """A written table of key, text and ``keep`` with row number, the text's SHA-256 and its recipe.
 
     Returns the table and the names given to the new columns. ``identify`` names a chunk; clashes
     are resolved, so that even a poor one gives right results.
     """
-    kept = [column(docs, c) for c in dict.fromkeys((key, *keep))]
-    base = docs.select(*kept)
-    names = {c: fresh(base, f"_{c}") for c in ("rid", "sha", "words", "chunks", "recipe")}
-    norm = fresh(base, "_norm")
-    made = (
-        docs.select(*kept, F.regexp_replace(text_of(docs, text), SPACES, " ").alias(norm))
-        .select("*", F.split(norm, " ").alias(names["words"]), F.sha2(norm, 256).alias(names["sha"]))
-        .drop(norm)
+    base = docs.select(*(column(docs, c) for c in dict.fromkeys((key, text, *keep))))
+    names = {c: fresh(base, f"_{c}") for c in ("rid", "sha", "chunks", "recipe")}
+    said = text_of(base, text)
+    made = base.withColumn(names["sha"], F.sha2(F.regexp_replace(said, SPACES, " "), 256))
+    made = chunked(made, said, names["chunks"], mean_words)
+    made = made.withColumn(names["recipe"], F.transform(names["chunks"], lambda c: identify(c))).drop(names["chunks"])
+    return saved(made.withColumn(names["rid"], F.monotonically_increasing_id()), "recipes"), names
+
+
+def _named_chunks(table: DataFrame, text: str, names: dict[str, str], mean_words: int) -> DataFrame:
+    """(rid, text, recipe, chunks) of the written table, the chunks cut again from its texts."""
+    rows = table.select(
+        F.col(names["rid"]).alias("rid"), text_of(table, text).alias("text"), F.col(names["recipe"]).alias("recipe")
     )
-    made = made.withColumn(names["chunks"], chunks_of(F.col(names["words"]), mean_words))
-    made = made.drop(names["words"]).select(
-        "*",
-        F.transform(names["chunks"], lambda c: identify(c)).alias(names["recipe"]),
-        F.monotonically_increasing_id().alias(names["rid"]),
-    )
-    return saved(made, "recipes"), names
+    return chunked(rows, F.col("text"), "chunks", mean_words)
 
 
-def _clashes(table: DataFrame, chunks: str, recipe: str) -> DataFrame:
-    """(h, chunk, k) of the chunks that share their identifier with another chunk, numbered."""
-    distinct = (
-        table.select(F.explode(F.arrays_zip(F.col(recipe).alias("h"), F.col(chunks).alias("c"))).alias("x"))
-        .select("x.h", "x.c")
-        .distinct()
-    )
-    shared = distinct.groupBy("h").count().filter("count > 1").select("h")
-    return saved(shared, "shared-ids")
+def _clashes(chunks: DataFrame) -> DataFrame:
+    """The identifiers that name several chunks. Moves every distinct chunk once."""
+    pairs = F.arrays_zip(F.col("recipe").alias("h"), F.col("chunks").alias("c"))
+    distinct = chunks.select(F.explode(pairs).alias("x")).select("x.h", "x.c").distinct()
+    return saved(distinct.groupBy("h").count().filter("count > 1").select("h"), "shared-ids")
 
 
-def _marks(table: DataFrame, shared: DataFrame, names: dict[str, str]) -> DataFrame:
+def _marks(chunks: DataFrame, shared: DataFrame) -> DataFrame:
     """For rows with an identifier that names several chunks: which of them, by position."""
-    from pyspark.sql import Window
-
-    placed = table.select(
-        F.col(names["rid"]).alias("rid"),
-        F.posexplode(F.arrays_zip(F.col(names["recipe"]).alias("h"), F.col(names["chunks"]).alias("c"))).alias("pos", "x"),
-    ).select("rid", "pos", "x.h", "x.c")
+    pairs = F.arrays_zip(F.col("recipe").alias("h"), F.col("chunks").alias("c"))
+    placed = chunks.select("rid", F.posexplode(pairs).alias("pos", "x")).select("rid", "pos", "x.h", "x.c")
     placed = placed.join(checked(shared), "h", "left_semi")
     number = placed.select("h", "c").distinct().withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy("c")))
     marked = placed.join(number, ["h", "c"]).groupBy("rid")
@@ -96,12 +94,14 @@ def exact_groups(
     key: str = "doc_id",
     text: str = "text",
     keep: tuple[str, ...] = (),
-    **options,
+    mean_words: int = 128,
+    identify: Callable[[F.Column], F.Column] = F.xxhash64,
 ) -> tuple[DataFrame, DataFrame, dict[str, str]]:
     """The written recipe table, and for each of its rows the group: rid, id, sha, keep_id,
     group_size, kept."""
-    table, names = recipes(docs, key, text, keep, **options)
-    shared = _clashes(table, names["chunks"], names["recipe"])
+    table, names = recipes(docs, key, text, keep, mean_words, identify)
+    chunks = _named_chunks(table, text, names, mean_words)
+    shared = _clashes(chunks)
     kind = "array<struct<pos:int,k:int>>"
     narrow = table.select(
         F.col(names["rid"]).alias("rid"),
@@ -112,7 +112,7 @@ def exact_groups(
     if shared.isEmpty():
         narrow = narrow.withColumn("marks", F.array().cast(kind))
     else:
-        narrow = narrow.join(_marks(table, shared, names), "rid", "left")
+        narrow = narrow.join(_marks(chunks, shared), "rid", "left")
         narrow = narrow.withColumn("marks", F.coalesce("marks", F.array().cast(kind)))
     groups = narrow.groupBy("recipe", "marks").agg(
         F.min("id").alias("keep_id"),
