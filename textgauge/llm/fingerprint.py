@@ -98,11 +98,23 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     ring = successors(rows.select("key", F.xxhash64("text").alias("hash"), cut.alias("cut")))
     ring = saved(ring, "successors")
     wanted = ring.select(F.col("key").alias("owner"), "cut", F.col("next").alias("key"), "next_hash")
-    right = rows.join(wanted, "key").filter(F.xxhash64("text") == F.col("next_hash"))
+    # both sides start with the same outer join, so that texts are dealt out by key once; the outer
+    # generator keeps Spark from turning one of the two into another join
+    placed = rows.join(wanted, "key", "left")
+    stands = F.xxhash64("text") == F.col("next_hash")
+    each = F.inline_outer(F.when(stands, F.array(F.struct("owner", "text", "cut"))))
+    right = placed.select(each.alias("owner", "text", "cut")).filter("owner IS NOT NULL")
     right = sketched(right, "text", "next_sketch", k, share).select(
-        F.col("owner").alias("key"), F.expr("substring(text, 1, cut)").alias("head"), "next_sketch"
+        F.col("owner").alias("key"),
+        F.expr("substring(text, 1, cut)").alias("head"),
+        F.col("next_sketch")["n"].alias("next_n"),
+        F.col("next_sketch")["words"].alias("next_words"),
+        F.unhex(F.array_join(F.col("next_sketch")["hashes"], "")).alias("next_hashes"),
     )
+    rows = placed.select("key", "text")
     both = rows.join(right.dropDuplicates(["key"]), "key", "left").withColumn("n_chars", F.length("text").cast("long"))
+    next_ = F.struct(F.col("next_n").alias("n"), F.col("next_words").alias("words"), _unpacked("next_hashes").alias("hashes"))
+    both = both.withColumn("next_sketch", F.when(F.col("next_n").isNotNull(), next_))
     head = F.expr("substring(coalesce(head, ''), 1, int(floor(n_chars / 4)))")
     both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, int(n_chars - floor(n_chars / 4)))"), head))
     both = sketched(sketched(both, "text", "sketch", k, share), "edited", "edited_sketch", k, share)
@@ -115,3 +127,8 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
         likeness("sketch", "edited_sketch").alias("near_edited"),
         likeness("sketch", "next_sketch").alias("near_next"),
     )
+
+
+def _unpacked(hashes: str) -> F.Column:
+    """The kept hashes out of their bytes."""
+    return F.regexp_extract_all(F.lower(F.hex(hashes)), F.lit(f"[0-9a-f]{{{DIGITS}}}"), F.lit(0))
