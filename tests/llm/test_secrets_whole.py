@@ -46,3 +46,33 @@ def test_digit_after_many_letters(spark):
     value = "abcdefghij" * 20 + "7"
     given = spark.createDataFrame([(1, f"say {value} now")], "doc_id int, text string")
     assert [(r.start, r.value) for r in secrets.candidates(given).collect()] == [(4, value)]
+
+
+ASSIGNED = [  # text, value
+    ("DB_PASSWORD=Tr0ub4dor!x", "Tr0ub4dor!x"),
+    ('client_secret: "Ab9$kkQ!zz"', "Ab9$kkQ!zz"),
+    ('password = "Ab9kQzz77:x12"', "Ab9kQzz77:x12"),
+    ("api_key=abcd=ef1", "abcd=ef1"),
+    ('password = "Ab9kQ:zz77x12x"', "Ab9kQ:zz77x12x"),
+    ("pwd => 'Zx9,;<Q>81k'", "Zx9,;<Q>81k"),
+    ("auth_token      = q7Rt2Lm9", "q7Rt2Lm9"),
+    ("see config/db1.client-password=Tr0ub4dor!x", "Tr0ub4dor!x"),
+    ('{"token":"q7Rt2Lm9","user":"me"}', "q7Rt2Lm9"),
+]
+
+
+def test_assigned_values_are_whole(spark, model):
+    texts = [t for t, _ in ASSIGNED]
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.key: (r.kind, r.start, r.value) for r in secrets.candidates(given).collect()}
+    assert got == {i: ("assigned", t.index(v), v) for i, (t, v) in enumerate(ASSIGNED)}
+    assert redacted(spark, model, texts[:6]) == [t.replace(v, "[SECRET]") for t, v in ASSIGNED[:6]]
+
+
+def test_key_blocks(spark, model):
+    body = "\n".join(long_values(1200)[1][i : i + 64] for i in range(0, 1200, 64))
+    pgp = f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 1\n\n{body}\n-----END PGP PRIVATE KEY BLOCK-----"
+    cut = f"-----BEGIN RSA PRIVATE KEY-----\n{body}"
+    held = f'secret_key: "-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----"'
+    got = redacted(spark, model, [f"a {pgp} z", f"a {cut}", held])
+    assert got == ["a [SECRET] z", "a [SECRET]", 'secret_key: "[SECRET]"']
