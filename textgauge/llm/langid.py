@@ -3,8 +3,14 @@
 A text's letters, lower-cased, with every run of other characters as one space, give counts of
 character n-grams (one to three), hashed to a fixed number of buckets. Weighted by TF-IDF and scaled to
 length one, they are compared by cosine with several centroids per language; the language of the
-nearest centroid wins, the first by name on a tie. A text that is farther from every centroid than a
-given distance is marked as rejected.
+nearest centroid wins, the first by name on a tie. A text that is farther from its centroid than a
+distance learned for texts of its language and size is marked as rejected.
+
+The distances come from the sample: of each language a fifth at a time is compared with centroids of the
+other four, whole and as its first ``PIECES`` characters. Per number of distinct n-grams, in powers of two,
+``SLACK`` of a low quantile of these cosines is the least that a text may have. Between
+two powers it goes up in a line, reached at the upper one. Sizes with fewer than ``LEAST`` comparisons take
+what the next smaller size has; below the smallest, only ``max_distance`` counts.
 
 Fitting takes a bounded sample, at most ``per_language`` texts of each language, those with the smallest
 text hashes; the bound is a parameter. Clusters are found per language on the executors. The model that
@@ -34,6 +40,14 @@ BLOCK = 1_000_000
 #: Texts whose counts are held together.
 BLOCK_TEXTS = 256
 UNKNOWN = "und"
+#: Characters of the beginnings that rejection is learned from, besides whole texts.
+PIECES = (25, 50, 100, 200, 400)
+FOLDS = 5
+LEAST = 40
+QUANTILE = 0.005
+SLACK = 0.65
+#: Sizes by powers of two of distinct n-grams.
+SIZES = BUCKETS.bit_length()
 
 
 @lru_cache(maxsize=1)
@@ -122,17 +136,33 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return made
 
 
+def _size(counts: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum((counts > 0).sum(axis=1), 1))
+
+
+def floors(cosine: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The least cosine for each size, from those of clean texts; 0 where too few are as small."""
+    made = np.zeros(SIZES)
+    for i in range(SIZES):
+        own = cosine[size.astype(np.int64) == i]
+        made[i] = SLACK * np.quantile(own, QUANTILE) if len(own) >= LEAST else made[i - 1] if i else 0
+    return made
+
+
 @dataclass(frozen=True)
 class Languages:
-    """Sorted names, the row of each centroid's language, the centroids and the weights of n-grams."""
+    """Sorted names, the row of each centroid's language, the centroids, the weights of n-grams and, for each
+    language, the least cosine by size."""
 
     names: tuple[str, ...]
     owner: np.ndarray
     centroids: np.ndarray
     idf: np.ndarray
+    floors: np.ndarray
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, cosine and the least cosine of a text of that language and size."""
+        names, scores, least = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         for i in range(0, len(texts), BLOCK_TEXTS):
             counts = count_ngrams(texts[i : i + BLOCK_TEXTS])
             some = np.nonzero(counts.any(axis=1))[0]
@@ -140,9 +170,13 @@ class Languages:
                 cosine = _vectors(counts[some], self.idf).astype(np.float32) @ self.centroids.T
                 best = cosine.argmax(axis=1)
                 scores[some + i] = np.clip(cosine[np.arange(len(some)), best], 0, 1)
+                size = _size(counts[some])
+                at, owner = size.astype(np.int64), self.owner[best]
+                below = np.where(at > 0, self.floors[owner, at - 1], 0)
+                least[some + i] = below + (size - at) * (self.floors[owner, at] - below)
                 for row, name in zip(some + i, self.owner[best]):
                     names[row] = self.names[name]
-        return names, scores
+        return names, scores, least
 
 
 def fit(
@@ -164,35 +198,53 @@ def fit(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in cut_batches(whole, 1):
-                counts = count_ngrams(batch.column(1).to_pylist())
-                there = [np.nonzero(c)[0] for c in counts]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.array([t.astype(np.int32) for t in there], pa.list_(pa.int32())),
-                        pa.array([c[t] for c, t in zip(counts, there)], pa.list_(pa.float64())),
-                    ],
-                    names=["lang", "at", "n"],
-                )
-
-    sample = chosen.select("lang", "text").mapInArrow(count, "lang string, at array<int>, n array<double>")
+                texts = batch.column(1).to_pylist()
+                for piece in (0, *PIECES):
+                    rows = [i for i, t in enumerate(texts) if not piece or len(t) > piece]
+                    counts = count_ngrams([texts[i][: piece or None] for i in rows])
+                    there = [np.nonzero(c)[0] for c in counts]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).take(pa.array(rows, pa.int64())),
+                            batch.column(2).take(pa.array(rows, pa.int64())),
+                            pa.array([not piece] * len(rows), pa.bool_()),
+                            pa.array([t.astype(np.int32) for t in there], pa.list_(pa.int32())),
+                            pa.array([c[t] for c, t in zip(counts, there)], pa.list_(pa.float64())),
+                        ],
+                        names=["lang", "h", "whole", "at", "n"],
+                    )
+
+    shape = "lang string, h long, whole boolean, at array<int>, n array<double>"
+    sample = chosen.select("lang", "text", "h").mapInArrow(count, shape)
     sample = saved(sample.filter("size(at) > 0"), "language-sample")
-    total = sample.count()
+    texts = sample.filter("whole")
+    total = texts.count()
     idf = np.zeros(BUCKETS)
-    for r in sample.select(F.explode("at").alias("b")).groupBy("b").count().collect():  # BUCKETS rows at most
+    for r in texts.select(F.explode("at").alias("b")).groupBy("b").count().collect():  # BUCKETS rows at most
         idf[r.b] = np.log((1 + total) / (1 + r["count"])) + 1
     names: list[str] = []
 
     def centers(pdf):
         import pandas as pd
 
+        pdf = pdf.sort_values(["h", "whole"], ignore_index=True)
         counts = np.zeros((len(pdf), BUCKETS))
         for row, at, n in zip(counts, pdf["at"], pdf["n"]):
             row[at] = n
-        made = cluster(_vectors(counts, idf), clusters).astype(np.float32)
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "center": list(made)})
-
-    found = sample.groupBy("lang").applyInPandas(centers, "lang string, center array<float>").collect()
+        vectors, whole = _vectors(counts, idf), pdf["whole"].to_numpy()
+        fold = (pdf["h"].rank(method="dense").to_numpy().astype(np.int64) - 1) % FOLDS
+        cosine, known = np.zeros(len(pdf)), np.zeros(len(pdf), bool)
+        for i in range(FOLDS):
+            out, rest = fold == i, whole & (fold != i)
+            if out.any() and rest.any():
+                cosine[out] = (vectors[out] @ cluster(vectors[rest], clusters).T).max(axis=1)
+                known |= out
+        least = floors(cosine[known], _size(counts[known]))
+        made = cluster(vectors[whole], clusters).astype(np.float32)
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "center": list(made), "floors": [least] * len(made)})
+
+    shape = "lang string, center array<float>, floors array<double>"
+    found = sample.groupBy("lang").applyInPandas(centers, shape).collect()
     found.sort(key=lambda r: (r.lang, r.center))
     names = sorted({r.lang for r in found})
     return Languages(
@@ -200,6 +252,7 @@ def fit(
         np.array([names.index(r.lang) for r in found], np.int64),
         np.array([r.center for r in found], np.float32).reshape(-1, BUCKETS),
         idf,
+        np.array([next(r.floors for r in found if r.lang == n) for n in names]).reshape(-1, SIZES),
     )
 
 
@@ -212,7 +265,8 @@ def identify(
     rejected: str = "rejected",
     max_distance: float = 0.95,
 ) -> DataFrame:
-    """``docs`` with language, cosine and whether the nearest centroid is farther than ``max_distance``.
+    """``docs`` with language, cosine and whether the nearest centroid is farther than the learned distance
+    for the language and size of the text, or than ``max_distance``.
 
     New columns replace those of the same names.
     """
@@ -226,8 +280,8 @@ def identify(
     def run(batches):
         for whole in batches:
             for batch in cut_batches(whole, at):
-                names, scores = model.predict([t or "" for t in batch.column(at).to_pylist()])
-                far = [n == UNKNOWN or 1 - s > max_distance for n, s in zip(names, scores)]
+                names, scores, least = model.predict([t or "" for t in batch.column(at).to_pylist()])
+                far = [n == UNKNOWN or 1 - s > max_distance or s < f for n, s, f in zip(names, scores, least)]
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:at], pa.array(names, pa.string()), pa.array(scores), pa.array(far, pa.bool_())],
                     names=[*held, *new],
