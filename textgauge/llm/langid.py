@@ -36,9 +36,9 @@ from textgauge.llm.common import checked, column, cut_batches, fresh, saved
 
 BUCKETS = 1 << 13
 #: Characters whose n-grams are counted together.
-BLOCK = 1_000_000
-#: Texts whose counts are held together.
-BLOCK_TEXTS = 256
+BLOCK = 250_000
+#: Texts whose counts are held together as rows of BUCKETS numbers.
+BLOCK_TEXTS = 128
 UNKNOWN = "und"
 #: Characters of the beginnings that rejection is learned from, besides whole texts.
 PIECES = (25, 50, 100, 200, 400)
@@ -86,7 +86,7 @@ def _collapsed(codes: np.ndarray) -> np.ndarray:
 
 def count_ngrams(texts: list[str]) -> np.ndarray:
     """Counts of hashed n-grams, a row for each text."""
-    out = np.zeros(len(texts) * BUCKETS)
+    out = np.zeros(len(texts) * BUCKETS, np.float32)
     start = 0
     while start < len(texts):
         stop, size = start, 0
@@ -113,8 +113,18 @@ def count_ngrams(texts: list[str]) -> np.ndarray:
 
 
 def _vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    made = np.log1p(counts) * idf
-    return made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12)
+    made = np.log1p(counts, dtype=np.float32)
+    made *= idf
+    made /= np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12)
+    return made
+
+
+def _dense(at: list[np.ndarray], n: list[np.ndarray]) -> np.ndarray:
+    """Rows of counts from the numbers of their buckets and what these hold."""
+    made = np.zeros((len(at), BUCKETS), np.float32)
+    for row, a, b in zip(made, at, n):
+        row[a] = b
+    return made
 
 
 def cluster(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -136,8 +146,8 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return made
 
 
-def _size(counts: np.ndarray) -> np.ndarray:
-    return np.log2(np.maximum((counts > 0).sum(axis=1), 1))
+def _size(distinct: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(distinct, 1))
 
 
 def floors(cosine: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -167,10 +177,10 @@ class Languages:
             counts = count_ngrams(texts[i : i + BLOCK_TEXTS])
             some = np.nonzero(counts.any(axis=1))[0]
             if len(some) and self.names:
-                cosine = _vectors(counts[some], self.idf).astype(np.float32) @ self.centroids.T
+                cosine = _vectors(counts[some], self.idf) @ self.centroids.T
                 best = cosine.argmax(axis=1)
                 scores[some + i] = np.clip(cosine[np.arange(len(some)), best], 0, 1)
-                size = _size(counts[some])
+                size = _size((counts[some] > 0).sum(axis=1))
                 at, owner = size.astype(np.int64), self.owner[best]
                 below = np.where(at > 0, self.floors[owner, at - 1], 0)
                 least[some + i] = below + (size - at) * (self.floors[owner, at] - below)
@@ -197,7 +207,7 @@ def fit(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in cut_batches(whole, 1):
+            for batch in (part.slice(k, BLOCK_TEXTS) for part in cut_batches(whole, 1) for k in range(0, part.num_rows, BLOCK_TEXTS)):
                 texts = batch.column(1).to_pylist()
                 for piece in (0, *PIECES):
                     rows = [i for i, t in enumerate(texts) if not piece or len(t) > piece]
@@ -209,12 +219,12 @@ def fit(
                             batch.column(2).take(pa.array(rows, pa.int64())),
                             pa.array([not piece] * len(rows), pa.bool_()),
                             pa.array([t.astype(np.int32) for t in there], pa.list_(pa.int32())),
-                            pa.array([c[t] for c, t in zip(counts, there)], pa.list_(pa.float64())),
+                            pa.array([c[t] for c, t in zip(counts, there)], pa.list_(pa.float32())),
                         ],
                         names=["lang", "h", "whole", "at", "n"],
                     )
 
-    shape = "lang string, h long, whole boolean, at array<int>, n array<double>"
+    shape = "lang string, h long, whole boolean, at array<int>, n array<float>"
     sample = chosen.select("lang", "text", "h").mapInArrow(count, shape)
     sample = saved(sample.filter("size(at) > 0"), "language-sample")
     texts = sample.filter("whole")
@@ -224,23 +234,28 @@ def fit(
         idf[r.b] = np.log((1 + total) / (1 + r["count"])) + 1
     names: list[str] = []
 
+    weight = idf.astype(np.float32)
+
     def centers(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values(["h", "whole"], ignore_index=True)
-        counts = np.zeros((len(pdf), BUCKETS))
-        for row, at, n in zip(counts, pdf["at"], pdf["n"]):
-            row[at] = n
-        vectors, whole = _vectors(counts, idf), pdf["whole"].to_numpy()
+        whole, at, n = pdf["whole"].to_numpy(), pdf["at"], pdf["n"]
         fold = (pdf["h"].rank(method="dense").to_numpy().astype(np.int64) - 1) % FOLDS
+        learn = np.flatnonzero(whole)
+        vectors = _vectors(_dense(at[learn], n[learn]), weight)  # per_language rows at most
         cosine, known = np.zeros(len(pdf)), np.zeros(len(pdf), bool)
         for i in range(FOLDS):
-            out, rest = fold == i, whole & (fold != i)
-            if out.any() and rest.any():
-                cosine[out] = (vectors[out] @ cluster(vectors[rest], clusters).T).max(axis=1)
-                known |= out
-        least = floors(cosine[known], _size(counts[known]))
-        made = cluster(vectors[whole], clusters).astype(np.float32)
+            out, rest = np.flatnonzero(fold == i), fold[learn] != i
+            if not (len(out) and rest.any()):
+                continue
+            others = cluster(vectors[rest], clusters).T
+            for k in range(0, len(out), BLOCK_TEXTS):
+                own = out[k : k + BLOCK_TEXTS]
+                cosine[own] = (_vectors(_dense(at[own], n[own]), weight) @ others).max(axis=1)
+            known[out] = True
+        least = floors(cosine[known], _size(at[known].map(len).to_numpy()))
+        made = cluster(vectors, clusters)
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "center": list(made), "floors": [least] * len(made)})
 
     shape = "lang string, center array<float>, floors array<double>"
@@ -251,7 +266,7 @@ def fit(
         tuple(names),
         np.array([names.index(r.lang) for r in found], np.int64),
         np.array([r.center for r in found], np.float32).reshape(-1, BUCKETS),
-        idf,
+        weight,
         np.array([next(r.floors for r in found if r.lang == n) for n in names]).reshape(-1, SIZES),
     )
 
