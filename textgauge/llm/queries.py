@@ -8,7 +8,9 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textgauge.llm import bpe, chat, exact, fingerprint, langid, near, packing, secrets, suffix, tokenfile
+from textgauge.llm import (
+    audit, bpe, chat, exact, fingerprint, langid, near, packing, prefixes, secrets, suffix, tokenfile, variants,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -176,6 +178,60 @@ def op10_token_files(spark, sf):
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query()
+def op11_variants(spark, sf):
+    words = variants.word_counts(documents(spark, sf).select("doc_id", "text"))
+    return variants.variant_groups(words)
+
+
+@query()
+def op12_token_counts(spark, sf):
+    docs = documents(spark, sf).select("doc_id", "text")
+    made = prefixes.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), budget=1024)
+    return made.select(
+        "doc_id",
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+        "n_tokens",
+        (F.col("n_tokens") > 1024).alias("over_limit"),
+        "fits_chars",
+    )
+
+
+@query(r"""
+    WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM t),
+    l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+    d AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                 (CASE WHEN len(words) < 200 THEN 'A' ELSE '' END)
+                 || (CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END)
+                 || (CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) THEN 'C' ELSE '' END)
+                 || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END)
+                 || (CASE WHEN doc_id > least THEN 'E' ELSE '' END) AS failed
+          FROM w LEFT JOIN l USING (doc_id)),
+    c AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d GROUP BY part, failed),
+    f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+               WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    steps AS (SELECT filter_order, step::INTEGER AS step, filter_order[step] AS own, left(filter_order, step - 1) AS before
+              FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+    r AS (SELECT part, filter_order, step, own,
+                 sum(n) FILTER (translate(failed, before || own, '') = failed) AS kept,
+                 sum(n) FILTER (contains(failed, own) AND translate(failed, before, '') = failed) AS removed,
+                 sum(n) FILTER (contains(failed, own) AND translate(failed, before, '') <> failed) AS redundant,
+                 sum(n) FILTER (failed = own) AS unique_fails,
+                 sum(good) FILTER (contains(failed, own) AND translate(failed, before, '') = failed) AS good_lost,
+                 sum(toxic) FILTER (contains(failed, own) AND translate(failed, before, '') = failed) AS toxic_lost
+          FROM c, steps GROUP BY part, filter_order, step, own)
+    SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+           coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+           coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+           (sum(coalesce(removed, 0)) OVER (PARTITION BY part, own))::BIGINT AS shapley
+    FROM r""")
+def op13_filter_audit(spark, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    return audit.audit_documents(documents(spark, sf), labels)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
