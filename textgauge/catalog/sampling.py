@@ -14,7 +14,7 @@ from textgauge.catalog.base import (
     table,
 )
 from textgauge.functions import windows
-from textgauge.operators import chunking, ladder, sampling, splitting
+from textgauge.operators import chunking, ladder, leakage, sampling, splitting
 from textgauge.plans import evaluate
 from textgauge.sources import corpus
 from textgauge.session import shared_dir
@@ -134,6 +134,54 @@ def leaked_rows(spark, sf):
     return splitting.leaked_rows(train, test, ["doc_id"]).select("doc_id", "chunk_idx")
 
 
+STRADDLE_SQL = f"""
+    w AS (SELECT doc_id, unnest(range(0, (strlen(text) - 128) // 64 + 1)) AS i
+          FROM documents WHERE strlen(text) >= 128),
+    s AS (SELECT doc_id, i * 64 AS a, CASE WHEN substr(md5(concat('42:split:', doc_id, ':', i)), 1, 8) < {TENTH}
+                                           THEN 'test' ELSE 'train' END AS side FROM w)"""
+
+
+@query(
+    f"""
+    WITH {STRADDLE_SQL},
+    o AS (SELECT x.side, x.doc_id, x.a, count(y.a) AS pairs
+          FROM s x LEFT JOIN s y ON y.doc_id = x.doc_id AND y.side <> x.side AND abs(y.a - x.a) < 128 GROUP BY ALL),
+    -- the positions of each side, one by one
+    p AS (SELECT side, doc_id, a, a + unnest(range(128)) AS pos FROM s),
+    q AS (SELECT DISTINCT side, doc_id, pos FROM p),
+    t AS (SELECT p.side, count(*) AS leaked_tokens
+          FROM p JOIN q ON q.doc_id = p.doc_id AND q.pos = p.pos AND q.side <> p.side GROUP BY 1)
+    SELECT side, count(*) AS windows, count(*) FILTER (pairs > 0) AS leaking_windows, sum(pairs)::BIGINT AS pairs,
+           coalesce(any_value(leaked_tokens), 0) AS leaked_tokens
+    FROM o LEFT JOIN t USING (side) GROUP BY side"""
+)
+def window_leakage(spark, sf):
+    """Byte windows of 128 with stride 64, split one by one."""
+    keys = _byte_chunk_keys(spark, sf)
+    both = splitting.split(keys, ["doc_id", "chunk_idx"], unit="chunk").withColumn("start", F.col("chunk_idx") * 64)
+    train, test = (both.filter(F.col("split") == side) for side in ("train", "test"))
+    return leakage.window_leakage(train, test, 128)
+
+
+@query(
+    f"""
+    WITH {STRADDLE_SQL},
+    p AS (SELECT side, doc_id, a, a + unnest(range(128)) AS pos FROM s),
+    q AS (SELECT DISTINCT side, doc_id, pos FROM p),
+    t AS (SELECT p.side, p.doc_id, p.a, count(*) AS shared_tokens
+          FROM p JOIN q ON q.doc_id = p.doc_id AND q.pos = p.pos AND q.side <> p.side GROUP BY ALL),
+    n AS (SELECT x.side, x.doc_id, x.a, count(*) AS pairs
+          FROM s x JOIN s y ON y.doc_id = x.doc_id AND y.side <> x.side AND abs(y.a - x.a) < 128 GROUP BY ALL)
+    SELECT doc_id, a::BIGINT AS start, pairs, shared_tokens FROM n JOIN t USING (side, doc_id, a) WHERE side = 'test'"""
+)
+def leaking_windows(spark, sf):
+    keys = _byte_chunk_keys(spark, sf)
+    both = splitting.split(keys, ["doc_id", "chunk_idx"], unit="chunk").withColumn("start", F.col("chunk_idx") * 64)
+    train, test = (both.filter(F.col("split") == side) for side in ("train", "test"))
+    found = leakage.window_overlaps(train, test, 128).filter(F.col("side") == "test")
+    return found.select("doc_id", "start", "pairs", "shared_tokens")
+
+
 @query(
     """
     SELECT lang, m.name AS model_name, f.f AS data_fraction, s.seed::INT AS seed,

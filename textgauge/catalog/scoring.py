@@ -24,7 +24,7 @@ from textgauge.catalog.base import (
     tok_docs,
     windows_sql,
 )
-from textgauge.operators import chunking, countlm, curves, scoring, splitting, tokenizing
+from textgauge.operators import chunking, countlm, curves, ngrams, scoring, splitting, tokenizing
 from textgauge.plans import evaluate
 from textgauge.sources import reports
 from textgauge.plans.scaling import scaling_study
@@ -186,6 +186,60 @@ def count_lm_vocab(spark, sf):
     return rounded(scoring.perplexity(countlm.score_count_lm(lm, test), weight="n"))
 
 
+NGRAM_ORDERS = (2, 3, 4, 5)
+
+
+def _ngram_sql() -> str:
+    """Interpolated discounting written out order by order, over every single target."""
+    top = max(NGRAM_ORDERS)
+    parts = [
+        f"""
+        {ENCODED_SQL},
+        d AS (SELECT doc_id, substr({SPLIT_HASH}, 1, 8) < {TENTH} AS held, ids FROM enc),
+        w AS ({windows_sql("d", 64, 64, ids="ids", keep="doc_id, held")}),
+        g AS (SELECT held, c[greatest(p - {top - 1}, 1) : p] AS g FROM (SELECT held, c, unnest(range(2, 65)) AS p FROM w))"""
+    ]
+    for k in range(1, top + 1):
+        parts.append(f"""
+        n{k} AS (SELECT g[-{k}:] AS key, count(*) AS n, count(DISTINCT g[-{k + 1}]) FILTER (len(g) > {k}) AS before
+                 FROM g WHERE NOT held AND len(g) >= {k} GROUP BY 1),
+        h{k} AS (SELECT key[1:{k - 1}] AS context, sum(n) AS total, count(*) AS kinds, sum(before) AS total_before,
+                        count(*) FILTER (before > 0) AS kinds_before FROM n{k} GROUP BY 1)""")
+
+    def mixed(k: int, own: str, end: str, lower: str) -> str:
+        own, of, kinds = f"coalesce(n{k}.{own}, 0)", f"coalesce(h{k}.total{end}, 0)", f"coalesce(h{k}.kinds{end}, 0)"
+        return f"(CASE WHEN {of} > 0 THEN (greatest({own} - 0.75::DOUBLE, 0) + 0.75::DOUBLE * {kinds} * {lower}) / {of} ELSE {lower} END)"
+
+    parts.append("p0 AS (SELECT g, 1 / 5002.0::DOUBLE AS p0 FROM g WHERE held)")
+    for k in range(1, top + 1):
+        context = f"t.g[len(t.g) - {k - 1} : len(t.g) - 1]" if k > 1 else "t.g[1:0]"
+        lower = f"t.p{k - 1}"
+        parts.append(f"""
+        p{k} AS (SELECT t.*, CASE WHEN len(t.g) >= {k} THEN {mixed(k, 'before', '_before', lower)} END AS p{k},
+                        CASE WHEN len(t.g) >= {k} THEN {mixed(k, 'n', '', lower)} END AS q{k}
+                 FROM p{k - 1} t LEFT JOIN n{k} ON len(t.g) >= {k} AND n{k}.key = t.g[-{k}:]
+                 LEFT JOIN h{k} ON len(t.g) >= {k} AND h{k}.context = {context})""")
+    each = [f"SELECT {k} AS \"order\", -ln(coalesce(q{k}, {', '.join(f'p{i}' for i in range(k - 1, 0, -1))})) AS nll FROM p{top}" for k in NGRAM_ORDERS]
+    return f"""
+    WITH {', '.join(parts)}
+    SELECT "order"::INT AS "order", round(avg(nll), 6) AS eval_loss, round(exp(avg(nll)), 6) AS perplexity, count(*) AS n_tokens
+    FROM ({' UNION ALL '.join(each)}) GROUP BY 1"""
+
+
+@query(_ngram_sql())
+def ngram_perplexity(spark, sf):
+    """Models of two to five tokens over ids of a vocabulary, by interpolated discounting."""
+    vocab = saved_vocab(spark, sf)
+    coded = tokenizing.encode(tok_docs(spark, sf), vocab)
+    both = splitting.split(coded, ["doc_id"]).select("doc_id", "split", "input_ids")
+    chunks = chunking.chunk(both, 64, keep=("doc_id", "split"))
+    counts = saved(ngrams.count_grams(chunks, max(NGRAM_ORDERS), by=("split",)), "grams")
+    train, test = (counts.filter(F.col("split") == side).drop("split") for side in ("train", "test"))
+    model = ngrams.ngram_tables(train, max(NGRAM_ORDERS))
+    scored = ngrams.score_ngrams(model, test, NGRAM_ORDERS, 5002)
+    return rounded(scoring.perplexity(scored, weight="n", by=("order",)))
+
+
 @query(
     f"""
     WITH d AS (SELECT doc_id, lang, substr({SPLIT_HASH}, 1, 8) < {TENTH} AS held, {BYTES} AS b
