@@ -22,7 +22,7 @@ from textgauge.catalog.base import (
 )
 from textgauge.functions import text, tokens
 from textgauge.operators import chunking, scoring
-from textgauge.sources import corpus, reports, run_logs, samples
+from textgauge.sources import corpus, log_records as records, reports, run_logs, samples
 from textgauge.session import shared_dir
 from textgauge.sources import chunks as chunk_files
 
@@ -93,10 +93,7 @@ def prompt_bank(spark, sf):
     return back.groupBy("prompt_id", "prompt").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    f"""
-    WITH {LOG_SQL}
-    SELECT event_id, stamp, level, logger, 'steps.src' AS file, user_id::INT AS line,
+MESSAGE_SQL = """
            CASE event_type
              WHEN 'purchase' THEN printf('Epoch %.2f | eval_loss: %.4f | perplexity: %.2f',
                                          epoch, value / 100, exp(value / 100))
@@ -106,7 +103,14 @@ def prompt_bank(spark, sf):
                                 || ' documents (~0 short docs discarded, 1.0%).'
              WHEN 'error' THEN printf('Final — Validation Loss: %.4f | Perplexity (PPL): %.2f',
                                       value / 100, exp(value / 100))
-             ELSE 'seen | ' || props END AS message
+             ELSE 'seen | ' || props END"""
+
+
+@query(
+    f"""
+    WITH {LOG_SQL}
+    SELECT event_id, stamp, level, logger, 'steps.src' AS file, user_id::INT AS line,
+           {MESSAGE_SQL} AS message
     FROM logs"""
 )
 def log_parse(spark, sf):
@@ -133,6 +137,31 @@ def log_files(spark, sf):
     )
 
 
+@query(
+    f"""
+    WITH {LOG_SQL}
+    SELECT experiment, run_day, stamp, level, {MESSAGE_SQL} AS message,
+           CASE event_type WHEN 'error' THEN E'Traceback:\\n  step ' || event_id || E'\\n\\nfailed | ' || props
+                           WHEN 'click' THEN 'see ' || props END AS body,
+           CASE event_type WHEN 'error' THEN 5 WHEN 'click' THEN 2 ELSE 1 END::BIGINT AS lines
+    FROM logs"""
+)
+def log_records(spark, sf):
+    """Errors are logged with a traceback, clicks with one more line."""
+    events = table(spark, sf, "events").select("event_id", "event_type", "props")
+    rest = F.when(
+        F.col("event_type") == "error",
+        F.concat(F.lit("\nTraceback:\n  step "), F.col("event_id").cast("string"), F.lit("\n\nfailed | "), "props"),
+    ).when(F.col("event_type") == "click", F.concat(F.lit("\nsee "), "props"))
+    lines = log_lines(spark, sf).join(events, "event_id")
+    name = text.run_file_name(F.col("experiment"), F.col("run_start"))
+    path = shared_dir(spark, "logs")
+    value = F.concat("value", F.coalesce(rest, F.lit("")))
+    lines.select(name.alias("run"), value.alias("value")).write.partitionBy("run").text(path)
+    found = records.read_log_records(spark, path)
+    return found.select("experiment", run_day(), stamp(), "level", "message", "body", "lines")
+
+
 @query(
     r"""
     WITH c AS (
