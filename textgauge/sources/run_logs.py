@@ -63,9 +63,16 @@ def parse_file_name(path: Column) -> list[Column]:
     ]
 
 
-def read_run_logs(spark: SparkSession, path: str, *, stream: bool = False) -> DataFrame:
-    """All log files below ``path``: the six fields plus ``experiment`` and ``run_start``."""
+def read_run_logs(
+    spark: SparkSession, path: str, *, stream: bool = False, max_files: int | None = None
+) -> DataFrame:
+    """All log files below ``path``: the six fields plus ``experiment`` and ``run_start``.
+
+    As a stream, ``max_files`` bounds how many new files a micro-batch takes.
+    """
     reader = spark.readStream.schema("value string") if stream else spark.read
+    if stream and max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     raw = reader.format("text").option("recursiveFileLookup", "true").load(path)
     named = raw.select("value", *parse_file_name(F.col("_metadata.file_path")))
     return parse_lines(named, keep=("experiment", "run_start"))
