@@ -41,8 +41,10 @@ from textgauge.llm.common import column, cut_batches, fresh
 
 #: Fixed value: the published pre-token pattern of this family of tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct pieces, and pairs of tokens, that a Python worker remembers.
-PIECES, PAIRS = 400_000, 2_000_000
+#: Distinct pieces, and pairs of tokens, that a Python worker remembers; and places for pairs by hash, in bits.
+PIECES, PAIRS, PAIR_BITS = 400_000, 500_000, 20
+#: Bytes of the pieces that are counted together, by length; longer ones are counted alone.
+TOGETHER = 40
 #: Code points of a stored block.
 BLOCK = 4096
 NEVER = sys.maxsize
@@ -56,12 +58,43 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 @lru_cache(maxsize=1)
-def _new_characters() -> regex.Pattern:
-    """Characters on whose class versions of Unicode may differ: those not assigned in Python's own."""
-    codes = np.array([c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"])
-    cuts = np.flatnonzero(np.diff(codes) > 1)
-    lows, highs = codes[np.concatenate([[0], cuts + 1])], codes[np.concatenate([cuts, [len(codes) - 1]])]
-    return regex.compile("[" + "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(lows, highs)) + "]")
+def _assigned() -> np.ndarray:
+    """Whether Python's own version of Unicode knows a code point; on others versions may differ in their class."""
+    return np.fromiter((unicodedata.category(chr(c)) != "Cn" for c in range(0x110000)), bool, 0x110000)
+
+
+class Table:
+    """Whole numbers to whole numbers of 0 and above, by hashing in arrays, at most a quarter full."""
+
+    def __init__(self, pairs: dict[int, int]):
+        keys, values = (np.array(list(x), np.int64) for x in (pairs.keys(), pairs.values()))
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        slots = _slots(keys, self.bits)
+        while len(keys):
+            free = self.keys[slots] < 0
+            _, first = np.unique(np.where(free, slots, -1), return_index=True)
+            first = first[free[first]]
+            self.keys[slots[first]], self.values[slots[first]] = keys[first], values[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, values, slots = keys[rest], values[rest], (slots[rest] + 1) & (1 << self.bits) - 1
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 where a key is unknown."""
+        out = np.full(len(keys), -1, np.int64)
+        at, slots = np.arange(len(keys)), _slots(keys, self.bits)
+        while len(at):
+            there = self.keys[slots]
+            hit = there == keys[at]
+            out[at[hit]] = self.values[slots[hit]]
+            more = ~hit & (there >= 0)
+            at, slots = at[more], (slots[more] + 1) & (1 << self.bits) - 1
+        return out
+
+
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 class Merges:
@@ -96,11 +129,22 @@ class Merges:
         self.ends = [self._spine(t, 1) for t in range(len(names))]
         self.starts = [self._spine(t, 0) for t in range(len(names))]
         self.find = ahocorasick.Automaton()
+        arcs: dict[int, int] = {}
+        ends = {}
         for t, name in enumerate(names):
             # a token is used only if its own bytes are encoded as itself
             if self.parts[t] is None and len(name) == 1 or self.parts[t] and not self._crossed(*self.parts[t], self.rank[t]):
                 self.find.add_word(name.decode("latin-1"), t)
+                node = 0
+                for byte in name:
+                    node = arcs.setdefault(node << 8 | byte, len(arcs) + 1)
+                ends[node] = t
         self.find.make_automaton()
+        self.arcs = Table(arcs)
+        self.token_at = np.full(len(arcs) + 1, -1, np.int64)
+        self.token_at[list(ends.keys())] = list(ends.values())
+        # answers about pairs: a newer one takes the place of an older
+        self.asked, self.told = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
@@ -132,6 +176,47 @@ class Merges:
             known = self.pairs[left, right] = not self._crossed(left, right)
         return known
 
+    def follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``follows`` of many pairs."""
+        keys = left << 32 | right
+        slots = _slots(keys, PAIR_BITS)
+        new = self.asked[slots] != keys
+        if not new.any():
+            return self.told[slots]
+        unknown, back = np.unique(keys[new], return_inverse=True)
+        said = np.fromiter((not self._crossed(k >> 32, k & 0xFFFFFFFF) for k in unknown.tolist()), bool, len(unknown))
+        out = self.told[slots]
+        out[new] = said[back]
+        at = _slots(unknown, PAIR_BITS)
+        self.asked[at], self.told[at] = unknown, said  # of two for one place the same wins in both
+        return out
+
+    def totals(self, pieces: list[bytes]) -> np.ndarray:
+        """Tokens of whole pieces of one length: the same as ``by_byte``, for all of them at each place at once."""
+        n, size = len(pieces), len(pieces[0])
+        data = np.frombuffer(b"".join(pieces), np.uint8).reshape(n, size).astype(np.int64)
+        found: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(size + 1)]
+        for start in range(size):
+            rows, node = np.arange(n), np.zeros(n, np.int64)
+            for end in range(start + 1, size + 1):
+                node = self.arcs.get(node << 8 | data[rows, end - 1])
+                on = node >= 0
+                rows, node = rows[on], node[on]
+                if not len(rows):
+                    break
+                token = self.token_at[node]
+                some = token >= 0
+                found[end].append((rows[some], np.full(int(some.sum()), start), token[some]))
+        last, count = np.full((n, size + 1), -1, np.int64), np.zeros((n, size + 1), np.int64)
+        for end in range(1, size + 1):
+            rows, start, token = (np.concatenate(x) for x in zip(*found[end]))
+            yes = start == 0
+            inner = ~yes
+            yes[inner] = self.follow(last[rows[inner], start[inner]], token[inner])
+            rows, start = rows[yes], start[yes]
+            last[rows, end], count[rows, end] = token[yes], count[rows, start] + 1
+        return count[:, size]
+
     def by_byte(self, data: bytes) -> list[int]:
         """Tokens of every prefix of a piece, the empty one first."""
         last, count = [-1] * (len(data) + 1), [0] * (len(data) + 1)
@@ -154,7 +239,7 @@ class PrefixCounter:
         self.find = regex.compile(PATTERN)
         self.mark = regex.compile("|".join(map(regex.escape, self.merges.marks))) if self.merges.marks else None
         self.known: dict[str, list[int]] = {}
-        self.totals = _Totals(self)
+        self.whole: dict[str, int] = {}
 
     def of_piece(self, piece: str) -> list[int]:
         """Tokens of the prefixes of one piece, by code points, from the first on."""
@@ -166,14 +251,31 @@ class PrefixCounter:
                 made = [n for n, after in zip(made, itertools.chain(data[1:], b"x")) if after & 0xC0 != 0x80]
             if len(piece) == 3 and piece in ("'re", "'ve", "'ll"):
                 made[1] = 2  # cut short, the sign and the letter are pieces of their own
-            if len(self.known) >= PIECES:
+            if len(self.known) >= PIECES // 8:
                 self.known.clear()
-                self.totals.clear()
             self.known[piece] = made
         return made
 
+    def learn(self, pieces: list[list[str]]) -> None:
+        """Count the pieces that are not known yet, those of one length together."""
+        new = {p for own in pieces for p in own if p not in self.whole}
+        if len(self.whole) + len(new) > PIECES:
+            self.whole.clear()
+            new = {p for own in pieces for p in own}
+        by_size: dict[int, list[str]] = {}
+        for p in new:
+            by_size.setdefault(len(p.encode("utf-8")), []).append(p)
+        for size, own in by_size.items():
+            if size > TOGETHER:
+                self.whole.update((p, self.merges.by_byte(p.encode("utf-8"))[-1]) for p in own)
+                continue
+            step = max(1, 400_000 // (size * size))
+            for k in range(0, len(own), step):
+                part = own[k : k + step]
+                self.whole.update(zip(part, self.merges.totals([p.encode("utf-8") for p in part]).tolist()))
+
     def pieces(self, text: str) -> list[str]:
-        if text.isascii() or not _new_characters().search(text):
+        if text.isascii() or _assigned()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].all():
             return self.find.findall(text)
         if self.library is None:
             from tokenizers import Tokenizer
@@ -191,18 +293,28 @@ class PrefixCounter:
             at = found.end()
         return [*out, (text[at:], "")]
 
+    def totals(self, texts: list[str]) -> tuple[list[int], list[list[list[str]]]]:
+        """Tokens of each text, and the pieces of its parts."""
+        pieces = [[self.pieces(part) for part, _ in self.parts(t)] for t in texts]
+        self.learn([own for parts in pieces for own in parts])
+        get = self.whole.__getitem__
+        return [len(parts) - 1 + sum(sum(map(get, own)) for own in parts) for parts in pieces], pieces
+
     def total(self, text: str) -> int:
-        parts = self.parts(text)
-        return len(parts) - 1 + sum(sum(map(self.totals.__getitem__, self.pieces(p))) for p, _ in parts)
+        return self.totals([text])[0][0]
 
     def within(self, text: str, budget: int) -> int:
         """Code points of the longest prefix of at most ``budget`` tokens."""
+        (_,), (pieces,) = self.totals([text])
+        return self.fits(text, pieces, budget)
+
+    def fits(self, text: str, pieces: list[list[str]], budget: int) -> int:
+        """``within`` of a text whose pieces are known."""
         best, at, used = 0, 0, 0
-        for part, mark in self.parts(text):
-            counts = self._stretch(part + mark[:-1], budget - used) if mark else self._stretch(part, budget - used)
-            fits = np.flatnonzero(counts <= budget - used)
-            best = at + int(fits[-1]) + 1 if len(fits) else best
-            used += sum(map(self.totals.__getitem__, self.pieces(part)))
+        for (part, mark), own in zip(self.parts(text), pieces):
+            reach = self._last_within(self.pieces(part + mark[:-1]) if mark else own, budget - used)
+            best = at + reach if reach else best
+            used += sum(map(self.whole.__getitem__, own))
             at += len(part) + len(mark)
             if mark:
                 used += 1
@@ -211,24 +323,42 @@ class PrefixCounter:
                 break
         return best
 
+    def _last_within(self, pieces: list[str], budget: int) -> int:
+        """Code points of the longest prefix of ordinary text within a budget, 0 if only the empty one is.
+
+        A prefix that ends behind a piece has the tokens of the pieces up to there, so only what follows the last such
+        that fits is looked at, from where no white space hangs over.
+        """
+        self.learn([pieces])
+        used = np.cumsum([0, *map(self.whole.__getitem__, pieces)])
+        start = min(int(np.searchsorted(used, budget, "right")), len(pieces)) - 1
+        while start > 0 and (pieces[start].isspace() or pieces[start - 1].isspace()):
+            start -= 1
+        start = max(0, start)
+        stop = start
+        while stop < len(pieces) and (used[stop] <= budget or pieces[stop].isspace() or pieces[stop - 1].isspace()):
+            stop += 1
+        fits = np.flatnonzero(self._stretch(pieces[start:stop]) <= budget - used[start])
+        before = sum(map(len, pieces[:start]))
+        return before + int(fits[-1]) + 1 if len(fits) else before if used[start] <= budget else 0
+
     def counts(self, text: str) -> np.ndarray:
         """Tokens of every prefix of a text by code points, from the first on."""
         made, used = [], 0
         for part, mark in self.parts(text):
             # inside a special string its characters still are text
-            made.append(self._stretch(part + mark[:-1] if mark else part) + used)
+            made.append(self._stretch(self.pieces(part + mark[:-1] if mark else part)) + used)
             if mark:
-                used += sum(map(self.totals.__getitem__, self.pieces(part))) + 1
+                used += self.total(part) + 1
                 made.append(np.array([used], np.int64))
         return np.concatenate(made) if made else np.zeros(0, np.int64)
 
-    def _stretch(self, text: str, budget: int = NEVER) -> np.ndarray:
-        """Counts of the prefixes of ordinary text; may end behind the last that keeps to a budget."""
-        out: list[int] = []
+    def _stretch(self, pieces: list[str]) -> np.ndarray:
+        """Counts of the prefixes of ordinary text, given by its pieces."""
+        text, out = "".join(pieces), []
         base, blank_from, blank_base = 0, -1, 0
-        for piece in self.pieces(text):
-            if base > budget and blank_from < 0:
-                break
+        for piece in pieces:
+            own = self.of_piece(piece)
             if piece.isspace():
                 # white space is one piece up to where a prefix ends, however the whole text cuts it later
                 if blank_from < 0:
@@ -236,28 +366,15 @@ class PrefixCounter:
                 run = text[blank_from : len(out) + len(piece)]
                 out += [blank_base + n for n in self.of_piece(run)[len(out) - blank_from :]]
             else:
-                own = self.of_piece(piece)
                 made = [base + n for n in own]
                 if blank_from >= 0 and piece[0] == " ":
                     made[0] = blank_base + self.of_piece(text[blank_from : len(out) + 1])[-1]
                 out += made
                 blank_from = -1
-            base += self.of_piece(piece)[-1]
+            base += own[-1]
         return np.array(out, np.int64)
 
 
-class _Totals(dict):
-    """Tokens of whole pieces, read off the counts of their prefixes."""
-
-    def __init__(self, of: PrefixCounter):
-        self.of = of
-
-    def __missing__(self, piece: str) -> int:
-        made = self.of.of_piece(piece)[-1]
-        self[piece] = made
-        return made
-
-
 @lru_cache(maxsize=2)
 def _counter(name: str) -> PrefixCounter:
     """Made once per Python worker from the file that Spark has shipped."""
@@ -281,10 +398,10 @@ def count_tokens(
     def run(batches):
         counter = _counter(name)
         for whole in batches:
-            for batch in cut_batches(whole, at):
+            for batch in cut_batches(whole, at, 2_000_000):
                 texts = [t or "" for t in batch.column(at).to_pylist()]
-                totals = [counter.total(t) for t in texts]
-                fits = [len(t) if n <= budget else counter.within(t, budget) for t, n in zip(texts, totals)]
+                totals, pieces = counter.totals(texts)
+                fits = [len(t) if n <= budget else counter.fits(t, p, budget) for t, n, p in zip(texts, totals, pieces)]
                 cols = [*batch.columns[:at], pa.array(totals, pa.int64()), pa.array(fits, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=[*held, *new])
 
