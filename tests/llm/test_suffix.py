@@ -2,7 +2,8 @@
 
 import hashlib
 import random
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -81,10 +82,52 @@ def test_job(spark, monkeypatch, hot, bits):
     texts = corpus()
     rows = [(i, t, 1.5, None) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, rid double, kept string").repartition(3)
-    made = suffix.remove_repeats(docs, length=24, gram=6, hot=hot)
-    assert made.columns == ["doc_id", "text", "rid", "n_bytes", "n_removed", "n_spans", "kept"]
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in made.collect()}
+    made = suffix.remove_repeats(docs, length=24, gram=6, hot=hot, passage=5)
+    assert made.columns == ["doc_id", "text", "rid", "n_bytes", "n_removed", "n_spans", "kept", "n_passages", "passage_words"]
+    rows = made.collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in rows}
     assert [got[i] for i in range(len(texts))] == plain(texts, 24)
+    assert {r.doc_id: (r.n_passages, r.passage_words) for r in rows} == dict(enumerate(passages(texts, 5)))
+
+
+def passages(texts, size):
+    """Stretches of words that stand in another text too, and their words, by a dictionary of all windows."""
+    cut = [[w for w in re.split(r"[ \t\n\v\f\r]+", t or "") if w] for t in texts]
+    where = defaultdict(set)
+    for i, words in enumerate(cut):
+        for k in range(len(words) - size + 1):
+            where[tuple(words[k : k + size])].add(i)
+    out = []
+    for words in cut:
+        held = [False] * len(words)
+        for k in range(len(words) - size + 1):
+            if len(where[tuple(words[k : k + size])]) > 1:
+                held[k : k + size] = [True] * size
+        # windows that only touch are two passages unless they share a word
+        spans, last = 0, -1
+        for k in range(len(words) - size + 1):
+            if len(where[tuple(words[k : k + size])]) > 1:
+                spans += k > last
+                last = k + size
+        out.append((spans, sum(held)))
+    return out
+
+
+@pytest.mark.parametrize("size", [8, 51])
+def test_passages_of_words(spark, size):
+    rng = random.Random(size)
+    words = [f"w{i}" for i in range(40)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    shared, edge = say(size), say(size - 1)
+    texts = [f"{say(30)} {shared} {say(20)}", f"{shared}\n{say(4)}", f"{say(9)} {edge} {say(9)}", f"{edge} {say(9)}", None, "", say(200)]
+    twice = say(size + 3)
+    texts += [f"{twice} {say(5)} {twice}", say(70), texts[0], f"{say(3)} {shared.replace(' ', '  ')}", f"{shared} {say(40)} {shared} {twice[:20]}"]
+    texts += [" ".join(["x"] * 300), " ".join(["x"] * 90), "word " * 2000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_passages, r.passage_words) for r in suffix.remove_repeats(docs, passage=size).collect()}
+    assert got == dict(enumerate(passages(texts, size)))
+    off = suffix.remove_repeats(docs, passage=0).select("n_passages", "passage_words").distinct().collect()
+    assert [tuple(r) for r in off] == [(0, 0)]
 
 
 def test_empty_table(spark):
@@ -103,3 +146,5 @@ def test_query(spark):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (*want[:3], hashlib.sha256(want[3]).hexdigest())
         removed += r.n_removed
     assert removed > 100_000
+    want = passages([d.text for d in docs], 51)
+    assert [(got[d.doc_id].n_passages, got[d.doc_id].passage_words) for d in docs] == want

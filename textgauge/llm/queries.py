@@ -92,7 +92,9 @@ def op2_fingerprint(spark, sf):
 @query()
 def op3_repeats(spark, sf):
     made = suffix.remove_repeats(documents(spark, sf).select("doc_id", "text"), length=400)
-    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return made.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passages", "passage_words"
+    )
 
 
 @query("""

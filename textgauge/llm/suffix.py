@@ -16,8 +16,13 @@ suffix array that fits one machine, so strings are first dealt out by content:
 
 Only the order of the first ``length`` bytes matters, so comparing stops there.
 
+Passages of so many words that also stand in another document are told beside it, in the same scan: words become hashes,
+windows of words get anchors and form runs as above. Runs with several kinds for one anchor are cut into windows, and what
+counts is whether a window stands in two documents. Such passages may be shorter than ``length`` bytes; they are counted, not removed.
+
 Defined results: a null or empty text has no bytes; texts shorter than ``length`` lose nothing. Equal rows
-repeat each other, whatever their keys. Matches never cross documents.
+repeat each other, whatever their keys. Matches never cross documents. Words are runs of bytes other than ASCII white space,
+compared as they are; a passage within one document only is none.
 """
 
 from __future__ import annotations
@@ -28,8 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from textgauge.llm.common import checked, column, fresh, saved, text_of
-from textgauge.llm.shingles import _BASE, _INVERSE, _VALUES, _powers, mix
+from textgauge.llm.common import checked, column, fresh, numbered, saved, text_of
+from textgauge.llm.shingles import _BASE, _INVERSE, _VALUES, _powers, mix, word_hashes
 
 U = np.uint64
 #: Bits of a place inside a slice of a text; the rest of 64 bits hold the anchor.
@@ -52,10 +57,15 @@ def runs(data: np.ndarray, length: int, gram: int, slice_bits: int = PLACE_BITS)
 def _slice_runs(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sums = np.concatenate([np.zeros(1, U), np.cumsum(_VALUES[data] * _powers(_BASE, len(data)))])
     grams = (sums[gram:] - sums[:-gram]) * _powers(_INVERSE, len(data) - gram + 1)
+    return _anchored(mix(grams), length - gram + 1)
+
+
+def _anchored(grams: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, windows, anchor) of the runs of windows of ``wide`` grams."""
     places = U((1 << PLACE_BITS) - 1)
-    keys = (mix(grams) & ~places) | np.arange(len(grams), dtype=U)
+    keys = (grams & ~places) | np.arange(len(grams), dtype=U)
     # minimum of each stretch of ``wide`` keys, from minima to the left and right inside blocks
-    wide, n = length - gram + 1, len(keys)
+    n = len(keys)
     padded = np.full(-(-n // wide) * wide, np.iinfo(np.uint64).max, U)
     padded[:n] = keys
     blocks = padded.reshape(-1, wide)
@@ -68,6 +78,29 @@ def _slice_runs(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, n
     return starts, sizes, (least[starts] >> U(PLACE_BITS)).astype(np.int64)
 
 
+#: Words of a gram whose hash may be the anchor of a window of words.
+WORD_GRAM = 8
+
+
+def word_runs(words: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(start, windows, anchor, digest) of the runs of windows of ``length`` words, given the words' hashes."""
+    found = []
+    step = (1 << PLACE_BITS) - length
+    for i in range(0, max(0, len(words) - length + 1), step):
+        part = words[i : i + step + length - 1]
+        sums = np.concatenate([np.zeros(1, U), np.cumsum(part * _powers(_BASE, len(part)))])
+        inverse = _powers(_INVERSE, len(part) + 1)
+        gram = min(WORD_GRAM, length)
+        grams = mix((sums[gram:] - sums[:-gram]) * inverse[: len(part) - gram + 1])
+        start, windows, anchor = _anchored(grams, length - gram + 1)
+        stop = start + windows + length - 1
+        digest = mix((sums[stop] - sums[start]) * inverse[start] + windows.astype(U))
+        found.append((start + i, windows, anchor, digest.view(np.int64)))
+    if not found:
+        return (np.zeros(0, np.int64),) * 4
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 # --- suffix array -----------------------------------------------------------------------------
 
 
@@ -201,44 +234,64 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
 SHIFT = 12
 
 
-def _scan(length: int, gram: int):
-    """(h1, h2, bytes) to one row for each run: h1, h2, loc, anchor, digest."""
+def _scan(length: int, gram: int, passage: int):
+    """(row, h1, h2, bytes) to one row for each run, row, loc, anchor, digest, words; and one for the text, its hashes at loc -1."""
 
     def run(batches):
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 batch = whole.slice(k, 512)
                 found: list[tuple[np.ndarray, ...]] = []
-                digests: list[int] = []
-                for value in batch.column(2):
+                of_words: list[tuple[np.ndarray, ...]] = []
+                for value in batch.column(3):
                     data = memoryview(value.as_buffer())
                     start, windows, anchor = runs(np.frombuffer(data, np.uint8), length, gram)
-                    found.append(((start << SHIFT) + windows, anchor))
                     stops = (start + windows + length - 1).tolist()
-                    digests += [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(start.tolist(), stops)]
-                counts = [len(loc) for loc, _ in found]
-                owner = [np.repeat(batch.column(i).to_numpy(), counts) for i in (0, 1)]
-                loc, anchor = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-                cols = [*owner, loc, anchor, np.array(digests, U).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["h1", "h2", "loc", "anchor", "digest"])
+                    digests = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(start.tolist(), stops)]
+                    found.append(((start << SHIFT) + windows, anchor, np.array(digests, U).view(np.int64)))
+                    if passage:
+                        start, windows, anchor, digest = word_runs(word_hashes([bytes(data)])[0], passage)
+                        of_words.append(((start << SHIFT) + windows, anchor, digest))
+                row, h1, h2 = (batch.column(i).to_numpy() for i in range(3))
+                yield _rows(row, (np.full(len(row), -1), h1, h2), False)
+                for own, words in ((found, False), (of_words, True)):
+                    if own:
+                        cols = [np.concatenate(c) for c in zip(*own)]
+                        yield _rows(np.repeat(row, [len(f[0]) for f in own]), cols, words)
 
     return run
 
 
-def _cut_pieces(length: int):
-    """(bytes, wanted runs) to one row for each run, with its bytes."""
+def _rows(row: np.ndarray, cols, words: bool) -> pa.RecordBatch:
+    made = [pa.array(c, pa.int64()) for c in (row, *cols)]
+    return pa.RecordBatch.from_arrays([*made, pa.array(np.full(len(row), words))], names=["row", "loc", "anchor", "digest", "words"])
+
+
+PIECE = ("anchor", "digest", "n", "low", "high", "piece", "window")
+
+
+def _cut_pieces(length: int, passage: int):
+    """(bytes, wanted runs) to one row for each run of bytes, with them, and for each window of a run of words, with its hash."""
 
     def run(batches):
         for batch in batches:
-            out: list[tuple] = []
             for value, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
                 data = memoryview(value.as_buffer())
+                out: list[tuple] = []
+                words = word_hashes([bytes(data)])[0] if any(w["words"] for w in wanted) else None
                 for w in wanted:
                     a, windows = w["loc"] >> SHIFT, w["loc"] & (1 << SHIFT) - 1
-                    out.append((w["anchor"], w["digest"], w["n"], bytes(data[a : a + windows + length - 1])))
-            cols = list(zip(*out)) or [(), (), (), ()]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["anchor", "digest", "n", "piece"])
+                    own = (w["anchor"], w["digest"], w["n"])
+                    if not w["words"]:
+                        out.append((*own, 0, 0, bytes(data[a : a + windows + length - 1]), None))
+                        continue
+                    view = memoryview(words[a : a + windows + passage - 1].tobytes())
+                    for i in range(windows):
+                        made = xxhash.xxh3_128_digest(view[8 * i : 8 * (i + passage)])
+                        out.append((w["anchor"], w["digest"], i, w["low"], w["high"], None, made))
+                cols = list(zip(*out)) or [()] * len(PIECE)
+                kinds = (*[pa.int64()] * 5, pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=list(PIECE))
 
     return run
 
@@ -290,15 +343,29 @@ def _hash_windows(length: int):
     return run
 
 
-def _remove(length: int, at: int, names: list[str]):
-    """(columns, bytes, ranges of windows) to the columns, sizes and the bytes that are left."""
+def _passages(ranges: list[dict] | None, passage: int) -> tuple[int, int]:
+    """Stretches of words that the windows cover, and their words."""
+    spans = words = last = 0
+    for low, high in sorted((r["low"], r["high"]) for r in ranges or ()):
+        stop = high + passage - 1
+        if spans == 0 or low > last:
+            spans += 1
+            words += stop - low
+        else:
+            words += max(0, stop - last)
+        last = max(last, stop)
+    return spans, words
+
+
+def _remove(length: int, passage: int, at: int, names: list[str]):
+    """(columns, bytes, ranges of windows, of windows of words) to the columns, sizes, the bytes that are left and passages."""
 
     def run(batches):
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 batch = whole.slice(k, 512)
                 made = []
-                for value, ranges in zip(batch.column(at), batch.column(at + 1).to_pylist()):
+                for value, ranges, of_words in zip(batch.column(at), batch.column(at + 1).to_pylist(), batch.column(at + 2).to_pylist()):
                     data = value.as_buffer().to_pybytes() if value.is_valid else b""
                     kept, last, removed, spans = [], 0, 0, 0
                     for low, high in sorted((r["low"], r["high"]) for r in ranges or ()):
@@ -310,9 +377,9 @@ def _remove(length: int, at: int, names: list[str]):
                         else:
                             removed += max(0, stop - last)
                         last = max(last, stop)
-                    made.append((len(data), removed, spans, b"".join([*kept, data[last:]])))
-                cols = list(zip(*made)) or [(), (), (), ()]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                    made.append((len(data), removed, spans, b"".join([*kept, data[last:]]), *_passages(of_words, passage)))
+                cols = list(zip(*made)) or [()] * 6
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:at], *(pa.array(c, t) for c, t in zip(cols, kinds))], names=names)
 
     return run
@@ -324,43 +391,59 @@ def remove_repeats(
     length: int = 400,
     gram: int = 64,
     hot: int = 20_000,
-    new: tuple[str, str, str, str] = ("n_bytes", "n_removed", "n_spans", "kept"),
+    passage: int = 51,
+    new: tuple[str, str, str, str, str, str] = ("n_bytes", "n_removed", "n_spans", "kept", "n_passages", "passage_words"),
 ) -> DataFrame:
-    """``docs`` with the number of bytes, removed bytes and removed runs, and the bytes that are left.
+    """``docs`` with the number of bytes, removed bytes and removed runs, the bytes that are left, and the number and words of
+    the passages of ``passage`` words or more that stand in another document too (0 looks for none).
 
     New columns replace those of the same names.
     """
-    if not gram <= length < 1 << SHIFT:
-        raise ValueError(f"length must be below {1 << SHIFT} and not below gram")
+    if not gram <= length < 1 << SHIFT or not 0 <= passage < 1 << SHIFT:
+        raise ValueError(f"length and passage must be below {1 << SHIFT}, length not below gram")
     held = [c for c in docs.columns if c not in new]
     base = docs.select(*(column(docs, c) for c in held))
-    data, h1, h2, wanted = (fresh(base, f"_{c}") for c in ("data", "h1", "h2", "ranges"))
+    data, h1, h2, wanted, shared = (fresh(base, f"_{c}") for c in ("data", "h1", "h2", "ranges", "shared"))
     base = base.withColumn(data, text_of(docs, text).cast("binary"))
     base = base.withColumns({h1: F.xxhash64(data), h2: F.xxhash64(F.lit("second"), data)})
     texts = base.select(F.col(h1).alias("h1"), F.col(h2).alias("h2"), F.col(data).alias("data"))
-    each = texts.mapInArrow(_scan(length, gram), "h1 long, h2 long, loc long, anchor long, digest long")
-    each = saved(each, "runs")
-
-    kinds = each.groupBy("anchor", "digest").agg(
-        F.count("*").alias("copies"), F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.first("loc").alias("loc")
+    each = numbered(texts, "row").select("row", "h1", "h2", "data")
+    each = saved(each.mapInArrow(_scan(length, gram, passage), "row long, loc long, anchor long, digest long, words boolean"), "runs")
+    # the first row of every text stands for it
+    owners = each.filter("loc < 0").groupBy(F.col("anchor").alias("h1"), F.col("digest").alias("h2")).agg(F.min("row").alias("row"))
+    owners = saved(owners, "texts")
+    each = each.filter("loc >= 0")
+
+    kinds = each.groupBy("words", "anchor", "digest").agg(
+        F.count("*").alias("copies"), F.min(F.struct("row", "loc")).alias("at"), F.max("row").alias("high")
     )
-    kinds = saved(kinds, "run-kinds")
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("copies").alias("all")).filter("all > 1")
-    kinds = saved(kinds.join(several.select("anchor", "n"), "anchor"), "repeated-anchors")
+    kinds = saved(kinds.select("words", "anchor", "digest", "copies", "at.row", "at.loc", "high"), "run-kinds")
+    several = kinds.groupBy("words", "anchor").agg(
+        F.count("*").alias("n"), F.sum("copies").alias("all"), F.min("row").alias("first"), F.max("high").alias("last")
+    )
+    # bytes may repeat in one document, words must stand in two
+    several = several.filter(F.when(F.col("words"), F.col("first") < F.col("last")).otherwise(F.col("all") > 1))
+    kinds = saved(kinds.join(several.select("words", "anchor", "n"), ["words", "anchor"]), "repeated-anchors")
 
     # runs that occur as a whole elsewhere
-    copied = each.join(kinds.filter("copies > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi")
-    copied = copied.select("h1", "h2", "loc").distinct()
-    copied = copied.selectExpr("h1", "h2", f"loc >> {SHIFT} AS low", f"(loc >> {SHIFT}) + (loc & {(1 << SHIFT) - 1}) AS high")
+    whole = F.when(F.col("words"), F.col("row") < F.col("high")).otherwise(F.col("copies") > 1)
+    copied = each.join(kinds.filter(whole).select("words", "anchor", "digest"), ["words", "anchor", "digest"], "left_semi")
+    copied = copied.selectExpr("words", "row", f"loc >> {SHIFT} AS low", f"(loc >> {SHIFT}) + (loc & {(1 << SHIFT) - 1}) AS high")
 
     # different runs with one anchor
     mixed = kinds.filter("n > 1")
-    cuts = mixed.groupBy("h1", "h2").agg(F.collect_list(F.struct("anchor", "digest", "n", "loc")).alias("cuts"))
-    cuts = saved(cuts, "cuts")
+    cuts = F.collect_list(F.struct("words", "anchor", "digest", "n", "loc", F.col("row").alias("low"), "high")).alias("cuts")
+    cuts = saved(mixed.join(owners, "row").groupBy("h1", "h2").agg(cuts), "cuts")
     held_by = texts.join(checked(cuts.select("h1", "h2")), ["h1", "h2"], "left_semi")
     held_by = held_by.groupBy("h1", "h2").agg(F.first("data").alias("data")).join(cuts, ["h1", "h2"]).select("data", "cuts")
-    pieces = held_by.mapInArrow(_cut_pieces(length), "anchor long, digest long, n long, piece binary")
+    pieces = held_by.mapInArrow(
+        _cut_pieces(length, passage), "anchor long, digest long, n long, low long, high long, piece binary, window binary"
+    )
     pieces = saved(pieces, "pieces")
+    of_words = pieces.filter("window IS NOT NULL").select("anchor", "digest", F.col("n").alias("at"), "low", "high", "window")
+    in_two = of_words.groupBy("window").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("window")
+    of_words = of_words.join(in_two, "window", "left_semi").selectExpr("anchor", "digest", "at AS low", "at + 1 AS high")
+    pieces = pieces.filter("window IS NULL")
     cold = pieces.filter(F.col("n") <= hot).select("anchor", "digest", "piece")
     cold = cold.repartition("anchor").sortWithinPartitions("anchor")
     ranges = cold.mapInArrow(_sort_pieces(length), "anchor long, digest long, low long, high long")
@@ -370,14 +453,23 @@ def remove_repeats(
         again = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
         again = windows.join(again, "window", "left_semi")
         ranges = ranges.union(again.selectExpr("anchor", "digest", "low", "low + 1"))
-    single = mixed.filter("copies = 1").select("anchor", "digest", "h1", "h2", F.expr(f"loc >> {SHIFT}").alias("start"))
-    edges = ranges.join(single, ["anchor", "digest"]).selectExpr("h1", "h2", "start + low AS low", "start + high AS high")
-
-    spans = copied.union(edges).groupBy("h1", "h2").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    spans = spans.select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.col("ranges").alias(wanted))
-    joined = base.join(spans, [h1, h2], "left").select(*(column(base, c) for c in held), data, wanted)
+    ranges = ranges.withColumn("words", F.lit(False)).union(of_words.withColumn("words", F.lit(True)))
+    single = mixed.filter(~whole)
+    start = F.expr(f"loc >> {SHIFT} AS start")
+    alone = single.filter("copies = 1").select("words", "anchor", "digest", "row", start)
+    # passages within one document have several places there
+    again = checked(single.filter("copies > 1").select("words", "anchor", "digest"))
+    again = each.filter("words").join(again, ["words", "anchor", "digest"], "left_semi").select("words", "anchor", "digest", "row", start)
+    edges = ranges.join(alone.union(again), ["words", "anchor", "digest"])
+    edges = edges.selectExpr("words", "row", "start + low AS low", "start + high AS high")
+
+    span = F.struct("low", "high")
+    spans = copied.union(edges).join(owners, "row").groupBy("h1", "h2").agg(
+        F.collect_list(F.when(~F.col("words"), span)).alias("ranges"), F.collect_list(F.when(F.col("words"), span)).alias("shared")
+    )
+    spans = spans.select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.col("ranges").alias(wanted), F.col("shared").alias(shared))
+    joined = base.join(spans, [h1, h2], "left").select(*(column(base, c) for c in held), data, wanted, shared)
     out = StructType([docs.schema[c] for c in held])
-    for name in new[:3]:
-        out.add(StructField(name, LongType()))
-    out.add(StructField(new[3], BinaryType()))
-    return joined.mapInArrow(_remove(length, len(held), out.names), out)
+    for name, kind in zip(new, (LongType(), LongType(), LongType(), BinaryType(), LongType(), LongType())):
+        out.add(StructField(name, kind))
+    return joined.mapInArrow(_remove(length, passage, len(held), out.names), out)
