@@ -76,3 +76,48 @@ def test_key_blocks(spark, model):
     held = f'secret_key: "-----BEGIN PRIVATE KEY-----\n{body}\n-----END PRIVATE KEY-----"'
     got = redacted(spark, model, [f"a {pgp} z", f"a {cut}", held])
     assert got == ["a [SECRET] z", "a [SECRET]", 'secret_key: "[SECRET]"']
+
+
+PLAIN = " ".join("Here is one more ordinary sentence, and nothing in it is secret." for _ in range(50))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f"A file starts with -----BEGIN PRIVATE KEY----- as its header. {PLAIN}",
+        f"Put it between -----BEGIN RSA PRIVATE KEY----- and -----END RSA PRIVATE KEY-----. {PLAIN}",
+        f"-----BEGIN EC PRIVATE KEY-----\n...\n-----END EC PRIVATE KEY-----\n{PLAIN}",
+        f"-----BEGIN PGP PRIVATE KEY BLOCK-----\n\n{PLAIN}",
+        "secret: process.env.SECRET_KEY",
+        'password = os.environ["DB_PASSWORD"]',
+        "password: ${DB_PASSWORD}",
+    ],
+)
+def test_what_only_names_a_secret_stays(spark, model, text):
+    assert redacted(spark, model, [text]) == [text]
+
+
+def test_text_after_a_cut_key_stays(spark, model):
+    body = "\n".join(long_values(1200)[1][i : i + 64] for i in range(0, 1200, 64))
+    got = redacted(spark, model, [f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n\nThe rest. {PLAIN}"])
+    assert got == [f"[SECRET]\n\nThe rest. {PLAIN}"]
+
+
+def test_values_in_urls_and_quotes(spark, model):
+    texts = [
+        "clone https://user:Pa55w0rdXyz@host.org/a now", 'password = "correct horse Battery9 staple" end',
+        "postgres://admin:kX9vQ2mL7wZt@db.local/main", "see https://host.org:8080/a@b",
+    ]
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.key: (r.kind, r.value) for r in secrets.candidates(given).collect()}
+    assert got == {0: ("url", "Pa55w0rdXyz"), 1: ("assigned", "correct horse Battery9 staple"), 2: ("url", "kX9vQ2mL7wZt")}
+    made = redacted(spark, model, texts)
+    assert made[0] == "clone https://user:[SECRET]@host.org/a now" and made[2] == "postgres://admin:[SECRET]@db.local/main"
+
+
+def test_many_hits_have_their_places(spark):
+    token = "0123456789abcdef0123456789abcdef01234567"
+    n = 3 * secrets.HITS + 5
+    given = spark.createDataFrame([(1, f"é🙂 {token}\n" * n)], "doc_id int, text string")
+    got = secrets.candidates(given).orderBy("place").collect()
+    assert [(r.place, r.start, r.value) for r in got] == [(i, 3 + 44 * i, token) for i in range(n)]

@@ -115,9 +115,9 @@ def op4_chat(spark, sf):
 
 @query()
 def op5_secrets(spark, sf):
-    docs = documents(spark, sf).select("doc_id", "text")
+    docs = documents(spark, sf).select("doc_id", "text", "source")
     model = secrets.train(secrets.labelled_findings(docs))
-    found = secrets.scan_secrets(docs, model)
+    found = secrets.scan_secrets(docs, model, path="source")
     return found.select(
         "doc_id",
         "place",
