@@ -9,6 +9,9 @@ the table that they are given; the last returns where each piece of each documen
   doc_id stays; texts without words stay.
 * secrets: every document stays; secrets in its text become ``[SECRET]``, and n_chars follows.
 * pack: every document gets its place in bins of 8192 bytes, one document of a source in each bin.
+
+Rows with null keys stay, unless a stage drops them for their text; repeated rows are copies of each other, of which one stays.
+An empty table gives no rows. Further columns, also of names that stages use inside, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = secrets.train(secrets.labelled_findings(docs))
-    made = secrets.redact(docs, model)
+    made = secrets.redact(docs, model, path="source" if "source" in docs.columns else None)
     if "n_chars" not in made.columns:
         return made
     changed = F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)
