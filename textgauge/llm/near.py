@@ -5,7 +5,7 @@
 2. Classes whose signatures agree on a band of four values meet in a bucket. With 32 bands, a pair at
    the threshold of 0.8 misses all buckets once in twenty million times.
 3. In each bucket all members are compared with the first one only, which is linear in the bucket. Pairs
-   whose signatures agree on less than ``threshold - SLACK`` of the values (over three and a half
+   whose signatures agree on less than ``threshold - SLACK`` of the values (over six
    standard deviations) are left out, the rest is confirmed on the full shingle sets. Union-find groups the links.
 4. What is left are buckets that still hold several groups. Their members meet in blocks of bounded size
    and every pair from different groups is tried, again on the full sets; only links leave the task.
@@ -29,11 +29,13 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from textgauge.llm.common import checked, column, cut_batches, fresh, saved
 from textgauge.llm.components import components
-from textgauge.llm.shingles import SLICE, shingle_sets, superminhash
+from textgauge.llm.shingles import shingle_sets, superminhash
 
 SLOTS, ROWS = 128, 4
+#: Bytes of text whose sets and signatures are made together.
+SLICE = 1_000_000
 #: Signatures estimate a similarity of 0.8 with a standard deviation below 0.036.
-SLACK = 0.13
+SLACK = 0.22
 #: Members and shingles of a block; a task holds two blocks.
 BLOCK, BLOCK_SHINGLES = 512, 400_000
 
