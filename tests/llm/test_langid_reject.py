@@ -5,6 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from clean_texts import LATER, LEARNED, OTHER
+
 from textgauge.llm import langid
 
 FOLDER = "/root/testdata/sf0.01"
@@ -29,3 +31,16 @@ def test_foreign_and_coded_texts_go_and_clean_ones_stay(spark):
     said = langid.identify(docs.filter(F.col("text").rlike("\\p{L}")), model)
     lost = said.filter("rejected").select("doc_id", "score", F.length("text")).collect()
     assert lost == []
+
+
+def test_texts_from_elsewhere(spark):
+    """Ordinary texts of the learned languages stay; of others only a few near relatives do."""
+    model = langid.fit(spark.read.parquet(f"{FOLDER}/documents.parquet"))
+    for texts in (LEARNED, LATER):
+        rows = [(lang, t) for lang, own in texts.items() for t in own]
+        got = langid.identify(spark.createDataFrame(rows, "lang string, text string"), model).collect()
+        assert [(r.lang, r.text) for r in got if r.rejected] == []
+        assert [r.text for r in got if r.lang != r.lang_pred] == []
+    got = langid.identify(spark.createDataFrame(list(OTHER.items()), "lang string, text string"), model).collect()
+    kept = {r.lang for r in got if not r.rejected}
+    assert kept <= {"nl", "pt", "sv", "it"}, kept

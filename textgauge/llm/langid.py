@@ -45,7 +45,7 @@ PIECES = (25, 50, 100, 200, 400)
 FOLDS = 5
 LEAST = 40
 QUANTILE = 0.005
-SLACK = 0.65
+SLACK = 0.55
 #: Sizes by powers of two of distinct n-grams.
 SIZES = BUCKETS.bit_length()
 
