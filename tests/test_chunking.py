@@ -188,3 +188,20 @@ def test_long_documents_take_linear_time_without_compiled_code(spark):
     finally:
         spark.conf.unset("spark.sql.codegen.wholeStage")
     assert long < 6 * max(short, 0.5)
+
+
+@pytest.mark.parametrize("m,s", [(3, 5), (1, 2), (4, 4), (4, 2), (2, 9)])
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_uncovered_positions(spark, monkeypatch, m, s, block):
+    monkeypatch.setattr(chunking, "GAP_BLOCK", block)
+    lengths = [None, 0, 1, m - 1, m, m + 1, m + s - 1, m + s, 3 * s + m, 40]
+    docs = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n int")
+    want = set()
+    for i, n in enumerate(lengths):
+        starts = range(0, (n or 0) - m + 1, s)
+        free = [p for p in range(n or 0) if not any(a <= p < a + m for a in starts)]
+        for p in free:
+            if p - 1 not in free:
+                want.add((i, p, next(q for q in range(p, n + 1) if q not in free)))
+    got = chunking.uncovered(docs, F.col("n"), m, s).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)

@@ -197,3 +197,22 @@ def test_sample_tasks(spark):
 
     got = sorted(tuple(r) for r in evaluate.sample_tasks(tasks, make, 3).collect())
     assert got == [(t, j, f"{p}{j}") for t, p in (("t1", "p"), ("t2", "q")) for j in range(3)]
+
+
+@pytest.mark.parametrize("steps", [0, 1, 5, 12])
+def test_greedy_jumps_equal_steps(spark, steps):
+    follows = {"a": "b", "b": "c", "c": "a", "d": "e", "x": "x"}
+    best = spark.createDataFrame([(k, v, 1.0) for k, v in follows.items()], "context string, token string, p double")
+    rows = [(i, "p", last) for i, last in enumerate([*"abcdex", None, "unknown"])]
+    prompts = spark.createDataFrame(rows, "prompt_id int, prompt string, last string")
+    got = {r.prompt_id: r.completion for r in generation.greedy_by_join(prompts, best, max_new_tokens=steps).collect()}
+    want = {}
+    for i, _, at in rows:
+        made = ""
+        for _ in range(steps):
+            at = follows.get(at)
+            made += at or ""
+        want[i] = made
+    assert got == want
+    walked = generation.generate(prompts, generation.sampler(best, max_new_tokens=steps), inputs=("prompt", "last"))
+    assert {r.prompt_id: r.completion for r in walked.collect()} == want

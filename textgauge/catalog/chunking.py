@@ -171,3 +171,18 @@ def chunk_stream(spark, sf):
 )
 def chunk_coverage(spark, sf):
     return chunking.chunk_coverage(tok_docs(spark, sf, "lang"), F.size("tok"), 64, 24, by=("lang",))
+
+
+@query(
+    f"""
+    WITH d AS (SELECT doc_id, len({TOK}) AS n FROM documents),
+    p AS (SELECT doc_id, unnest(range(0, n)) AS pos FROM d),
+    w AS (SELECT doc_id, unnest(range(0, (n - 24) // 40 + 1)) AS i FROM d WHERE n >= 24),
+    h AS (SELECT DISTINCT doc_id, unnest(range(i * 40, i * 40 + 24)) AS pos FROM w),
+    u AS (SELECT doc_id, pos FROM p ANTI JOIN h USING (doc_id, pos)),
+    g AS (SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM u)
+    SELECT doc_id, min(pos) AS "from", max(pos) + 1 AS "to" FROM g GROUP BY doc_id, island"""
+)
+def uncovered_positions(spark, sf):
+    """Windows of 24 tokens every 40: gaps between them and tails."""
+    return chunking.uncovered(tok_docs(spark, sf), F.size("tok"), 24, 40)

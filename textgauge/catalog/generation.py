@@ -167,8 +167,7 @@ def topk_penalty(spark, sf):
 )
 def generate_greedy(spark, sf):
     greedy = generation.shape_distribution(_next_weights(spark, sf), do_sample=False)
-    make_fn = generation.sampler(greedy, max_new_tokens=12)
-    return generation.generate(_prompts(spark, sf), make_fn, inputs=("prompt", "last"))
+    return generation.greedy_by_join(_prompts(spark, sf), greedy, max_new_tokens=12)
 
 
 @query(

@@ -150,6 +150,18 @@ def every_n(spark, sf):
     return runlogs.every_n(steps).select("experiment", run_day(), "step", "eval_loss")
 
 
+@query(
+    f"""
+    WITH {LOG_SQL}
+    SELECT experiment, level, grouping_id(experiment, level)::INT AS grouped, count(*) AS messages,
+           count(DISTINCT logger) AS loggers, max(stamp) AS stamp
+    FROM logs GROUP BY GROUPING SETS ((experiment, level), (experiment), (level), ())"""
+)
+def log_rollup(spark, sf):
+    made = runlogs.log_rollup(logs(spark, sf))
+    return made.select("experiment", "level", "grouped", "messages", "loggers", stamp("last_at"))
+
+
 # Lines of three stretches of time, delivered one after another; of the last five days of a stretch every
 # seventh line comes with the next one, and every ninth comes with both.
 DELAY = "10 days"

@@ -132,6 +132,36 @@ def chunk_coverage(
     return rows.groupBy(*by, "windows").agg(F.sum(F.col("_docs") * F.col("positions")).alias("positions"))
 
 
+#: Windows whose gaps are made together.
+GAP_BLOCK = 4096
+
+
+def uncovered(df: DataFrame, length: Column, max_length: int, stride: int, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``(*keys, from, to)``: the stretches of token positions that no window holds, ``to`` exclusive.
+
+    Between windows that leave gaps, behind the last window, and the whole of a document without a window. They
+    follow from the length alone and are made in blocks, so no row holds all gaps of a long document.
+    """
+    check_window(max_length, stride)
+    size = F.coalesce(length, F.lit(0)).cast("long")
+    n = window_count(size, max_length, stride).cast("long")
+    rows = df.select(*keys, size.alias("_len"), n.alias("_n"))
+    end = F.when(F.col("_n") > 0, (F.col("_n") - 1) * stride + max_length).otherwise(0)
+    tail = F.array(F.struct(end.alias("from"), F.col("_len").alias("to")))
+    if stride <= max_length:
+        return rows.select(*keys, F.inline(tail)).filter(F.col("from") < F.col("to"))
+    # block -1 is the tail
+    blocks = F.sequence(F.lit(-1).cast("long"), F.greatest(div(F.col("_n") + (GAP_BLOCK - 2), GAP_BLOCK) - 1, F.lit(-1)))
+    rows = rows.select("*", F.explode(blocks).alias("_b"))
+    first = F.col("_b") * GAP_BLOCK
+    last = F.least(first + GAP_BLOCK, F.col("_n") - 1) - 1
+    gaps = F.transform(
+        F.sequence(first, last), lambda i: F.struct((i * stride + max_length).alias("from"), ((i + 1) * stride).alias("to"))
+    )
+    made = F.when(F.col("_b") < 0, tail).otherwise(gaps)
+    return rows.select(*keys, F.inline(made)).filter(F.col("from") < F.col("to"))
+
+
 def verify_chunks(
     chunks: DataFrame, docs: DataFrame, max_length: int, stride: int, ids: str = "input_ids"
 ) -> DataFrame:

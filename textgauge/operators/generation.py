@@ -157,6 +157,36 @@ def sample_by_join(
     return rows.select(key, "sample_idx", "completion")
 
 
+def greedy_by_join(
+    prompts: DataFrame,
+    best: DataFrame,
+    *,
+    max_new_tokens: int = 128,
+    key: str = "prompt_id",
+    last: str = "last",
+) -> DataFrame:
+    """``(prompt_id, sample_idx, completion)``: the most probable tokens one after another.
+
+    ``best`` holds one ``token`` for each ``context``. Where 1, 2, 4, ... steps lead from a context is worked out once for
+    all contexts, each from the one before; a prompt then takes the jumps that add up to the number of
+    tokens. That is one join for each binary digit instead of each token, with tables of any size.
+    """
+    jumps = written(best.select("context", F.col("token").alias("made"), F.col("token").alias("end")), "jumps")
+    rows = prompts.select(key, F.col(last).alias("_at"), F.lit("").alias("completion"))
+    left = max_new_tokens
+    while left:
+        if left & 1:
+            rows = rows.join(jumps.withColumnRenamed("context", "_at"), "_at", "left").select(
+                key, F.col("end").alias("_at"), F.concat("completion", F.coalesce("made", F.lit(""))).alias("completion")
+            )
+        left >>= 1
+        if left:
+            further = jumps.select(F.col("context").alias("end"), F.col("made").alias("more"), F.col("end").alias("last"))
+            both = F.concat("made", F.coalesce("more", F.lit("")))
+            jumps = written(jumps.join(further, "end", "left").select("context", both.alias("made"), F.col("last").alias("end")), "jumps")
+    return rows.select(key, F.lit(0).alias("sample_idx"), "completion")
+
+
 def with_truncation(
     df: DataFrame, col: str = "completion", how: str = "stop", stops: Sequence[str] = STOPS
 ) -> DataFrame:

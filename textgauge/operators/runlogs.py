@@ -167,6 +167,21 @@ def log_summary(
     return kept.groupBy(*by, "level", "logger").agg(F.count(F.lit(1)).alias("messages"))
 
 
+def log_rollup(logs: DataFrame) -> DataFrame:
+    """``(experiment, level, grouped, messages, loggers, last_at)``: message counts by experiment and level, by each alone, and in all.
+
+    ``grouped`` tells the row's grouping as bits, 0 for both columns; a column that is left out is NULL.
+    """
+    sets = [[F.col("experiment"), F.col("level")], [F.col("experiment")], [F.col("level")], []]
+    made = logs.groupingSets(sets, "experiment", "level").agg(
+        F.grouping_id().cast("int").alias("grouped"),
+        F.count(F.lit(1)).alias("messages"),
+        F.countDistinct("logger").alias("loggers"),
+        F.max("ts").alias("last_at"),
+    )
+    return made.select("experiment", "level", "grouped", "messages", "loggers", "last_at")
+
+
 def every_n(metrics: DataFrame, n: int = 50, step: str = "step") -> DataFrame:
     """Rows at every n-th step."""
     if n < 1:
