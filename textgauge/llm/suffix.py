@@ -267,11 +267,11 @@ def _rows(row: np.ndarray, cols, words: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*made, pa.array(np.full(len(row), words))], names=["row", "loc", "anchor", "digest", "words"])
 
 
-PIECE = ("anchor", "digest", "n", "low", "high", "piece", "window")
+PIECE = ("words", "anchor", "digest", "n", "low", "high", "piece")
 
 
 def _cut_pieces(length: int, passage: int):
-    """(bytes, wanted runs) to one row for each run of bytes, with them, and for each window of a run of words, with its hash."""
+    """(bytes, wanted runs) to one row for each run, with its bytes, or the hashes of its words."""
 
     def run(batches):
         for batch in batches:
@@ -281,21 +281,61 @@ def _cut_pieces(length: int, passage: int):
                 words = word_hashes([bytes(data)])[0] if any(w["words"] for w in wanted) else None
                 for w in wanted:
                     a, windows = w["loc"] >> SHIFT, w["loc"] & (1 << SHIFT) - 1
-                    own = (w["anchor"], w["digest"], w["n"])
-                    if not w["words"]:
-                        out.append((*own, 0, 0, bytes(data[a : a + windows + length - 1]), None))
-                        continue
-                    view = memoryview(words[a : a + windows + passage - 1].tobytes())
-                    for i in range(windows):
-                        made = xxhash.xxh3_128_digest(view[8 * i : 8 * (i + passage)])
-                        out.append((w["anchor"], w["digest"], i, w["low"], w["high"], None, made))
+                    piece = words[a : a + windows + passage - 1].tobytes() if w["words"] else bytes(data[a : a + windows + length - 1])
+                    out.append((w["words"], w["anchor"], w["digest"], w["n"], w["low"], w["high"], piece))
                 cols = list(zip(*out)) or [()] * len(PIECE)
-                kinds = (*[pa.int64()] * 5, pa.binary(), pa.binary())
+                kinds = (pa.bool_(), *[pa.int64()] * 5, pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=list(PIECE))
 
     return run
 
 
+def _match_words(passage: int):
+    """Rows (anchor, digest, low, high, hashes of words), anchor by anchor, to the ranges of windows that stand in two rows.
+
+    ``low`` and ``high`` are the first and last row that hold the run.
+    """
+
+    def search(rows: list[tuple]) -> pa.RecordBatch:
+        made, owner, place = [], [], []
+        for i, row in enumerate(rows):
+            words = np.frombuffer(row[4], U)
+            sums = np.concatenate([np.zeros(1, U), np.cumsum(words * _powers(_BASE, len(words)))])
+            windows = (sums[passage:] - sums[:-passage]) * _powers(_INVERSE, len(words) - passage + 1)
+            made.append(mix(windows))
+            owner.append(np.full(len(windows), i))
+            place.append(np.arange(len(windows)))
+        made, owner = np.concatenate(made), np.concatenate(owner)
+        bounds = np.array([r[2:4] for r in rows], np.int64)
+        # equal windows belong together only under one anchor, which they have
+        order = np.argsort(made, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], made[order][1:] != made[order][:-1]]))
+        low = np.minimum.reduceat(bounds[owner[order], 0], starts)
+        high = np.maximum.reduceat(bounds[owner[order], 1], starts)
+        sizes = np.diff(np.concatenate([starts, [len(order)]]))
+        flags = np.zeros(len(order), bool)
+        flags[order] = np.repeat(low < high, sizes)
+        out = []
+        for (anchor, digest, *_), own in zip(rows, np.split(flags, np.cumsum([len(p) for p in place])[:-1])):
+            out += [(anchor, digest, a, b) for a, b in _spans(own)]
+        return _ranges(out)
+
+    def run(batches):
+        done: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if size > ARRAY_BYTES and row[0] != done[-1][0]:
+                    yield search(done)
+                    done, size = [], 0
+                done.append(row)
+                size += len(row[4])
+        if done:
+            yield search(done)
+
+    return run
+
+
 def _sort_pieces(length: int):
     """Rows (anchor, digest, piece), anchor by anchor, to the ranges of windows that repeat."""
 
@@ -326,15 +366,15 @@ def _ranges(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["anchor", "digest", "low", "high"])
 
 
-def _hash_windows(length: int):
-    """Rows (anchor, digest, piece) to a hash of 128 bits for each window."""
+def _hash_windows(length: int, step: int = 1):
+    """Rows (anchor, digest, piece) to a hash of 128 bits for each window, which starts every ``step`` bytes."""
 
     def run(batches):
         for batch in batches:
             for anchor, digest, piece in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 view = memoryview(piece)
-                n = len(piece) - length + 1
-                made = [xxhash.xxh3_128_digest(view[i : i + length]) for i in range(n)]
+                n = (len(piece) - length) // step + 1
+                made = [xxhash.xxh3_128_digest(view[i * step : i * step + length]) for i in range(n)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([anchor] * n), pa.array([digest] * n), pa.array(range(n), pa.int64()), pa.array(made, pa.binary())],
                     names=["anchor", "digest", "low", "window"],
@@ -418,15 +458,10 @@ def remove_repeats(
         F.count("*").alias("copies"), F.min(F.struct("row", "loc")).alias("at"), F.max("row").alias("high")
     )
     kinds = saved(kinds.select("words", "anchor", "digest", "copies", "at.row", "at.loc", "high"), "run-kinds")
-    several = kinds.groupBy("words", "anchor").agg(
-        F.count("*").alias("n"), F.sum("copies").alias("all"), F.min("row").alias("first"), F.max("high").alias("last")
-    )
-    # bytes may repeat in one document, words must stand in two
-    several = several.filter(F.when(F.col("words"), F.col("first") < F.col("last")).otherwise(F.col("all") > 1))
-    kinds = saved(kinds.join(several.select("words", "anchor", "n"), ["words", "anchor"]), "repeated-anchors")
-
-    # runs that occur as a whole elsewhere
+    # runs that occur as a whole elsewhere: bytes may repeat in one document, words must stand in two
     whole = F.when(F.col("words"), F.col("row") < F.col("high")).otherwise(F.col("copies") > 1)
+    several = kinds.groupBy("words", "anchor").agg(F.count("*").alias("n"))
+    kinds = saved(kinds.join(several, ["words", "anchor"]).filter(whole | (F.col("n") > 1)), "repeated-anchors")
     copied = each.join(kinds.filter(whole).select("words", "anchor", "digest"), ["words", "anchor", "digest"], "left_semi")
     copied = copied.selectExpr("words", "row", f"loc >> {SHIFT} AS low", f"(loc >> {SHIFT}) + (loc & {(1 << SHIFT) - 1}) AS high")
 
@@ -436,23 +471,29 @@ def remove_repeats(
     cuts = saved(mixed.join(owners, "row").groupBy("h1", "h2").agg(cuts), "cuts")
     held_by = texts.join(checked(cuts.select("h1", "h2")), ["h1", "h2"], "left_semi")
     held_by = held_by.groupBy("h1", "h2").agg(F.first("data").alias("data")).join(cuts, ["h1", "h2"]).select("data", "cuts")
-    pieces = held_by.mapInArrow(
-        _cut_pieces(length, passage), "anchor long, digest long, n long, low long, high long, piece binary, window binary"
-    )
-    pieces = saved(pieces, "pieces")
-    of_words = pieces.filter("window IS NOT NULL").select("anchor", "digest", F.col("n").alias("at"), "low", "high", "window")
-    in_two = of_words.groupBy("window").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("window")
-    of_words = of_words.join(in_two, "window", "left_semi").selectExpr("anchor", "digest", "at AS low", "at + 1 AS high")
-    pieces = pieces.filter("window IS NULL")
-    cold = pieces.filter(F.col("n") <= hot).select("anchor", "digest", "piece")
-    cold = cold.repartition("anchor").sortWithinPartitions("anchor")
-    ranges = cold.mapInArrow(_sort_pieces(length), "anchor long, digest long, low long, high long")
-    windows = pieces.filter(F.col("n") > hot).select("anchor", "digest", "piece")
+    kinds = "words boolean, anchor long, digest long, n long, low long, high long, piece binary"
+    pieces = saved(held_by.mapInArrow(_cut_pieces(length, passage), kinds), "pieces")
+    cold = F.col("n") <= hot
+    shape = "anchor long, digest long, low long, high long"
+    of_words = pieces.filter(F.col("words") & cold).select("anchor", "digest", "low", "high", "piece")
+    of_words = of_words.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_match_words(passage), shape)
+    ranges = pieces.filter(~F.col("words") & cold).select("anchor", "digest", "piece")
+    ranges = ranges.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_pieces(length), shape)
+    shape = "anchor long, digest long, low long, window binary"
+    windows = pieces.filter(~F.col("words") & ~cold).select("anchor", "digest", "piece")
     if not windows.isEmpty():
-        windows = windows.mapInArrow(_hash_windows(length), "anchor long, digest long, low long, window binary")
+        windows = windows.mapInArrow(_hash_windows(length), shape)
         again = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
         again = windows.join(again, "window", "left_semi")
         ranges = ranges.union(again.selectExpr("anchor", "digest", "low", "low + 1"))
+    windows = pieces.filter(F.col("words") & ~cold)
+    if not windows.isEmpty():
+        held_in = windows.select("anchor", "digest", F.col("low").alias("first"), F.col("high").alias("last"))
+        windows = windows.select("anchor", "digest", "piece").mapInArrow(_hash_windows(8 * passage, 8), shape)
+        windows = windows.join(held_in, ["anchor", "digest"])
+        again = windows.groupBy("window").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter("first < last")
+        again = windows.join(again.select("window"), "window", "left_semi")
+        of_words = of_words.union(again.selectExpr("anchor", "digest", "low", "low + 1"))
     ranges = ranges.withColumn("words", F.lit(False)).union(of_words.withColumn("words", F.lit(True)))
     single = mixed.filter(~whole)
     start = F.expr(f"loc >> {SHIFT} AS start")
