@@ -21,7 +21,7 @@ from textgauge.catalog.base import (
     tok_docs,
 )
 from textgauge.functions import tokens
-from textgauge.operators import bpe, scoring, tokenizing
+from textgauge.operators import bpe, profiles, scoring, tokenizing
 from textgauge.session import shared_dir
 
 
@@ -253,3 +253,35 @@ def bpe_pieces(spark, sf):
         F.size("input_ids").cast("long").alias("n_ids"),
         F.md5(F.col("text").cast("binary")).alias("pieces"),
     )
+
+
+@query(
+    f"""
+    WITH d AS (SELECT len({TOK}) AS n FROM documents)
+    SELECT count(*) AS docs, sum(n)::BIGINT AS tokens, count(*) FILTER (n < 64) AS short_docs, max(n)::BIGINT AS longest,
+           round(avg(n), 6) AS mean_length, true AS quantiles_hold, true AS frequent_hold
+    FROM d"""
+)
+def profile_sketches(spark, sf):
+    """Two deliveries of a corpus, profiled one after the other; the sketches are held against exact ranks and counts."""
+    folder, store = shared_dir(spark, "grown"), shared_dir(spark, "profiles")
+    for part in (0, 1):
+        docs(spark, sf).filter(F.col("doc_id") % 2 == part).write.mode("append").parquet(folder)
+        rows = profiles.update_profiles(spark, folder, store, lambda df: tokenizing.pretokenize(df, lookahead=False))
+    asked = (0.25, 0.5, 0.75, 0.95)
+    said = profiles.merge_profiles(rows, asked)
+    words = tok_docs(spark, sf)
+    sizes = words.select(F.size("tok").alias("n"))
+    ranks = sizes.crossJoin(F.broadcast(said.select("quantiles"))).agg(  # one row
+        *(F.avg((F.col("n") <= F.get("quantiles", F.lit(i))).cast("double")).alias(f"r{i}") for i in range(len(asked))),
+        *(F.avg((F.col("n") < F.get("quantiles", F.lit(i))).cast("double")).alias(f"b{i}") for i in range(len(asked))),
+    )
+    near = F.lit(True)
+    for i, q in enumerate(asked):
+        near = near & (F.col(f"r{i}") >= q - 0.03) & (F.col(f"b{i}") <= q + 0.03)
+    counts = words.select(F.explode("tok").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    top = said.select("tokens", F.inline("frequent")).join(counts, "item")
+    close = F.bool_and(F.abs(F.col("n") - F.col("count")) <= F.col("tokens") / (0.75 * profiles.ITEMS))
+    held = top.agg(close.alias("frequent_hold"))
+    row = said.select("docs", "tokens", "short_docs", "longest", r6("mean_length").alias("mean_length"))
+    return row.crossJoin(ranks.select(near.alias("quantiles_hold"))).crossJoin(held)  # one row each
