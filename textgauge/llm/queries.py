@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import corpus_pipeline
@@ -89,7 +90,35 @@ def op2_fingerprint(spark, sf):
     )
 
 
-@query()
+@query(r"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS x FROM documents),
+    -- every string of 400 bytes
+    w AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 800)) AS h
+          FROM (SELECT doc_id, x, unnest(range(0, strlen(x) // 2 - 399)) AS i FROM t WHERE strlen(x) >= 800)),
+    hit AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY h) > 1),
+    run AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b
+            FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS part
+                  FROM (SELECT doc_id, i, (i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) > 400)::INT AS fresh FROM hit))
+            GROUP BY doc_id, part),
+    left_ AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM run),
+    cut AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS stop,
+                   string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept
+            FROM left_ JOIN t USING (doc_id) GROUP BY doc_id),
+    -- every string of 51 words
+    v AS (SELECT doc_id, i, md5(array_to_string(words[i : i + 50], ' ')) AS h
+          FROM (SELECT doc_id, words, unnest(range(1, len(words) - 49)) AS i
+                FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t) WHERE len(words) > 50)),
+    both_ AS (SELECT h FROM v GROUP BY h HAVING min(doc_id) < max(doc_id)),
+    shared AS (SELECT doc_id, i FROM v WHERE h IN (SELECT h FROM both_)),
+    said AS (SELECT doc_id, min(i) AS a, max(i) + 51 AS b
+             FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS part
+                   FROM (SELECT doc_id, i, (i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) > 51)::INT AS fresh FROM shared))
+             GROUP BY doc_id, part),
+    p AS (SELECT doc_id, count(*) AS n_passages, sum(b - a) AS passage_words FROM said GROUP BY doc_id)
+    SELECT doc_id, strlen(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+           sha256(unhex(coalesce(kept || substr(x, 2 * stop + 1), x))) AS kept_sha256,
+           coalesce(n_passages, 0) AS n_passages, coalesce(passage_words, 0)::BIGINT AS passage_words
+    FROM t LEFT JOIN cut USING (doc_id) LEFT JOIN p USING (doc_id)""")
 def op3_repeats(spark, sf):
     made = suffix.remove_repeats(documents(spark, sf).select("doc_id", "text"), length=400)
     return made.select(
@@ -98,9 +127,12 @@ def op3_repeats(spark, sf):
 
 
 @query("""
-    WITH t AS (SELECT conv_id, list({'turn': turn, 'role': coalesce(role, 'unknown'), 'text': coalesce(text, '')}
-                                    ORDER BY turn NULLS FIRST, role, text) AS turns
-               FROM conversations GROUP BY conv_id),
+    WITH q AS (SELECT conv_id, turn,
+                      replace(replace(coalesce(role, 'unknown'), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') AS role,
+                      replace(replace(coalesce(text, ''), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') AS text
+               FROM conversations),
+    t AS (SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS turns
+          FROM q GROUP BY conv_id),
     p AS (SELECT conv_id, turns[1 : i] AS head, i < len(turns) AS inside
           FROM (SELECT conv_id, turns, unnest(range(1, len(turns) + 1)) AS i FROM t)),
     said AS (SELECT head, list_transform(head, lambda x: {'role': x.role, 'text': x.text}) AS words, conv_id, inside FROM p),
@@ -130,7 +162,19 @@ def op5_secrets(spark, sf):
     )
 
 
-@query()
+@query(r"""
+    WITH RECURSIVE t AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                 ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS s FROM t),
+    x AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM s),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_, any_value(a.n + b.n) AS n
+          FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    links AS (SELECT a, b FROM p WHERE 100 * both_ >= 80 * (n - both_)),
+    e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT doc_id AS d, doc_id AS c FROM s UNION SELECT e.b, reach.c FROM reach JOIN e ON e.a = reach.d)
+    SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM s JOIN (SELECT d, min(c) AS component_id FROM reach GROUP BY d) ON d = doc_id""".replace("{upper}", string.ascii_uppercase).replace("{lower}", string.ascii_lowercase))
 def op6_near_dedup(spark, sf):
     _, placed, _ = near.near_groups(documents(spark, sf), k=4)
     return placed.select(
