@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from textgauge.catalog.base import (
@@ -23,7 +25,7 @@ from textgauge.functions import tokens
 from textgauge.operators import chunking, tokenizing
 from textgauge.plans.prepare import prepare
 from textgauge.session import shared_dir
-from textgauge.sources import chunks as chunk_files
+from textgauge.sources import chunk_store, chunks as chunk_files
 from textgauge.streaming import chunk_stream as streams
 
 
@@ -120,14 +122,15 @@ def prepare_corpus(spark, sf):
     return made.stats.withColumns({"saved_rows": F.lit(made.rows), "id_sum": saved.scalar()})
 
 
-@query(
-    """
+VERIFY_SQL = """
     SELECT sum(w)::BIGINT AS chunks, sum(greatest(w - 1, 0))::BIGINT AS neighbours,
            0::BIGINT AS wrong_length, 0::BIGINT AS missing_or_extra, 0::BIGINT AS not_source_text,
            0::BIGINT AS overlap_differs
     FROM (SELECT CASE WHEN strlen(text) >= 256 THEN (strlen(text) - 256) // 200 + 1 ELSE 0 END AS w
           FROM documents)"""
-)
+
+
+@query(VERIFY_SQL)
 def verify_chunks(spark, sf):
     path, _ = chunk_files.write_chunks(
         chunking.chunk(byte_docs(spark, sf), 256, 200),
@@ -141,6 +144,17 @@ def verify_chunks(spark, sf):
     )
 
 
+@query(VERIFY_SQL)
+def verify_stored(spark, sf):
+    """The same check on tables in buckets of the document, which are read without moving a chunk."""
+    name, buckets = f"chunks_{uuid.uuid4().hex}", 8
+    chunks = chunking.chunk(byte_docs(spark, sf), 256, 200)
+    chunks = chunk_store.write_bucketed(chunks, name, shared_dir(spark, "bucketed-chunks"), buckets)
+    source = byte_docs(spark, sf).select("doc_id", "input_ids")
+    source = chunk_store.write_bucketed(source, f"{name}_source", shared_dir(spark, "bucketed-source"), buckets, sort=("doc_id",))
+    return chunk_store.verify_stored(chunks, source, 256, 200)
+
+
 @query(_chunk_sql(64, 64))
 def chunk_stream(spark, sf):
     batch = table(spark, sf, "documents")
