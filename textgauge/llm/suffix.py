@@ -457,7 +457,8 @@ def remove_repeats(
     kinds = each.groupBy("words", "anchor", "digest").agg(
         F.count("*").alias("copies"), F.min(F.struct("row", "loc")).alias("at"), F.max("row").alias("high")
     )
-    kinds = saved(kinds.select("words", "anchor", "digest", "copies", "at.row", "at.loc", "high"), "run-kinds")
+    # dealt out by anchor once, for counting an anchor's kinds and for joining the counts
+    kinds = kinds.select("words", "anchor", "digest", "copies", "at.row", "at.loc", "high").repartition("words", "anchor")
     # runs that occur as a whole elsewhere: bytes may repeat in one document, words must stand in two
     whole = F.when(F.col("words"), F.col("row") < F.col("high")).otherwise(F.col("copies") > 1)
     several = kinds.groupBy("words", "anchor").agg(F.count("*").alias("n"))
@@ -505,7 +506,7 @@ def remove_repeats(
     edges = edges.selectExpr("words", "row", "start + low AS low", "start + high AS high")
 
     span = F.struct("low", "high")
-    spans = copied.union(edges).join(owners, "row").groupBy("h1", "h2").agg(
+    spans = copied.union(edges).join(checked(owners), "row").groupBy("h1", "h2").agg(
         F.collect_list(F.when(~F.col("words"), span)).alias("ranges"), F.collect_list(F.when(F.col("words"), span)).alias("shared")
     )
     spans = spans.select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.col("ranges").alias(wanted), F.col("shared").alias(shared))
