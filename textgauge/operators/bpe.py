@@ -1,6 +1,6 @@
 """Byte-level BPE with a given merge list, encoded where the documents lie.
 
-Merges never cross pre-tokens, and a corpus repeats its pre-tokens: each Arrow batch is
+Merges never cross pre-tokens, and a corpus repeats its pre-tokens: each part of an Arrow batch is
 dictionary-encoded, and only pre-tokens not met before in the task go through the merges.
 There is no shuffle and no join back.
 """
@@ -9,13 +9,16 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textgauge.operators.tokenizing import once
+from textgauge.operators.tokenizing import item_slices, once
 
 MAX_MERGES = 1_000_000
+#: Bytes of merged pre-tokens and their ids that a task keeps for the next batches.
+KNOWN_BYTES = 32_000_000
 
 
 def printable_bytes() -> list[str]:
@@ -112,36 +115,38 @@ def bpe_encode(
     if missing:
         raise ValueError(f"the vocabulary lacks {len(missing)} pieces, such as {missing[0]!r}")
     table = df.sparkSession.sparkContext.broadcast((pairs, [wanted[p] for p in pieces]))
-    known: dict[str, list[int]] = {}
-
-    def merged(word: str) -> list[int]:
-        pairs, numbers = table.value
-        return [numbers[p] for p in join_pairs(list(word.encode("utf-8")), pairs)]
 
     @F.arrow_udf("array<int>")
-    def to_ids(col):
+    def to_ids(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import numpy as np
-        import pyarrow as pa
-
-        coded = col.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        for word in words:
-            if word not in known:
-                if len(known) >= 1_000_000:  # bounds the memory of a worker, not the result
-                    known.clear()
-                known[word] = merged(word)
-        coded_words = [known[w] if w in known else merged(w) for w in words]
-        sizes = np.fromiter((len(c) for c in coded_words), np.int64, len(coded_words))
-        flat = np.fromiter((i for c in coded_words for i in c), np.int32, int(sizes.sum()))
-        begins = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        at = np.asarray(coded.indices, dtype=np.int64)
-        counts = sizes[at] if len(at) else np.zeros(0, np.int64)
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        # positions in flat: each occurrence walks through the ids of its word
-        walk = np.arange(ends[-1]) - np.repeat(ends[:-1] - begins[at], counts)
-        offsets = np.asarray(col.offsets)
-        return pa.ListArray.from_arrays(
-            pa.array(ends[offsets - offsets[0]], pa.int32()), pa.array(flat[walk])
-        )
+
+        pairs, numbers = table.value
+        known: dict[str, bytes] = {}
+        held = 0
+        for col in (part for whole in columns for part in item_slices(whole)):
+            coded = col.flatten().dictionary_encode()
+            coded_words = []
+            for word in coded.dictionary.to_pylist():
+                made = known.get(word)
+                if made is None:
+                    pieces = join_pairs(list(word.encode("utf-8")), pairs)
+                    made = np.array([numbers[p] for p in pieces], np.int32).tobytes()
+                    size = len(made) + len(word) + 200
+                    if held + size > KNOWN_BYTES:  # bounds the memory of a worker, not the result
+                        known.clear()
+                        held = 0
+                    known[word] = made
+                    held += size
+                coded_words.append(made)
+            sizes = np.fromiter((len(c) // 4 for c in coded_words), np.int64, len(coded_words))
+            flat = np.frombuffer(b"".join(coded_words), np.int32)
+            begins = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+            at = np.asarray(coded.indices, dtype=np.int64)
+            counts = sizes[at] if len(at) else np.zeros(0, np.int64)
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            # positions in flat: each occurrence walks through the ids of its word
+            walk = np.arange(ends[-1]) - np.repeat(ends[:-1] - begins[at], counts)
+            offsets = np.asarray(col.offsets)
+            yield pa.ListArray.from_arrays(pa.array(ends[offsets - offsets[0]], pa.int32()), pa.array(flat[walk]))
 
     return df.withColumn("input_ids", once(to_ids)(tok)).drop(tok)

@@ -112,6 +112,25 @@ def once(udf):
     return udf.asNondeterministic()
 
 
+#: Items of a list column that a Python worker takes at once from an Arrow batch.
+SLICE_ITEMS = 250_000
+
+
+def item_slices(col: pa.ListArray, items: int = SLICE_ITEMS) -> Iterator[pa.ListArray]:
+    """A list column in consecutive parts of about ``items`` items.
+
+    Bounds what is made of a batch, whatever its size; a longer row is a part of its own.
+    """
+    import numpy as np
+
+    ends = np.asarray(col.offsets)[1:]
+    start, before = 0, int(col.offsets[0].as_py()) if len(col) else 0
+    while start < len(col):
+        stop = max(start + 1, int(np.searchsorted(ends, before + items, "right")))
+        yield col.slice(start, stop - start)
+        start, before = stop, int(ends[stop - 1])
+
+
 def _fetch_vocab(vocab: DataFrame, limit: int) -> list | None:
     """Rows of a vocabulary within the limit, else None."""
     rows = vocab.select("id", "token").limit(limit + 1).collect()
@@ -147,8 +166,8 @@ def encode(
 
         ids = table.value
         unknown = ids[unk]
-        for col in columns:
-            # each distinct token of a batch is looked up once
+        for col in (part for whole in columns for part in item_slices(whole)):
+            # each distinct token of a part is looked up once
             words = col.flatten().dictionary_encode()
             found = np.array([ids.get(t, unknown) for t in words.dictionary.to_pylist()], np.int32)
             made = pa.array(found).take(words.indices).fill_null(unknown)
@@ -239,7 +258,7 @@ def decode(
         import numpy as np
 
         names = table.value
-        for col in columns:
+        for col in (part for whole in columns for part in item_slices(whole)):
             numbers = col.flatten().dictionary_encode()
             found = pa.array([names.get(i) for i in numbers.dictionary.to_pylist()], pa.string())
             offsets = np.asarray(col.offsets)
