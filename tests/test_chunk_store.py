@@ -55,3 +55,11 @@ def test_overlap_and_a_second_declaration(spark, tmp_path, names):
         found = chunk_store.stored_overlap(table)
         assert found.first() == want
         assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_buckets_grow_with_the_table(spark):
+    sizes = spark.createDataFrame([(1, 500), (2, None), (3, 1501)], "doc_id long, n int")
+    counts = [chunk_store.bucket_count(sizes, F.col("n"), 3, tokens) for tokens in (10, 500, 1000)]
+    assert counts == [201, 5, 3] and chunk_store.bucket_count(sizes.limit(0), F.col("n")) == 8
+    many = spark.range(40).select(F.lit(2**31 - 1).alias("n"))
+    assert chunk_store.bucket_count(many, F.col("n")) == -(-40 * (2**31 - 1) // chunk_store.BUCKET_TOKENS)

@@ -147,7 +147,8 @@ def verify_chunks(spark, sf):
 @query(VERIFY_SQL)
 def verify_stored(spark, sf):
     """The same check on tables in buckets of the document, which are read without moving a chunk."""
-    name, buckets = f"chunks_{uuid.uuid4().hex}", 8
+    name = f"chunks_{uuid.uuid4().hex}"
+    buckets = chunk_store.bucket_count(docs(spark, sf), F.octet_length("text"))
     chunks = chunking.chunk(byte_docs(spark, sf), 256, 200)
     chunks = chunk_store.write_bucketed(chunks, name, shared_dir(spark, "bucketed-chunks"), buckets)
     source = byte_docs(spark, sf).select("doc_id", "input_ids")

@@ -1,20 +1,31 @@
 """Chunk tables in buckets of their document, sorted: checks and joins by document read them without moving a chunk.
 
 A bucketed table has its number of buckets in the catalog, not in its files. Sessions that did not write it declare it again with
-:func:`declare_bucketed`. A document is in one bucket, so choose buckets so that the largest document fits a task's disk.
+:func:`declare_bucketed`. A document is in one bucket, so the largest document must fit a task's disk;
+:func:`bucket_count` keeps the buckets of a growing table as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from textgauge.functions.windows import check_window, window_count
 
 KEYS, SORT = ("doc_id",), ("doc_id", "chunk_idx")
 
 
+#: Tokens of a document table for each bucket: a task that sorts a bucket's chunks holds some hundred MB.
+BUCKET_TOKENS = 32_000_000
+
+
+def bucket_count(docs: DataFrame, length: Column, least: int = 8, tokens: int = BUCKET_TOKENS) -> int:
+    """Buckets for the chunks of ``docs``, given their numbers of tokens: in proportion to these, so that no task grows with the table."""
+    total = docs.agg(F.sum(length.cast("long")).alias("n")).first()["n"] or 0
+    return max(least, -(-total // tokens))
+
+
 def write_bucketed(
     df: DataFrame, table: str, path: str, buckets: int, keys: Sequence[str] = KEYS, sort: Sequence[str] = SORT
 ) -> DataFrame:
