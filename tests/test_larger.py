@@ -35,3 +35,23 @@ def test_ids_do_not_depend_on_the_parts(spark):
     got = bpe.bpe_encode(df.filter("doc_id in (0, 1, 5)"), [(b"w", b"1")]).collect()
     plain = lambda t: list(t.encode()) if not t.startswith("w1") else [256, *t[2:].encode()]
     assert {r.doc_id: r.input_ids for r in got} == {k: [i for t in r for i in plain(t)] for k, r in whole}
+
+
+def test_joined_items_are_not_rows(spark, plan):
+    rows = [(1, ["a", "b", "a", None]), (1, ["a", "b", "a", None]), (None, ["b", "x"]), (2, None), (3, []), (4, ["a"] * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, tok array<string>").repartition(3)
+    # an entry twice, and one with two ids
+    vocab = spark.createDataFrame([(0, "<unk>"), (5, "a"), (5, "a"), (7, "b"), (6, "b")], "id int, token string")
+    joined = tokenizing.encode_by_join(df, vocab, salts=3)
+    number = {"a": [5], "b": [6, 7]}
+    want = [(k, [i for t in r or () for i in number.get(t, [0])]) for k, r in rows]
+    got = [(r.doc_id, r.input_ids) for r in joined.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    back = tokenizing.decode_by_join(joined, vocab, skip=("b",))
+    shown = {0: "<unk>", 5: "a"}
+    texts = [(k, "".join(shown.get(i, "") for i in ids)) for k, ids in want]
+    assert sorted(((r.doc_id, r.text) for r in back.collect()), key=repr) == sorted(texts, key=repr)
+    # only distinct items of a block are made rows, and a block meets its rows under one number
+    for made in (joined, back):
+        text = plan(made)
+        assert "posexplode_outer" not in text and "posexplode(_words" in text and "hashpartitioning(_block" in text

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from textgauge.functions.tokens import byte_ids, byte_text, pretokens
+from textgauge.session import written
 
 # A vocabulary up to this many entries (of up to some dozens of bytes each) is sent to the
 # executors; a longer one is joined instead.
@@ -192,44 +193,59 @@ def encode_by_join(
 ) -> DataFrame:
     """The same for a vocabulary of any size, as a salted join.
 
-    The vocabulary is repeated per salt and a token occurrence picks its salt by document and
-    position, so neither a frequent token nor a huge document makes a hot task.
+    The vocabulary is repeated per salt. Each block of rows asks once for a token that it holds and picks
+    the salt, so neither a frequent token nor a huge document makes a hot task.
     """
     unknown = vocab.filter(F.col("token") == unk).select("id").first()
     if unknown is None:
         raise ValueError(f"the vocabulary has no entry {unk!r}")
-    copies = vocab.select(
-        "token", "id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    )
-    known = F.coalesce("id", F.lit(unknown["id"]))
-    pairs = _by_position(df, tok, key, "token", copies, known, salts)
-    return _with_mask(pairs.withColumn("input_ids", F.col("_made").cast("array<int>")).drop("_made", tok))
+    entries = vocab.select("token", F.coalesce("id", F.lit(unknown["id"])).alias("value"))
+    made = _by_position(df, tok, "token", entries, F.lit(unknown["id"]), salts).drop(tok)
+    return _with_mask(made.withColumn("input_ids", F.col("_made").cast("array<int>")).drop("_made"))
 
 
-def _by_position(
-    df: DataFrame, items: str, key: str, name: str, copies: DataFrame, value: Column, salts: int
-) -> DataFrame:
-    """Adds ``_made``: for each item of an array column its joined ``value``, in place.
+def _by_position(df: DataFrame, items: str, name: str, entries: DataFrame, other: Column, salts: int) -> DataFrame:
+    """Adds ``_made``: for each item of an array column its ``value`` in ``entries``, else ``other``, in place.
 
-    Items meet ``copies`` under (item, salt), then go back under the row's key and the hash of its
-    array. Rows that agree in both have equal results, and positions are gathered as a set, so
-    repeated keys and repeated rows come out as they went in.
+    Rows that lie together form a block, which numbers its distinct items; the rows with their numbers are
+    written once. Only the distinct items meet the entries, under (item, salt), and come back as
+    one array for each block, in which its rows look up their numbers. So what is shuffled is a number for each
+    item, not a row. Several entries of an item give all their values, in order.
     """
-    marked = df.withColumn("_h", F.struct(F.xxhash64(items), F.xxhash64(F.lit("second"), items)))
-    each = marked.select(key, "_h", F.posexplode_outer(items).alias("pos", name))
-    placed = each.filter(F.col("pos").isNotNull()).withColumn(
-        "salt", F.pmod(F.xxhash64(key, "pos"), F.lit(salts)).cast("int")
-    )
-    hits = placed.join(copies, [name, "salt"], "left").select(
-        F.col(key).alias("_key"), F.col("_h").alias("_hash"), "pos", value.alias("value")
-    )
-    regrouped = hits.groupBy("_key", "_hash").agg(
-        F.array_sort(F.collect_set(F.struct("pos", "value"))).alias("_pairs")
-    )
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_h") == F.col("_hash"))
-    rest = marked.join(regrouped, same, "left").drop("_key", "_hash", "_h")
-    made = F.coalesce(F.transform("_pairs", lambda p: p["value"]), F.array())
-    return rest.withColumn("_made", made).drop("_pairs")
+    kind = df.schema[items].dataType.elementType.simpleString()
+
+    @F.arrow_udf(f"struct<block:bigint,at:array<int>,words:array<{kind}>>")
+    def number(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import numpy as np
+        from pyspark import TaskContext
+
+        # holds once the rows are written
+        block = TaskContext.get().partitionId() << 32
+        for col in (part for whole in columns for part in item_slices(whole)):
+            coded = col.flatten().dictionary_encode("encode")
+            offsets = np.asarray(col.offsets)
+            at = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), coded.indices.cast(pa.int32()))
+            # the block's first row holds its items
+            ends = np.full(len(col) + 1, len(coded.dictionary), np.int32)
+            ends[0] = 0
+            words = pa.ListArray.from_arrays(pa.array(ends), coded.dictionary)
+            blocks = pa.array(np.full(len(col), block), pa.int64())
+            yield pa.StructArray.from_arrays([blocks, at, words], names=["block", "at", "words"])
+            block += 1
+
+    marked = df.withColumn("_b", once(number)(items))
+    parts = [F.col(f"_b.{c}").alias(f"_{c}") for c in ("block", "at", "words")]
+    marked = written(marked.select("*", *parts).drop("_b"), "numbered")
+    asked = marked.filter(F.size("_words") > 0).select("_block", F.posexplode("_words").alias("_pos", name))
+    asked = asked.withColumn("_salt", F.pmod("_block", F.lit(salts)).cast("int"))
+    known = entries.groupBy(name).agg(F.array_sort(F.collect_set("value")).alias("_values"))
+    copies = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    values = F.coalesce("_values", F.array(other))
+    hits = asked.join(copies, [name, "_salt"], "left").select("_block", F.struct("_pos", values.alias("values")).alias("_hit"))
+    found = hits.groupBy("_block").agg(F.array_sort(F.collect_list("_hit"))["values"].alias("_found"))
+    rest = marked.drop("_words").join(found, "_block", "left")
+    made = F.coalesce(F.flatten(F.transform("_at", lambda i: F.get("_found", i))), F.array())
+    return rest.withColumn("_made", made).drop("_block", "_at", "_found")
 
 
 def decode(
@@ -278,10 +294,8 @@ def decode_by_join(
 ) -> DataFrame:
     """The same for a vocabulary of any size, as a salted join."""
     shown = vocab.filter(~F.col("token").isin(*skip)) if skip else vocab
-    copies = shown.select(
-        "id", "token", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    )
-    made = _by_position(df, ids, key, "id", copies, F.coalesce("token", F.lit("")), salts)
+    entries = shown.select("id", F.coalesce("token", F.lit("")).alias("value"))
+    made = _by_position(df, ids, "id", entries, F.lit(""), salts)
     return made.withColumn("text", F.array_join(F.col("_made").cast("array<string>"), "")).drop("_made")
 
 
