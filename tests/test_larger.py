@@ -1,10 +1,11 @@
 """What one task holds, and what is shuffled, stays in proportion on larger tables."""
 
-import numpy as np
+import random
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from textgauge.operators import bpe, tokenizing
+from textgauge.operators import bpe, ngrams, tokenizing
 from textgauge.operators.tokenizing import item_slices
 
 
@@ -55,3 +56,25 @@ def test_joined_items_are_not_rows(spark, plan):
     for made in (joined, back):
         text = plan(made)
         assert "posexplode_outer" not in text and "posexplode(_words" in text and "hashpartitioning(_block" in text
+
+
+def test_grams_as_numbers_and_dealt_out_once(spark, plan):
+    rng = random.Random(5)
+    windows = [(i, [rng.randint(0, 5) for _ in range(rng.randint(0, 9))]) for i in range(60)]
+    train = spark.createDataFrame(windows[:40], "id long, input_ids array<int>")
+    # ids that the vocabulary does not have, and rows twice
+    test = spark.createDataFrame([*windows[40:], (90, [1, 99, 2]), (91, [1, -7, 2])], "id long, input_ids array<int>")
+    tests = ngrams.count_grams(test, 5, by=("id",))
+    tests = tests.unionByName(tests.filter("id = 90"))
+    said = []
+    for size in (None, 7):
+        counts = ngrams.count_grams(train, 5, vocab_size=size)
+        model = ngrams.ngram_tables(counts, 5, size)
+        scored = ngrams.score_ngrams(model, tests, (2, 3, 4, 5), 7, by=("id",))
+        said.append(sorted((r.id, r.order, tuple(r.gram), r.n, round(r.nll, 9)) for r in scored.collect()))
+        assert dict(model.dtypes)["key"] == ("array<int>" if size is None else "bigint")
+        # the longer orders are counted, asked and put together after one dealing out by home
+        assert "hashpartitioning(home" in plan(scored) and "hashpartitioning(key" not in plan(model)
+    assert said[0] == said[1] and len(said[0]) == 4 * tests.count()
+    with pytest.raises(Exception, match="vocabulary"):
+        ngrams.count_grams(test, 5, vocab_size=7).collect()

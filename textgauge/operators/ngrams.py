@@ -3,24 +3,92 @@
 Every target in a window is counted once, with as much history as the highest order takes. Lower orders follow
 from that table by dropping the first token of each gram, again and again; how often a gram is dropped to is the
 number of different tokens before it, which is what a lower order counts in place of occurrences. After the first
-count each gram is one row, so neither frequent grams nor frequent contexts make a hot task.
+count each gram is one row.
 
-A scored gram asks for all its endings and their contexts in one join, whatever the orders.
+A gram's home are the last two tokens of its context. Dropping first tokens down to three and taking the context leave
+the home as it is, so rows are dealt out by home once, and all orders from three on are counted and asked where they lie.
+Only grams of two tokens and one are dealt out anew. A home that a large share of the different grams has makes one
+larger task, whose aggregates and sorts spill. With a known vocabulary a gram is one number while it is moved.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from textgauge.session import written
+from textgauge.functions.windows import div
 
+SUMS = ("n", "before", "total", "kinds", "total_before", "kinds_before")
 
-def count_grams(chunks: DataFrame, order: int, *, ids: str = "input_ids", by: Sequence[str] = ()) -> DataFrame:
+
+class _Arrays:
+    """Grams as arrays of any ids."""
+
+    def pack(self, gram: Column) -> Column:
+        return gram
+
+    def size(self, key: Column) -> Column:
+        return F.size(key)
+
+    def ending(self, key: Column, k: int) -> Column:
+        return F.slice(key, F.greatest(F.size(key) - k + 1, F.lit(1)), F.lit(k))
+
+    def context(self, key: Column) -> Column:
+        return F.slice(key, F.lit(1), F.size(key) - 1)
+
+    def home(self, key: Column) -> Column:
+        return self.ending(self.context(key), 2)
+
+
+class _Numbers(_Arrays):
+    """Grams of up to ``order`` ids below ``vocab_size`` as one number, the last token as its lowest digit.
+
+    Digit 0 is no token. All other ids share a digit, which training grams cannot have.
+    """
+
+    def __init__(self, vocab_size: int, order: int):
+        self.base, self.order = vocab_size + 2, order
+
+    def pack(self, gram: Column) -> Column:
+        known = lambda i: F.when((i >= 0) & (i < self.base - 2), i + 1).otherwise(self.base - 1)
+        return F.aggregate(gram, F.lit(0).cast("long"), lambda key, i: key * F.lit(self.base) + known(i))
+
+    def unpack(self, key: Column) -> Column:
+        digits = F.array(*(div(key, self.base**i) % self.base for i in reversed(range(self.order))))
+        return F.transform(F.filter(digits, lambda d: d > 0), lambda d: (d - 1).cast("int"))
+
+    def size(self, key: Column) -> Column:
+        return sum(((key >= F.lit(self.base**i)).cast("int") for i in range(1, self.order)), (key > 0).cast("int"))
+
+    def ending(self, key: Column, k: int) -> Column:
+        return key % F.lit(self.base**k)
+
+    def context(self, key: Column) -> Column:
+        return div(key, self.base)
+
+
+def _form(vocab_size: int | None, order: int) -> _Arrays:
+    fits = vocab_size is not None and (vocab_size + 2) ** order < 2**63
+    return _Numbers(vocab_size, order) if fits else _Arrays()
+
+
+#: Training grams of one partition; tables at home take several times as much memory as these.
+HOME_ROWS = 500_000
+
+
+def _at_home(df: DataFrame, parts: int) -> DataFrame:
+    """Dealt out by home; the number is given so that every table at home is cut the same way."""
+    return df.repartition(parts, "home")
+
+
+def count_grams(
+    chunks: DataFrame, order: int, *, ids: str = "input_ids", by: Sequence[str] = (), vocab_size: int | None = None
+) -> DataFrame:
     """``(*by, gram, n)``: each target with up to ``order - 1`` tokens before it in its window, counted.
 
-    The first token of a window is no target. NULL or short windows have none.
+    The first token of a window is no target. NULL or short windows have none. If ``vocab_size`` is given, ids are
+    below it, which is checked, and less is shuffled.
     """
     if order < 2:
         raise ValueError(f"order must be at least 2, got {order}")
@@ -28,48 +96,61 @@ def count_grams(chunks: DataFrame, order: int, *, ids: str = "input_ids", by: Se
     ends = F.when(F.size(tokens) > 1, F.sequence(F.lit(2), F.size(tokens)))
     first = lambda end: F.greatest(end - (order - 1), F.lit(1))
     grams = F.transform(ends, lambda end: F.slice(tokens, first(end), end - first(end) + 1))
-    return chunks.select(*by, F.explode(grams).alias("gram")).groupBy(*by, "gram").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _without_first(gram: Column) -> Column:
-    return F.slice(gram, 2, F.size(gram) - 1)
-
-
-def ngram_tables(counts: DataFrame, order: int) -> DataFrame:
-    """The model out of training counts: ``(gram, n, before, total, kinds, total_before, kinds_before)``.
-
-    ``n`` counts occurrences, ``before`` different tokens before the gram. ``total`` and ``kinds`` are
-    their sum and number over the grams that continue this one by a token, the same for ``before``. A row may
-    be a gram, a context or both. The empty gram is the context of single tokens.
+    form = _form(vocab_size, order)
+    each = chunks.select(*by, F.explode(grams).alias("gram"))
+    if not isinstance(form, _Numbers):
+        return each.groupBy(*by, "gram").agg(F.count(F.lit(1)).alias("n"))
+    counted = each.select(*by, _checked(form).alias("gram")).groupBy(*by, "gram").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(*by, form.unpack(F.col("gram")).alias("gram"), "n")
+
+
+def _checked(form: _Arrays) -> Column:
+    """The packed ``gram``; fails for an id that the vocabulary does not have."""
+    if not isinstance(form, _Numbers):
+        return form.pack(F.col("gram"))
+    inside = F.forall("gram", lambda i: i.isNotNull() & (i >= 0) & (i < form.base - 2))
+    return F.when(inside, form.pack(F.col("gram"))).otherwise(F.raise_error(F.lit("an id is not below the size of the vocabulary")).cast("long"))
+
+
+def ngram_tables(counts: DataFrame, order: int, vocab_size: int | None = None) -> DataFrame:
+    """The model out of training counts: ``(level, home, key, is_context, n, before, total, kinds, total_before, kinds_before)``.
+
+    One row for each gram of ``level`` tokens and one for each context of such grams, at the same ``home``. ``n`` counts
+    occurrences, ``before`` different tokens before the gram. ``total`` and ``kinds`` are their sum and number over
+    the grams that continue a context by a token, the same for ``before``. The empty gram is the context of single
+    tokens. The model is not written: scoring counts and asks in one pass. ``counts`` are read several times, so save
+    them before.
     """
-    longest = counts.groupBy("gram").agg(F.sum("n").alias("n"))
-    longest = written(longest.withColumn("before", F.lit(0).cast("long")), "grams")
-    tables, held = [], longest.filter(F.size("gram") == order)
+    form = _form(vocab_size, order)
+    parts = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), counts.count() // HOME_ROWS)
+    key, home = F.col("key"), form.home(F.col("key")).alias("home")
+    longest = _at_home(counts.select(_checked(form).alias("key"), "n").select(home, "key", "n"), parts)
+    longest = longest.groupBy("home", "key").agg(F.sum("n").alias("n")).withColumn("before", F.lit(0).cast("long"))
+    tables, held = [], longest.filter(form.size(key) == order)
     for size in range(order - 1, 0, -1):
         tables.append(held)
-        shorter = held.select(_without_first(F.col("gram")).alias("gram"), "n", F.lit(1).cast("long").alias("before"))
+        shorter = held.select("home", form.ending(key, size).alias("key"), "n", F.lit(1).cast("long").alias("before"))
         # grams at the start of a window have no token before them
-        starts = longest.filter(F.size("gram") == size)
-        held = shorter.unionByName(starts).groupBy("gram").agg(F.sum("n").alias("n"), F.sum("before").alias("before"))
-        held = written(held, "grams")
+        both = shorter.unionByName(longest.filter(form.size(key) == size))
+        if size < 3:
+            both = _at_home(both.select(home, "key", "n", "before"), parts)
+        held = both.groupBy("home", "key").agg(F.sum("n").alias("n"), F.sum("before").alias("before"))
     tables.append(held)
-    rows = tables[0]
-    for table in tables[1:]:
-        rows = rows.unionByName(table)
-    none = F.lit(0).cast("long")
-    seen = F.when(F.col("before") > 0, 1).otherwise(0).cast("long")
-    as_gram = rows.select("gram", "n", "before", *[none.alias(c) for c in ("total", "kinds", "total_before", "kinds_before")])
-    as_context = rows.select(
-        F.slice("gram", 1, F.size("gram") - 1).alias("gram"),
-        none.alias("n"),
-        none.alias("before"),
-        F.col("n").alias("total"),
-        F.lit(1).cast("long").alias("kinds"),
-        F.col("before").alias("total_before"),
-        seen.alias("kinds_before"),
-    )
-    sums = ("n", "before", "total", "kinds", "total_before", "kinds_before")
-    return written(as_gram.unionByName(as_context).groupBy("gram").agg(*[F.sum(c).alias(c) for c in sums]), "ngrams")
+    rows = None
+    for i, table in enumerate(tables):
+        table = table.withColumn("level", F.lit(order - i))
+        rows = table if rows is None else rows.unionByName(table)
+    none, seen = F.lit(0).cast("long"), F.when(F.col("before") > 0, 1).otherwise(0).cast("long")
+
+    def row(of: Column, is_context: bool, *values: Column) -> Column:
+        return F.struct(of.alias("key"), F.lit(is_context).alias("is_context"), *(v.alias(c) for v, c in zip(values, SUMS)))
+
+    as_gram = row(key, False, F.col("n"), F.col("before"), none, none, none, none)
+    as_context = row(form.context(key), True, none, none, F.col("n"), F.lit(1).cast("long"), F.col("before"), seen)
+    rows = rows.select("level", "home", F.inline(F.array(as_gram, as_context)))
+    model = rows.groupBy("level", "home", "key", "is_context").agg(*[F.sum(c).alias(c) for c in SUMS])
+    known = {"parts": parts, **({"vocab_size": vocab_size, "order": order} if isinstance(form, _Numbers) else {})}
+    return model.select("level", "home", key.alias("key", metadata=known), "is_context", *SUMS)
 
 
 def score_ngrams(
@@ -90,45 +171,74 @@ def score_ngrams(
     if not 0 < discount <= 1:
         raise ValueError(f"discount must be in (0, 1], got {discount}")
     longest = max(orders)
-    tests = counts.groupBy("gram").agg(F.sum("n").alias("_n")).select("gram")
-    sizes = F.sequence(F.lit(1), F.size("gram"))
-    ending = lambda k: F.slice("gram", F.size("gram") - k + 1, k)
-    asked = F.array_union(
-        F.transform(sizes, ending), F.transform(sizes, lambda k: F.slice("gram", F.size("gram") - k + 1, k - 1))
-    )
-    keys = tests.select("gram", F.explode(F.filter(asked, lambda g: F.size(g) > 0)).alias("key"))
-    known = model.filter(F.size("gram") > 0).withColumnRenamed("gram", "key")
-    values = [c for c in known.columns if c != "key"]
-    found = keys.join(known, "key").groupBy("gram").agg(  # two for each order at most
-        F.map_from_entries(F.collect_list(F.struct("key", F.struct(*values)))).alias("known")
-    )
-    tests = tests.join(found, "gram", "left")
-    # single tokens share one context
-    top = model.filter(F.size("gram") == 0).select("total_before", "kinds_before").first()
-    total, kinds = (top[0], top[1]) if top else (0, 0)
-
-    def told(key: Column, name: str) -> Column:
-        return F.coalesce(F.element_at("known", key)[name], F.lit(0)).cast("double")
+    known = model.schema["key"].metadata
+    form = _form(known.get("vocab_size"), known.get("order", longest))
+    most = known.get("order")
 
     def mixed(own: Column, of: Column, kinds: Column, lower: Column) -> Column:
+        own, of, kinds = (F.coalesce(c, F.lit(0)).cast("double") for c in (own, of, kinds))
         taken = F.greatest(own - discount, F.lit(0.0)) + discount * kinds * lower
         return F.when(of > 0, taken / of).otherwise(lower)
 
-    rows = tests.withColumn("p0", F.lit(1.0 / vocab_size))
-    for k in range(1, longest + 1):
-        gram, context = ending(F.lit(k)), F.slice("gram", F.size("gram") - k + 1, k - 1)
-        fits, lower = F.size("gram") >= k, F.col(f"p{k - 1}")
-        if k == 1:
-            rows = rows.withColumn("p1", mixed(told(gram, "before"), F.lit(float(total)), F.lit(float(kinds)), lower))
-            continue
-        highest = mixed(told(gram, "n"), told(context, "total"), told(context, "kinds"), lower)
-        below = mixed(told(gram, "before"), told(context, "total_before"), told(context, "kinds_before"), lower)
+    asked = F.col("gram") if most is None else F.slice("gram", F.greatest(F.size("gram") - most + 1, F.lit(1)), F.lit(most))
+    tests = counts.filter("gram IS NOT NULL").select(*by, "gram", "n").withColumn("_key", form.pack(asked))
+    tests = tests.withColumn("_pair", form.ending(F.col("_key"), 2))
+
+    # single tokens and pairs: all single tokens share one context
+    pairs = tests.select("_pair").distinct().withColumn("_last", form.ending(F.col("_pair"), 1))
+    pairs = pairs.withColumn("_first", form.context(F.col("_pair")))
+    ones, twos = (model.filter(F.col("level") == k) for k in (1, 2))
+    top = ones.filter("is_context").agg(F.sum("total_before").alias("_of"), F.sum("kinds_before").alias("_kinds"))
+    single = ones.filter("NOT is_context").select(F.col("key").alias("_last"), F.col("before").alias("_own"))
+    pairs = pairs.join(single, "_last", "left").crossJoin(F.broadcast(top))  # one row
+    pairs = pairs.withColumn("p1", mixed(F.col("_own"), F.col("_of"), F.col("_kinds"), F.lit(1.0 / vocab_size)))
+    grams = twos.filter("NOT is_context").select(F.col("key").alias("_pair"), "n", "before")
+    pairs = pairs.join(grams, "_pair", "left")
+    contexts = twos.filter("is_context").select(F.col("key").alias("_first"), *SUMS[2:])
+    pairs = pairs.join(contexts, "_first", "left")
+    two = form.size(F.col("_pair")) == 2
+    q2, p2 = (mixed(F.col(c), F.col(f"total{e}"), F.col(f"kinds{e}"), F.col("p1")) for c, e in (("n", ""), ("before", "_before")))
+    q2, p2 = (F.when(two, p).otherwise(F.col("p1")) for p in (q2, p2))
+    pairs = pairs.select("_pair", q2.alias("q2"), p2.alias("p2"))
+
+    # longer grams and their contexts are asked for where they lie; level 0 is the test's own row
+    home, own = form.home(F.col("_key")).alias("home"), (*by, "gram", "n")
+    tests = tests.join(pairs, "_pair").select(home, *[F.col(c).alias(f"_{c}") for c in own], "_key", "q2", "p2")
+    tests = _at_home(tests, known["parts"])
+    levels = range(3, longest + 1)
+    none, end = F.lit(0).cast("long"), lambda k: form.ending(F.col("_key"), k)
+    asks = [F.struct(F.lit(0).alias("level"), F.col("_key").alias("key"), F.lit(False).alias("is_context"), "q2", "p2")]
+    for k in levels:
+        for is_context, of in ((False, end(k)), (True, form.context(end(k)))):
+            nothing = (F.lit(None).cast("double").alias(c) for c in ("q2", "p2"))
+            ask = F.struct(F.lit(k).alias("level"), of.alias("key"), F.lit(is_context).alias("is_context"), *nothing)
+            asks.append(F.when(F.size("_gram") >= k, ask))
+    own = [f"_{c}" for c in own]
+    asks = tests.select("home", *own, F.inline(F.filter(F.array(*asks), lambda a: a.isNotNull())))
+    asks = asks.select("*", *[none.alias(c) for c in SUMS])
+    told = model.filter((F.col("level") >= 3) & (F.col("level") <= longest))
+    absent = [F.lit(None).cast(asks.schema[c].dataType).alias(c) for c in (*own, "q2", "p2")]
+    told = told.select("home", "level", "key", "is_context", *absent, *SUMS).unionByName(asks)
+    same = W.partitionBy("home", "level", "key", "is_context")
+    told = told.select("home", "level", *own, "q2", "p2", *[F.sum(c).over(same).alias(c) for c in SUMS])
+    told = told.filter("_gram IS NOT NULL")
+    # equal rows of the counts are asked for and given as often as they come
+    rows = told.groupBy("home", *own).agg(
+        F.count_if(F.col("level") == 0).alias("_times"),
+        F.max("q2").alias("q2"),
+        F.max("p2").alias("p2"),
+        *[F.max(F.when(F.col("level") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k in levels for c in SUMS],
+    )
+    for k in levels:
+        fits, lower = F.size("_gram") >= k, F.col(f"p{k - 1}")
+        highest = mixed(F.col(f"n{k}"), F.col(f"total{k}"), F.col(f"kinds{k}"), lower)
+        below = mixed(F.col(f"before{k}"), F.col(f"total_before{k}"), F.col(f"kinds_before{k}"), lower)
         rows = rows.withColumns({f"q{k}": F.when(fits, highest), f"p{k}": F.when(fits, below)})
     scored = []
     for k in orders:
-        short = F.coalesce(*[F.col(f"p{i}") for i in range(k - 1, 0, -1)])
-        taken = F.slice("gram", F.greatest(F.size("gram") - k + 1, F.lit(1)), F.least(F.size("gram"), F.lit(k)))
-        scored.append(F.struct(F.lit(k).alias("order"), taken.alias("taken"), (-F.log(F.coalesce(f"q{k}", short))).alias("nll")))
-    losses = rows.select("gram", F.array(*scored).alias("_s"))
-    joined = counts.select(*by, "gram", "n").join(losses, "gram").select(*by, "n", F.inline("_s"))
-    return joined.select(*by, "order", F.col("taken").alias("gram"), "n", "nll")
+        short = F.coalesce(f"q{k}", *[f"p{i}" for i in range(k - 1, 1, -1)])
+        taken = F.slice("_gram", F.greatest(F.size("_gram") - k + 1, F.lit(1)), F.least(F.size("_gram"), F.lit(k)))
+        scored.append(F.struct(F.lit(k).alias("order"), taken.alias("taken"), (-F.log(short)).alias("nll")))
+    rows = rows.select(*own, F.explode(F.array_repeat(F.array(*scored), F.col("_times").cast("int"))).alias("_s"))
+    rows = rows.select(*own, F.inline("_s"))
+    return rows.select(*[F.col(f"_{c}").alias(c) for c in by], "order", F.col("taken").alias("gram"), F.col("_n").alias("n"), "nll")
