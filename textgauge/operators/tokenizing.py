@@ -200,11 +200,13 @@ def encode_by_join(
     if unknown is None:
         raise ValueError(f"the vocabulary has no entry {unk!r}")
     entries = vocab.select("token", F.coalesce("id", F.lit(unknown["id"])).alias("value"))
-    made = _by_position(df, tok, "token", entries, F.lit(unknown["id"]), salts).drop(tok)
+    made = _by_position(df, tok, "token", entries, F.lit(unknown["id"]), salts, keep=False)
     return _with_mask(made.withColumn("input_ids", F.col("_made").cast("array<int>")).drop("_made"))
 
 
-def _by_position(df: DataFrame, items: str, name: str, entries: DataFrame, other: Column, salts: int) -> DataFrame:
+def _by_position(
+    df: DataFrame, items: str, name: str, entries: DataFrame, other: Column, salts: int, keep: bool = True
+) -> DataFrame:
     """Adds ``_made``: for each item of an array column its ``value`` in ``entries``, else ``other``, in place.
 
     Rows that lie together form a block, which numbers its distinct items; the rows with their numbers are
@@ -235,7 +237,8 @@ def _by_position(df: DataFrame, items: str, name: str, entries: DataFrame, other
 
     marked = df.withColumn("_b", once(number)(items))
     parts = [F.col(f"_b.{c}").alias(f"_{c}") for c in ("block", "at", "words")]
-    marked = written(marked.select("*", *parts).drop("_b"), "numbered")
+    marked = marked.select("*", *parts).drop("_b", *(() if keep else (items,)))
+    marked = written(marked, "numbered")
     asked = marked.filter(F.size("_words") > 0).select("_block", F.posexplode("_words").alias("_pos", name))
     asked = asked.withColumn("_salt", F.pmod("_block", F.lit(salts)).cast("int"))
     known = entries.groupBy(name).agg(F.array_sort(F.collect_set("value")).alias("_values"))
