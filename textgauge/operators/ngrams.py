@@ -74,7 +74,7 @@ def _form(vocab_size: int | None, order: int) -> _Arrays:
 
 
 #: Training grams of one partition; tables at home take several times as much memory as these.
-HOME_ROWS = 500_000
+HOME_ROWS = 200_000
 
 
 def _at_home(df: DataFrame, parts: int) -> DataFrame:
