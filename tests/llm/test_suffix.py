@@ -130,6 +130,45 @@ def test_passages_of_words(spark, size):
     assert [tuple(r) for r in off] == [(0, 0)]
 
 
+def test_text_is_moved_once(spark, monkeypatch):
+    """The last join carries each text as one column, and pieces of runs are dealt out without being written."""
+    written = []
+    saved = suffix.saved
+    monkeypatch.setattr(suffix, "saved", lambda df, name: written.append(name) or saved(df, name))
+    docs = spark.createDataFrame(list(enumerate(corpus())), "doc_id long, text string")
+    made = suffix.remove_repeats(docs, length=24, gram=6, passage=5)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("AS _data#") < plan.index("Join LeftOuter")  # the plan's root comes first
+    assert not [n for n in written if "pieces" in n]
+
+
+def test_texts_scanned_together():
+    """Texts that are scanned end to end have the runs that they have by themselves."""
+    texts = [(t or "").encode() for t in corpus()]
+    sizes = np.array([len(t) for t in texts])
+    start, windows, anchor = suffix.runs(np.frombuffer(b"".join(texts), np.uint8), 24, 6)
+    kept, owner, start, windows = suffix._inside(start, windows, sizes, 24)
+    start -= (np.cumsum(sizes) - sizes)[owner]
+    got = list(zip(owner.tolist(), start.tolist(), windows.tolist(), anchor[kept].tolist()))
+    want = []
+    for i, t in enumerate(texts):
+        want += [(i, *x) for x in zip(*(c.tolist() for c in suffix.runs(np.frombuffer(t, np.uint8), 24, 6)))]
+    assert got == want
+
+
+@pytest.mark.parametrize("n", [1000, 1 << 22])
+def test_ranks_of_many_places(n):
+    """Ranks are right also where the ranks of two places and a place do not fit one number."""
+    rng = np.random.default_rng(1)
+    text = rng.integers(0, 256, n, dtype=np.uint8)
+    text[n // 2 : n // 2 + 300] = text[:300]
+    rank = suffix.suffix_ranks(text, 40)
+    order = np.argsort(rank)
+    assert sorted(np.flatnonzero(np.bincount(rank)[rank] > 1)) == [*range(261), *range(n // 2, n // 2 + 261)]
+    some = order[:: n // 500]
+    assert [bytes(text[i : i + 40]) for i in some] == sorted(bytes(text[i : i + 40]) for i in some)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffix.remove_repeats(docs).count() == 0

@@ -9,9 +9,9 @@ suffix array that fits one machine, so strings are first dealt out by content:
 2. Runs with equal anchor and digest are equal as a whole; if there are several, all their windows
    repeat. A run that is alone with its anchor repeats nowhere.
 3. Different runs with one anchor, mostly the edges of shared passages, are fetched once each and sorted:
-   tasks hold whole anchors and build suffix arrays over them in two stages. Suffixes smaller than their
-   successors are sorted directly; the others are induced by scanning the buckets of first bytes; the
-   common prefixes of neighbours tell which windows repeat. An anchor with more than ``hot`` different
+   tasks hold whole anchors and build suffix arrays over them by doubling. Places are ranked by their first
+   bytes, then by pairs of ranks for twice as many bytes, until ``length`` is reached or all ranks differ;
+   neighbours of equal rank are windows that repeat. An anchor with more than ``hot`` different
    runs is not gathered: its windows are hashed and counted, which Spark combines before shuffling.
 
 Only the order of the first ``length`` bytes matters, so comparing stops there.
@@ -30,7 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from textgauge.llm.common import checked, column, fresh, numbered, saved, text_of
@@ -40,7 +40,7 @@ U = np.uint64
 #: Bits of a place inside a slice of a text; the rest of 64 bits hold the anchor.
 PLACE_BITS = 20
 #: Bytes that one suffix array covers, unless a single anchor has more.
-ARRAY_BYTES = 2_000_000
+ARRAY_BYTES = 500_000
 
 
 def runs(data: np.ndarray, length: int, gram: int, slice_bits: int = PLACE_BITS) -> tuple[np.ndarray, ...]:
@@ -80,12 +80,32 @@ def _anchored(grams: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray, np.
 
 #: Words of a gram whose hash may be the anchor of a window of words.
 WORD_GRAM = 8
+#: Bytes of texts that are scanned together; a longer text is scanned by itself.
+CHUNK_BYTES = 1 << 15
 
 
-def word_runs(words: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(start, windows, anchor, digest) of the runs of windows of ``length`` words, given the words' hashes."""
+def _inside(start: np.ndarray, windows: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(which runs, their texts, first and number of windows) of runs over texts end to end, without windows that cross texts.
+
+    The windows of a run share a gram, so they lie inside one text at most.
+    """
+    some = np.flatnonzero(sizes >= length)
+    if not len(some):
+        return (np.zeros(0, np.int64),) * 4
+    ends = np.cumsum(sizes)[some]
+    which = np.searchsorted(ends - length, start)  # the first text with a window there or behind
+    owner = np.minimum(which, len(some) - 1)
+    low = np.maximum(start, (ends - sizes[some])[owner])
+    high = np.minimum(start + windows, ends[owner] - length + 1)
+    kept = np.flatnonzero((which < len(some)) & (low < high))
+    return kept, some[owner[kept]], low[kept], (high - low)[kept]
+
+
+def word_runs(words: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(text, start, windows, anchor, digest) of the runs of windows of ``length`` words, given the hashes and number of the texts' words."""
     found = []
     step = (1 << PLACE_BITS) - length
+    first = np.cumsum(counts) - counts
     for i in range(0, max(0, len(words) - length + 1), step):
         part = words[i : i + step + length - 1]
         sums = np.concatenate([np.zeros(1, U), np.cumsum(part * _powers(_BASE, len(part)))])
@@ -93,139 +113,92 @@ def word_runs(words: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
         gram = min(WORD_GRAM, length)
         grams = mix((sums[gram:] - sums[:-gram]) * inverse[: len(part) - gram + 1])
         start, windows, anchor = _anchored(grams, length - gram + 1)
+        kept, owner, low, windows = _inside(start + i, windows, counts, length)
+        start = low - i
         stop = start + windows + length - 1
         digest = mix((sums[stop] - sums[start]) * inverse[start] + windows.astype(U))
-        found.append((start + i, windows, anchor, digest.view(np.int64)))
+        found.append((owner, low - first[owner], windows, anchor[kept], digest.view(np.int64)))
     if not found:
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
 # --- suffix array -----------------------------------------------------------------------------
 
 
-def _heads(text: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on as one number, zeros behind the end, also beyond the text."""
-    padded = np.concatenate([text, np.zeros(1024, np.uint8)]).astype(U)
-    out = np.zeros(len(padded) - 7, U)
-    for i in range(8):
-        out = out << U(8) | padded[i : len(padded) - 7 + i]
-    return out
-
+def suffix_ranks(text: np.ndarray, depth: int, room: np.ndarray | None = None) -> np.ndarray:
+    """Ranks of all places by the ``depth`` bytes that start there, equal for equal bytes.
 
-def _sorted_suffixes(at: np.ndarray, heads: np.ndarray, depth: int) -> np.ndarray:
-    """Places ordered by the ``depth`` bytes that start there."""
-    at = at[::-1]  # of suffixes that differ only in zeros behind the end, the shorter comes first
-    at = at[np.argsort(heads[at], kind="stable")]
-    key = heads[at]
-    group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])) if len(at) else at
-    top = len(heads) - 1
-    todo = np.arange(len(at))
-    for reach in range(8, depth, 8):
-        # keep the groups of several
-        own = group[todo]
-        same = own[1:] == own[:-1]
-        todo = todo[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(todo) > 1 else todo[:0]
-        if not len(todo):
+    Ranks by some bytes give those by twice as many: by the rank of a place, then that of the place behind these bytes. Only
+    places whose rank is not their own yet are sorted again. ``room`` holds the bytes from each place to the end of its
+    piece; places with less than ``depth`` may get any rank.
+    """
+    n = len(text)
+    bits = U(n.bit_length())
+    padded = np.zeros(n + 4, U)  # behind the end there is less than any byte
+    padded[:n] = text
+    padded[:n] += U(1)
+    reach = min(4, depth)
+    key = np.zeros(n, U)
+    for i in range(reach):
+        key = key << U(9) | padded[i : i + n]
+    live, key = _ordered(np.arange(n), key, 9 * reach)
+    slots = np.arange(1, n + 1, dtype=np.uint32)  # where the live places stand among all
+    rank = np.zeros(n + depth, np.uint32)  # zeros behind the end
+    while len(live):
+        # a group's rank is the slot of its first place
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(live)))
+        own = np.repeat(slots[starts], sizes)
+        rank[live] = own
+        if reach == depth:
             break
-        own, key = group[todo], heads[np.minimum(at[todo] + reach, top)]
-        new = np.concatenate([[False], own[1:] != own[:-1]])
-        differ = np.concatenate([[False], key[1:] != key[:-1]]) & ~new
-        if not differ.any():
-            continue
-        number = np.cumsum(new)
-        mixed = np.zeros(number[-1] + 1, bool)
-        mixed[number[differ]] = True
-        part = np.flatnonzero(mixed[number])
-        order = part[np.lexsort((key[part], number[part]))]
-        at[todo[part]] = at[todo[order]]
-        key[part] = key[order]
-        # split the groups where their keys change; numbers stay ordered as places in the array
-        starts = np.concatenate([[True], (number[1:] != number[:-1]) | (key[1:] != key[:-1])])
-        group[todo] = todo[np.flatnonzero(starts)][np.cumsum(starts) - 1] + len(at) + 1
-    return at
+        step = min(reach, depth - reach)
+        reach += step
+        kept = np.repeat(sizes > 1, sizes)
+        if room is not None:
+            kept &= room[live] >= reach
+        live, slots = live[kept], slots[kept]
+        key = own[kept].astype(U) << bits | rank[live + step]
+        live, key = _ordered(live, key, 2 * int(bits))
+    return rank[:n]
+
+
+def _ordered(at: np.ndarray, key: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and their keys of ``wide`` bits by key."""
+    bits = int(at.max(initial=0)).bit_length()
+    if wide + bits <= 64:  # numbers are sorted faster than they are ordered
+        both = np.sort(key << U(bits) | at.view(U))
+        return (both & U((1 << bits) - 1)).view(np.int64), both >> U(bits)
+    order = np.argsort(key)
+    return at[order], key[order]
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """Places of ``text`` ordered by the ``depth`` bytes from there on, equal ones next to each other."""
-    n = len(text)
-    if n == 0:
-        return np.zeros(0, np.int64)
-    change = np.flatnonzero(text[1:] != text[:-1])
-    small = np.zeros(n, bool)  # smaller than the successor: the next other byte is greater
-    which = np.searchsorted(change, np.arange(n))
-    inside = which < len(change)
-    at = change[which[inside]]
-    small[inside] = text[at] < text[at + 1]
-
-    direct = _sorted_suffixes(np.flatnonzero(small), _heads(text), depth)
-    bounds = np.searchsorted(text[direct], np.arange(257))
-    induced: list[list[np.ndarray]] = [[] for _ in range(256)]
-    induced[text[n - 1]].append(np.array([n - 1]))  # follows from the empty suffix, the least of all
-    out = []
-    for c in range(256):
-        own = induced[c]
-        k = 0
-        while k < len(own):  # runs of this byte grow by one byte a round
-            before = own[k] - 1
-            before = before[before >= 0]
-            before = before[(text[before] == c) & ~small[before]]
-            if len(before):
-                own.append(before)
-            k += 1
-        bucket = np.concatenate([*own, direct[bounds[c] : bounds[c + 1]]])
-        if not len(bucket):
-            continue
-        out.append(bucket)
-        before = bucket - 1
-        before = before[before >= 0]
-        first = text[before]
-        later = first > c
-        before, first = before[later], first[later]
-        order = np.argsort(first, kind="stable")
-        before, first = before[order], first[order]
-        cuts = np.flatnonzero(np.diff(first)) + 1
-        for part in np.split(before, cuts) if len(before) else []:
-            induced[text[part[0]]].append(part)
-    return np.concatenate(out)
-
-
-def common_prefixes(heads: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Whole words of eight bytes, up to ``most`` bytes, that the suffixes at ``a`` and ``b`` share."""
-    out = np.zeros(len(a), np.int64)
-    live, top = np.arange(len(a)), len(heads) - 1
-    for reach in range(0, most, 8):
-        x, y = (heads[np.minimum(p[live] + reach, top)] for p in (a, b))
-        left = most - reach
-        if left < 8:
-            x, y = x >> U(8 * (8 - left)), y >> U(8 * (8 - left))
-        live = live[x == y]
-        out[live] = min(reach + 8, most)
-        if not len(live):
-            break
-    return out
+    return np.argsort(suffix_ranks(text, depth), kind="stable")
 
 
-def repeated_windows(pieces: list[bytes], length: int) -> list[np.ndarray]:
-    """For each piece, which of its windows of ``length`` bytes occur more than once in the pieces."""
-    text = np.frombuffer(b"".join(pieces), np.uint8)
+def _repeated(pieces: list[bytes], length: int) -> np.ndarray:
+    """Which places of the pieces, each followed by one byte, start ``length`` bytes that occur more than once in the pieces."""
+    text = np.frombuffer(b"\0".join([*pieces, b""]), np.uint8)
     sizes = np.array([len(p) for p in pieces], np.int64)
-    ends = np.cumsum(sizes)
-    at = np.arange(len(text))
-    starts = at + length <= ends[np.searchsorted(ends, at, "right")] if len(text) else at.astype(bool)
-    order = suffix_array(text, length)
-    order = order[starts[order]]
+    room = (np.repeat(np.cumsum(sizes + 1) - 1, sizes + 1) - np.arange(len(text))).astype(np.int32)
+    starts = np.flatnonzero(room >= length)
     flags = np.zeros(len(text), bool)
-    if len(order) > 1:
-        equal = common_prefixes(_heads(text), order[:-1], order[1:], length) == length
-        flags[order[:-1][equal]] = True
-        flags[order[1:][equal]] = True
-    return [f[: max(0, len(f) - length + 1)] for f in np.split(flags, ends[:-1])]
+    if len(starts) > 1:
+        rank = suffix_ranks(text, length, room)[starts]
+        order = np.argsort(rank)
+        equal = rank[order][1:] == rank[order][:-1]
+        flags[starts[order[:-1][equal]]] = True
+        flags[starts[order[1:][equal]]] = True
+    return flags
 
 
-def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(flags, prepend=False, append=False))
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+def repeated_windows(pieces: list[bytes], length: int) -> list[np.ndarray]:
+    """For each piece, which of its windows of ``length`` bytes occur more than once in the pieces."""
+    ends = np.cumsum([len(p) + 1 for p in pieces])
+    return [f[: max(0, len(f) - length)] for f in np.split(_repeated(pieces, length), ends[:-1])] if pieces else []
 
 
 # --- the job ----------------------------------------------------------------------------------
@@ -243,31 +216,48 @@ def _scan(length: int, gram: int, passage: int):
                 batch = whole.slice(k, 512)
                 found: list[tuple[np.ndarray, ...]] = []
                 of_words: list[tuple[np.ndarray, ...]] = []
-                for value in batch.column(3):
-                    data = memoryview(value.as_buffer())
+                texts = [memoryview(value.as_buffer()) for value in batch.column(3)]
+                sizes = np.array([len(t) for t in texts], np.int64)
+                for first, stop in _chunks(sizes):
+                    own = sizes[first:stop]
+                    data = b"".join(texts[first:stop])
                     start, windows, anchor = runs(np.frombuffer(data, np.uint8), length, gram)
+                    kept, owner, start, windows = _inside(start, windows, own, length)
+                    view = memoryview(data)
                     stops = (start + windows + length - 1).tolist()
-                    digests = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(start.tolist(), stops)]
-                    found.append(((start << SHIFT) + windows, anchor, np.array(digests, U).view(np.int64)))
+                    digests = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(start.tolist(), stops)]
+                    start -= (np.cumsum(own) - own)[owner]
+                    found.append((owner + first, (start << SHIFT) + windows, anchor[kept], np.array(digests, U).view(np.int64)))
                     if passage:
-                        start, windows, anchor, digest = word_runs(word_hashes([bytes(data)])[0], passage)
-                        of_words.append(((start << SHIFT) + windows, anchor, digest))
+                        owner, start, windows, anchor, digest = word_runs(*word_hashes(texts[first:stop]), passage)
+                        of_words.append((owner + first, (start << SHIFT) + windows, anchor, digest))
                 row, h1, h2 = (batch.column(i).to_numpy() for i in range(3))
                 yield _rows(row, (np.full(len(row), -1), h1, h2), False)
                 for own, words in ((found, False), (of_words, True)):
                     if own:
-                        cols = [np.concatenate(c) for c in zip(*own)]
-                        yield _rows(np.repeat(row, [len(f[0]) for f in own]), cols, words)
+                        owner, *cols = [np.concatenate(c) for c in zip(*own)]
+                        yield _rows(row[owner], cols, words)
 
     return run
 
 
+def _chunks(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of neighbouring texts of ``CHUNK_BYTES`` together; a longer text is one by itself."""
+    ends, out, start = np.cumsum(sizes), [], 0
+    while start < len(sizes):
+        before = ends[start] - sizes[start]
+        stop = max(start + 1, int(np.searchsorted(ends, before + CHUNK_BYTES, "right")))
+        out.append((start, stop))
+        start = stop
+    return out
+
+
 def _rows(row: np.ndarray, cols, words: bool) -> pa.RecordBatch:
     made = [pa.array(c, pa.int64()) for c in (row, *cols)]
     return pa.RecordBatch.from_arrays([*made, pa.array(np.full(len(row), words))], names=["row", "loc", "anchor", "digest", "words"])
 
 
-PIECE = ("words", "anchor", "digest", "n", "low", "high", "piece")
+PIECE = ("words", "anchor", "digest", "low", "high", "piece")
 
 
 def _cut_pieces(length: int, passage: int):
@@ -282,90 +272,71 @@ def _cut_pieces(length: int, passage: int):
                 for w in wanted:
                     a, windows = w["loc"] >> SHIFT, w["loc"] & (1 << SHIFT) - 1
                     piece = words[a : a + windows + passage - 1].tobytes() if w["words"] else bytes(data[a : a + windows + length - 1])
-                    out.append((w["words"], w["anchor"], w["digest"], w["n"], w["low"], w["high"], piece))
+                    out.append((w["words"], w["anchor"], w["digest"], w["low"], w["high"], piece))
                 cols = list(zip(*out)) or [()] * len(PIECE)
-                kinds = (pa.bool_(), *[pa.int64()] * 5, pa.binary())
+                kinds = (pa.bool_(), *[pa.int64()] * 4, pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=list(PIECE))
 
     return run
 
 
-def _match_words(passage: int):
-    """Rows (anchor, digest, low, high, hashes of words), anchor by anchor, to the ranges of windows that stand in two rows.
+def _shared_words(rows: list[tuple], passage: int) -> np.ndarray:
+    """Which places of the pieces of words, each followed by one word, start ``passage`` words that stand in two rows.
 
-    ``low`` and ``high`` are the first and last row that hold the run.
+    ``low`` and ``high`` are the first and last row that hold a piece.
     """
+    words = np.frombuffer(bytes(8).join([*(r[5] for r in rows), b""]), U)
+    sizes = np.array([len(r[5]) // 8 for r in rows], np.int64)
+    windows = sizes - passage + 1
+    owner = np.repeat(np.arange(len(rows)), windows)
+    at = np.arange(len(owner)) + np.repeat(np.cumsum(sizes + 1) - sizes - 1 - np.cumsum(windows) + windows, windows)
+    sums = np.concatenate([np.zeros(1, U), np.cumsum(words * _powers(_BASE, len(words)))])
+    made = mix((sums[at + passage] - sums[at]) * _powers(_INVERSE, len(words))[at])
+    bounds = np.array([r[3:5] for r in rows], np.int64)
+    # equal windows belong together only under one anchor, which they have
+    order = np.argsort(made)
+    made = made[order]
+    starts = np.flatnonzero(np.concatenate([[True], made[1:] != made[:-1]]))
+    low = np.minimum.reduceat(bounds[owner[order], 0], starts)
+    high = np.maximum.reduceat(bounds[owner[order], 1], starts)
+    flags = np.zeros(len(words), bool)
+    flags[at[order]] = np.repeat(low < high, np.diff(np.append(starts, len(order))))
+    return flags
+
+
+def _search(length: int, passage: int):
+    """Rows (words, anchor, digest, low, high, piece), anchor by anchor, to the ranges of windows that repeat, or of words that stand in two rows."""
 
     def search(rows: list[tuple]) -> pa.RecordBatch:
-        made, owner, place = [], [], []
-        for i, row in enumerate(rows):
-            words = np.frombuffer(row[4], U)
-            sums = np.concatenate([np.zeros(1, U), np.cumsum(words * _powers(_BASE, len(words)))])
-            windows = (sums[passage:] - sums[:-passage]) * _powers(_INVERSE, len(words) - passage + 1)
-            made.append(mix(windows))
-            owner.append(np.full(len(windows), i))
-            place.append(np.arange(len(windows)))
-        made, owner = np.concatenate(made), np.concatenate(owner)
-        bounds = np.array([r[2:4] for r in rows], np.int64)
-        # equal windows belong together only under one anchor, which they have
-        order = np.argsort(made, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], made[order][1:] != made[order][:-1]]))
-        low = np.minimum.reduceat(bounds[owner[order], 0], starts)
-        high = np.maximum.reduceat(bounds[owner[order], 1], starts)
-        sizes = np.diff(np.concatenate([starts, [len(order)]]))
-        flags = np.zeros(len(order), bool)
-        flags[order] = np.repeat(low < high, sizes)
-        out = []
-        for (anchor, digest, *_), own in zip(rows, np.split(flags, np.cumsum([len(p) for p in place])[:-1])):
-            out += [(anchor, digest, a, b) for a, b in _spans(own)]
-        return _ranges(out)
-
-    def run(batches):
-        done: list[tuple] = []
-        size = 0
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if size > ARRAY_BYTES and row[0] != done[-1][0]:
-                    yield search(done)
-                    done, size = [], 0
-                done.append(row)
-                size += len(row[4])
-        if done:
-            yield search(done)
-
-    return run
-
-
-def _sort_pieces(length: int):
-    """Rows (anchor, digest, piece), anchor by anchor, to the ranges of windows that repeat."""
-
-    def search(rows: list[tuple]) -> pa.RecordBatch:
-        out = []
-        for (anchor, digest, _), flags in zip(rows, repeated_windows([r[2] for r in rows], length)):
-            out += [(anchor, digest, a, b) for a, b in _spans(flags)]
-        return _ranges(out)
+        if of_words := rows[0][0]:
+            flags, sizes = _shared_words(rows, passage), np.array([len(r[5]) // 8 for r in rows], np.int64)
+        else:
+            flags, sizes = _repeated([r[5] for r in rows], length), np.array([len(r[5]) for r in rows], np.int64)
+        edges = np.flatnonzero(np.diff(flags, prepend=False, append=False))
+        low, high = edges[::2], edges[1::2]
+        ends = np.cumsum(sizes + 1)
+        which = np.searchsorted(ends, low, "right")
+        first = (ends - sizes - 1)[which]
+        anchor, digest = (np.array([r[i] for r in rows], np.int64)[which] for i in (1, 2))
+        cols = [pa.array(c, pa.int64()) for c in (anchor, digest, low - first, high - first)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(low), of_words)), *cols], names=["words", "anchor", "digest", "low", "high"])
 
     def run(batches):
         done: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if size > ARRAY_BYTES and row[0] != done[-1][0]:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if done and (row[0] != done[-1][0] or size > ARRAY_BYTES and row[1] != done[-1][1]):
                     yield search(done)
                     done, size = [], 0
                 done.append(row)
-                size += len(row[2])
+                size += len(row[5])
         if done:
             yield search(done)
 
     return run
 
 
-def _ranges(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [(), (), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["anchor", "digest", "low", "high"])
-
-
 def _hash_windows(length: int, step: int = 1):
     """Rows (anchor, digest, piece) to a hash of 128 bits for each window, which starts every ``step`` bytes."""
 
@@ -455,47 +426,47 @@ def remove_repeats(
     each = each.filter("loc >= 0")
 
     kinds = each.groupBy("words", "anchor", "digest").agg(
-        F.count("*").alias("copies"), F.min(F.struct("row", "loc")).alias("at"), F.max("row").alias("high")
+        F.count("*").alias("copies"), F.min("row").alias("first"), F.min_by("loc", "row").alias("loc"), F.max("row").alias("high")
     )
-    # dealt out by anchor once, for counting an anchor's kinds and for joining the counts
-    kinds = kinds.select("words", "anchor", "digest", "copies", "at.row", "at.loc", "high").repartition("words", "anchor")
+    kinds = kinds.withColumnRenamed("first", "row").withColumn("n", F.count("*").over(Window.partitionBy("words", "anchor")))
     # runs that occur as a whole elsewhere: bytes may repeat in one document, words must stand in two
     whole = F.when(F.col("words"), F.col("row") < F.col("high")).otherwise(F.col("copies") > 1)
-    several = kinds.groupBy("words", "anchor").agg(F.count("*").alias("n"))
-    kinds = saved(kinds.join(several, ["words", "anchor"]).filter(whole | (F.col("n") > 1)), "repeated-anchors")
+    kinds = saved(kinds.filter(whole | (F.col("n") > 1)), "repeated-anchors")
     copied = each.join(kinds.filter(whole).select("words", "anchor", "digest"), ["words", "anchor", "digest"], "left_semi")
     copied = copied.selectExpr("words", "row", f"loc >> {SHIFT} AS low", f"(loc >> {SHIFT}) + (loc & {(1 << SHIFT) - 1}) AS high")
 
     # different runs with one anchor
     mixed = kinds.filter("n > 1")
-    cuts = F.collect_list(F.struct("words", "anchor", "digest", "n", "loc", F.col("row").alias("low"), "high")).alias("cuts")
-    cuts = saved(mixed.join(owners, "row").groupBy("h1", "h2").agg(cuts), "cuts")
-    held_by = texts.join(checked(cuts.select("h1", "h2")), ["h1", "h2"], "left_semi")
-    held_by = held_by.groupBy("h1", "h2").agg(F.first("data").alias("data")).join(cuts, ["h1", "h2"]).select("data", "cuts")
-    kinds = "words boolean, anchor long, digest long, n long, low long, high long, piece binary"
-    pieces = saved(held_by.mapInArrow(_cut_pieces(length, passage), kinds), "pieces")
     cold = F.col("n") <= hot
-    shape = "anchor long, digest long, low long, high long"
-    of_words = pieces.filter(F.col("words") & cold).select("anchor", "digest", "low", "high", "piece")
-    of_words = of_words.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_match_words(passage), shape)
-    ranges = pieces.filter(~F.col("words") & cold).select("anchor", "digest", "piece")
-    ranges = ranges.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_pieces(length), shape)
+
+    def pieces(some: DataFrame) -> DataFrame:
+        cuts = F.collect_list(F.struct("words", "anchor", "digest", "loc", F.col("row").alias("low"), "high")).alias("cuts")
+        cuts = saved(some.join(owners, "row").groupBy("h1", "h2").agg(cuts), "cuts")
+        held_by = texts.join(checked(cuts.select("h1", "h2")), ["h1", "h2"], "left_semi")
+        held_by = held_by.groupBy("h1", "h2").agg(F.first("data").alias("data")).join(cuts, ["h1", "h2"]).select("data", "cuts")
+        shape = "words boolean, anchor long, digest long, low long, high long, piece binary"
+        return held_by.mapInArrow(_cut_pieces(length, passage), shape)
+
+    # dealt out by anchor as they are cut; only those of hot anchors are written
+    ranges = pieces(mixed.filter(cold)).repartition("words", "anchor").sortWithinPartitions("words", "anchor")
+    ranges = ranges.mapInArrow(_search(length, passage), "words boolean, anchor long, digest long, low long, high long")
+    heat = {r.words for r in mixed.filter(~cold).select("words").distinct().collect()}
+    hot_ones = saved(pieces(mixed.filter(~cold)), "hot-pieces") if heat else None
     shape = "anchor long, digest long, low long, window binary"
-    windows = pieces.filter(~F.col("words") & ~cold).select("anchor", "digest", "piece")
-    if not windows.isEmpty():
+    if False in heat:
+        windows = hot_ones.filter(~F.col("words")).select("anchor", "digest", "piece")
         windows = windows.mapInArrow(_hash_windows(length), shape)
         again = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
         again = windows.join(again, "window", "left_semi")
-        ranges = ranges.union(again.selectExpr("anchor", "digest", "low", "low + 1"))
-    windows = pieces.filter(F.col("words") & ~cold)
-    if not windows.isEmpty():
+        ranges = ranges.union(again.selectExpr("false", "anchor", "digest", "low", "low + 1"))
+    if True in heat:
+        windows = hot_ones.filter("words")
         held_in = windows.select("anchor", "digest", F.col("low").alias("first"), F.col("high").alias("last"))
         windows = windows.select("anchor", "digest", "piece").mapInArrow(_hash_windows(8 * passage, 8), shape)
         windows = windows.join(held_in, ["anchor", "digest"])
         again = windows.groupBy("window").agg(F.min("first").alias("first"), F.max("last").alias("last")).filter("first < last")
         again = windows.join(again.select("window"), "window", "left_semi")
-        of_words = of_words.union(again.selectExpr("anchor", "digest", "low", "low + 1"))
-    ranges = ranges.withColumn("words", F.lit(False)).union(of_words.withColumn("words", F.lit(True)))
+        ranges = ranges.union(again.selectExpr("true", "anchor", "digest", "low", "low + 1"))
     single = mixed.filter(~whole)
     start = F.expr(f"loc >> {SHIFT} AS start")
     alone = single.filter("copies = 1").select("words", "anchor", "digest", "row", start)
@@ -510,7 +481,11 @@ def remove_repeats(
         F.collect_list(F.when(~F.col("words"), span)).alias("ranges"), F.collect_list(F.when(F.col("words"), span)).alias("shared")
     )
     spans = spans.select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.col("ranges").alias(wanted), F.col("shared").alias(shared))
-    joined = base.join(spans, [h1, h2], "left").select(*(column(base, c) for c in held), data, wanted, shared)
+    # a text that stays a column is moved once, as that column
+    stays = text in held
+    joined = (base.drop(data) if stays else base).join(spans, [h1, h2], "left")
+    moved = text_of(joined, text).cast("binary").alias(data) if stays else column(joined, data)
+    joined = joined.select(*(column(joined, c) for c in held), moved, wanted, shared)
     out = StructType([docs.schema[c] for c in held])
     for name, kind in zip(new, (LongType(), LongType(), LongType(), BinaryType(), LongType(), LongType())):
         out.add(StructField(name, kind))
