@@ -14,10 +14,15 @@ larger task, whose aggregates and sorts spill. With a known vocabulary a gram is
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import StructType
 
 from textgauge.functions.windows import div
+from textgauge.operators import gram_homes
+from textgauge.session import written
 
 SUMS = ("n", "before", "total", "kinds", "total_before", "kinds_before")
 
@@ -50,13 +55,32 @@ class _Numbers(_Arrays):
     def __init__(self, vocab_size: int, order: int):
         self.base, self.order = vocab_size + 2, order
 
+    def _ids(self, gram: Column) -> list[tuple[Column, Column, Column]]:
+        """For each digit from the lowest: whether the gram has one, its id, and whether the vocabulary has that.
+
+        Written out digit by digit, as Spark compiles no code for functions over arrays.
+        """
+        ids = [F.get(gram, F.size(gram) - 1 - i) for i in range(self.order)]
+        return [(F.size(gram) > i, id_, (id_ >= 0) & (id_ < self.base - 2)) for i, id_ in enumerate(ids)]
+
     def pack(self, gram: Column) -> Column:
-        known = lambda i: F.when((i >= 0) & (i < self.base - 2), i + 1).otherwise(self.base - 1)
-        return F.aggregate(gram, F.lit(0).cast("long"), lambda key, i: key * F.lit(self.base) + known(i))
+        digits = [F.when(has, F.when(known, id_ + 1).otherwise(self.base - 1)).otherwise(0) for has, id_, known in self._ids(gram)]
+        return F.when(gram.isNotNull(), sum((d.cast("long") * F.lit(self.base**i) for i, d in enumerate(digits)), F.lit(0).cast("long")))
+
+    def inside(self, gram: Column) -> Column:
+        return reduce(and_, ((~has | F.coalesce(known, F.lit(False))) for has, _, known in self._ids(gram)), gram.isNotNull())
 
     def unpack(self, key: Column) -> Column:
-        digits = F.array(*(div(key, self.base**i) % self.base for i in reversed(range(self.order))))
-        return F.transform(F.filter(digits, lambda d: d > 0), lambda d: (d - 1).cast("int"))
+        ids = [(div(key, self.base**i) % self.base - 1).cast("int") for i in range(self.order)]
+        gram = F.array().cast("array<int>")
+        for size in range(1, self.order + 1):
+            gram = F.when(key >= self.base ** (size - 1), F.array(*reversed(ids[:size]))).otherwise(gram)
+        return gram
+
+    def turned(self, key: Column) -> Column:
+        """The key with the context's digits backwards before the target's, see ``gram_homes``."""
+        digits = (div(key, self.base**i) % self.base * F.lit(self.base ** (self.order - i)) for i in range(1, self.order))
+        return sum(digits, key % self.base)
 
     def size(self, key: Column) -> Column:
         return sum(((key >= F.lit(self.base**i)).cast("int") for i in range(1, self.order)), (key > 0).cast("int"))
@@ -73,8 +97,8 @@ def _form(vocab_size: int | None, order: int) -> _Arrays:
     return _Numbers(vocab_size, order) if fits else _Arrays()
 
 
-#: Training grams of one partition; tables at home take several times as much memory as these.
-HOME_ROWS = 200_000
+#: Training grams of one partition: of arrays, whose tables at home take several times as much memory, and of numbers.
+HOME_ROWS, HOME_NUMBERS = 200_000, 1_000_000
 
 
 def _at_home(df: DataFrame, parts: int) -> DataFrame:
@@ -82,6 +106,23 @@ def _at_home(df: DataFrame, parts: int) -> DataFrame:
     return df.repartition(parts, "home")
 
 
+def _schema(df: DataFrame | StructType, own: Sequence[str], more: str) -> StructType:
+    """Own columns of ``df`` and those that a DDL string names."""
+    known = df if isinstance(df, StructType) else df.schema
+    return StructType([*(known[c] for c in own), *StructType.fromDDL(more).fields])
+
+
+def _in_bins(df: DataFrame) -> DataFrame:
+    """Rows of ``gram_homes.packed`` dealt out and sorted by bin."""
+    return df.repartition("bin").sortWithinPartitions("bin")
+
+
+def _sorted_homes(df: DataFrame, form: _Numbers, parts: int) -> DataFrame:
+    """Rows with a packed ``key`` dealt out by home; their first column is the turned key, by which they are sorted."""
+    homes = df.select(form.home(F.col("key")).alias("home"), form.turned(F.col("key")).alias("turned"), *[c for c in df.columns if c != "key"])
+    return _at_home(homes, parts).drop("home").sortWithinPartitions("turned")
+
+
 def count_grams(
     chunks: DataFrame, order: int, *, ids: str = "input_ids", by: Sequence[str] = (), vocab_size: int | None = None
 ) -> DataFrame:
@@ -97,19 +138,24 @@ def count_grams(
     first = lambda end: F.greatest(end - (order - 1), F.lit(1))
     grams = F.transform(ends, lambda end: F.slice(tokens, first(end), end - first(end) + 1))
     form = _form(vocab_size, order)
-    each = chunks.select(*by, F.explode(grams).alias("gram"))
     if not isinstance(form, _Numbers):
-        return each.groupBy(*by, "gram").agg(F.count(F.lit(1)).alias("n"))
-    counted = each.select(*by, _checked(form).alias("gram")).groupBy(*by, "gram").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(*by, form.unpack(F.col("gram")).alias("gram"), "n")
+        return chunks.select(*by, F.explode(grams).alias("gram")).groupBy(*by, "gram").agg(F.count(F.lit(1)).alias("n"))
+    groups = [F.col(c).alias(f"_{i}") for i, c in enumerate(by)]
+    windows = chunks.select(*groups, tokens.alias("_ids"))
+    base, width, own = form.base, len(groups), windows.columns[:-1]
+    binned, made = (_schema(windows, own, more) for more in ("bin int, keys binary, n binary", "packed bigint, n bigint"))
+    names = binned.names, made.names
+    part = windows.mapInArrow(lambda batches: gram_homes.counted_targets(batches, width, base, order, names[0]), binned)
+    counted = _in_bins(part).mapInArrow(lambda batches: gram_homes.counts(batches, width, names[1]), made)
+    own = [F.col(f"_{i}").alias(c) for i, c in enumerate(by)]
+    return counted.select(*own, form.unpack(F.col("packed")).alias("gram"), "n")
 
 
 def _checked(form: _Arrays) -> Column:
     """The packed ``gram``; fails for an id that the vocabulary does not have."""
     if not isinstance(form, _Numbers):
         return form.pack(F.col("gram"))
-    inside = F.forall("gram", lambda i: i.isNotNull() & (i >= 0) & (i < form.base - 2))
-    return F.when(inside, form.pack(F.col("gram"))).otherwise(F.raise_error(F.lit("an id is not below the size of the vocabulary")).cast("long"))
+    return F.when(form.inside(F.col("gram")), form.pack(F.col("gram"))).otherwise(F.raise_error(F.lit("an id is not below the size of the vocabulary")).cast("long"))
 
 
 def ngram_tables(counts: DataFrame, order: int, vocab_size: int | None = None) -> DataFrame:
@@ -122,6 +168,8 @@ def ngram_tables(counts: DataFrame, order: int, vocab_size: int | None = None) -
     them before.
     """
     form = _form(vocab_size, order)
+    if isinstance(form, _Numbers):
+        return _number_tables(counts, form)
     parts = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), counts.count() // HOME_ROWS)
     key, home = F.col("key"), form.home(F.col("key")).alias("home")
     longest = _at_home(counts.select(_checked(form).alias("key"), "n").select(home, "key", "n"), parts)
@@ -136,9 +184,15 @@ def ngram_tables(counts: DataFrame, order: int, vocab_size: int | None = None) -
             both = _at_home(both.select(home, "key", "n", "before"), parts)
         held = both.groupBy("home", "key").agg(F.sum("n").alias("n"), F.sum("before").alias("before"))
     tables.append(held)
+    return _model({order - i: t for i, t in enumerate(tables)}, form, {"parts": parts})
+
+
+def _model(tables: dict[int, DataFrame], form: _Arrays, known: dict) -> DataFrame:
+    """Rows of the model out of ``(home, key, n, before)`` of some levels."""
+    key = F.col("key")
     rows = None
-    for i, table in enumerate(tables):
-        table = table.withColumn("level", F.lit(order - i))
+    for level, table in tables.items():
+        table = table.withColumn("level", F.lit(level))
         rows = table if rows is None else rows.unionByName(table)
     none, seen = F.lit(0).cast("long"), F.when(F.col("before") > 0, 1).otherwise(0).cast("long")
 
@@ -149,10 +203,43 @@ def ngram_tables(counts: DataFrame, order: int, vocab_size: int | None = None) -
     as_context = row(form.context(key), True, none, none, F.col("n"), F.lit(1).cast("long"), F.col("before"), seen)
     rows = rows.select("level", "home", F.inline(F.array(as_gram, as_context)))
     model = rows.groupBy("level", "home", "key", "is_context").agg(*[F.sum(c).alias(c) for c in SUMS])
-    known = {"parts": parts, **({"vocab_size": vocab_size, "order": order} if isinstance(form, _Numbers) else {})}
     return model.select("level", "home", key.alias("key", metadata=known), "is_context", *SUMS)
 
 
+def _number_tables(counts: DataFrame, form: _Numbers) -> DataFrame:
+    """The model of grams as numbers.
+
+    Pairs and single tokens, at most the square of the vocabulary, are counted from the endings of three tokens and written.
+    Longer grams are sorted at home and counted in one pass by ``gram_homes``. The model carries both, so that scoring
+    counts the longer ones in the pass in which it asks.
+    """
+    base, order = form.base, form.order
+    parts = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), counts.count() // HOME_NUMBERS)
+    grams = counts.select(_checked(form).alias("key"), F.col("n").cast("long").alias("n"))
+    binned, made = ["bin", "keys", "n"], ["pair", "n", "before"]
+    endings = grams.mapInArrow(lambda batches: gram_homes.counted_endings(batches, base, order, binned), "bin int, keys binary, n binary")
+    pairs = _in_bins(endings).mapInArrow(lambda batches: gram_homes.pairs(batches, base, made), "pair bigint, n bigint, before bigint")
+    pairs = written(pairs, "pairs")
+    key, home = F.col("key"), form.home(F.col("key")).alias("home")
+    two = pairs.filter(F.col("pair") >= base).withColumnRenamed("pair", "key").select(home, "key", "n", "before")
+    single = pairs.filter((F.col("pair") < base) & (F.col("pair") > 0)).select(F.col("pair").alias("last"), "n", "before")
+    last = two.select(form.ending(key, 1).alias("last"), "n", F.lit(1).cast("long").alias("before"))
+    one = last.unionByName(single).groupBy("last").agg(F.sum("n").alias("n"), F.sum("before").alias("before"))
+    one = one.withColumnRenamed("last", "key")
+    known = {"parts": parts, "vocab_size": base - 2, "order": order}
+    low = _model({2: two, 1: one.select(home, "key", "n", "before")}, form, known)
+    model = low
+    if order > 2:
+        columns = low.columns
+        sums = ", ".join(f"{c} bigint" for c in SUMS)
+        high = _sorted_homes(grams, form, parts).mapInArrow(
+            lambda batches: gram_homes.tables(batches, base, order, columns), f"level int, home bigint, key bigint, is_context boolean, {sums}"
+        )
+        model = high.unionByName(low).select("level", "home", key.alias("key", metadata=known), "is_context", *SUMS)
+    model.gram_parts = low, grams
+    return model
+
+
 def score_ngrams(
     model: DataFrame,
     counts: DataFrame,
@@ -173,27 +260,27 @@ def score_ngrams(
     longest = max(orders)
     known = model.schema["key"].metadata
     form = _form(known.get("vocab_size"), known.get("order", longest))
-    most = known.get("order")
 
     def mixed(own: Column, of: Column, kinds: Column, lower: Column) -> Column:
         own, of, kinds = (F.coalesce(c, F.lit(0)).cast("double") for c in (own, of, kinds))
         taken = F.greatest(own - discount, F.lit(0.0)) + discount * kinds * lower
         return F.when(of > 0, taken / of).otherwise(lower)
 
-    asked = F.col("gram") if most is None else F.slice("gram", F.greatest(F.size("gram") - most + 1, F.lit(1)), F.lit(most))
-    tests = counts.filter("gram IS NOT NULL").select(*by, "gram", "n").withColumn("_key", form.pack(asked))
+    # of longer grams the last tokens that the model's order takes
+    tests = counts.filter("gram IS NOT NULL").select(*by, "gram", "n").withColumn("_key", form.pack(F.col("gram")))
     tests = tests.withColumn("_pair", form.ending(F.col("_key"), 2))
 
     # single tokens and pairs: all single tokens share one context
     pairs = tests.select("_pair").distinct().withColumn("_last", form.ending(F.col("_pair"), 1))
     pairs = pairs.withColumn("_first", form.context(F.col("_pair")))
-    ones, twos = (model.filter(F.col("level") == k) for k in (1, 2))
+    low, grams = getattr(model, "gram_parts", (model, None))
+    ones, twos = (low.filter(F.col("level") == k) for k in (1, 2))
     top = ones.filter("is_context").agg(F.sum("total_before").alias("_of"), F.sum("kinds_before").alias("_kinds"))
     single = ones.filter("NOT is_context").select(F.col("key").alias("_last"), F.col("before").alias("_own"))
     pairs = pairs.join(single, "_last", "left").crossJoin(F.broadcast(top))  # one row
     pairs = pairs.withColumn("p1", mixed(F.col("_own"), F.col("_of"), F.col("_kinds"), F.lit(1.0 / vocab_size)))
-    grams = twos.filter("NOT is_context").select(F.col("key").alias("_pair"), "n", "before")
-    pairs = pairs.join(grams, "_pair", "left")
+    seen = twos.filter("NOT is_context").select(F.col("key").alias("_pair"), "n", "before")
+    pairs = pairs.join(seen, "_pair", "left")
     contexts = twos.filter("is_context").select(F.col("key").alias("_first"), *SUMS[2:])
     pairs = pairs.join(contexts, "_first", "left")
     two = form.size(F.col("_pair")) == 2
@@ -201,6 +288,9 @@ def score_ngrams(
     q2, p2 = (F.when(two, p).otherwise(F.col("p1")) for p in (q2, p2))
     pairs = pairs.select("_pair", q2.alias("q2"), p2.alias("p2"))
 
+    if grams is not None:
+        return _scored_at_home(tests.join(pairs, "_pair"), grams, form, orders, discount, by, known["parts"])
+
     # longer grams and their contexts are asked for where they lie; level 0 is the test's own row
     home, own = form.home(F.col("_key")).alias("home"), (*by, "gram", "n")
     tests = tests.join(pairs, "_pair").select(home, *[F.col(c).alias(f"_{c}") for c in own], "_key", "q2", "p2")
@@ -242,3 +332,24 @@ def score_ngrams(
     rows = rows.select(*own, F.explode(F.array_repeat(F.array(*scored), F.col("_times").cast("int"))).alias("_s"))
     rows = rows.select(*own, F.inline("_s"))
     return rows.select(*[F.col(f"_{c}").alias(c) for c in by], "order", F.col("taken").alias("gram"), F.col("_n").alias("n"), "nll")
+
+
+def _scored_at_home(
+    tests: DataFrame, grams: DataFrame, form: _Numbers, orders: Sequence[int], discount: float, by: Sequence[str], parts: int
+) -> DataFrame:
+    """Scores of grams as numbers: test rows are sorted among the training grams of their home, which are counted there."""
+    own = [*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], F.col("gram").alias("_gram"), F.col("n").alias("_n")]
+    tests = tests.select(F.col("_key").alias("key"), F.lit(None).cast("long").alias("n"), *own, F.size("gram").alias("_size"), "q2", "p2")
+    columns = tests.columns[2:]
+    tests = tests.select("key", "n", F.struct(*columns).alias("asked"))
+    asked = tests.schema["asked"].dataType
+    both = grams.select("key", "n", F.lit(None).cast(asked).alias("asked")).unionByName(tests)
+    schema = _schema(asked, columns[:-3], ", ".join(f"nll{k} double" for k in orders))
+    base, order, names, wanted = form.base, form.order, schema.names, list(orders)
+    rows = _sorted_homes(both, form, parts).mapInArrow(
+        lambda batches: gram_homes.scores(batches, base, order, wanted, discount, len(columns) - 3, names), schema
+    )
+    scored = [F.struct(F.lit(k).alias("order"), F.col(f"nll{k}").alias("nll")) for k in orders]
+    rows = rows.select(*columns[:-3], F.inline(F.array(*scored)))
+    taken = F.slice("_gram", F.greatest(F.size("_gram") - F.col("order") + 1, F.lit(1)), F.least(F.size("_gram"), F.col("order")))
+    return rows.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(by)], "order", taken.alias("gram"), F.col("_n").alias("n"), "nll")
