@@ -49,6 +49,29 @@ def targets(windows: pa.ListArray, base: int, order: int) -> tuple[np.ndarray, n
     return keys[wanted], row[wanted]
 
 
+def numbers(grams: pa.ListArray, base: int, order: int, checked: bool) -> pa.Array:
+    """Keys of the last ``order`` tokens of grams. Ids that the vocabulary does not have share a digit, or fail if ``checked``."""
+    sizes = grams.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ids = grams.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    known = (ids >= 0) & (ids < base - 2)
+    if checked and (grams.null_count or not known.all()):
+        raise ValueError("an id is not below the size of the vocabulary")
+    digits, ends = np.where(known, ids + 1, base - 1), np.cumsum(sizes)
+    keys = np.zeros(len(grams), np.int64)
+    for i in range(order):
+        has = sizes > i
+        keys[has] += digits[ends[has] - 1 - i] * base**i
+    return pa.array(keys, mask=np.asarray(grams.is_null()))
+
+
+def grams_of(keys: np.ndarray, base: int, order: int) -> pa.ListArray:
+    """Ids of keys that have none but those of the vocabulary."""
+    digits = np.stack([keys // base**i % base for i in reversed(range(order))], axis=1)
+    there = digits > 0
+    ends = np.concatenate([[0], np.cumsum(there.sum(axis=1))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(digits[there] - 1, pa.int32()))
+
+
 def packed(group: np.ndarray, keys: np.ndarray, n: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
     """Rows of ``(bin, keys, n)`` and their group: all keys of a bin and group in one row, so that few rows are moved."""
     bins = (of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int16)
@@ -139,12 +162,13 @@ def bins(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[tuple[list
         yield done()
 
 
-def counts(batches: Iterator[pa.RecordBatch], by: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """``(*by, key, n)`` out of rows sorted by bin."""
+def counts(batches: Iterator[pa.RecordBatch], by: int, base: int, order: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """``(*by, gram, n)`` out of rows sorted by bin."""
     for made in bins(batches, by):
         group = pa.array(np.repeat(np.arange(len(made)), [len(keys) for _, keys, _ in made]))
         own = [pa.concat_arrays([head[c] for head, *_ in made]).take(group) for c in range(by)]
-        yield pa.RecordBatch.from_arrays([*own, *(pa.array(np.concatenate([m[i] for m in made])) for i in (1, 2))], names=names)
+        keys, n = (np.concatenate([m[i] for m in made]) for i in (1, 2))
+        yield pa.RecordBatch.from_arrays([*own, grams_of(keys, base, order), pa.array(n)], names=names)
 
 
 def pairs(batches: Iterator[pa.RecordBatch], base: int, names: list[str]) -> Iterator[pa.RecordBatch]:

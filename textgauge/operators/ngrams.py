@@ -13,15 +13,15 @@ larger task, whose aggregates and sorts spill. With a known vocabulary a gram is
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-from operator import and_
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import StructType
 
 from textgauge.functions.windows import div
 from textgauge.operators import gram_homes
+from textgauge.operators.tokenizing import once
 from textgauge.session import written
 
 SUMS = ("n", "before", "total", "kinds", "total_before", "kinds_before")
@@ -55,27 +55,15 @@ class _Numbers(_Arrays):
     def __init__(self, vocab_size: int, order: int):
         self.base, self.order = vocab_size + 2, order
 
-    def _ids(self, gram: Column) -> list[tuple[Column, Column, Column]]:
-        """For each digit from the lowest: whether the gram has one, its id, and whether the vocabulary has that.
+    def pack(self, gram: Column, checked: bool = False) -> Column:
+        base, order = self.base, self.order
 
-        Written out digit by digit, as Spark compiles no code for functions over arrays.
-        """
-        ids = [F.get(gram, F.size(gram) - 1 - i) for i in range(self.order)]
-        return [(F.size(gram) > i, id_, (id_ >= 0) & (id_ < self.base - 2)) for i, id_ in enumerate(ids)]
+        @F.arrow_udf("bigint")
+        def number(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for grams in columns:
+                yield gram_homes.numbers(grams, base, order, checked)
 
-    def pack(self, gram: Column) -> Column:
-        digits = [F.when(has, F.when(known, id_ + 1).otherwise(self.base - 1)).otherwise(0) for has, id_, known in self._ids(gram)]
-        return F.when(gram.isNotNull(), sum((d.cast("long") * F.lit(self.base**i) for i, d in enumerate(digits)), F.lit(0).cast("long")))
-
-    def inside(self, gram: Column) -> Column:
-        return reduce(and_, ((~has | F.coalesce(known, F.lit(False))) for has, _, known in self._ids(gram)), gram.isNotNull())
-
-    def unpack(self, key: Column) -> Column:
-        ids = [(div(key, self.base**i) % self.base - 1).cast("int") for i in range(self.order)]
-        gram = F.array().cast("array<int>")
-        for size in range(1, self.order + 1):
-            gram = F.when(key >= self.base ** (size - 1), F.array(*reversed(ids[:size]))).otherwise(gram)
-        return gram
+        return once(number)(gram)
 
     def turned(self, key: Column) -> Column:
         """The key with the context's digits backwards before the target's, see ``gram_homes``."""
@@ -143,19 +131,12 @@ def count_grams(
     groups = [F.col(c).alias(f"_{i}") for i, c in enumerate(by)]
     windows = chunks.select(*groups, tokens.alias("_ids"))
     base, width, own = form.base, len(groups), windows.columns[:-1]
-    binned, made = (_schema(windows, own, more) for more in ("bin int, keys binary, n binary", "packed bigint, n bigint"))
+    binned, made = (_schema(windows, own, more) for more in ("bin int, keys binary, n binary", "gram array<int>, n bigint"))
     names = binned.names, made.names
     part = windows.mapInArrow(lambda batches: gram_homes.counted_targets(batches, width, base, order, names[0]), binned)
-    counted = _in_bins(part).mapInArrow(lambda batches: gram_homes.counts(batches, width, names[1]), made)
+    counted = _in_bins(part).mapInArrow(lambda batches: gram_homes.counts(batches, width, base, order, names[1]), made)
     own = [F.col(f"_{i}").alias(c) for i, c in enumerate(by)]
-    return counted.select(*own, form.unpack(F.col("packed")).alias("gram"), "n")
-
-
-def _checked(form: _Arrays) -> Column:
-    """The packed ``gram``; fails for an id that the vocabulary does not have."""
-    if not isinstance(form, _Numbers):
-        return form.pack(F.col("gram"))
-    return F.when(form.inside(F.col("gram")), form.pack(F.col("gram"))).otherwise(F.raise_error(F.lit("an id is not below the size of the vocabulary")).cast("long"))
+    return counted.select(*own, "gram", "n")
 
 
 def ngram_tables(counts: DataFrame, order: int, vocab_size: int | None = None) -> DataFrame:
@@ -172,7 +153,7 @@ def ngram_tables(counts: DataFrame, order: int, vocab_size: int | None = None) -
         return _number_tables(counts, form)
     parts = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), counts.count() // HOME_ROWS)
     key, home = F.col("key"), form.home(F.col("key")).alias("home")
-    longest = _at_home(counts.select(_checked(form).alias("key"), "n").select(home, "key", "n"), parts)
+    longest = _at_home(counts.select(form.pack(F.col("gram")).alias("key"), "n").select(home, "key", "n"), parts)
     longest = longest.groupBy("home", "key").agg(F.sum("n").alias("n")).withColumn("before", F.lit(0).cast("long"))
     tables, held = [], longest.filter(form.size(key) == order)
     for size in range(order - 1, 0, -1):
@@ -215,7 +196,7 @@ def _number_tables(counts: DataFrame, form: _Numbers) -> DataFrame:
     """
     base, order = form.base, form.order
     parts = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), counts.count() // HOME_NUMBERS)
-    grams = counts.select(_checked(form).alias("key"), F.col("n").cast("long").alias("n"))
+    grams = counts.select(form.pack(F.col("gram"), checked=True).alias("key"), F.col("n").cast("long").alias("n"))
     binned, made = ["bin", "keys", "n"], ["pair", "n", "before"]
     endings = grams.mapInArrow(lambda batches: gram_homes.counted_endings(batches, base, order, binned), "bin int, keys binary, n binary")
     pairs = _in_bins(endings).mapInArrow(lambda batches: gram_homes.pairs(batches, base, made), "pair bigint, n bigint, before bigint")
