@@ -1,24 +1,24 @@
 """Grams as numbers in Arrow batches: targets of windows, sums by key, and the tables of an n-gram model home by home.
 
-A turned key has the context's digits backwards before the target's: last token, token before it and so on. Sorted by it,
-the rows of a home lie together, and inside it those of every longer context. So a pass over sorted rows holds
-the rows of some homes. Of a home that is larger than that it holds one context of three tokens, the counts of the
-home's three-token grams, of which there is one a target, and its test rows.
+A turned key has the context's digits backwards before the target's: last token, token before it and so on. Its home are
+the first two digits. Grams of a home meet in one bin, and many of them in one row of bytes, so that Spark moves and sorts
+few rows. A home with a large share of the grams has places for some of the tokens before it, which are worked off one by one:
+contexts of three tokens and more lie in one place, and of the three-token grams counts are kept, of which there is one a target.
+So a task holds the rows of some homes or of a place, and the test rows of a hot home.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 #: Rows that are put together at once: targets of a task before they are dealt out, rows of homes after it.
 ROWS = 1 << 20
 
-#: Bits of the number of a bin, in which keys are moved and counted together.
-BITS = 12
+#: Bits of the number of a bin, in which keys are moved and counted together, and of a place in the bin of a hot home.
+BITS, PART_BITS = 12, 5
 
 
 def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -49,8 +49,8 @@ def targets(windows: pa.ListArray, base: int, order: int) -> tuple[np.ndarray, n
     return keys[wanted], row[wanted]
 
 
-def numbers(grams: pa.ListArray, base: int, order: int, checked: bool) -> pa.Array:
-    """Keys of the last ``order`` tokens of grams. Ids that the vocabulary does not have share a digit, or fail if ``checked``."""
+def numbers(grams: pa.ListArray, base: int, order: int, checked: bool = True) -> np.ndarray:
+    """Keys of the last ``order`` tokens of grams. Ids that the vocabulary does not have fail, or share a digit."""
     sizes = grams.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     ids = grams.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
     known = (ids >= 0) & (ids < base - 2)
@@ -61,7 +61,7 @@ def numbers(grams: pa.ListArray, base: int, order: int, checked: bool) -> pa.Arr
     for i in range(order):
         has = sizes > i
         keys[has] += digits[ends[has] - 1 - i] * base**i
-    return pa.array(keys, mask=np.asarray(grams.is_null()))
+    return keys
 
 
 def grams_of(keys: np.ndarray, base: int, order: int) -> pa.ListArray:
@@ -72,15 +72,38 @@ def grams_of(keys: np.ndarray, base: int, order: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(digits[there] - 1, pa.int32()))
 
 
-def packed(group: np.ndarray, keys: np.ndarray, n: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
-    """Rows of ``(bin, keys, n)`` and their group: all keys of a bin and group in one row, so that few rows are moved."""
-    bins = (of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int16)
-    order = np.lexsort((bins, group)) if group.any() else np.argsort(bins, kind="stable")
-    bins, group = bins[order], group[order]
-    first = np.flatnonzero(np.concatenate([[True], (bins[1:] != bins[:-1]) | (group[1:] != group[:-1])]))
-    ends = pa.py_buffer((np.append(first, len(bins)) * 8).astype(np.int32))
+def turned(keys: np.ndarray, base: int, order: int) -> np.ndarray:
+    made = keys % base
+    for i in range(1, order):
+        made = made + keys // base**i % base * base ** (order - i)
+    return made
+
+
+def mixed(values: np.ndarray, bits: int) -> np.ndarray:
+    return (values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int32)
+
+
+def places(keys: np.ndarray, base: int, order: int, hot: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The bin of turned keys' homes, and their place in it.
+
+    Other homes share bins of one place. A hot home has a bin of its own, and a place for some of the tokens before it.
+    """
+    homes, known = keys // base ** max(order - 2, 1), np.asarray(hot, np.int64)
+    at = np.searchsorted(known, homes)
+    own = known[np.minimum(at, len(known) - 1)] == homes if hot else np.zeros(len(keys), bool)
+    bins = np.where(own, (1 << BITS) + at, mixed(homes, BITS)).astype(np.int32)
+    parts = mixed(keys // base ** max(order - 3, 0) % base, PART_BITS)
+    return bins, (bins << PART_BITS) + np.where(own, parts, 0).astype(np.int32)
+
+
+def packed(of: Sequence[np.ndarray], keys: np.ndarray, n: np.ndarray) -> tuple[list[np.ndarray], list[pa.Array]]:
+    """Distinct values of ``of``, the main one last, and all their keys and counts in one row, so that few rows are moved."""
+    order = np.lexsort(of)
+    of = [c[order] for c in of]
+    first = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in of], axis=0)]))
+    ends = pa.py_buffer((np.append(first, len(order)) * 8).astype(np.int32))
     blobs = [pa.Array.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(v[order])]) for v in (keys, n)]
-    return group[first], [pa.array(bins[first].astype(np.int32)), *blobs]
+    return [c[first] for c in of], blobs
 
 
 def counted_targets(batches: Iterator[pa.RecordBatch], by: int, base: int, order: int, names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -92,9 +115,9 @@ def counted_targets(batches: Iterator[pa.RecordBatch], by: int, base: int, order
         made = [np.unique(np.concatenate(keys), return_counts=True) for keys in held if keys]
         group = np.repeat([i for i, keys in enumerate(held) if keys], [len(k) for k, _ in made])
         keys, times = (np.concatenate([m[i] for m in made]).astype(np.int64) for i in (0, 1))
-        group, columns = packed(group, keys, times, keys)
+        (group, at), blobs = packed((group, mixed(keys, BITS)), keys, times)
         own = [pa.concat_arrays([h[c] for h in heads]).take(pa.array(group)) for c in range(by)]
-        return pa.RecordBatch.from_arrays([*own, *columns], names=names)
+        return pa.RecordBatch.from_arrays([*own, pa.array(at), *blobs], names=names)
 
     for batch in batches:
         keys, row = targets(batch.column(by), base, order)
@@ -128,10 +151,11 @@ def counted_endings(batches: Iterator[pa.RecordBatch], base: int, order: int, na
 
     def combined():
         keys, times = summed(*(np.concatenate(c) for c in zip(*held)))
-        return pa.RecordBatch.from_arrays(packed(np.zeros(len(keys), np.int8), keys, times, keys % base**2)[1], names=names)
+        (at,), blobs = packed((mixed(keys % base**2, BITS),), keys, times)
+        return pa.RecordBatch.from_arrays([pa.array(at), *blobs], names=names)
 
     for batch in batches:
-        held.append((batch.column(0).to_numpy() % base ** min(3, order), batch.column(1).to_numpy()))
+        held.append((numbers(batch.column(0), base, order) % base ** min(3, order), batch.column(1).to_numpy()))
         n += batch.num_rows
         if n >= ROWS:
             yield combined()
@@ -179,30 +203,58 @@ def pairs(batches: Iterator[pa.RecordBatch], base: int, names: list[str]) -> Ite
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=names)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], home: int, inner: int) -> Iterator[tuple[pa.Table, bool]]:
-    """Rows sorted by their first column in pieces, and whether a piece ends with its last home.
+def homes(batches: Iterator[pa.RecordBatch], base: int, order: int, hot: list[int], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """``(home, place, keys, n)``: turned keys of ``(gram, n)`` by bin and place, of ``ROWS`` rows at once."""
+    held, n = [], 0
+
+    def dealt():
+        keys, times = (np.concatenate(c) for c in zip(*held))
+        (at, place), blobs = packed(places(keys, base, order, hot), keys, times)
+        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(place), *blobs], names=names)
+
+    for batch in batches:
+        held.append((turned(numbers(batch.column(0), base, order), base, order), batch.column(1).to_numpy()))
+        n += batch.num_rows
+        if n >= ROWS:
+            yield dealt()
+            held, n = [], 0
+    if n:
+        yield dealt()
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array | None, bool]]:
+    """Turned keys with their counts, test rows, and whether the last home is complete, of some places at once.
 
-    ``home`` and ``inner`` divide a key to that of its home and of its context of three tokens, which is never divided.
+    Rows are ``(place, keys, n, asked)`` sorted by place; ``asked`` is NULL for keys, these for a test row.
     """
-    held, n, enough = [], 0, ROWS
+    last, keys, n, tests, size = None, [], [], [], 0
+    none = np.zeros(0, np.int64)
+
+    def piece(ends):
+        test = pa.concat_arrays(tests) if tests else None
+        return np.concatenate([none, *keys]), np.concatenate([none, *n]), test, ends
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append(batch)
-        n += batch.num_rows
-        if n < enough:
-            continue
-        whole = pa.Table.from_batches(held).combine_chunks()
-        keys = whole.column(0).to_numpy()
-        last = keys[-1]
-        ends = [int(np.searchsorted(keys, last // unit * unit)) for unit in (home, inner)]
-        cut = ends[0] or ends[1]
-        if cut:
-            yield whole.slice(0, cut), ends[0] > 0
-        held, n = whole.slice(cut).to_batches(), len(whole) - cut
-        enough = max(ROWS, 2 * n)
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks(), True
+        place, blob = batch.column(0).to_numpy(), ~batch.column(1).is_null().to_numpy(zero_copy_only=False)
+        asked, before = batch.column(3).filter(pa.array(~blob)), np.concatenate([[0], np.cumsum(~blob)])
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        for start, stop in zip(first, np.append(first[1:], len(place))):
+            now = int(place[start])
+            if now != last and size >= ROWS >> 2:
+                yield piece(now >> PART_BITS != last >> PART_BITS)
+                keys, n, tests, size = [], [], [], 0
+            last = now
+            for i in start + np.flatnonzero(blob[start:stop]):
+                for column, values in ((1, keys), (2, n)):
+                    values.append(np.frombuffer(batch.column(column)[i].as_buffer(), np.int64))
+                size += len(keys[-1])
+            if before[stop] > before[start]:
+                tests.append(asked.slice(before[start], before[stop] - before[start]))
+                size += len(tests[-1])
+    if last is not None:
+        yield piece(True)
 
 
 class Tables:
@@ -273,20 +325,16 @@ class Tables:
 
 
 def tables(batches: Iterator[pa.RecordBatch], base: int, order: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Rows of the model from level three on, out of sorted ``(turned key, n)``."""
+    """Rows of the model from level three on, out of rows sorted by place."""
     of = Tables(base, order)
-    for piece, ends in pieces(batches, *units(base, order)):
-        yield from of.rows(of.add(piece.column(0).to_numpy(), piece.column(1).to_numpy()), names)
+    for keys, n, _, ends in pieces(batches):
+        yield from of.rows(of.add(keys, n), names)
         if ends:
             yield from of.rows(of.rest(), names)
         else:
             of.close()
 
 
-def units(base: int, order: int) -> tuple[int, int]:
-    return base ** max(order - 2, 1), base ** max(order - 3, 0)
-
-
 def found(keys: np.ndarray, table: tuple[np.ndarray, ...]) -> list[np.ndarray]:
     """Values of keys in a sorted table, 0 for others."""
     known, *values = table
@@ -307,9 +355,9 @@ def share(own: np.ndarray, of: np.ndarray, kinds: np.ndarray, discount: float) -
 def scores(
     batches: Iterator[pa.RecordBatch], base: int, order: int, orders: list[int], discount: float, own: int, names: list[str]
 ) -> Iterator[pa.RecordBatch]:
-    """The first ``own`` test columns and the nll of each order, out of rows sorted by turned key.
+    """The first ``own`` test columns and the nll of each order, out of rows sorted by place.
 
-    Columns: turned key, count (NULL for a test row), and for test rows a struct of ``own`` columns, tokens, q2 and p2.
+    ``asked`` has ``own`` columns, tokens, q2, p2 and the turned key.
     """
     of, longest = Tables(base, order), max(orders)
     waiting: list[tuple] = []
@@ -337,13 +385,11 @@ def scores(
             yield from pa.Table.from_arrays([*columns, *losses], names=names).to_batches()
         waiting.clear()
 
-    for piece, ends in pieces(batches, *units(base, order)):
-        trained = piece.column(1).is_valid()
-        train = piece.select([0, 1]).filter(trained)
-        made = of.add(train.column(0).to_numpy(), train.column(1).to_numpy())
-        test = piece.filter(pc.invert(trained))
-        if len(test):
-            keys, test = test.column(0).to_numpy(), pa.Table.from_arrays(test.column(2).combine_chunks().flatten(), names=names[:own] + ["size", "q2", "p2"])
+    for keys, n, asked_rows, ends in pieces(batches):
+        made = of.add(keys, n)
+        if asked_rows is not None:
+            *columns, keys = asked_rows.flatten()
+            test, keys = pa.Table.from_arrays(columns, names=[*names[:own], "size", "q2", "p2"]), keys.to_numpy()
             size = test.column(own).to_numpy()
             # all orders above three as a line over the probability of three tokens
             longer, a, b = {}, np.zeros(len(test)), np.ones(len(test))

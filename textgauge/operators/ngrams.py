@@ -55,13 +55,13 @@ class _Numbers(_Arrays):
     def __init__(self, vocab_size: int, order: int):
         self.base, self.order = vocab_size + 2, order
 
-    def pack(self, gram: Column, checked: bool = False) -> Column:
+    def pack(self, gram: Column) -> Column:
         base, order = self.base, self.order
 
         @F.arrow_udf("bigint")
         def number(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for grams in columns:
-                yield gram_homes.numbers(grams, base, order, checked)
+                yield pa.array(gram_homes.numbers(grams, base, order, checked=False))
 
         return once(number)(gram)
 
@@ -88,6 +88,9 @@ def _form(vocab_size: int | None, order: int) -> _Arrays:
 #: Training grams of one partition: of arrays, whose tables at home take several times as much memory, and of numbers.
 HOME_ROWS, HOME_NUMBERS = 200_000, 1_000_000
 
+#: A home is hot from so many targets on, and from one in so many of all targets.
+HOT_TARGETS, HOT_SHARE = 100_000, 1024
+
 
 def _at_home(df: DataFrame, parts: int) -> DataFrame:
     """Dealt out by home; the number is given so that every table at home is cut the same way."""
@@ -105,10 +108,13 @@ def _in_bins(df: DataFrame) -> DataFrame:
     return df.repartition("bin").sortWithinPartitions("bin")
 
 
-def _sorted_homes(df: DataFrame, form: _Numbers, parts: int) -> DataFrame:
-    """Rows with a packed ``key`` dealt out by home; their first column is the turned key, by which they are sorted."""
-    homes = df.select(form.home(F.col("key")).alias("home"), form.turned(F.col("key")).alias("turned"), *[c for c in df.columns if c != "key"])
-    return _at_home(homes, parts).drop("home").sortWithinPartitions("turned")
+def _train_homes(counts: DataFrame, form: _Numbers, hot: list[int]) -> DataFrame:
+    base, order, names = form.base, form.order, ["home", "place", "keys", "n"]
+    return counts.mapInArrow(lambda batches: gram_homes.homes(batches, base, order, hot, names), "home int, place int, keys binary, n binary")
+
+
+def _sorted_places(df: DataFrame, parts: int) -> DataFrame:
+    return _at_home(df, parts).sortWithinPartitions("place").drop("home")
 
 
 def count_grams(
@@ -196,11 +202,15 @@ def _number_tables(counts: DataFrame, form: _Numbers) -> DataFrame:
     """
     base, order = form.base, form.order
     parts = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), counts.count() // HOME_NUMBERS)
-    grams = counts.select(form.pack(F.col("gram"), checked=True).alias("key"), F.col("n").cast("long").alias("n"))
+    grams = counts.select("gram", F.col("n").cast("long").alias("n"))
     binned, made = ["bin", "keys", "n"], ["pair", "n", "before"]
     endings = grams.mapInArrow(lambda batches: gram_homes.counted_endings(batches, base, order, binned), "bin int, keys binary, n binary")
     pairs = _in_bins(endings).mapInArrow(lambda batches: gram_homes.pairs(batches, base, made), "pair bigint, n bigint, before bigint")
     pairs = written(pairs, "pairs")
+    # homes with many targets, by how often their two tokens follow each other; no more than HOT_SHARE of them
+    floor = F.greatest(F.lit(HOT_TARGETS), F.sum("n") / HOT_SHARE)
+    often = pairs.crossJoin(F.broadcast(pairs.agg(floor.alias("floor")))).filter(F.col("n") > F.col("floor")).select("pair").collect()
+    hot = sorted(r["pair"] % base * base + r["pair"] // base for r in often)
     key, home = F.col("key"), form.home(F.col("key")).alias("home")
     two = pairs.filter(F.col("pair") >= base).withColumnRenamed("pair", "key").select(home, "key", "n", "before")
     single = pairs.filter((F.col("pair") < base) & (F.col("pair") > 0)).select(F.col("pair").alias("last"), "n", "before")
@@ -213,11 +223,12 @@ def _number_tables(counts: DataFrame, form: _Numbers) -> DataFrame:
     if order > 2:
         columns = low.columns
         sums = ", ".join(f"{c} bigint" for c in SUMS)
-        high = _sorted_homes(grams, form, parts).mapInArrow(
+        none = F.lit(None).cast("boolean").alias("asked")
+        high = _sorted_places(_train_homes(grams, form, hot).select("*", none), parts).mapInArrow(
             lambda batches: gram_homes.tables(batches, base, order, columns), f"level int, home bigint, key bigint, is_context boolean, {sums}"
         )
         model = high.unionByName(low).select("level", "home", key.alias("key", metadata=known), "is_context", *SUMS)
-    model.gram_parts = low, grams
+    model.gram_parts = low, grams, hot
     return model
 
 
@@ -254,7 +265,7 @@ def score_ngrams(
     # single tokens and pairs: all single tokens share one context
     pairs = tests.select("_pair").distinct().withColumn("_last", form.ending(F.col("_pair"), 1))
     pairs = pairs.withColumn("_first", form.context(F.col("_pair")))
-    low, grams = getattr(model, "gram_parts", (model, None))
+    low, *longer = getattr(model, "gram_parts", (model,))
     ones, twos = (low.filter(F.col("level") == k) for k in (1, 2))
     top = ones.filter("is_context").agg(F.sum("total_before").alias("_of"), F.sum("kinds_before").alias("_kinds"))
     single = ones.filter("NOT is_context").select(F.col("key").alias("_last"), F.col("before").alias("_own"))
@@ -269,8 +280,8 @@ def score_ngrams(
     q2, p2 = (F.when(two, p).otherwise(F.col("p1")) for p in (q2, p2))
     pairs = pairs.select("_pair", q2.alias("q2"), p2.alias("p2"))
 
-    if grams is not None:
-        return _scored_at_home(tests.join(pairs, "_pair"), grams, form, orders, discount, by, known["parts"])
+    if longer:
+        return _scored_at_home(tests.join(pairs, "_pair"), *longer, form, orders, discount, by, known["parts"])
 
     # longer grams and their contexts are asked for where they lie; level 0 is the test's own row
     home, own = form.home(F.col("_key")).alias("home"), (*by, "gram", "n")
@@ -316,21 +327,39 @@ def score_ngrams(
 
 
 def _scored_at_home(
-    tests: DataFrame, grams: DataFrame, form: _Numbers, orders: Sequence[int], discount: float, by: Sequence[str], parts: int
+    tests: DataFrame,
+    grams: DataFrame,
+    hot: list[int],
+    form: _Numbers,
+    orders: Sequence[int],
+    discount: float,
+    by: Sequence[str],
+    parts: int,
 ) -> DataFrame:
-    """Scores of grams as numbers: test rows are sorted among the training grams of their home, which are counted there."""
+    """Scores of grams as numbers: test rows meet the training grams of their home, which are counted there."""
+    base, order, wanted = form.base, form.order, list(orders)
+
+    @F.arrow_udf("struct<home:int,place:int>")
+    def placed(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for keys in columns:
+            at = gram_homes.places(keys.to_numpy(), base, order, hot)
+            yield pa.StructArray.from_arrays([pa.array(c) for c in at], names=["home", "place"])
+
     own = [*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], F.col("gram").alias("_gram"), F.col("n").alias("_n")]
-    tests = tests.select(F.col("_key").alias("key"), F.lit(None).cast("long").alias("n"), *own, F.size("gram").alias("_size"), "q2", "p2")
-    columns = tests.columns[2:]
-    tests = tests.select("key", "n", F.struct(*columns).alias("asked"))
-    asked = tests.schema["asked"].dataType
-    both = grams.select("key", "n", F.lit(None).cast(asked).alias("asked")).unionByName(tests)
-    schema = _schema(asked, columns[:-3], ", ".join(f"nll{k} double" for k in orders))
-    base, order, names, wanted = form.base, form.order, schema.names, list(orders)
-    rows = _sorted_homes(both, form, parts).mapInArrow(
-        lambda batches: gram_homes.scores(batches, base, order, wanted, discount, len(columns) - 3, names), schema
+    width = len(own)
+    asked = F.struct(*own, F.size("gram").alias("_size"), "q2", "p2", F.col("turned"))
+    tests = tests.withColumn("turned", form.turned(F.col("_key")))
+    tests = tests.select(once(placed)("turned").alias("_at"), asked.alias("asked"))
+    tests = tests.select("_at.home", "_at.place", *[F.lit(None).cast("binary").alias(c) for c in ("keys", "n")], "asked")
+    of = tests.schema["asked"].dataType
+    both = _train_homes(grams, form, hot).withColumn("asked", F.lit(None).cast(of)).unionByName(tests)
+    columns = of.names[:width]
+    schema = _schema(of, columns, ", ".join(f"nll{k} double" for k in orders))
+    names = schema.names
+    rows = _sorted_places(both, parts).mapInArrow(
+        lambda batches: gram_homes.scores(batches, base, order, wanted, discount, width, names), schema
     )
     scored = [F.struct(F.lit(k).alias("order"), F.col(f"nll{k}").alias("nll")) for k in orders]
-    rows = rows.select(*columns[:-3], F.inline(F.array(*scored)))
+    rows = rows.select(*columns, F.inline(F.array(*scored)))
     taken = F.slice("_gram", F.greatest(F.size("_gram") - F.col("order") + 1, F.lit(1)), F.least(F.size("_gram"), F.col("order")))
     return rows.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(by)], "order", taken.alias("gram"), F.col("_n").alias("n"), "nll")
