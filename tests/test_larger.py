@@ -1,11 +1,13 @@
 """What one task holds, and what is shuffled, stays in proportion on larger tables."""
 
 import random
+
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textgauge.operators import bpe, ngrams, tokenizing
+from textgauge.operators import bpe, gram_homes, ngrams, tokenizing
 from textgauge.operators.tokenizing import item_slices
 
 
@@ -78,3 +80,69 @@ def test_grams_as_numbers_and_dealt_out_once(spark, plan):
     assert said[0] == said[1] and len(said[0]) == 4 * tests.count()
     with pytest.raises(Exception, match="vocabulary"):
         ngrams.count_grams(test, 5, vocab_size=7).collect()
+
+
+def some_windows(spark, n, seed=8, most=5):
+    rng = random.Random(seed)
+    rows = [(i, "ab"[i % 2], [min(int(rng.expovariate(0.5)), most) for _ in range(rng.randint(0, 12))]) for i in range(n)]
+    return spark.createDataFrame([*rows, (n, None, None), (n + 1, "a", [3])], "id long, side string, input_ids array<int>")
+
+
+def test_counted_grams_are_moved_in_rows_of_bytes(spark, plan):
+    windows = some_windows(spark, 80)
+    counted = [ngrams.count_grams(windows, 4, by=("side",), vocab_size=size) for size in (None, 7)]
+    said = [sorted((r.side or "", tuple(r.gram), r.n) for r in c.collect()) for c in counted]
+    assert said[0] == said[1] and len(said[0]) > 100
+    train, test = (counted[1].filter(F.col("side") == s).drop("side") for s in "ab")
+    scored = ngrams.score_ngrams(ngrams.ngram_tables(train, 4, 7), test, (2, 3, 4), 7)
+    # training grams meet the asked ones as bytes: no gram is a row in an exchange, a sort or a window
+    text = plan(scored)
+    assert "hashpartitioning(home" in text and "Window" not in text and "keys" in text and "Sort [place" in text
+
+
+@pytest.mark.parametrize("order, orders", [(5, (2, 3, 4, 5)), (4, (2, 4)), (3, (2, 3, 5)), (2, (2, 4))])
+def test_model_and_scores_of_hot_homes_equal_those_of_arrays(spark, monkeypatch, order, orders):
+    monkeypatch.setattr(ngrams, "HOT_TARGETS", 1)
+    monkeypatch.setattr(ngrams, "HOT_SHARE", 1 << 40)
+    windows = some_windows(spark, 120)
+    counts = ngrams.count_grams(windows.filter("id < 90"), order)
+    counts = spark.createDataFrame([*counts.collect(), ([1, 2], 3), ([4], 2)], "gram array<int>, n long")  # counts in parts
+    tests = ngrams.count_grams(windows.filter("id >= 90"), 5, by=("side",))
+    tests = tests.unionByName(spark.createDataFrame([("a", [1, 9, 2, 2], 1), ("a", [0], 2)], tests.schema))
+    models = [ngrams.ngram_tables(counts, order, size) for size in (None, 7)]
+    assert len(models[1].gram_parts[2]) > 5
+    form = ngrams._form(7, order)
+    rows = [
+        sorted((r.level, tuple(r.key), r.is_context, *(r[c] for c in ngrams.SUMS)) for r in m.collect())
+        for m in (models[0], models[1].withColumn("key", form.unpack(F.col("key"))))
+    ]
+    assert rows[0] == rows[1] and {r[0] for r in rows[0]} == set(range(1, order + 1))
+    # a model that went through other steps is asked row by row
+    said = []
+    for model in (*models, models[1].filter("true")):
+        scored = ngrams.score_ngrams(model, tests, orders, 7, by=("side",)).collect()
+        said.append(sorted((r.side or "", r.order, tuple(r.gram), r.n, round(r.nll, 9)) for r in scored))
+    assert said[0] == said[1] == said[2] and len(said[0]) == len(orders) * tests.count()
+
+
+def test_pieces_of_homes_do_not_change_scores(monkeypatch):
+    rng, base, order, hot = random.Random(2), 7, 5, [8, 15]
+    grams = sorted({tuple(min(int(rng.expovariate(0.6)), 4) for _ in range(rng.choice((2, 3, 4, 5)))) for _ in range(900)})
+    keys = gram_homes.turned(gram_homes.numbers(pa.array(grams, pa.list_(pa.int32())), base, order), base, order)
+    train, test, size = np.arange(len(keys)) % 3 > 0, keys[::3], np.array([len(g) for g in grams])[::3]
+    n = np.arange(1, len(keys) + 1)
+    (_, place), blobs = gram_homes.packed(gram_homes.places(keys[train], base, order, hot), keys[train], n[train])
+    places = [*place, *gram_homes.places(test, base, order, hot)[1]]
+    asked = [{"t": int(k), "size": int(s), "q2": 0.5, "p2": 0.25, "turned": int(k)} for k, s in zip(test, size)]
+    asked = pa.array([None] * len(place) + asked, pa.struct({"t": pa.int64(), "size": pa.int32(), "q2": pa.float64(), "p2": pa.float64(), "turned": pa.int64()}))
+    columns = [pa.array(places), *(pa.array([*b.to_pylist(), *[None] * len(test)], pa.binary()) for b in blobs), asked]
+    rows = pa.RecordBatch.from_arrays(columns, names=["place", "keys", "n", "asked"]).sort_by("place")
+    said, ends = [], []
+    for most in (1 << 20, 8):
+        monkeypatch.setattr(gram_homes, "ROWS", most)
+        parts = [rows.slice(i, 5) for i in range(0, len(rows), 5)]
+        ends.append([p[3] for p in gram_homes.pieces(iter(parts))])
+        made = gram_homes.scores(iter(parts), base, order, [2, 3, 4, 5], 0.75, 1, ["t", "nll2", "nll3", "nll4", "nll5"])
+        said.append({r["t"]: [round(r[f"nll{k}"], 9) for k in (2, 3, 4, 5)] for b in made for r in b.to_pylist()})
+    assert said[0] == said[1] and len(said[0]) == len(test) and len({tuple(v) for v in said[0].values()}) > 20
+    assert ends[0] == [True] and len(ends[1]) > 10 and False in ends[1]

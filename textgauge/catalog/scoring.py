@@ -233,7 +233,7 @@ def ngram_perplexity(spark, sf):
     coded = tokenizing.encode(tok_docs(spark, sf), vocab)
     both = splitting.split(coded, ["doc_id"]).select("doc_id", "split", "input_ids")
     chunks = chunking.chunk(both, 64, keep=("doc_id", "split"))
-    counts = saved(ngrams.count_grams(chunks, max(NGRAM_ORDERS), by=("split",), vocab_size=5002), "grams")
+    counts = ngrams.count_grams(chunks, max(NGRAM_ORDERS), by=("split",), vocab_size=5002)  # written there
     train, test = (counts.filter(F.col("split") == side).drop("split") for side in ("train", "test"))
     model = ngrams.ngram_tables(train, max(NGRAM_ORDERS), 5002)
     scored = ngrams.score_ngrams(model, test, NGRAM_ORDERS, 5002)

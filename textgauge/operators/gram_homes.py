@@ -64,12 +64,9 @@ def numbers(grams: pa.ListArray, base: int, order: int, checked: bool = True) ->
     return keys
 
 
-def grams_of(keys: np.ndarray, base: int, order: int) -> pa.ListArray:
-    """Ids of keys that have none but those of the vocabulary."""
-    digits = np.stack([keys // base**i % base for i in reversed(range(order))], axis=1)
-    there = digits > 0
-    ends = np.concatenate([[0], np.cumsum(there.sum(axis=1))])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(digits[there] - 1, pa.int32()))
+def keys_of(grams: pa.Array, base: int, order: int) -> np.ndarray:
+    """Keys of grams that are numbers already or still lists."""
+    return grams.to_numpy() if pa.types.is_int64(grams.type) else numbers(grams, base, order)
 
 
 def turned(keys: np.ndarray, base: int, order: int) -> np.ndarray:
@@ -155,7 +152,7 @@ def counted_endings(batches: Iterator[pa.RecordBatch], base: int, order: int, na
         return pa.RecordBatch.from_arrays([pa.array(at), *blobs], names=names)
 
     for batch in batches:
-        held.append((numbers(batch.column(0), base, order) % base ** min(3, order), batch.column(1).to_numpy()))
+        held.append((keys_of(batch.column(0), base, order) % base ** min(3, order), batch.column(1).to_numpy()))
         n += batch.num_rows
         if n >= ROWS:
             yield combined()
@@ -186,13 +183,12 @@ def bins(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[tuple[list
         yield done()
 
 
-def counts(batches: Iterator[pa.RecordBatch], by: int, base: int, order: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """``(*by, gram, n)`` out of rows sorted by bin."""
+def counts(batches: Iterator[pa.RecordBatch], by: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """``(*by, key, n)`` out of rows sorted by bin."""
     for made in bins(batches, by):
         group = pa.array(np.repeat(np.arange(len(made)), [len(keys) for _, keys, _ in made]))
         own = [pa.concat_arrays([head[c] for head, *_ in made]).take(group) for c in range(by)]
-        keys, n = (np.concatenate([m[i] for m in made]) for i in (1, 2))
-        yield pa.RecordBatch.from_arrays([*own, grams_of(keys, base, order), pa.array(n)], names=names)
+        yield pa.RecordBatch.from_arrays([*own, *(pa.array(np.concatenate([m[i] for m in made])) for i in (1, 2))], names=names)
 
 
 def pairs(batches: Iterator[pa.RecordBatch], base: int, names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +200,7 @@ def pairs(batches: Iterator[pa.RecordBatch], base: int, names: list[str]) -> Ite
 
 
 def homes(batches: Iterator[pa.RecordBatch], base: int, order: int, hot: list[int], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """``(home, place, keys, n)``: turned keys of ``(gram, n)`` by bin and place, of ``ROWS`` rows at once."""
+    """``(home, place, keys, n)``: turned keys of ``(gram or its key, n)`` by bin and place, of ``ROWS`` rows at once."""
     held, n = [], 0
 
     def dealt():
@@ -213,7 +209,7 @@ def homes(batches: Iterator[pa.RecordBatch], base: int, order: int, hot: list[in
         return pa.RecordBatch.from_arrays([pa.array(at), pa.array(place), *blobs], names=names)
 
     for batch in batches:
-        held.append((turned(numbers(batch.column(0), base, order), base, order), batch.column(1).to_numpy()))
+        held.append((turned(keys_of(batch.column(0), base, order), base, order), batch.column(1).to_numpy()))
         n += batch.num_rows
         if n >= ROWS:
             yield dealt()

@@ -65,6 +65,21 @@ class _Numbers(_Arrays):
 
         return once(number)(gram)
 
+    def unpack(self, key: Column) -> Column:
+        ids = [(div(key, self.base**i) % self.base - 1).cast("int") for i in range(self.order)]
+        gram = F.array().cast("array<int>")
+        for size in range(1, self.order + 1):
+            gram = F.when(key >= self.base ** (size - 1), F.array(*reversed(ids[:size]))).otherwise(gram)
+        return gram
+
+    def known(self) -> dict:
+        return {"vocab_size": self.base - 2, "order": self.order}
+
+    def key_of(self, counts: DataFrame) -> Column | None:
+        """The column that ``count_grams`` packed in this form, if the counts have it."""
+        has = "gram_key" in counts.columns and counts.schema["gram_key"].metadata == self.known()
+        return F.col("gram_key") if has else None
+
     def turned(self, key: Column) -> Column:
         """The key with the context's digits backwards before the target's, see ``gram_homes``."""
         digits = (div(key, self.base**i) % self.base * F.lit(self.base ** (self.order - i)) for i in range(1, self.order))
@@ -123,7 +138,8 @@ def count_grams(
     """``(*by, gram, n)``: each target with up to ``order - 1`` tokens before it in its window, counted.
 
     The first token of a window is no target. NULL or short windows have none. If ``vocab_size`` is given, ids are
-    below it, which is checked, and less is shuffled.
+    below it, which is checked, and less is shuffled; the counts are written as numbers, in a last column ``gram_key``
+    that the model and scoring take, and ``gram`` is made of them where it is asked for.
     """
     if order < 2:
         raise ValueError(f"order must be at least 2, got {order}")
@@ -137,12 +153,13 @@ def count_grams(
     groups = [F.col(c).alias(f"_{i}") for i, c in enumerate(by)]
     windows = chunks.select(*groups, tokens.alias("_ids"))
     base, width, own = form.base, len(groups), windows.columns[:-1]
-    binned, made = (_schema(windows, own, more) for more in ("bin int, keys binary, n binary", "gram array<int>, n bigint"))
+    binned, made = (_schema(windows, own, more) for more in ("bin int, keys binary, n binary", "gram_key bigint, n bigint"))
     names = binned.names, made.names
     part = windows.mapInArrow(lambda batches: gram_homes.counted_targets(batches, width, base, order, names[0]), binned)
-    counted = _in_bins(part).mapInArrow(lambda batches: gram_homes.counts(batches, width, base, order, names[1]), made)
+    counted = _in_bins(part).mapInArrow(lambda batches: gram_homes.counts(batches, width, names[1]), made)
     own = [F.col(f"_{i}").alias(c) for i, c in enumerate(by)]
-    return counted.select(*own, "gram", "n")
+    key = F.col("gram_key")
+    return written(counted, "grams").select(*own, form.unpack(key).alias("gram"), "n", key.alias("gram_key", metadata=form.known()))
 
 
 def ngram_tables(counts: DataFrame, order: int, vocab_size: int | None = None) -> DataFrame:
@@ -202,7 +219,8 @@ def _number_tables(counts: DataFrame, form: _Numbers) -> DataFrame:
     """
     base, order = form.base, form.order
     parts = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), counts.count() // HOME_NUMBERS)
-    grams = counts.select("gram", F.col("n").cast("long").alias("n"))
+    key = form.key_of(counts)
+    grams = counts.select(F.col("gram") if key is None else key, F.col("n").cast("long").alias("n"))
     binned, made = ["bin", "keys", "n"], ["pair", "n", "before"]
     endings = grams.mapInArrow(lambda batches: gram_homes.counted_endings(batches, base, order, binned), "bin int, keys binary, n binary")
     pairs = _in_bins(endings).mapInArrow(lambda batches: gram_homes.pairs(batches, base, made), "pair bigint, n bigint, before bigint")
@@ -217,7 +235,7 @@ def _number_tables(counts: DataFrame, form: _Numbers) -> DataFrame:
     last = two.select(form.ending(key, 1).alias("last"), "n", F.lit(1).cast("long").alias("before"))
     one = last.unionByName(single).groupBy("last").agg(F.sum("n").alias("n"), F.sum("before").alias("before"))
     one = one.withColumnRenamed("last", "key")
-    known = {"parts": parts, "vocab_size": base - 2, "order": order}
+    known = {"parts": parts, **form.known()}
     low = _model({2: two, 1: one.select(home, "key", "n", "before")}, form, known)
     model = low
     if order > 2:
@@ -259,7 +277,9 @@ def score_ngrams(
         return F.when(of > 0, taken / of).otherwise(lower)
 
     # of longer grams the last tokens that the model's order takes
-    tests = counts.filter("gram IS NOT NULL").select(*by, "gram", "n").withColumn("_key", form.pack(F.col("gram")))
+    packed = form.key_of(counts) if isinstance(form, _Numbers) else None
+    packed = form.pack(F.col("gram")) if packed is None else packed
+    tests = counts.filter("gram IS NOT NULL").select(*by, "gram", "n", packed.alias("_key"))
     tests = tests.withColumn("_pair", form.ending(F.col("_key"), 2))
 
     # single tokens and pairs: all single tokens share one context
