@@ -131,10 +131,12 @@ def test_pieces_of_homes_do_not_change_scores(monkeypatch):
     keys = gram_homes.turned(gram_homes.numbers(pa.array(grams, pa.list_(pa.int32())), base, order), base, order)
     train, test, size = np.arange(len(keys)) % 3 > 0, keys[::3], np.array([len(g) for g in grams])[::3]
     n = np.arange(1, len(keys) + 1)
-    (_, place), blobs = gram_homes.packed(gram_homes.places(keys[train], base, order, hot), keys[train], n[train])
-    places = [*place, *gram_homes.places(test, base, order, hot)[1]]
+    (part, at), blobs = gram_homes.packed(gram_homes.places(keys[train], base, order, hot)[::-1], keys[train], n[train])
+    place = (at << gram_homes.PART_BITS) + part
+    places = [*place, *gram_homes.placed(test, base, order, hot).field("place").to_numpy()]
     asked = [{"t": int(k), "size": int(s), "q2": 0.5, "p2": 0.25, "turned": int(k)} for k, s in zip(test, size)]
-    asked = pa.array([None] * len(place) + asked, pa.struct({"t": pa.int64(), "size": pa.int32(), "q2": pa.float64(), "p2": pa.float64(), "turned": pa.int64()}))
+    kinds = {"t": pa.int64(), "size": pa.int32(), "q2": pa.float64(), "p2": pa.float64(), "turned": pa.int64()}
+    asked = pa.array([None] * len(place) + asked, pa.struct(kinds))
     columns = [pa.array(places), *(pa.array([*b.to_pylist(), *[None] * len(test)], pa.binary()) for b in blobs), asked]
     rows = pa.RecordBatch.from_arrays(columns, names=["place", "keys", "n", "asked"]).sort_by("place")
     said, ends = [], []

@@ -28,8 +28,8 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     if (keys[1:] < keys[:-1]).any():
         order = np.argsort(keys)
         keys, values = keys[order], [v[order] for v in values]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], *(np.add.reduceat(v, first) for v in values)
+    ends = np.flatnonzero(np.concatenate([keys[1:] != keys[:-1], [True]]))
+    return keys[ends], *(np.diff(np.cumsum(v)[ends], prepend=0) for v in values)
 
 
 def targets(windows: pa.ListArray, base: int, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,9 +70,12 @@ def keys_of(grams: pa.Array, base: int, order: int) -> np.ndarray:
 
 
 def turned(keys: np.ndarray, base: int, order: int) -> np.ndarray:
-    made = keys % base
+    rest = keys // base
+    made = keys - rest * base
     for i in range(1, order):
-        made = made + keys // base**i % base * base ** (order - i)
+        longer = rest // base
+        made += (rest - longer * base) * base ** (order - i)
+        rest = longer
     return made
 
 
@@ -81,7 +84,7 @@ def mixed(values: np.ndarray, bits: int) -> np.ndarray:
 
 
 def places(keys: np.ndarray, base: int, order: int, hot: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """The bin of turned keys' homes, and their place in it.
+    """The bin of turned keys' homes, and the number of their place in it.
 
     Other homes share bins of one place. A hot home has a bin of its own, and a place for some of the tokens before it.
     """
@@ -90,12 +93,18 @@ def places(keys: np.ndarray, base: int, order: int, hot: list[int]) -> tuple[np.
     own = known[np.minimum(at, len(known) - 1)] == homes if hot else np.zeros(len(keys), bool)
     bins = np.where(own, (1 << BITS) + at, mixed(homes, BITS)).astype(np.int32)
     parts = mixed(keys // base ** max(order - 3, 0) % base, PART_BITS)
-    return bins, (bins << PART_BITS) + np.where(own, parts, 0).astype(np.int32)
+    return bins, np.where(own, parts, 0).astype(np.int32)
+
+
+def placed(keys: np.ndarray, base: int, order: int, hot: list[int]) -> pa.StructArray:
+    bins, parts = places(keys, base, order, hot)
+    return pa.StructArray.from_arrays([pa.array(bins), pa.array((bins << PART_BITS) + parts)], names=["home", "place"])
 
 
 def packed(of: Sequence[np.ndarray], keys: np.ndarray, n: np.ndarray) -> tuple[list[np.ndarray], list[pa.Array]]:
     """Distinct values of ``of``, the main one last, and all their keys and counts in one row, so that few rows are moved."""
-    order = np.lexsort(of)
+    # columns of up to 16 bits are sorted by their digits
+    order = np.lexsort([c.astype(np.min_scalar_type(c.max())) for c in of])
     of = [c[order] for c in of]
     first = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in of], axis=0)]))
     ends = pa.py_buffer((np.append(first, len(order)) * 8).astype(np.int32))
@@ -205,8 +214,8 @@ def homes(batches: Iterator[pa.RecordBatch], base: int, order: int, hot: list[in
 
     def dealt():
         keys, times = (np.concatenate(c) for c in zip(*held))
-        (at, place), blobs = packed(places(keys, base, order, hot), keys, times)
-        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(place), *blobs], names=names)
+        (part, at), blobs = packed(places(keys, base, order, hot)[::-1], keys, times)
+        return pa.RecordBatch.from_arrays([pa.array(at), pa.array((at << PART_BITS) + part), *blobs], names=names)
 
     for batch in batches:
         held.append((turned(keys_of(batch.column(0), base, order), base, order), batch.column(1).to_numpy()))
@@ -267,7 +276,9 @@ class Tables:
     def add(self, keys: np.ndarray, n: np.ndarray) -> dict[int, tuple]:
         """Levels above three of a piece; those of three tokens wait for the rest of their home."""
         keys, n = summed(keys, n)
-        size = 1 + sum((keys // self.base ** (self.order - j) % self.base > 0).astype(int) for j in range(1, self.order))
+        size = np.full(len(keys), self.order)
+        short = np.flatnonzero(keys // self.base % self.base == 0)
+        size[short] = 1 + sum((keys[short] // self.base ** (self.order - j) % self.base > 0).astype(int) for j in range(1, self.order))
         made, held = {}, None
         for k in range(self.order, 2, -1):
             own = size == k

@@ -8,7 +8,8 @@ count each gram is one row.
 A gram's home are the last two tokens of its context. Dropping first tokens down to three and taking the context leave
 the home as it is, so rows are dealt out by home once, and all orders from three on are counted and asked where they lie.
 Only grams of two tokens and one are dealt out anew. A home that a large share of the different grams has makes one
-larger task, whose aggregates and sorts spill. With a known vocabulary a gram is one number while it is moved.
+larger task, whose aggregates and sorts spill. With a known vocabulary a gram is one number, and numbers are moved and
+counted many at once, see ``gram_homes``.
 """
 
 from __future__ import annotations
@@ -362,8 +363,7 @@ def _scored_at_home(
     @F.arrow_udf("struct<home:int,place:int>")
     def placed(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for keys in columns:
-            at = gram_homes.places(keys.to_numpy(), base, order, hot)
-            yield pa.StructArray.from_arrays([pa.array(c) for c in at], names=["home", "place"])
+            yield gram_homes.placed(keys.to_numpy(), base, order, hot)
 
     own = [*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], F.col("gram").alias("_gram"), F.col("n").alias("_n")]
     width = len(own)
